@@ -4,21 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewatch.llm import mixing, simhash
+from lakewatch.llm import language_id, line_dedup, mixing, packing, simhash
 from lakewatch.llm.common import materialize, read_documents
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group stays."""
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has a language stay; the model learns from the labelled part of these documents."""
+    return language_id.keep_identified(docs)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the lines that an earlier one matches; documents that had words and keep none go."""
+    out = line_dedup.deduplicate(docs)
+    return out.where("size(removed_lines) = 0 OR text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'").select(*docs.columns)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group stays, the one with the smallest doc_id."""
     return simhash.deduplicate(docs)
 
 
-def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, at most one of a source cut short."""
     return mixing.mixed_documents(docs)
 
 
-STAGES = [("simhash_near_dedup", near_dedup), ("mix_sources", mix)]
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the training sequences, with their token ids."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("simhash_near_dedup", dedup_documents),
+    ("mix_sources", mix_sources),
+    ("harmonic_packing", pack_sequences),
+]
+#: SQL has no language model, set-similarity join of this size or tokenizer; the tests compare with brute force.
 ORACLE_SQL = None
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewatch.llm import mixing, quality_rules, simhash
+from lakewatch.llm import language_id, line_dedup, mixing, packing, quality_rules, simhash
 from lakewatch.llm.common import read_documents
 
 
@@ -16,9 +16,21 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_documents(spark, sf_dir))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(read_documents(spark, sf_dir))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(quality_rules.ledger(read_documents(spark, sf_dir)))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_mix_sources, op6_quality_rules)}
+def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_documents(spark, sf_dir), with_ids=False)
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicate(read_documents(spark, sf_dir).select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_mix_sources, op4_language_id, op6_quality_rules, op7_harmonic_packing, op9_line_dedup)}
 ORACLE_SQL = {"op3_mix_sources": mixing.ORACLE_SQL, "op6_quality_rules": quality_rules.ORACLE_SQL}

@@ -73,17 +73,19 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     """The mix itself: rows of `docs` (all their columns), a whole copy for each time it is taken whole, and at most one
     cut after its first words. Documents that aren't taken go. doc_id is to be unique; of rows that share one, each
     gets what the first in order of size got. A column n_chars, if there is one, follows the text."""
-    plan = mix(docs, **params).groupBy("doc_id").agg(F.max_by("taken", "size").alias("__taken"), F.max("size").alias("__size"))
-    whole = F.expr("CASE WHEN __size > 0 THEN __taken div __size ELSE 0 END").cast("int")
-    d = docs.alias("d").join(plan.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))).select("d.*", "__taken", "__size", whole.alias("__whole"))
-    part = F.col("__taken") - F.col("__whole") * F.col("__size")
-    copies = F.concat(F.array_repeat(F.lit(0), F.col("__whole")), F.when(part > 0, F.array(part.cast("int"))).otherwise(F.array().cast("array<int>")))
-    d = d.withColumn("__cut", F.explode(copies))
-    first_words = F.array_join(F.slice(F.filter(F.split("text", SEPARATORS), lambda w: w != ""), 1, F.greatest(F.col("__cut"), F.lit(1))), " ")
-    d = d.withColumn("text", F.when(F.col("__cut") > 0, first_words).otherwise(F.col("text")))
+    plan = mix(docs, **params).groupBy("doc_id").agg(F.max_by("taken", "size").alias("taken"), F.max("size").alias("size"))
+    rows = docs.select("doc_id", F.struct(*docs.columns).alias("row")).alias("d")  # no name of theirs can clash
+    d = rows.join(plan.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))).select("row", "taken", "size")
+    d = d.withColumn("whole", F.expr("CASE WHEN size > 0 THEN taken div size ELSE 0 END").cast("int"))
+    part = F.col("taken") - F.col("whole") * F.col("size")
+    copies = F.concat(F.array_repeat(F.lit(0), F.col("whole")), F.when(part > 0, F.array(part.cast("int"))).otherwise(F.array().cast("array<int>")))
+    d = d.select("row", F.explode(copies).alias("cut"))
+    words = F.filter(F.split("row.text", SEPARATORS), lambda w: w != "")
+    text = F.when(F.col("cut") > 0, F.array_join(F.slice(words, 1, F.greatest(F.col("cut"), F.lit(1))), " ")).otherwise(F.col("row.text"))
+    new = {"text": text}
     if "n_chars" in docs.columns:
-        d = d.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return d.select(*docs.columns)
+        new["n_chars"] = F.length(text).cast(dict(docs.dtypes)["n_chars"])
+    return d.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 ORACLE_SQL = r"""
