@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewatch.llm import language_id, line_dedup, mixing, packing, quality_rules, simhash
+from lakewatch.llm import language_id, line_dedup, media, mixing, packing, pii, quality_gam, quality_rules, secret_scan, simhash
 from lakewatch.llm.common import read_documents
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.find_secrets(read_documents(spark, sf_dir)))
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(read_documents(spark, sf_dir))
 
@@ -20,6 +24,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(read_documents(spark, sf_dir))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(read_documents(spark, sf_dir)))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_policy(quality_rules.ledger(read_documents(spark, sf_dir)))
 
@@ -28,9 +36,20 @@ def op7_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_documents(spark, sf_dir), with_ids=False)
 
 
+def op8_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(read_documents(spark, sf_dir)).drop("shard", "offset", "length")  # these differ between runs
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.deduplicate(read_documents(spark, sf_dir).select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op3_mix_sources, op4_language_id, op6_quality_rules, op7_harmonic_packing, op9_line_dedup)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_documents(spark, sf_dir)
+    return quality_gam.score(docs, quality_gam.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_secret_scan, op2_simhash_near_dedup, op3_mix_sources, op4_language_id, op5_pii, op6_quality_rules, op7_harmonic_packing, op8_media_columns, op9_line_dedup, op10_quality_classifier,
+)}
 ORACLE_SQL = {"op3_mix_sources": mixing.ORACLE_SQL, "op6_quality_rules": quality_rules.ORACLE_SQL}
