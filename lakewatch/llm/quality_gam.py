@@ -87,7 +87,7 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         triples = np.bincount(doc[: len(triple)][inside], minlength=n)
         distinct_triples, _ = _share_repeated(triple[inside], doc[: len(triple)][inside], n) if inside.any() else (triples, None)
         capital = np.bincount(doc, _KIND[3][data[starts]], n)
-        out += [1 - distinct_lines / solid, distinct / w, 1 - distinct_triples / np.maximum(1, triples), most / w, np.bincount(doc, length <= 3, n) / w, capital / w, words / (stops + 1)]
+        out += [(solid - distinct_lines) / solid * (words > 0), distinct / w, (triples - distinct_triples) / np.maximum(1, triples), most / w, np.bincount(doc, length <= 3, n) / w, capital / w, words / (stops + 1)]
     else:
         out += [np.zeros(n)] * 7
     return np.stack(out, 1)
