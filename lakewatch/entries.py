@@ -91,7 +91,7 @@ _both(
     health.health_score,
 )
 _corpus("a14_items_per_month", "SELECT source_id, strftime(eff_date, '%Y-%m') AS month, count(*) AS n FROM corpus GROUP BY 1, 2", health.items_per_month)
-_corpus("a15_false_positive_rate", "SELECT source_id, count(*) AS n, count_if(relevancia < 5) AS discarded, round_even(count_if(relevancia < 5)::DOUBLE / count(*), 3) AS rate FROM corpus WHERE has_llm GROUP BY 1", health.false_positive_rate)
+_corpus("a15_false_positive_rate", "SELECT source_id, count(*) AS n, count_if(relevancia < 5)::BIGINT AS discarded, round_even(count_if(relevancia < 5)::DOUBLE / count(*), 3) AS rate FROM corpus WHERE has_llm GROUP BY 1", health.false_positive_rate)
 _corpus("a16_revision_calendar", f"SELECT *, floor((epoch_us({AS_OF}) - epoch_us(last_fetched)) / 86400000000)::BIGINT AS days FROM (SELECT source_id, max(fetched_at) AS last_fetched FROM corpus GROUP BY 1) WHERE (epoch_us({AS_OF}) - epoch_us(last_fetched)) / 86400000000 >= 0", lambda c: health.revision_calendar(c, least_days=0))
 _corpus("a17_source_volume", "SELECT source_id, count(*) AS n FROM corpus GROUP BY 1", health.source_volume)
 _both(
@@ -102,7 +102,7 @@ _both(
     UNION ALL SELECT * FROM (SELECT 'recent', doc_id::VARCHAR, floor(epoch(fetched_at))::BIGINT FROM corpus ORDER BY fetched_at DESC, doc_id LIMIT 20)""",
     analytics.dashboard,
 )
-_TODAY = f"count_if(has_llm AND {since('fetched_at', 1)})"
+_TODAY = f"count_if(has_llm AND {since('fetched_at', 1)})::BIGINT"
 _corpus("a19_status_counts", f"SELECT 'status' AS metric, status AS key, count(*) AS n FROM corpus GROUP BY 2 UNION ALL SELECT 'uf_7d', uf, count(*) FROM corpus WHERE {since('fetched_at', 7)} GROUP BY 2 UNION ALL SELECT 'classified_today', '', {_TODAY} FROM corpus UNION ALL SELECT 'quota_left', '', greatest(0, 1500 - {_TODAY}) FROM corpus", analytics.status_counts)
 _corpus("a20_user_tags", "SELECT tag, count(*) AS n FROM (SELECT unnest(user_tags) AS tag FROM corpus) GROUP BY 1", analytics.user_tag_counts)
 
@@ -117,7 +117,7 @@ def _a22(spark, d):
 
 _corpus(
     "a24_digest_summary",
-    """SELECT count_if(severity_tier = 'critico') AS n_critico, count_if(severity_tier = 'alta') AS n_alta, (SELECT string_agg(DISTINCT uf, '|' ORDER BY uf) FROM corpus WHERE has_llm AND uf <> '_federal') AS ufs,
+    """SELECT count_if(severity_tier = 'critico')::BIGINT AS n_critico, count_if(severity_tier = 'alta')::BIGINT AS n_alta, (SELECT string_agg(DISTINCT uf, '|' ORDER BY uf) FROM corpus WHERE has_llm AND uf <> '_federal') AS ufs,
     (SELECT string_agg(doc_id::VARCHAR, '|' ORDER BY relevancia DESC, doc_id) FROM (SELECT doc_id, relevancia FROM corpus WHERE has_llm ORDER BY relevancia DESC, doc_id LIMIT 5)) AS top_docs,
     (SELECT string_agg(s || '=' || n, '|' ORDER BY s || '=' || n) FROM (SELECT coalesce(topics[1], 'outros') AS s, count(*) AS n FROM corpus WHERE has_llm GROUP BY 1)) AS sections FROM corpus WHERE has_llm""",
     lambda c: analytics.digest_summary(c).select("n_critico", "n_alta", *[F.array_join(x, "|").alias(x) for x in ("ufs", "top_docs", "sections")]),
@@ -136,7 +136,7 @@ FROM source_events WINDOW f AS (PARTITION BY source_id ORDER BY ts, event_id ROW
 _ZERO = """SELECT source_id, run_day, items, least(sum((items = 0)::INT) OVER (PARTITION BY source_id, island ORDER BY run_day), 10000)::BIGINT AS consecutive_zero_runs, last_nonzero_at, sum((items = 0)::INT) OVER (PARTITION BY source_id, island ORDER BY run_day) = 3 AS alert
 FROM (SELECT *, sum((items > 0)::INT) OVER (PARTITION BY source_id ORDER BY run_day) AS island, max(CASE WHEN items > 0 THEN run_day END) OVER (PARTITION BY source_id ORDER BY run_day) AS last_nonzero_at FROM run_history)"""
 query("w02_zero_runs", _ZERO, "run_history")(lambda s, d: health.zero_runs(views.run_history(s, d), alert_at=3))
-query("w03_heartbeat", f"""SELECT e.source_id, max(CASE WHEN ok THEN ts END) AS last_ok, max(CASE WHEN NOT ok THEN ts END) AS last_failure, count_if(NOT ok AND (ts, event_id) > (lo.t, lo.i)) AS failures, max(CASE WHEN ok THEN ts END) < {AS_OF} - INTERVAL '7' DAY AS stale, count_if(NOT ok AND (ts, event_id) > (lo.t, lo.i)) >= 5 AS chronic
+query("w03_heartbeat", f"""SELECT e.source_id, max(CASE WHEN ok THEN ts END) AS last_ok, max(CASE WHEN NOT ok THEN ts END) AS last_failure, count_if(NOT ok AND (ts, event_id) > (lo.t, lo.i))::BIGINT AS failures, max(CASE WHEN ok THEN ts END) < {AS_OF} - INTERVAL '7' DAY AS stale, count_if(NOT ok AND (ts, event_id) > (lo.t, lo.i)) >= 5 AS chronic
 FROM source_events e JOIN (SELECT source_id, max(ts) AS t, arg_max(event_id, (ts, event_id)) AS i FROM source_events WHERE ok GROUP BY 1) lo ON lo.source_id = e.source_id GROUP BY 1""", "source_events")(lambda s, d: health.heartbeat(views.source_events(s, d)))
 query("w04_zero_run_report", f"SELECT source_id, zeros, greatest(0, (SELECT count(*) FROM (SELECT source_id, arg_max(consecutive_zero_runs, run_day) AS zeros FROM ({_ZERO}) GROUP BY 1) WHERE zeros >= 1) - 30) AS omitted FROM (SELECT source_id, arg_max(consecutive_zero_runs, run_day) AS zeros FROM ({_ZERO}) GROUP BY 1) WHERE zeros >= 1 ORDER BY zeros DESC, source_id LIMIT 30", "run_history")(lambda s, d: health.zero_run_report(views.run_history(s, d)))
 _corpus("w05_top_per_group", "SELECT uf, doc_id, rank FROM (SELECT uf, doc_id, row_number() OVER (PARTITION BY uf ORDER BY fetched_at DESC, doc_id) AS rank FROM corpus) WHERE rank <= 50", lambda c: health.top_per_group(c, "uf").select("uf", "doc_id", "rank"))
@@ -178,7 +178,7 @@ _corpus("f05_automaton", f"SELECT doc_id, array_to_string(list_sort(list_filter(
 _SCORE = f"""0.35::DOUBLE * least(len(f) * 50.0::DOUBLE / greatest(1, len(regexp_extract_all(titulo || ' ' || texto, '\\S+'))), 1.0::DOUBLE) + 0.35::DOUBLE * CASE WHEN trusted THEN 1.0::DOUBLE WHEN source_tipo IN ('sefaz', 'assembleia', 'doe') THEN 0.7::DOUBLE WHEN source_tipo = 'jurisprudencia' THEN 0.6::DOUBLE ELSE 0.4::DOUBLE END
 + 0.2::DOUBLE * CASE WHEN data_publicacao IS NULL THEN 0.6::DOUBLE ELSE greatest(0.3::DOUBLE, 1 - greatest(0, floor((epoch_us({AS_OF}) - epoch_us(data_publicacao)) / 86400000000)) / 30::DOUBLE) END + 0.1::DOUBLE * 0"""
 _both("f06_prescore", f"SELECT doc_id, round({_SCORE}, 9) AS score FROM ({_KWORG})", lambda c, s: filters.scored(filters.keyword_or_org(_items(c), s, KEYWORDS)).select("doc_id", F.round("score", 9).alias("score")))
-_both("f07_cutoff", f"SELECT count(*) AS n, count_if(round({_SCORE}, 9) >= 0.5) AS n_pass FROM ({_KWORG})", lambda c, s: filters.scored(filters.keyword_or_org(_items(c), s, KEYWORDS)).agg(F.count(F.lit(1)).alias("n"), F.count_if(filters.passes(F.round("score", 9), 0.5)).alias("n_pass")))
+_both("f07_cutoff", f"SELECT count(*) AS n, count_if(round({_SCORE}, 9) >= 0.5)::BIGINT AS n_pass FROM ({_KWORG})", lambda c, s: filters.scored(filters.keyword_or_org(_items(c), s, KEYWORDS)).agg(F.count(F.lit(1)).alias("n"), F.count_if(filters.passes(F.round("score", 9), 0.5)).alias("n_pass")))
 _corpus("f08_unseen", "SELECT doc_id FROM corpus WHERE doc_id % 2 = 1 AND content_hash NOT IN (SELECT content_hash FROM corpus WHERE doc_id % 2 = 0)", lambda c: filters.unseen(c.where("doc_id % 2 = 1"), c.where("doc_id % 2 = 0")).select("doc_id"))
 _corpus("f09_f11_routing", "SELECT doc_id, severity_tier, CASE severity_tier WHEN 'critico' THEN 'telegram' WHEN 'alta' THEN 'email|telegram' WHEN 'normal' THEN 'email|telegram' WHEN 'baixa' THEN 'email' ELSE '' END AS channels, CASE severity_tier WHEN 'critico' THEN 'immediate' WHEN 'alta' THEN 'daily' WHEN 'normal' THEN 'daily' WHEN 'baixa' THEN 'weekly' ELSE 'none' END AS period FROM corpus WHERE has_llm", lambda c: filters.routed(c.withColumn("severity_tier", filters.tier(F.col("relevancia")))).select("doc_id", "severity_tier", F.array_join("channels", "|").alias("channels"), "period"))
 _both("f10_tier_override", "SELECT doc_id, CASE WHEN keywords_bypass AND severity_tier = 'normal' THEN 'baixa' ELSE severity_tier END AS tier FROM corpus JOIN sources ON id = source_id", lambda c, s: c.join(s.select(F.col("id").alias("source_id"), "keywords_bypass"), "source_id").select("doc_id", filters.tier_override(F.col("severity_tier"), F.col("keywords_bypass")).alias("tier")))
@@ -313,7 +313,7 @@ def _batch(spark, d) -> intake.Batch:
 
 _corpus(
     "p01_a21_batch_funnel",
-    f"""SELECT * FROM (SELECT count(*) AS collected, count_if(f) AS keywords, count_if(f) AS prescore, count_if(f AND NOT old) AS new, count_if(f AND NOT old AND llm) AS classified, count_if(f AND NOT old AND NOT (llm AND r < 5)) AS stored, count_if(f AND NOT old AND llm AND r >= 5) AS notified FROM (
+    f"""SELECT * FROM (SELECT count(*) AS collected, count_if(f)::BIGINT AS keywords, count_if(f)::BIGINT AS prescore, count_if(f AND NOT old)::BIGINT AS new, count_if(f AND NOT old AND llm)::BIGINT AS classified, count_if(f AND NOT old AND NOT (llm AND r < 5))::BIGINT AS stored, count_if(f AND NOT old AND llm AND r >= 5)::BIGINT AS notified FROM (
     SELECT content_hash, bool_or(len({_FOUND.format("titulo || ' ' || texto", _lit(KEYWORDS))}) > 0) AS f, bool_or(doc_id % 4 = 0) AS old, bool_or(has_llm) AS llm, max(relevancia) AS r FROM corpus GROUP BY 1))""",
     lambda c: None,
 )
