@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import shutil
 import tempfile
 import uuid
 
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakewatch.session import ship_package
+
 #: Bytes of the smaller side up to which a join may be broadcast; beyond it the join is shuffled.
 BROADCAST_BYTES = 32 << 20
 #: Bytes of text that the vectorised scanners take at a time (a longer document is taken alone).
@@ -43,21 +43,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Python workers import this package from PYTHONPATH; where it isn't on it, they get a zip of it."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    sc = spark.sparkContext
-    if root in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_lakewatch_shipped", False):
-        return
-    zipped = shutil.make_archive(os.path.join(tempfile.mkdtemp(), "lakewatch"), "zip", root, "lakewatch")
-    sc.addPyFile(zipped)
-    sc._lakewatch_shipped = True
+def map_arrow(df: DataFrame, fn, schema, rows: int = 2_000) -> DataFrame:
+    """`mapInArrow` with the package at hand in the workers. `fn` takes and gives iterators of record batches; it gets at
+    most `rows` rows at a time, so that what it builds for them stays small."""
+    ship_package(df.sparkSession)
 
+    def run(batches):
+        return fn(b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
 
-def map_arrow(df: DataFrame, fn, schema: str) -> DataFrame:
-    """`mapInArrow` with the package at hand in the workers. `fn` takes and gives iterators of record batches."""
-    ship_package(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(run, schema)
 
 
 def sized_join(big: DataFrame, small: DataFrame, rows: int, row_bytes: int, on, how: str) -> DataFrame:
@@ -77,10 +71,10 @@ def texts(array: pa.Array) -> list[str]:
 
 
 def buffers(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets (one more than rows) of a binary column without nulls."""
+    """Bytes and offsets (one more than rows) of a binary or string column; nulls are empty."""
     if len(array) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    kind = np.int64 if pa.types.is_large_binary(array.type) else np.int32
+    kind = np.int64 if pa.types.is_large_binary(array.type) or pa.types.is_large_string(array.type) else np.int32
     _, offsets, data = array.buffers()
     at = np.frombuffer(offsets, kind)[array.offset : array.offset + len(array) + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None and at[-1] > at[0] else np.zeros(0, np.uint8)

@@ -113,11 +113,12 @@ def annotate(docs: DataFrame, model=None) -> DataFrame:
     langs, table, rates = model or train(docs)
     kept = docs.sparkSession.sparkContext.broadcast(table)
     columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    at_text = columns.index("text")
 
     def run(batches):
         table = kept.value
         for batch in batches:
-            data, offsets = buffers(batch.column(len(columns)))
+            data, offsets = buffers(batch.column(at_text))
             pred, scores = [], []
             for i, j in chunks(offsets):
                 at = offsets[i : j + 1] - offsets[i]
@@ -139,11 +140,11 @@ def annotate(docs: DataFrame, model=None) -> DataFrame:
                     else:
                         pred.append(langs[int(hits[:, d].argmax())])
                         scores.append(float(hits[:, d].max() / max(hits[:, d].sum(), 1e-9)))
-            yield pa.record_batch([*batch.columns[: len(columns)], pa.array(pred, pa.string()), pa.array(scores, pa.float64())], names=[*columns, "lang_pred", "score"])
+            yield pa.record_batch([*batch.columns, pa.array(pred, pa.string()), pa.array(scores, pa.float64())], names=[*columns, "lang_pred", "score"])
 
     own = docs.select(*columns)
     schema = own.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
-    return map_arrow(own.select("*", utf8().alias("__utf8")), run, schema)
+    return map_arrow(own, run, schema)
 
 
 def identify(docs: DataFrame, model=None) -> DataFrame:
