@@ -120,7 +120,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, s
 
 def _first_fit(capacity: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "start", "mark"], ascending=[False, True, True, True], ignore_index=True)
+        rows = rows.sort_values(["length", "doc_id", "start", "mark", "piece_id"], ascending=[False, True, True, True, True], ignore_index=True)
         room, bins, offsets = np.zeros(0, np.int64), [], []
         for n in rows.length:
             fit = np.flatnonzero(room >= n)
@@ -130,44 +130,42 @@ def _first_fit(capacity: int):
             bins.append(at)
             offsets.append(capacity - int(room[at]))
             room[at] -= n
-        return rows.assign(sequence_id=bins, offset=offsets).drop(columns="g")
+        return rows.assign(sequence_id=bins, offset=offsets)[["piece_id", "sequence_id", "offset"]]
 
     return run
 
 
 def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces with sequence_id and offset. `cut` is read several times: give it a materialised table."""
+    """Pieces (doc_id, start, length, mark, and a unique piece_id) with sequence_id and offset. `cut` is read several times:
+    give it a materialised table without the ids."""
     kind = F.expr(f"{capacity} div length")
     spread = F.pmod(F.xxhash64("doc_id", "start", "mark"), F.lit(RANGES))
-    p = cut.withColumn("class", kind).withColumn("range", spread)
+    p = cut.select("*", kind.alias("class"), spread.alias("range"))
     counts = p.groupBy("class", "range").agg(F.count(F.lit(1)).alias("n"))  # RANGES rows a class at most
     totals = counts.groupBy("class").agg(F.sum("n").alias("all")).withColumn("bins", F.expr("`all` div class"))
     upto = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("first_bin", F.coalesce(F.sum("bins").over(Window.orderBy("class").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     starts = counts.withColumn("first_rank", F.coalesce(F.sum("n").over(upto("class", "range")), F.lit(0))).drop("n").join(totals, "class")
-    in_range = Window.partitionBy("class", "range").orderBy("doc_id", "start", "mark")
+    in_range = Window.partitionBy("class", "range").orderBy("doc_id", "start", "mark", "piece_id")
     ranked = p.join(starts, ["class", "range"]).withColumn("rank", F.col("first_rank") + F.row_number().over(in_range) - 1)
     bin_ = F.expr("rank div class")
     ranked = ranked.withColumn("sequence_id", F.when(bin_ < F.col("bins"), F.col("first_bin") + bin_))
     ranked = materialize(ranked.select(*cut.columns, "rank", "sequence_id"), "packing-ranked")
     full = ranked.where("sequence_id IS NOT NULL")
     offset = F.coalesce(F.sum("length").over(upto("sequence_id", "rank")), F.lit(0))
-    full = full.withColumn("offset", offset).select(*cut.columns, "sequence_id", "offset")
-    rest = ranked.where("sequence_id IS NULL").select("doc_id", "start", "length", "mark").withColumn("g", F.lit(0))
+    placed = full.withColumn("offset", offset).select(*cut.columns, "sequence_id", "offset")
+    rest = ranked.where("sequence_id IS NULL").drop("rank", "sequence_id")
     base = full.agg(F.coalesce(F.max("sequence_id") + 1, F.lit(0)).alias("base"))
-    fitted = rest.groupBy("g").applyInPandas(_first_fit(capacity), "doc_id long, start long, length long, mark long, sequence_id long, offset long")
-    fitted = fitted.crossJoin(F.broadcast(base)).withColumn("sequence_id", F.col("sequence_id") + F.col("base")).drop("base")
-    return full, ranked.where("sequence_id IS NULL").drop("rank", "sequence_id"), fitted
+    few = rest.select("doc_id", "start", "length", "mark", "piece_id", F.lit(0).alias("g"))  # a few thousand pieces
+    fitted = few.groupBy("g").applyInPandas(_first_fit(capacity), "piece_id long, sequence_id long, offset long")
+    fitted = fitted.crossJoin(F.broadcast(base)).select("piece_id", (F.col("sequence_id") + F.col("base")).alias("sequence_id"), "offset")
+    return placed.unionByName(rest.join(F.broadcast(fitted), "piece_id").select(*placed.columns))
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, slack: int = SLACK, with_ids: bool = True) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and ids if asked for."""
-    cut = materialize(pieces(docs, path, capacity, slack, with_ids), "packing-pieces")
-    keys = ["doc_id", "start", "length", "mark"]
-    number = Window.partitionBy(*keys).orderBy("ids_crc32")
-    full, rest, fitted = assign(cut, capacity)
-    rest = rest.withColumn("copy", F.row_number().over(number))
-    fitted = fitted.withColumn("copy", F.row_number().over(Window.partitionBy(*keys).orderBy("sequence_id", "offset")))
-    same = [rest[k].eqNullSafe(fitted[k]) for k in [*keys, "copy"]]
-    left = rest.join(fitted, same).select(*[rest[c] for c in cut.columns], fitted["sequence_id"], fitted["offset"])
-    return full.unionByName(left).drop("mark")
+    cut = materialize(pieces(docs, path, capacity, slack, with_ids).withColumn("piece_id", F.monotonically_increasing_id()), "packing-pieces")
+    placed = assign(cut.drop("ids"), capacity)
+    if with_ids:
+        placed = placed.join(cut.select("piece_id", "ids"), "piece_id")
+    return placed.drop("mark", "piece_id")
