@@ -6,10 +6,10 @@ whether or not that one is removed itself. So the first of every group of alike
 
 1. One scan gives every line's place with a 128-bit key of its word sequence, and the tokens' counts in a table of fixed
    size (a hashed token's count orders it; any fixed order keeps the join exact). Lines with a key seen at an earlier
-   place go.
-2. A second scan sorts each line's tokens by rarity and gives its prefix of n - ceil(threshold * n) + 1 tokens; a
-   task gives a repeated line again only at an earlier place. A window over each token's list, in order of place, shows every line the first
-   `block` of the earlier ones. Length and positional filters, and a bound from 64-bit token signatures, leave candidates.
+   place go; within a task they are found at once, so of a line on every page only a row for each task is shuffled.
+2. A second scan sorts each line's tokens by rarity and gives its prefix of n - ceil(threshold * n) + 1 tokens, for the
+   first line of each key. Each token's list, in order of place, shows every line the list's
+   first `block` ones. Length and positional filters, and a bound from 64-bit token signatures, leave candidates.
 3. The candidates' lines are fetched and their Jaccard verified. Lines that found no match and have a longer list take the
    next, eight times larger block of it, until none is left: a dense list costs its length, not its square.
 
@@ -20,7 +20,7 @@ tables. All columns of `docs` are kept; n_chars, if there is one, follows the te
 
 from __future__ import annotations
 
-import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -31,9 +31,11 @@ from lakewatch.llm.common import buffers, chunks, map_arrow, materialize, mix64,
 
 THRESHOLD = 0.8
 #: Slots of the token-count table, its size whatever the input.
-SLOTS = 1 << 16
+SLOTS = 1 << 21
+#: Parts in which tasks hand over the table.
+PARTS = 32
 #: Earlier lines of a token's list that are looked at first.
-BLOCK = 8
+BLOCK = 256
 #: Lines whose earliest place a task remembers, to give repeated ones once; then it starts anew (which only costs rows).
 REMEMBERED = 1 << 20
 
@@ -67,27 +69,82 @@ def _keys(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray,
     return out[0], out[1]
 
 
+class _Firsts:
+    """The earliest place of each line that a task has seen."""
+
+    def __init__(self):
+        self.places: dict[int, int] = {}
+
+    def fresh(self, keys: np.ndarray, doc_ids: np.ndarray, lines: np.ndarray) -> np.ndarray:
+        """Whether each line stands at an earlier place than all of its kind so far."""
+        if len(self.places) > REMEMBERED:
+            self.places.clear()
+        out, places = np.zeros(len(keys), bool), self.places
+        for x, (key, d, k) in enumerate(zip(keys.tolist(), doc_ids.tolist(), lines.tolist())):
+            place = d << 32 | k
+            known = places.get(key)
+            if known is None or place < known:
+                places[key], out[x] = place, True
+            elif place == known:
+                out[x] = True
+        return out
+
+
 def _occurrences(docs: DataFrame) -> DataFrame:
-    """kind 0: key (k1, k2) and place of each line with words; kind 1: a task's token counts by slot."""
+    """kind 0: key (k1, k2) and place of each line that is the first of its kind in the task so far; kind 2: places of the
+    others, which have an earlier equal; kind 1: the task's numbers of tokens by slot, a part (k1) of the table a row."""
+    names = ["kind", "k1", "k2", "doc_id", "line", "counts"]
+
+    def rows(kind, k1, k2, doc_id, line):
+        return pa.record_batch([pa.array(np.full(len(k1), kind, np.int8)), pa.array(k1), pa.array(k2), pa.array(doc_id, pa.int64()), pa.array(line, pa.int32()), pa.nulls(len(k1), pa.binary())], names=names)
 
     def run(batches):
-        counts = np.zeros(SLOTS, np.int64)
+        counts, firsts = np.zeros(SLOTS, np.int64), _Firsts()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = buffers(batch.column(1))
+            slots = []
             for i, j in chunks(offsets):
                 at = offsets[i : j + 1]
                 hashes, doc, number, a, b = _lines(data[at[0] : at[-1]], at - at[0])
-                if not len(hashes):
-                    continue
-                counts += np.bincount((hashes >> np.uint64(48)).astype(np.int64), minlength=SLOTS)
-                k1, k2 = _keys(hashes, a, b)
-                n = len(a)
-                yield pa.record_batch([pa.array(np.zeros(n, np.int8)), pa.array(k1), pa.array(k2), pa.array(ids[i:j][doc]), pa.array(number), pa.nulls(n, pa.list_(pa.int64()))], names=["kind", "k1", "k2", "doc_id", "line", "counts"])
+                if len(hashes):
+                    slots.append(_slot(hashes))
+                    k1, k2 = _keys(hashes, a, b)
+                    own = ids[i:j][doc]
+                    new = firsts.fresh(k1, own, number)
+                    yield rows(0, k1[new], k2[new], own[new], number[new])
+                    none = np.zeros(int((~new).sum()), np.int64)
+                    yield rows(2, none, none, own[~new], number[~new])
+            if slots:
+                counts += np.bincount(np.concatenate(slots), minlength=SLOTS)
         if counts.any():
-            yield pa.record_batch([pa.array([1], pa.int8()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.array([counts.tolist()], pa.list_(pa.int64()))], names=["kind", "k1", "k2", "doc_id", "line", "counts"])
+            parts = [zlib.compress(c.astype("<u4").tobytes(), 1) for c in np.minimum(counts, 2**32 - 1).reshape(PARTS, -1)]
+            none = np.zeros(PARTS, np.int64)
+            yield pa.record_batch([pa.array(np.ones(PARTS, np.int8)), pa.array(np.arange(PARTS)), pa.array(none), pa.array(none), pa.array(none.astype(np.int32)), pa.array(parts, pa.binary())], names=names)
+
+    return map_arrow(docs, run, "kind byte, k1 long, k2 long, doc_id long, line int, counts binary")
+
+
+def _table(parts: DataFrame) -> np.ndarray:
+    """The count table from the tasks' parts (k1, counts): each part is summed by one task as its rows stream in."""
+
+    def run(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                more = np.frombuffer(zlib.decompress(raw), "<u4").astype(np.int64)
+                sums[k] = sums[k] + more if k in sums else more
+        yield pa.record_batch([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["k1", "counts"])
+
+    rows = map_arrow(parts.repartition(PARTS, "k1"), run, "k1 long, counts binary", rows=64).collect()  # PARTS rows, a table in all
+    table = np.zeros((PARTS, SLOTS // PARTS), np.int64)
+    for r in rows:
+        table[r.k1] = np.frombuffer(r.counts, np.int64)
+    return table.reshape(-1)
 
-    return map_arrow(docs, run, "kind byte, k1 long, k2 long, doc_id long, line int, counts array<long>")
+
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
 
 
 def _prefix(n: np.ndarray, threshold: float) -> np.ndarray:
@@ -95,11 +152,12 @@ def _prefix(n: np.ndarray, threshold: float) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
-    """(token, doc_id, line, n, i, sig): prefix tokens of each line; token holds its rarity in its leading bits."""
-    rarity = docs.sparkSession.sparkContext.broadcast(np.minimum(255, np.ceil(8 * np.log2(counts + 1))).astype(np.uint64))
+    """(token, doc_id, line, n, i, sig): the prefix tokens of the first line of each kind; a token holds its rarity in its
+    leading bits."""
+    rarity = docs.sparkSession.sparkContext.broadcast(np.minimum(255, np.ceil(8 * np.log2(counts + 1))).astype(np.uint8))
 
     def run(batches):
-        rank, seen = rarity.value, {}
+        rank, firsts = rarity.value, _Firsts()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = buffers(batch.column(1))
@@ -108,54 +166,113 @@ def _postings(docs: DataFrame, counts: np.ndarray, threshold: float) -> DataFram
                 hashes, doc, number, a, b = _lines(data[at[0] : at[-1]], at - at[0])
                 if not len(hashes):
                     continue
-                k1, _ = _keys(hashes, a, b)
-                if len(seen) > REMEMBERED:
-                    seen.clear()
-                fresh = np.zeros(len(a), bool)
-                for x, (key, d, k) in enumerate(zip(k1.tolist(), ids[i:j][doc].tolist(), number.tolist())):
-                    place = d << 32 | k
-                    if place < seen.get(key, place + 1):
-                        seen[key], fresh[x] = place, True
+                k1, k2 = _keys(hashes, a, b)
+                fresh = firsts.fresh(k1, ids[i:j][doc], number)
                 word = np.repeat(fresh, b - a)
                 if not word.any():
                     continue
                 own, h = np.repeat(np.arange(len(a)), b - a)[word], hashes[word]
-                token = (rank[(h >> np.uint64(48)).astype(np.int64)] << np.uint64(55)) | (mix64(h) >> np.uint64(9))
+                token = (rank[_slot(h)].astype(np.uint64) << np.uint64(55)) | (mix64(h) >> np.uint64(9))
                 order = np.lexsort((token, own))
                 own, token = own[order], token[order]
                 once = np.concatenate([[True], (own[1:] != own[:-1]) | (token[1:] != token[:-1])])
                 own, token = own[once], token[once]
                 a, b = _runs(own)
-                n = b - a
-                sig = np.bitwise_or.reduceat(np.uint64(1) << (token & np.uint64(63)), a)
-                place = np.arange(len(own)) - np.repeat(a, n)
-                keep = place < np.repeat(_prefix(n, threshold), n)
-                of = np.repeat(np.arange(len(a)), n)[keep]
-                rows = own[a][of]
-                yield pa.record_batch([pa.array(token[keep].view(np.int64)), pa.array(ids[i:j][doc[rows]]), pa.array(number[rows]), pa.array(n[of].astype(np.int32)), pa.array(place[keep].astype(np.int32)), pa.array(sig[of].view(np.int64))], names=["token", "doc_id", "line", "n", "i", "sig"])
+                n, rows = b - a, own[a]
+                sig = np.bitwise_xor.reduceat(np.uint64(1) << (token & np.uint64(63)), a)
+                taken = _prefix(n, threshold)
+                keep = np.arange(len(own)) - np.repeat(a, n) < np.repeat(taken, n)
+                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(taken)]).astype(np.int32)), pa.array(token[keep].view(np.int64)))
+                yield pa.record_batch([pa.array(k1[rows]), pa.array(k2[rows]), pa.array(ids[i:j][doc[rows]]), pa.array(number[rows]), pa.array(n.astype(np.int32)), pa.array(sig.view(np.int64)), tokens], names=["k1", "k2", "doc_id", "line", "n", "sig", "tokens"])
+
+    rows = map_arrow(docs, run, "k1 long, k2 long, doc_id long, line int, n int, sig long, tokens array<long>")
+    kind = Window.partitionBy("k1", "k2").orderBy("doc_id", "line")  # a row for each task that has the line
+    first = rows.withColumn("rank", F.row_number().over(kind)).where("rank = 1")
+    return first.select(F.posexplode("tokens").alias("i", "token"), "doc_id", "line", "n", "sig").select("token", "doc_id", "line", "n", "i", "sig")
+
 
-    return map_arrow(docs, run, "token long, doc_id long, line int, n int, i int, sig long")
+def _first_blocks(postings: DataFrame, threshold: float, block: int) -> DataFrame:
+    """Over each token's list in order of place: kind 0, a line and those of the list's first `block` lines that it may
+    match, the most alike first, `far` bits from it; kind 1, the rows from rank `block` (counted from 0) on. Lists stream through; only their first rows are held."""
+    names = ("token", "doc_id", "line", "n", "i", "sig")
+
+    def run(batches):
+        held = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32, np.int32, np.int64)]
+        before = 0  # rows of the open list that have passed
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
+            k = len(held[0]) if before and held[0][0] == new[0][0] else 0
+            cols = [np.concatenate([h[:k], x]) for h, x in zip(held, new)]
+            token, doc_id, line, n, i, sig = cols
+            idx = np.arange(len(token))
+            head = np.concatenate([[True], token[1:] != token[:-1]])
+            start = np.maximum.accumulate(np.where(head, idx, 0))
+            rank = idx - start + np.where(start == 0, before - k, 0) if k else idx - start
+            own, other, far, x = [idx[:0]], [idx[:0]], [idx[:0]], idx[k:]
+            for j in range(block):
+                x = x[rank[x] > j]
+                if not len(x):
+                    break
+                t = start[x] + j
+                total = n[x] + n[t]
+                need = np.ceil(total * (threshold / (1 + threshold)) - 1e-9)
+                apart = np.bitwise_count((sig[x] ^ sig[t]).view(np.uint64)).astype(np.int64)
+                ok = apart <= total - 2 * need
+                a, b, need, apart = x[ok], t[ok], need[ok], apart[ok]
+                ok = (np.minimum(n[a] - i[a], n[b] - i[b]) >= need) & (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-9)
+                ok &= (doc_id[b] != doc_id[a]) | (line[b] != line[a])
+                own.append(a[ok])
+                other.append(b[ok])
+                far.append(apart[ok])
+            own, other, far = np.concatenate(own), np.concatenate(other), np.concatenate(far)
+            order = np.lexsort((far, own))  # a line's candidates of this list in one row, the most alike first
+            own, other, far = own[order], other[order], far[order]
+            a, b = _runs(own) if len(own) else (own, own)
+            long = np.flatnonzero((rank >= block) & (idx >= k))
+            at = np.concatenate([own[a], long])
+            ends = np.concatenate([[0], b, np.full(len(long), len(own))]).astype(np.int32)
+            found = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(doc_id[other]), pa.array(line[other])], names=["t_doc_id", "t_line"]))
+            out = {"kind": pa.array(np.repeat(np.array([0, 1], np.int8), [len(a), len(long)])), "rank": pa.array(rank[at].astype(np.int64))} | {c: pa.array(v[at]) for c, v in zip(names, cols)}
+            out |= {"far": pa.array(np.concatenate([far[a], np.zeros(len(long), np.int64)])), "found": found}
+            if len(at):
+                yield pa.record_batch(list(out.values()), names=list(out))
+            last = int(start[-1])
+            before = int(rank[-1]) + 1
+            held = [c[last : last + block].copy() for c in cols]
+
+    ordered = postings.repartition("token").sortWithinPartitions("token", "doc_id", "line")
+    return map_arrow(ordered, run, "kind byte, rank long, token long, doc_id long, line int, n int, i int, sig long, far long, found array<struct<t_doc_id: long, t_line: int>>", rows=1 << 16)
 
 
 def _token_sets(wanted: DataFrame) -> DataFrame:
-    """(doc_id, text, lines) -> (doc_id, line, tokens) of the lines that are wanted."""
+    """(doc_id, line, text) with one line's text -> (doc_id, line, tokens, sig): the set of its words' hashes, and a signature of 256
+    bits with one flipped for each."""
 
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            data, offsets = buffers(batch.column(1))
-            lines = batch.column(2).to_pylist()
+            data, offsets = buffers(batch.column(2))
+            own, token = [], []
             for i, j in chunks(offsets):
                 at = offsets[i : j + 1]
-                hashes, doc, number, a, b = _lines(data[at[0] : at[-1]], at - at[0])
-                if not len(hashes):
-                    continue
-                asked = [set(x) for x in lines[i:j]]
-                rows = [k for k, (d, x) in enumerate(zip(doc.tolist(), number.tolist())) if x in asked[d]]
-                sets = [np.unique(hashes[a[k] : b[k]]).view(np.int64) for k in rows]
-                yield pa.record_batch([pa.array(ids[i:j][doc[rows]], pa.int64()), pa.array(number[rows], pa.int32()), pa.array([x.tolist() for x in sets], pa.list_(pa.int64()))], names=["doc_id", "line", "tokens"])
-
-    return map_arrow(wanted, run, "doc_id long, line int, tokens array<long>")
+                hashes, doc, _, a, b = _lines(data[at[0] : at[-1]], at - at[0])
+                row = np.repeat(doc + i, b - a)
+                order = np.lexsort((hashes, row))
+                row, h = row[order], hashes[order]
+                once = np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])])[: len(row)]
+                own.append(row[once])
+                token.append(h[once])
+            sizes = np.bincount(np.concatenate(own), minlength=batch.num_rows) if own else np.zeros(batch.num_rows, np.int64)
+            values = np.concatenate(token).view(np.int64) if token else np.zeros(0, np.int64)
+            sig, bit = np.zeros((batch.num_rows, 4), np.uint64), values.view(np.uint64)
+            where = np.repeat(np.arange(batch.num_rows), sizes)
+            np.bitwise_xor.at(sig, (where, ((bit >> np.uint64(6)) & np.uint64(3)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
+            sigs = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * batch.num_rows + 1, 4, dtype=np.int32)), pa.array(sig.reshape(-1).view(np.int64)))
+            yield pa.record_batch([batch.column(0), batch.column(1), tokens, sigs], names=["doc_id", "line", "tokens", "sig"])
+
+    return map_arrow(wanted, run, "doc_id long, line int, tokens array<long>, sig array<long>", rows=1 << 14)
 
 
 def _may_match(s, t, threshold: float):
@@ -168,54 +285,70 @@ def _may_match(s, t, threshold: float):
     return earlier & (F.least(c(s, "n"), c(t, "n")) >= F.greatest(c(s, "n"), c(t, "n")) * threshold - 1e-9) & (most >= need) & (apart <= c(s, "n") + c(t, "n") - 2 * need)
 
 
-def _verified(docs: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id, line) of the candidates (doc_id, line, t_doc_id, t_line) whose Jaccard reaches the threshold."""
-    candidates = materialize(candidates.distinct(), "line-candidates")
-    ends = candidates.select("doc_id", "line").unionByName(candidates.select(F.col("t_doc_id").alias("doc_id"), F.col("t_line").alias("line")))
+def _without(pairs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Pairs without those of a repeated line: it goes anyway, and the first of its kind stands for it."""
+    place = [F.col("doc_id").alias("t_doc_id"), F.col("line").alias("t_line")]
+    return pairs.join(repeated, ["doc_id", "line"], "left_anti").join(repeated.select(*place), ["t_doc_id", "t_line"], "left_anti").select("doc_id", "line", "t_doc_id", "t_line")
+
+
+def _alike(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, line) of the pairs (doc_id, line, t_doc_id, t_line) whose Jaccard reaches the threshold, from the lines'
+    texts. Signatures of 256 bits bound the overlap first, so that few pairs carry their token sets."""
+    pairs = materialize(pairs, "line-pairs")
+    ends = pairs.select("doc_id", "line").unionByName(pairs.select(F.col("t_doc_id").alias("doc_id"), F.col("t_line").alias("line")))
     asked = materialize(ends.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "line-asked")
     size = asked.agg(F.count(F.lit(1)), F.sum(F.size("lines"))).first()
     wanted = sized_join(docs, asked, size[0], 48 + 8 * ((size[1] or 0) // max(1, size[0])), "doc_id", "inner")
-    sets = materialize(_token_sets(wanted.select("doc_id", "text", "lines")), "line-sets")
-    other = sets.select(F.col("doc_id").alias("t_doc_id"), F.col("line").alias("t_line"), F.col("tokens").alias("t_tokens"))
-    both = candidates.join(sets, ["doc_id", "line"]).join(other, ["t_doc_id", "t_line"])
-    need = F.ceil((F.size("tokens") + F.size("t_tokens")) * F.lit(threshold / (1 + threshold)) - 1e-9)
-    return both.where(F.size(F.array_intersect("tokens", "t_tokens")) >= need).select("doc_id", "line").distinct()
+    parts = F.split(F.col("text").cast("string"), "\n")
+    own = F.element_at(F.transform(F.array(parts), lambda p: F.transform("lines", lambda k: F.struct(k.alias("line"), F.get(p, k).cast("binary").alias("text")))), 1)
+    sets = materialize(_token_sets(wanted.select("doc_id", F.inline(own))), "line-sets")
+    need = lambda a, b: F.ceil((a + b) * F.lit(threshold / (1 + threshold)) - 1e-9)
+    short = sets.select("doc_id", "line", F.size("tokens").alias("n"), "sig")
+    other = short.select(F.col("doc_id").alias("t_doc_id"), F.col("line").alias("t_line"), F.col("n").alias("t_n"), F.col("sig").alias("t_sig"))
+    apart = F.aggregate(F.zip_with("sig", "t_sig", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
+    near = pairs.join(short, ["doc_id", "line"]).join(other, ["t_doc_id", "t_line"]).where(apart <= F.col("n") + F.col("t_n") - 2 * need(F.col("n"), F.col("t_n"))).select("doc_id", "line", "t_doc_id", "t_line")
+    t = sets.select(F.col("doc_id").alias("t_doc_id"), F.col("line").alias("t_line"), F.col("tokens").alias("t_tokens"))
+    both = near.join(t, ["t_doc_id", "t_line"]).join(sets.drop("sig"), ["doc_id", "line"])
+    return both.where(F.size(F.array_intersect("tokens", "t_tokens")) >= need(F.size("tokens"), F.size("t_tokens"))).select("doc_id", "line").distinct()
+
+
+def _verified(docs: DataFrame, found: DataFrame, repeated: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, line) of the lines of `found` (doc_id, line, far, found) that one of their candidates matches. Each line's
+    most alike candidate is verified first; only lines that it doesn't settle have all of theirs verified, so a dense group
+    costs its lines, not its pairs."""
+    found = found.join(repeated, ["doc_id", "line"], "left_anti")
+    best = found.groupBy("doc_id", "line").agg(F.min_by(F.col("found")[0], F.struct("far", F.col("found")[0])).alias("t")).select("doc_id", "line", "t.*")
+    first = materialize(_alike(docs, _without(best, repeated), threshold), "line-near")
+    rest = found.join(first, ["doc_id", "line"], "left_anti").select("doc_id", "line", F.inline("found")).distinct()
+    return first.unionByName(_alike(docs, _without(rest, repeated), threshold)).distinct()
 
 
 def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
     """(doc_id, line): places of the lines that go, line numbers from 0."""
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
     seen = materialize(_occurrences(docs), "line-occurrences")
-    counts = np.zeros(SLOTS, np.int64)
-    for slot, n in seen.where("kind = 1").select(F.posexplode("counts").alias("slot", "n")).groupBy("slot").agg(F.sum("n").alias("n")).collect():  # SLOTS rows at most
-        counts[slot] = n
-    lines = seen.where("kind = 0").select("k1", "k2", F.struct("doc_id", "line").alias("place"))
-    again = lines.groupBy("k1", "k2").agg(F.min("place").alias("least"), F.max("place").alias("last")).where("least < last").drop("last")
-    repeated = lines.join(again, ["k1", "k2"]).where("place > least").select("place.doc_id", "place.line")
+    counts = _table(seen.where("kind = 1").select("k1", "counts"))
+    firsts = seen.where("kind = 0").select("k1", "k2", "doc_id", "line")
+    place = Window.partitionBy("k1", "k2").orderBy("doc_id", "line")  # a row for each task that has the line, and few more
+    repeated = firsts.withColumn("rank", F.rank().over(place)).where("rank > 1").select("doc_id", "line").unionByName(seen.where("kind = 2").select("doc_id", "line"))
     gone = [materialize(repeated, "line-repeated")]
 
-    in_list = Window.partitionBy("token").orderBy("doc_id", "line")
-    row = F.struct("doc_id", "line", "n", "i", "sig")
-    ranked = _postings(docs, counts, threshold).withColumn("rank", F.row_number().over(in_list))
-    ranked = ranked.select("*", *[F.nth_value(row, k + 1).over(in_list.rowsBetween(Window.unboundedPreceding, -1)).alias(f"t{k}") for k in range(block)]).where("rank > 1")
-    found = [F.when(F.col(f"t{k}").isNotNull() & _may_match("", f"t{k}.", threshold), F.struct(F.col(f"t{k}.doc_id").alias("t_doc_id"), F.col(f"t{k}.line").alias("t_line"))) for k in range(block)]
-    ranked = ranked.select("token", "rank", "doc_id", "line", "n", "i", "sig", F.array_compact(F.array(*found)).alias("found")).where((F.size("found") > 0) | (F.col("rank") > block))
-    ranked = materialize(ranked, "line-ranked")
-    gone.append(materialize(_verified(docs, ranked.select("doc_id", "line", F.inline("found")), threshold), "line-near"))
+    blocks = materialize(_first_blocks(_postings(docs, counts, threshold), threshold, block), "line-blocks")
+    gone.append(materialize(_verified(docs, blocks.where("kind = 0").select("doc_id", "line", "far", "found"), gone[0], threshold), "line-near"))
 
-    done, long, size = block, ranked.where(F.col("rank") > block).drop("found"), block
+    done, long, size = block, blocks.where("kind = 1").select("token", "rank", "doc_id", "line", "n", "i", "sig"), block
     while True:
         size *= 8
-        left = long.where(F.col("rank") > done + 1)
+        left = long.where(F.col("rank") > done)
         for g in gone:
             left = left.join(g, ["doc_id", "line"], "left_anti")
         left = materialize(left, "line-left")
         if left.isEmpty():
             break
         names = ("rank", "doc_id", "line", "n", "i", "sig")
-        earlier = long.where((F.col("rank") > done) & (F.col("rank") <= done + size)).select("token", *[F.col(c).alias(f"t_{c}") for c in names])
+        earlier = long.where((F.col("rank") >= done) & (F.col("rank") < done + size)).select("token", *[F.col(c).alias(f"t_{c}") for c in names])
         pairs = left.join(earlier, "token").where((F.col("t_rank") < F.col("rank")) & _may_match("", "t_", threshold))
-        gone.append(materialize(_verified(docs, pairs.select("doc_id", "line", "t_doc_id", "t_line"), threshold), "line-near"))
+        gone.append(materialize(_alike(docs, _without(pairs.select("doc_id", "line", "t_doc_id", "t_line").distinct(), gone[0]), threshold), "line-near"))
         done += size
     out = gone[0]
     for g in gone[1:]:

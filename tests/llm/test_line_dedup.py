@@ -40,7 +40,7 @@ def corpus(seed, docs=60):
 
 
 def test_removed_lines_equal_brute_force(spark):
-    for seed, block in ((1, 8), (2, 1), (3, 2)):
+    for seed, block in ((1, 256), (2, 1), (3, 3)):
         rows = corpus(seed)
         df = spark.createDataFrame([(d, t, None, "x", "y") for d, t in rows], SCHEMA).repartition(5)
         got = {tuple(r) for r in line_dedup.removed_lines(df, block=block).collect()}
