@@ -15,7 +15,7 @@ from lakewatch.session import ship_package
 #: Bytes of the smaller side up to which a join may be broadcast; beyond it the join is shuffled.
 BROADCAST_BYTES = 32 << 20
 #: Bytes of text that the vectorised scanners take at a time (a longer document is taken alone).
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 #: The word separators of every contract: space and 0x09 to 0x0D.
 SEPARATORS = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"

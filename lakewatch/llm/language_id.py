@@ -75,7 +75,7 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
         for batch in batches:
             langs = np.array(batch.column(0).to_pylist(), object)
             data, offsets = buffers(batch.column(1))
-            for i, j in chunks(offsets, 8 << 20):
+            for i, j in chunks(offsets, 2 << 20):
                 at = offsets[i : j + 1]
                 grams, upto = _ngrams(data[at[0] : at[-1]], at - at[0])
                 names, own = np.unique(langs[i:j].astype(str), return_inverse=True)

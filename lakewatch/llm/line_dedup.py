@@ -37,7 +37,7 @@ PARTS = 32
 #: Earlier lines of a token's list that are looked at first.
 BLOCK = 256
 #: Lines whose earliest place a task remembers, to give repeated ones once; then it starts anew (which only costs rows).
-REMEMBERED = 1 << 20
+REMEMBERED = 1 << 18
 
 
 def _lines(data: np.ndarray, offsets: np.ndarray):
