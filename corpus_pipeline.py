@@ -30,8 +30,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the training sequences and their places in them; packing.pack also gives their token ids."""
-    return packing.pack(docs, with_ids=False)
+    """The pieces of the training sequences, their places in them and their token ids."""
+    return packing.pack(docs)
 
 
 STAGES = [

@@ -34,3 +34,11 @@ def test_each_stage_on_its_own_input(spark):
 def test_run_survives_an_empty_table(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_the_last_stage_returns_the_token_ids(spark):
+    rows = [(1, "a b c"), (2, "w " * 3000), (3, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    packed = dict(corpus_pipeline.STAGES)["harmonic_packing"](spark, docs, SF)
+    assert dict(packed.dtypes)["ids"] == "array<int>"
+    check(packed.collect(), dict(rows))
