@@ -1,7 +1,8 @@
 """Personal data: fixed patterns, and spans of a character-level bidirectional LSTM with CRF transitions.
 
-The model reads overlapping windows: the text is laid in cells of half a window, and every cell with a digit or an at sign
-(all kinds have one; a cell before and after is read too) is covered twice. Each window is decoded by Viterbi; spans of one
+The model reads overlapping windows: the text is laid in cells of half a window, and every cell with a digit, an at sign
+or a written one, (at) or [at], is covered twice (all kinds that pass the exact check have one of these; a cell before and
+after is read too). Each window is decoded by Viterbi; spans of one
 kind that overlap or meet in two windows' common part are one span; of overlapping spans of different kinds those with the
 greatest total lead are kept over the whole text (weighted interval scheduling). An exact check follows: a card has 13 to 19
 digits and passes Luhn, a phone has 7 to 15, an address has its parts. What overlaps a fixed span isn't added.
@@ -31,7 +32,7 @@ _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]+")
+_TRIGGER = re.compile(r"[0-9@]+|[(\[]at[)\]]")
 _DIGITS = re.compile(r"[0-9]+")
 
 

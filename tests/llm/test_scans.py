@@ -123,3 +123,11 @@ def test_features_do_not_depend_on_neighbours():
     together = quality_gam.measures(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
     for i, t in enumerate(texts):
         assert np.allclose(quality_gam.measures(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0], together[i])
+
+
+def test_written_at_signs_in_texts_without_digits(spark):
+    far = "nothing to see in these words " * 10
+    values = ("jane (at) example.org", "bo.li [at] mail.test.com", "marta (at) sefaz.net")
+    rows = [(k, f"{far}write to {v} or not {far}") for k, v in enumerate(values)]
+    found = {r.doc_id: [(s.kind, s.value) for s in r.found] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {k: [("email", v)] for k, v in enumerate(values)}
