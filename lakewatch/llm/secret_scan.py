@@ -1,6 +1,6 @@
 """Secret scans: fixed patterns, and values in credential contexts by their guess cost.
 
-A value that follows a credential word is split into dictionary words, dates, repeats, keyboard walks and brute-force
+Every value that follows a credential word is split into dictionary words, dates, repeats, keyboard walks and brute-force
 spans so that the product of their guesses is least (dynamic programming over log10 guesses); from `least_guesses` on it
 is reported as a span of kind `guess`. Everything is per text, in one pass, without a shuffle.
 
@@ -10,6 +10,8 @@ Offsets are code points, ends exclusive. Other columns are ignored.
 
 from __future__ import annotations
 
+import base64
+import functools
 import math
 import re
 
@@ -20,8 +22,8 @@ from pyspark.sql import functions as F
 from lakewatch.llm.common import map_arrow, texts, utf8
 
 KINDS = ("assign", "access", "hex", "guess")
-#: log10 of the guesses that make a value in a credential context a secret, and its least length.
-LEAST_GUESSES, LEAST_LENGTH = 10.0, 8
+#: log10 of the guesses that make a value in a credential context a secret.
+LEAST_GUESSES = 10.0
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -39,8 +41,6 @@ _WORDS = (
     "account company office love money angel star tiger eagle falcon silver golden purple orange yellow green black white red blue "
     "one two three four five six seven eight nine ten the and for you this that with from your have not are was all can has"
 ).split()
-_RANK = {w: i + 1 for i, w in enumerate(_WORDS)}
-_LONGEST = max(map(len, _WORDS))
 _LEET = str.maketrans("4301$@57", "aeolsast")
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _BESIDE = {a + b for row in _ROWS for a, b in zip(row, row[1:])} | {a + b for x, y in zip(_ROWS, _ROWS[1:]) for i, b in enumerate(y) for a in x[i : i + 2]}
@@ -48,6 +48,20 @@ _BESIDE |= {p[::-1] for p in _BESIDE}
 _DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:(?:19|20)\d\d|\d\d)|(?:19|20)\d\d")
 
 
+@functools.lru_cache(maxsize=1)
+def _ranks() -> tuple[dict[str, int], int]:
+    """Each word's number of guesses, and the longest word's length: the words of passwords, then the whole words of 4 letters
+    or more of a byte-level BPE vocabulary in its order, commonest first, so that prose costs little."""
+    import public_tokenizers
+
+    words = dict.fromkeys(_WORDS)
+    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
+        for token in (base64.b64decode(line.split()[0]) for line in lines):
+            if len(token) >= 5 and token[:1] == b" " and token[1:].isalpha():
+                words.setdefault(token[1:].decode("ascii").lower())
+    return {w: i + 1 for i, w in enumerate(words)}, max(map(len, words))
+
+
 def _alphabet(value: str) -> float:
     """log10 of the characters that a brute-force search over the value's kinds of characters tries at each place."""
     kinds = ((r"[a-z]", 26), (r"[A-Z]", 26), (r"[0-9]", 10), (r"[^A-Za-z0-9]", 33))
@@ -57,12 +71,13 @@ def _alphabet(value: str) -> float:
 def _segments(value: str):
     """(start, end, log10 guesses) of the spans that are cheaper than brute force may be."""
     low, n = value.lower(), len(value)
+    rank, longest = _ranks()
     plain = low.translate(_LEET)
     for i in range(n):
-        for j in range(i + 3, min(n, i + _LONGEST) + 1):
+        for j in range(i + 3, min(n, i + longest) + 1):
             for form, extra in ((low, 0.0), (plain, 0.3)):
-                if form[i:j] in _RANK:
-                    yield i, j, math.log10(_RANK[form[i:j]]) + extra * (low[i:j] != plain[i:j]) + 0.3 * (value[i:j] != low[i:j])
+                if form[i:j] in rank:
+                    yield i, j, math.log10(rank[form[i:j]]) + extra * (low[i:j] != plain[i:j]) + 0.3 * (value[i:j] != low[i:j])
     for m in _DATE.finditer(value):
         yield m.start(), m.end(), math.log10(365 * 119 if m.end() - m.start() > 4 else 119)
     for period in range(1, 9):
@@ -108,7 +123,7 @@ def scan(text: str, least_guesses: float = LEAST_GUESSES) -> tuple[list[tuple[st
     most = 0.0
     for m in _CONTEXT.finditer(text):
         value = m[1].rstrip(".,;:!?)]}")
-        if len(value) >= LEAST_LENGTH and re.search(r"[0-9]", value):
+        if value:
             cost = guesses(value)
             most = max(most, cost)
             if cost >= least_guesses:

@@ -131,3 +131,11 @@ def test_written_at_signs_in_texts_without_digits(spark):
     rows = [(k, f"{far}write to {v} or not {far}") for k, v in enumerate(values)]
     found = {r.doc_id: [(s.kind, s.value) for s in r.found] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {k: [("email", v)] for k, v in enumerate(values)}
+
+
+def test_guess_cost_decides_for_every_value():
+    guessed = lambda text: [text[a:b] for k, a, b in secret_scan.scan(text)[0] if k == "guess"]
+    assert guessed('password="xK#vQ!pLmZrT@w"') == ["xK#vQ!pLmZrT@w"]  # no digit
+    assert guessed("pwd = aB3$xY and secret: qZ!m#Tv") == ["aB3$xY", "qZ!m#Tv"]  # 6 and 7 characters
+    prose = ("the secret is everything you keep", "password: required", "Authorization: confidential", "the token is not-found", "a secret is something", "the password is management/security")
+    assert [guessed(t) for t in prose] == [[]] * len(prose)
