@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,18 +24,25 @@ def verify(log: DataFrame) -> DataFrame:
 
 def append(entries: DataFrame, last: DataFrame) -> DataFrame:
     """entries(owner_id, entry_id, timestamp, action, payload) chained after each owner's `last` (owner_id, last_hash).
-    A chain is sequential by nature: an owner's new entries are linked in one task, owners in parallel."""
+    A chain is sequential by nature: an owner's new entries are linked in one task, owners in parallel. The
+    task reads its owners' sorted entries as a stream and holds the last hash and a batch, not an owner's whole log."""
     rows = entries.join(last, "owner_id", "left").select("owner_id", "entry_id", "timestamp", "action", "payload", F.coalesce("last_hash", F.lit(GENESIS)).alias("last_hash"), canonical(F.lit("@")).alias("form"))
 
-    def chain(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["timestamp", "entry_id"])
-        prev, out = f.last_hash.iloc[0] if len(f) else GENESIS, []
-        for form in f.form:
-            out.append(prev)
-            prev = hashlib.sha256(form.replace('"prev_hash":"@"', f'"prev_hash":"{prev}"').encode()).hexdigest()
-        return f.assign(prev_hash=out)[["owner_id", "entry_id", "timestamp", "action", "payload", "prev_hash"]]
-
-    return rows.groupBy("owner_id").applyInPandas(chain, "owner_id string, entry_id long, timestamp timestamp, action string, payload string, prev_hash string")
+    names = ["owner_id", "entry_id", "timestamp", "action", "payload"]
+
+    def chain(batches):
+        owner, prev = object(), GENESIS
+        for batch in batches:
+            out = []
+            for own, last_hash, form in zip(*(batch.column(c).to_pylist() for c in ("owner_id", "last_hash", "form"))):
+                if own != owner:
+                    owner, prev = own, last_hash
+                out.append(prev)
+                prev = hashlib.sha256(form.replace('"prev_hash":"@"', f'"prev_hash":"{prev}"').encode()).hexdigest()
+            yield pa.record_batch([*(batch.column(c) for c in names), pa.array(out, pa.string())], names=[*names, "prev_hash"])
+
+    streams = rows.repartition("owner_id").sortWithinPartitions("owner_id", "timestamp", "entry_id")
+    return streams.mapInArrow(chain, "owner_id string, entry_id long, timestamp timestamp, action string, payload string, prev_hash string")
 
 
 def admission_bound(requests: DataFrame, limit: int = 10, seconds: int = 60) -> DataFrame:

@@ -136,3 +136,17 @@ def test_batch_keeps_pending_documents(spark):
     assert b.stored.where("status = 'pending'").count() > 0 and b.stored.where("severity_tier = 'descartado'").count() == 0
     assert intake.dispatch_split(b.stored.where("severity_tier IS NOT NULL")).count() == b.dispatch.count()
     assert health.zero_run_report(entries.views.run_history(spark, SMALL)).count() > 0
+
+
+def test_audit_chain_is_streamed(spark):
+    log = spark.range(500).selectExpr("concat('o', id % 3) AS owner_id", "id AS entry_id", "timestamp_seconds((id * 7) % 90) AS timestamp", "'view' AS action", "'p' AS payload")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20")  # owners go over batches
+    try:
+        chain = audit.append(log, spark.createDataFrame([("o1", "f" * 64)], "owner_id string, last_hash string"))
+        assert "PandasGroup" not in (plan := chain._jdf.queryExecution().toString()) and "InPandas" not in plan  # no owner's log is held whole
+        checked = {(r.owner_id, r.entry_id): r for r in audit.verify(chain).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    broken = [(k, r.prev_hash) for k, r in checked.items() if not r.valid]
+    assert len(checked) == 500 and len(broken) == 1 and broken[0][0][0] == "o1" and broken[0][1] == "f" * 64  # its first goes on from the last hash
