@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakewatch.functions.detect import act
 from lakewatch.functions.text import compare_form
 from lakewatch.operators.search import title_ratio
+from lakewatch.session import shared_dir
 
 FUZZY = 0.85
+#: Slots of the table of token counts; titles of a list that are compared as one group.
+SLOTS, PIECE = 1 << 16, 4096
 
 
 def cluster_key(title: str = "titulo", url: str = "url", uf: str | None = None) -> Column:
@@ -28,31 +35,124 @@ def duplicate_flags(items: DataFrame, stored: DataFrame) -> DataFrame:
     return i.join(h, "content_hash", "left").join(k, "cluster_key", "left").withColumn("same_hash", F.coalesce("same_hash", no)).withColumn("same_key", F.coalesce("same_key", no))
 
 
-def _shingle_blocks(titles: DataFrame) -> DataFrame:
-    """(item, block): an item meets another in a block only if their titles may reach the ratio.
-
-    A ratio of 0.85 leaves 0.15 (a + b) characters unmatched, in few runs; titles are blocked by the rarest of their words,
-    as many as may be missed plus one."""
-    words = titles.select("item", F.explode(F.array_distinct(F.split("norm", " "))).alias("word"))
-    df = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    ranked = words.join(df, "word").withColumn("r", F.row_number().over(Window.partitionBy("item").orderBy("df", "word")))
-    n = Window.partitionBy("item")
-    return ranked.withColumn("n", F.count(F.lit(1)).over(n)).where(F.col("r") <= F.ceil(0.5 * F.col("n")) + 1).select("item", F.col("word").alias("block"), "df")
-
-
-def similar_pairs(items: DataFrame, least: float = FUZZY, most_block: int = 1_000) -> DataFrame:
-    """(a, b) of items (item, titulo), a < b, whose titles' ratio reaches `least` and that share one of their rarer words.
-    Words in more than `most_block` titles don't block by themselves: they do together with the titles' first 8 characters."""
+def _tokens(title: str) -> np.ndarray:
+    """Hashes of a title's characters, the n-th of a kind told from the others: what two titles share of them bounds the
+    characters that any alignment matches."""
+    points = np.frombuffer(title.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    order = np.argsort(points, kind="stable")
+    kinds = points[order]
+    head = np.concatenate([[True], kinds[1:] != kinds[:-1]])
+    nth = np.arange(len(kinds)) - np.maximum.accumulate(np.where(head, np.arange(len(kinds)), 0))
+    x = (kinds << np.uint64(32) | nth.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _token_ranks(titles: DataFrame) -> np.ndarray:
+    """The commonness of tokens by slot, counted over all titles: a table of SLOTS numbers, whatever the input."""
+
+    def run(batches):
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            for t in batch.column("norm").to_pylist():
+                counts += np.bincount((_tokens(t) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(counts)
+        yield pa.record_batch([pa.array(at), pa.array(counts[at])], names=["slot", "n"])
+
+    rows = titles.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
+    order = np.zeros(SLOTS, np.uint32)
+    rows = rows.sort_values(["n", "slot"])
+    order[rows.slot.to_numpy()] = np.arange(len(rows))
+    return order
+
+
+def _postings(titles: DataFrame, order: np.ndarray, least: float) -> DataFrame:
+    """(token, item, n, sig): each title under the rarest of its tokens, as many as leave fewer than it must share; two titles
+    that may reach the ratio have one of them in common. sig: 256 bits, one flipped for each token."""
+    sent = titles.sparkSession.sparkContext.broadcast(order)
+
+    def run(batches):
+        for batch in batches:
+            out = [[], [], [], []]
+            for item, t in zip(batch.column("item").to_pylist(), batch.column("norm").to_pylist()):
+                x = _tokens(t)
+                token = (sent.value[(x % np.uint64(SLOTS)).astype(np.int64)].astype(np.uint64) << np.uint64(44)) | (x >> np.uint64(20))
+                token.sort()
+                sig = np.zeros(4, np.uint64)
+                np.bitwise_xor.at(sig, ((x >> np.uint64(6)) & np.uint64(3)).astype(np.int64), np.uint64(1) << (x & np.uint64(63)))
+                n = len(x)
+                shortest = math.ceil(n * least / (2 - least) - 1e-9)  # of the titles that may reach the ratio with it
+                kept = np.unique(token[: n - math.ceil(least * (n + shortest) / 2 - 1e-9) + 1])
+                out[0].append(kept.view(np.int64))
+                out[1].append(np.full(len(kept), item))
+                out[2].append(np.full(len(kept), n, np.int32))
+                out[3].append(np.broadcast_to(sig, (len(kept), 4)))
+            if out[0]:
+                sig = np.concatenate(out[3]).view(np.int64)
+                columns = [*(np.concatenate(c) for c in out[:3]), *(np.ascontiguousarray(sig[:, k]) for k in range(4))]
+                yield pa.record_batch([pa.array(c) for c in columns], names=["token", "item", "n", "s0", "s1", "s2", "s3"])
+
+    return titles.mapInArrow(run, "token long, item long, n int, s0 long, s1 long, s2 long, s3 long")
+
+
+def _near(batches, least: float):
+    """(a, b) of each group of rows (token, u, v, part, item, n, s0..s3), of equal token, u and v and in order of part: pairs of a
+    row of part 0 with one of part 1, or of two rows of part 0 if the group has no other part (u = v), whose lengths and
+    signatures let them reach the ratio. A group is a piece of a list by another: what is held is bounded."""
+
+    def pairs(x):
+        u, v, part, item, n = x[1], x[2], x[3], x[4], x[5].astype(np.int64)
+        sig = np.stack(x[6:10], 1).view(np.uint64)
+        left, right = (np.flatnonzero(part == 0), np.flatnonzero(part == 1)) if u[0] != v[0] else (np.arange(len(n)), np.arange(len(n)))
+        for k in range(0, len(left), 256):
+            i = left[k : k + 256]
+            total = n[i][:, None] + n[right][None, :]
+            far = sum(np.bitwise_count(sig[i, w][:, None] ^ sig[right, w][None, :]).astype(np.int16) for w in range(4))
+            ok = (far <= total - 2 * np.ceil(least * total / 2 - 1e-9)) & (2 * np.minimum(n[i][:, None], n[right][None, :]) >= least * total - 1e-9)
+            a, b = np.nonzero(ok)
+            a, b = item[i[a]], item[right[b]]
+            keep = a != b
+            yield np.minimum(a, b)[keep], np.maximum(a, b)[keep]
+
+    held = None
+    for batch in batches:
+        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        held = new if held is None else [np.concatenate([h, c]) for h, c in zip(held, new)]
+        if not len(held[0]):
+            continue
+        cut = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0) | (np.diff(held[2]) != 0)) + 1
+        bounds = np.concatenate([[0], cut])
+        found = [p for a, b in zip(bounds[:-1], bounds[1:]) for p in pairs([c[a:b] for c in held])]
+        held = [c[bounds[-1] :] for c in held]
+        if found:
+            a, b = (np.concatenate(c) for c in zip(*found))
+            both = np.unique(np.stack([a, b], 1), axis=0)
+            yield pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+    if held is not None and len(held[0]):
+        for a, b in pairs(held):
+            yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
+def similar_pairs(items: DataFrame, least: float = FUZZY, piece: int = PIECE) -> DataFrame:
+    """(a, b) of items (item, titulo), a < b: links with the components of all pairs whose titles' ratio reaches `least`.
+
+    Equal normalised titles are linked to their smallest item, which alone is compared. The ratio counts matched characters,
+    never more than the titles share: prefix, length and signature filters on characters told by their occurrence keep every
+    pair that may reach it, at every size, and `SequenceMatcher` decides. A token's list beyond `piece` titles is cut into
+    pieces, each pair of pieces a group of its own. Titles that are null or blank once normalised have no links."""
     t = items.select("item", compare_form(F.col("titulo")).alias("norm")).where("norm <> ''")
-    # one representative of each normalised title is compared; equal titles are linked to it
-    rep = t.groupBy("norm").agg(F.min("item").alias("rep"))
+    rep = t.groupBy("norm").agg(F.min("item").alias("rep")).checkpoint()
     same = t.join(rep, "norm").where("item <> rep").select(F.col("rep").alias("a"), F.col("item").alias("b"))
-    r = rep.select(F.col("rep").alias("item"), "norm")
-    b = _shingle_blocks(r).join(r, "item").select("item", "norm", F.when(F.col("df") > most_block, F.concat_ws("|", "block", F.substring("norm", 1, 8))).otherwise(F.col("block")).alias("block"))
-    left, right = b.select(F.col("item").alias("a"), F.col("norm").alias("x"), "block"), b.select(F.col("item").alias("b"), F.col("norm").alias("y"), "block")
-    bound = 2.0 * F.least(F.length("x"), F.length("y")) / (F.length("x") + F.length("y"))
-    pairs = left.join(right, "block").where((F.col("a") < F.col("b")) & (bound >= least)).select("a", "b", "x", "y").distinct()
-    return pairs.where(title_ratio(F.col("x"), F.col("y")) >= least).select("a", "b").unionByName(same)
+    r = rep.select(F.col("rep").cast("long").alias("item"), "norm")
+    p = _postings(r, _token_ranks(r), least).checkpoint()
+    sizes = p.groupBy("token").agg(F.count(F.lit(1)).alias("list")).where("list > 1").withColumn("pieces", F.ceil(F.col("list") / piece).cast("int"))
+    own = F.pmod(F.xxhash64("item"), F.col("pieces")).cast("int")
+    dealt = p.join(sizes, "token").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    group = dealt.select("token", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), (F.col("own") > F.col("other")).cast("int").alias("part"), "item", "n", "s0", "s1", "s2", "s3")
+    streams = group.repartition("token", "u", "v").sortWithinPartitions("token", "u", "v", "part")
+    near = streams.mapInArrow(lambda batches: _near(batches, least), "a long, b long").distinct()
+    x, y = (r.select(F.col("item").alias(c), F.col("norm").alias(n)) for c, n in (("a", "x"), ("b", "y")))
+    return near.join(x, "a").join(y, "b").where(title_ratio(F.col("x"), F.col("y")) >= least).select("a", "b").unionByName(same)
 
 
 def components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 30) -> DataFrame:
@@ -74,9 +174,7 @@ def components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 30) -> Dat
 def assign_clusters(items: DataFrame, least: float = FUZZY) -> DataFrame:
     """Items (doc_id, titulo, url, content_hash) with cluster_id: equal content, equal key or alike titles, transitively;
     the id is a digest of the earliest member's content and key."""
-    from lakewatch.session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(items.sparkSession)
+    shared_dir(items.sparkSession)
     i = items.withColumn("cluster_key", cluster_key())
     first = lambda c: i.groupBy(c).agg(F.min("doc_id").alias("a")).join(i.select("doc_id", c), c).where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
     edges = first("content_hash").unionByName(first("cluster_key")).unionByName(similar_pairs(i.select(F.col("doc_id").alias("item"), "titulo"), least))
@@ -85,11 +183,17 @@ def assign_clusters(items: DataFrame, least: float = FUZZY) -> DataFrame:
     return items.join(roots.join(name, "root").select(F.col("node").alias("doc_id"), "cluster_id"), "doc_id")
 
 
-def thematic(docs: DataFrame) -> DataFrame:
-    """Groups by sorted topics and act number: distinct regions and documents. Documents without topics are left out."""
+def thematic_members(docs: DataFrame) -> DataFrame:
+    """doc_id, uf and the group (topics, numero) of each document with topics: sorted topics and act number."""
     d = docs.where(F.size(F.coalesce("topics", F.array())) > 0)
-    by = d.groupBy(F.array_join(F.array_sort("topics"), "+").alias("topics"), F.coalesce(F.col("metadados")["numero_ato"], F.lit("_")).alias("numero"))
-    return by.agg(F.array_sort(F.collect_set("uf")).alias("ufs"), F.array_sort(F.collect_set("doc_id")).alias("doc_ids"))
+    return d.select("doc_id", "uf", F.array_join(F.array_sort("topics"), "+").alias("topics"), F.coalesce(F.col("metadados")["numero_ato"], F.lit("_")).alias("numero"))
+
+
+def thematic(docs: DataFrame) -> DataFrame:
+    """Groups by sorted topics and act number: distinct regions and how many documents. Documents without topics are left out;
+    `thematic_members` lists a group's documents, which aren't gathered in its row."""
+    by = thematic_members(docs).groupBy("topics", "numero", "uf").agg(F.count(F.lit(1)).alias("n"))
+    return by.groupBy("topics", "numero").agg(F.array_sort(F.collect_set("uf")).alias("ufs"), F.sum("n").alias("n"))  # regions are few
 
 
 def multi_region(groups: DataFrame) -> DataFrame:

@@ -9,12 +9,18 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster's spark.checkpoint.dir; a temporary folder only where it names none."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the cluster's spark.checkpoint.dir. A temporary folder takes its place only
+    where all run on one machine; elsewhere it is an error that none is named."""
     sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not at:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = f"file://{tempfile.mkdtemp(prefix='lakewatch-')}"
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="lakewatch-"))
+        sc.setCheckpointDir(at)
+    return at
 
 
 def ship_package(spark: SparkSession) -> None:
