@@ -52,7 +52,9 @@ ACT_TYPES = {
     "lei": r"\bLei\s*(?:n[º°.]?\s*)?(\d{1,5}(?:\.\d{3})?)\s*[/\-]\s*(\d{4})\b",
 }
 BODIES = ("STF", "STJ", "RFB", "SRF", "PGFN", "AGU", "CNJ", "TIT-SP", "SEFAZ-SP", "SEFAZ-RJ", "SEFAZ-MG", "SEFAZ-RS", "SEFAZ-DF")
-#: Articles of the civil code that exist.
+# Mentions of the civil code with what stands around, an article's number, and the articles that exist.
+CODE_CONTEXT = r"(?iU)(?:Código\s+Civil|CC)\b.{0,200}|.{0,200}\b(?:Código\s+Civil|CC)\b"
+CODE_ARTICLE = r"(?iU)\b(?:art(?:igo|\.|s?\.)?\s*)?(\d{1,4}(?:\.\d{3})?)\b"
 CODE_FIRST, CODE_LAST = 1, 2046
 
 
@@ -146,15 +148,19 @@ def body(c: Column, names=BODIES) -> Column:
     return F.coalesce(*[F.when(F.upper(c).rlike(rf"(?U)\b{n}\b"), F.lit(n)) for n in names])
 
 
-def invalid_code_articles(c: Column) -> Column:
-    """Numbers near a mention of the civil code that are no article of it; below 100 only where `art` stands by."""
-    near = all_matches(c, r"(?iU)(?:Código\s+Civil|CC)\b.{0,200}|.{0,200}\b(?:Código\s+Civil|CC)\b", 0)
+def code_articles(c: Column) -> Column:
+    """Numbers near a mention of the civil code, each once; below 100 only where `art` stands by."""
 
     def of(part: Column) -> Column:
-        numbers = F.transform(all_matches(part, r"(?iU)\b(?:art(?:igo|\.|s?\.)?\s*)?(\d{1,4}(?:\.\d{3})?)\b", 1), lambda n: F.replace(n, F.lit("."), F.lit("")).cast("int"))
-        return F.filter(numbers, lambda n: ~n.between(CODE_FIRST, CODE_LAST) & ((n >= 100) | F.lower(part).contains("art")))
+        numbers = F.transform(all_matches(part, CODE_ARTICLE, 1), lambda n: F.replace(n, F.lit("."), F.lit("")).cast("int"))
+        return F.filter(numbers, lambda n: (n >= 100) | F.lower(part).contains("art"))
+
+    return F.array_distinct(F.flatten(F.transform(all_matches(c, CODE_CONTEXT, 0), of)))
 
-    return F.array_distinct(F.flatten(F.transform(near, of)))
+
+def invalid_code_articles(c: Column) -> Column:
+    """Numbers near a mention of the civil code that are no article of it."""
+    return F.filter(code_articles(c), lambda n: ~n.between(CODE_FIRST, CODE_LAST))
 
 
 def any_of(c: Column, patterns) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lakewatch.functions.detect import any_of
+from lakewatch.functions.text import nfkc
 
 # Personal data and their masks, in order of replacement.
 PII = (
@@ -36,14 +37,16 @@ TOKENS = (
     (r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----", "***REDACTED-PRIVATE-KEY***"),
     (r"Bearer\s+[A-Za-z0-9_\-\.]{20,}", "Bearer ***REDACTED***"),
 )
+# Keys whose values are masked whole.
 SENSITIVE_KEYS = ("password", "passwd", "secret", "token", "api_key", "apikey", "authorization", "auth", "private_key", "service_account", "session", "cookie", "x-api-key", "x-auth-token")
+# Families of injection and their patterns.
 INJECTION = {
     "sql": r"(?iU)\b(union\s+select|drop\s+table|insert\s+into|delete\s+from|update\s+set|--\s|\/\*|\*\/|exec\s*\()",
     "nosql": r"(?U)\$(eq|ne|gt|lt|gte|lte|in|nin|or|and|not|where|exists|regex)\b",
     "xss": r"(?iU)<\s*script|javascript:|on(load|click|error|mouseover|focus)\s*=|<\s*iframe|<\s*svg.*on",
     "prompt_injection": r"(?iU)(ignore\s+(previous|prior|all)\s+instructions|disregard\s+the\s+above|system\s*[:=]\s*you\s+are|<\|im_start\|>|act\s+as\s+(a\s+)?system)",
     "path_traversal": r"(?i)(\.\./|\.\.\\|/etc/passwd|c:\\\\windows|%2e%2e%2f)",
-    "cmd_injection": r"(`[^`]+`|\$\(.+?\)|;\s*(rm|cat|ls|wget|curl|bash)\b|\|\s*(rm|cat|nc)\b)",
+    "command_injection": r"(`[^`]+`|\$\(.+?\)|;\s*(rm|cat|ls|wget|curl|bash)\b|\|\s*(rm|cat|nc)\b)",
     "ssrf": r"(?i)(localhost|127\.0\.0\.1|169\.254\.169\.254|metadata\.|::1)",
 }
 #: Networks that no fetched address may lie in.
@@ -73,9 +76,10 @@ def mask_map(m: Column) -> Column:
     return F.transform_values(m, lambda k, v: F.when(F.lower(k).isin(*SENSITIVE_KEYS), F.lit("***REDACTED***")).otherwise(redact_tokens(v)))
 
 
-def injection_flags(c: Column, cap: int = 10_000) -> Column:
-    """map<family, bool>; texts over `cap` bytes are read up to half of it."""
-    c = F.when(F.octet_length(c) > cap, F.substring(c, 1, cap // 2)).otherwise(c)
+def injection_flags(c: Column, cap: int | None = None) -> Column:
+    """map<family, bool> of the text's compatibility form. The whole text is read, unless `cap` is given: then texts over `cap`
+    bytes are read up to half of it."""
+    c = nfkc(c if cap is None else F.when(F.octet_length(c) > cap, F.substring(c, 1, cap // 2)).otherwise(c))
     return F.create_map(*[x for k, p in INJECTION.items() for x in (F.lit(k), c.rlike(p))])
 
 

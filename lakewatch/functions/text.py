@@ -13,6 +13,10 @@ _ACCENTED = "áàâãäåéèêëíìîïóòôõöúùûüçñýÿÁÀÂÃÄÅ
 _PLAIN = "aaaaaaeeeeiiiiooooouuuucnyyAAAAAAEEEEIIIIOOOOOUUUUCNY"
 
 
+#: A character that a compatibility form or the stripping of marks may change and `plain` doesn't.
+BEYOND_LATIN = r"[^\x00-\u009F¡¢£¤¥¦§©«¬®°±¶·»¿À-ÖØ-öø-ÿ]"
+
+
 def plain(c: Column) -> Column:
     """Latin letters without their accents."""
     return F.translate(c, _ACCENTED, _PLAIN)
@@ -23,13 +27,27 @@ def collapse(c: Column) -> Column:
 
 
 def nfkc(c: Column) -> Column:
-    """NFKC; only text beyond Latin letters reaches Python."""
+    """NFKC; only text with a character that it may change is sent to Python."""
 
     @F.pandas_udf("string")
     def normal(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
-    return F.when(c.rlike(r"[^\x00-\u009F\u00C0-\u024F]"), normal(c)).otherwise(c)
+    return F.coalesce(normal(F.when(c.rlike(BEYOND_LATIN), c)), c)
+
+
+def _bare(s: str) -> str:
+    return "".join(k for k in unicodedata.normalize("NFD", unicodedata.normalize("NFKC", s)) if unicodedata.category(k) != "Mn")
+
+
+def unmarked(c: Column) -> Column:
+    """Compatibility form without accents and other marks; only text beyond plain and accented Latin is sent to Python."""
+
+    @F.pandas_udf("string")
+    def bare(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else _bare(x))
+
+    return F.coalesce(bare(F.when(c.rlike(BEYOND_LATIN), c)), plain(c))
 
 
 def strip_controls(c: Column) -> Column:
@@ -38,13 +56,26 @@ def strip_controls(c: Column) -> Column:
 
 
 def search_form(c: Column) -> Column:
-    """Lower case, no accents, nothing unprintable, single spaces."""
-    return collapse(F.lower(F.regexp_replace(plain(F.coalesce(c, F.lit(""))), r"[\p{C}&&[^\s]]", "")))
+    """Compatibility form, lower case, no accents or other marks, nothing unprintable, single spaces."""
+    return collapse(F.lower(F.regexp_replace(unmarked(F.coalesce(c, F.lit(""))), r"[\p{C}&&[^\s]]", "")))
+
+
+def search_term(s: str) -> str:
+    """`search_form` of one string, for terms that the caller gives."""
+    return " ".join("".join(k for k in _bare(s) if k.isspace() or unicodedata.category(k)[0] != "C").lower().split())
 
 
 def compare_form(c: Column) -> Column:
-    """For titles: lower case, punctuation as space, single spaces."""
-    return collapse(F.regexp_replace(F.lower(c), r"(?U)[^\w\s/]", " "))
+    """For titles: compatibility form, lower case, punctuation as space, single spaces."""
+    return collapse(F.regexp_replace(F.lower(nfkc(c)), r"(?U)[^\w\s/]", " "))
+
+
+def detection_form(c: Column, cap: int | None = None) -> Column:
+    """For detectors: compatibility form without control characters; null is empty. The whole text is read, unless `cap` is
+    given: then texts over `cap` bytes are read up to half of it."""
+    c = F.coalesce(c, F.lit(""))
+    c = c if cap is None else F.when(F.octet_length(c) > cap, F.substring(c, 1, cap // 2)).otherwise(c)
+    return F.regexp_replace(nfkc(c), r"[\p{C}&&[^\s]]", "")
 
 
 # Blocks that go with their content, and tags that stay.
@@ -92,7 +123,10 @@ def all_matches(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c, F.lit(pattern), F.lit(group))
 
 
+# Fixed value: the notations of an act's number and year.
+ACT_NOTATION = r"(?iU)(?:lei|decreto|portaria|resolu\w+|instru\w+|in)?\s*(?:n[ºo°.]?\s*)?(\d{1,3}(?:\.\d{3})*|\d{1,5})\s*[/.,\s\-de]+\s*(\d{4})"
+
+
 def act_number(c: Column) -> Column:
     """Number and year of an act in any notation, as NUMBER/YEAR."""
-    p = r"(?iU)(?:lei|decreto|portaria|resolu\w+|instru\w+|in)?\s*(?:n[ºo°.]?\s*)?(\d{1,3}(?:\.\d{3})*|\d{1,5})\s*[/.,\s\-de]+\s*(\d{4})"
-    return F.concat_ws("/", F.replace(first_match(c, p), F.lit("."), F.lit("")), first_match(c, p, 2)).substr(1, 32)
+    return F.concat_ws("/", F.replace(first_match(c, ACT_NOTATION), F.lit("."), F.lit("")), first_match(c, ACT_NOTATION, 2)).substr(1, 32)

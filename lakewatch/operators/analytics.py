@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from lakewatch.session import shared_dir
+
 AS_OF = "2024-01-31 00:00:00"
 
 
@@ -88,15 +90,39 @@ def seasonality(docs: DataFrame) -> DataFrame:
     return counted(docs.withColumn("month", F.date_format("eff_date", "yyyy-MM")), "month").orderBy("month")
 
 
-def consolidated(docs: DataFrame, active: list[str], as_of=AS_OF) -> DataFrame:
-    """All of the above in long form: metric, key, value."""
-    row = lambda df, metric, key, value: df.select(F.lit(metric).alias("metric"), F.col(key).cast("string").alias("key"), F.col(value).cast("double").alias("value"))
-    one = lambda df, metric, value: df.select(F.lit(metric).alias("metric"), F.lit("").alias("key"), F.col(value).cast("double").alias("value"))
-    parts = [row(trending_topics(docs, as_of, d), f"trending_{d}d", "topic", "n") for d in (7, 30, 90)]
+def consolidated(docs: DataFrame, active: list[str], as_of=AS_OF, tipos: int = 9, rated=("view", "click", "purchase")) -> DataFrame:
+    """All of the above in long form: metric, key, value. One pass: every document gives its (metric, key, part) rows, one
+    aggregation counts them, and all figures come from that table, which is small and written once."""
+    row = lambda metric, key, part=None: F.struct(F.lit(metric).alias("metric"), F.coalesce(key, F.lit("")).alias("key"), (F.lit(None).cast("string") if part is None else part).alias("part"))
+    none = F.array().cast("array<struct<metric: string, key: string, part: string>>")
+    only = lambda when, *rows: F.when(when, F.array(*rows)).otherwise(none)
+    listed = lambda metric, a: F.transform(F.coalesce(a, F.array().cast("array<string>")), lambda t: row(metric, t))
+    topics = F.concat(F.coalesce("tags", F.array()), F.coalesce(split_list(F.col("metadados")["temas_especificos"]), F.array()))
+    month, uf = F.date_format("eff_date", "yyyy-MM"), F.col("uf")
+    told = [
+        *[F.when(F.col("has_llm") & since("eff_date", as_of, d), listed(f"trending_{d}d", topics)).otherwise(none) for d in (7, 30, 90)],
+        F.array(row("uf", uf, F.col("tipo")), row("seasonality", month)), only(F.col("has_llm"), row("source", F.col("source_id"))), only(since("eff_date", as_of, 14), row("recent", uf)),
+        F.transform(F.coalesce(split_list(F.col("metadados")["aliquotas"]), F.array().cast("array<string>")), lambda r: row("rate", uf, r)), listed("tags", F.col("tags")),
+        only(F.coalesce(F.col("metadados")["valores_monetarios"], F.lit("")) != "", row("money_mentions", F.lit(""))),
+        only((F.col("source_tipo") == "sefaz") & F.col("tipo").isin(*rated) & since("eff_date", as_of, 90), row("proactivity", uf)),
+    ]
+    age = (F.unix_micros(moment(as_of)) - F.unix_micros("eff_date")) / F.lit(86_400_000_000.0)
+    shared_dir(docs.sparkSession)
+    each = docs.select("relevancia", "has_llm", age.alias("age"), F.explode(F.concat(*told)).alias("x")).select("relevancia", "has_llm", "age", "x.*")
+    g = each.groupBy("metric", "key", "part").agg(F.count(F.lit(1)).alias("n"), F.count("relevancia").alias("rated"), F.coalesce(F.sum("relevancia"), F.lit(0)).alias("sum"), F.sum("age").alias("age"), F.count_if("has_llm").alias("classified")).checkpoint()
+    of = lambda m: g.where(F.col("metric") == m)
+    out = lambda df, metric, value: df.select(F.lit(metric).alias("metric"), F.col("key").cast("string").alias("key"), F.col(value).cast("double").alias("value"))
+    one = lambda df, metric: out(df.withColumn("key", F.lit("")), metric, "n")
+    ufs = of("uf").groupBy("key").agg(F.sum("n").alias("n"), F.sum("rated").alias("rated"), F.sum("sum").alias("sum"), F.sum("age").alias("age"), F.count("part").alias("tipos"))
+    score = 0.4 * F.col("n") / F.max("n").over(Window.partitionBy()) + 0.4 * F.when(F.col("rated") > 0, F.col("sum") / F.col("rated")).otherwise(0.0) / 10 + 0.2 * F.col("tipos") / tipos
+    gaps = docs.sparkSession.createDataFrame([(u,) for u in active], "key string").join(of("recent").select("key"), "key", "left_anti").withColumn("n", F.lit(1))
+    sources = of("source").where("rated >= 3").withColumn("avg", F.col("sum") / F.col("rated"))
+    parts = [out(top(of(m), 10, "n", "key"), m, "n") for m in ("trending_7d", "trending_30d", "trending_90d")]
     parts += [
-        row(top_sources_by_relevance(docs), "top_sources", "source_id", "avg_relevancia"), row(top_ufs(docs), "top_ufs", "uf", "n"), row(coverage_gaps(docs, active, as_of).withColumn("one", F.lit(1)), "gaps", "uf", "one"),
-        row(rates_by_uf(docs).withColumn("n", F.size("aliquotas")), "rates", "uf", "n"), one(money_mentions(docs), "money_mentions", "n"), row(tag_frequency(docs), "tags", "tag", "n"), row(maturity(docs), "maturity", "uf", "score"),
-        row(proactivity(docs, as_of=as_of), "proactivity", "uf", "n"), row(seasonality(docs), "seasonality", "month", "n"), one(docs.agg(F.count(F.lit(1)).alias("n")), "total", "n"), one(docs.agg(F.count_if("has_llm").alias("n")), "classified", "n"),
+        out(top(sources, 10, "avg", "key"), "top_sources", "avg"), out(top(ufs, 10, "n", "key"), "top_ufs", "n"), out(gaps, "gaps", "n"), out(of("rate").groupBy("key").agg(F.count(F.lit(1)).alias("n")), "rates", "n"),
+        one(of("money_mentions").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")), "money_mentions"), out(top(of("tags"), 20, "n", "key"), "tags", "n"), out(ufs.withColumn("score", F.bround(score, 3)), "maturity", "score"),
+        out(ufs.withColumn("mean", F.bround(F.col("age") / F.col("n"), 1)), "actuality", "mean"), out(of("proactivity"), "proactivity", "n"), out(of("seasonality"), "seasonality", "n"),
+        one(ufs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")), "total"), one(of("uf").agg(F.coalesce(F.sum("classified"), F.lit(0)).alias("n")), "classified"),
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -154,7 +180,18 @@ def digest_summary(docs: DataFrame, k: int = 5) -> DataFrame:
     return head.crossJoin(ranked).crossJoin(sections)  # one row each
 
 
-def slo(runs: DataFrame) -> DataFrame:
-    """runs(source_id, ok, duration_s, latency_s, classified) -> success, p95 duration, notified in 5 minutes, fully classified."""
+def slo(runs: DataFrame, accuracy: int = 100_000) -> DataFrame:
+    """runs(source_id, ok, duration_s, latency_s, classified) -> success, p95 duration (a run's own, within a rank of `accuracy`th of
+    the runs: partial sketches, no buffer of all values), notified in 5 minutes, fully classified."""
     share = lambda c: F.avg(c.cast("double"))
-    return runs.agg(share(F.col("ok")).alias("success"), F.percentile("duration_s", F.lit(0.95)).alias("p95_s"), share(F.col("latency_s") <= 300).alias("notified_5min"), share(F.col("classified")).alias("fully_classified"))
+    return runs.agg(share(F.col("ok")).alias("success"), F.percentile_approx("duration_s", 0.95, accuracy).alias("p95_s"), share(F.col("latency_s") <= 300).alias("notified_5min"), share(F.col("classified")).alias("fully_classified"))
+
+
+def slo_by_source(runs: DataFrame) -> DataFrame:
+    """Share of successful runs by source."""
+    return runs.groupBy("source_id").agg(F.avg(F.col("ok").cast("double")).alias("success"), F.count(F.lit(1)).alias("n"))
+
+
+def items_by_source(steps: DataFrame) -> DataFrame:
+    """Steps of a batch (source_id and a flag for each stage) -> by source: collected, stored, discarded."""
+    return steps.groupBy("source_id").agg(*[F.count_if(c).alias(c) for c in ("collected", "stored", "discarded")])

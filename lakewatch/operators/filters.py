@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakewatch.functions import detect
 from lakewatch.functions.protect import ipv4
-from lakewatch.functions.text import collapse
+from lakewatch.functions.text import collapse, nfkc
 from lakewatch.operators.analytics import AS_OF, moment
 from lakewatch.schema import ACT_TYPES, TOPICS
 
@@ -23,7 +25,7 @@ DENSITY, AUTHORITY, FRESHNESS, ACT_BONUS, CUTOFF = 0.35, 0.35, 0.2, 0.1, 0.3
 
 
 def _norm(c: Column) -> Column:
-    return collapse(F.lower(c))
+    return collapse(F.lower(nfkc(c)))
 
 
 def strings(words) -> Column:
@@ -31,9 +33,12 @@ def strings(words) -> Column:
 
 
 def found_keywords(text: Column, keywords: Column | tuple | list) -> Column:
-    """The keywords that are substrings of the text, as they are spelled, in their order."""
-    words = keywords if isinstance(keywords, Column) else strings(keywords)
-    return F.element_at(F.transform(F.array(_norm(text)), lambda t: F.filter(words, lambda k: F.contains(t, _norm(k)))), 1)
+    """The keywords that are substrings of the text, as they are spelled, in their order; both sides in compatibility form, lower
+    case and single spaces (a column of keywords is taken to be in compatibility form)."""
+    if isinstance(keywords, Column):
+        return F.element_at(F.transform(F.array(_norm(text)), lambda t: F.filter(keywords, lambda k: F.contains(t, collapse(F.lower(k))))), 1)
+    pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(" ".join(unicodedata.normalize("NFKC", k).lower().split())).alias("form")) for k in keywords]) if keywords else F.expr("CAST(array() AS array<struct<k: string, form: string>>)")
+    return F.element_at(F.transform(F.array(_norm(text)), lambda t: F.transform(F.filter(pairs, lambda p: F.contains(t, p["form"])), lambda p: p["k"])), 1)
 
 
 def keyword_match(docs: DataFrame, keywords, text: str = "texto") -> DataFrame:
@@ -44,16 +49,21 @@ def expand_keywords(defaults, extras) -> Column:
     return F.array_union(strings(defaults), strings(extras))
 
 
-def keyword_or_org(items: DataFrame, sources: DataFrame, defaults) -> DataFrame:
-    """Items (source_id, titulo, texto) that their source's rule lets pass, with what was found: bypass sources need an
-    organisation, others a keyword (their own list, if they have one) or an organisation."""
+def with_found(items: DataFrame, sources: DataFrame, defaults) -> DataFrame:
+    """Items (source_id, titulo, texto) with what their source's rule finds: an organisation for bypass sources, for others a
+    keyword (their own list, if they have one) or an organisation."""
     s = sources.select(F.col("id").alias("source_id"), "keywords_bypass", "org_mentions", "keywords_required", "trusted", F.col("tipo").alias("tipo_fonte"))
     j = items.join(s, "source_id")
     text = F.concat_ws(" ", "titulo", "texto")
     own = F.when(F.size("keywords_required") > 0, F.col("keywords_required")).otherwise(strings(defaults))
     j = j.withColumn("orgs", found_keywords(text, F.col("org_mentions"))).withColumn("kws", found_keywords(text, own))
     j = j.withColumn("found", F.when(F.col("keywords_bypass"), F.col("orgs")).otherwise(F.array_union("kws", "orgs")))
-    return j.where(F.size("found") > 0).drop("orgs", "kws")
+    return j.drop("orgs", "kws")
+
+
+def keyword_or_org(items: DataFrame, sources: DataFrame, defaults) -> DataFrame:
+    """Items that their source's rule lets pass, with what was found."""
+    return with_found(items, sources, defaults).where(F.size("found") > 0)
 
 
 def topics_of(text: Column, by_topic: dict[str, tuple]) -> Column:
@@ -120,13 +130,19 @@ def period(t: Column) -> Column:
 
 def routed(docs: DataFrame, mutes: DataFrame | None = None, as_of=AS_OF) -> DataFrame:
     """Channels and period of classified documents; those under a mute (key `UF=x`, `tipo=x` or `tag=x`, until) are left out."""
-    d = docs.where(F.col("severity_tier").isNotNull()).withColumn("channels", channels(F.col("severity_tier"))).withColumn("period", period(F.col("severity_tier")))
-    if mutes is None:
-        return d
+    d = with_route(docs.where(F.col("severity_tier").isNotNull()))
+    return d if mutes is None else d.join(muted(d, mutes, as_of), "doc_id", "left_anti")
+
+
+def with_route(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("channels", channels(F.col("severity_tier"))).withColumn("period", period(F.col("severity_tier")))
+
+
+def muted(d: DataFrame, mutes: DataFrame, as_of=AS_OF) -> DataFrame:
+    """doc_id of the documents (uf, tipo, tags) under a live mute, once each."""
     keys = F.concat(F.array(F.concat(F.lit("UF="), "uf"), F.concat(F.lit("tipo="), "tipo")), F.transform(F.coalesce("tags", F.array()), lambda t: F.concat(F.lit("tag="), t)))
     live = mutes.where(F.col("until") > moment(as_of)).select("key").distinct()
-    hit = d.select("doc_id", F.explode(keys).alias("key")).join(live, "key", "left_semi").select("doc_id").distinct()
-    return d.join(hit, "doc_id", "left_anti")
+    return d.select("doc_id", F.explode(keys).alias("key")).join(live, "key", "left_semi").select("doc_id").distinct()
 
 
 RESPONSE = "ARRAY<STRUCT<related: BOOLEAN, tipo: STRING, relevancia: INT, resumo: STRING, resumo_completo: STRING, tags: ARRAY<STRING>, topics: ARRAY<STRING>>>"
@@ -167,6 +183,14 @@ def document_predicates(docs: DataFrame, cluster: str | None = None, tipo: str =
     return docs.select("doc_id", F.coalesce(F.col("relevancia") >= 8, F.lit(False)).alias("high_relevance"), has("aliquotas").alias("has_aliquotas"), has("revogacoes_citadas").alias("has_revogacoes"), F.coalesce(F.col("metadados")["modulacao_efeitos"] == "true", F.lit(False)).alias("has_modulacao"), F.coalesce(F.col("tipo") == tipo, F.lit(False)).alias("is_tipo"))
 
 
+def outside_ranges(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Rows (number, ...) whose number lies in no range (lo, hi). Ranges are listed under each block of 1,024 numbers that they
+    touch, so the range join is an equality join with a residual."""
+    r = ranges.select("lo", "hi", F.explode(F.sequence(F.shiftright("lo", 10), F.shiftright("hi", 10))).alias("block"))
+    n = rows.withColumn("block", F.shiftright(F.col("number").cast("long"), 10))
+    return n.join(r, (n.block == r.block) & n.number.between(r.lo, r.hi), "left_anti").select(*rows.columns)
+
+
 def scanner_fields(triggers: DataFrame) -> DataFrame:
     """Agent, address and token (16 characters) from either spelling of their keys."""
     of = lambda *keys: F.coalesce(*[F.get_json_object("payload", f"$.{k}") for k in keys])

@@ -4,35 +4,40 @@ from __future__ import annotations
 
 import difflib
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakewatch.functions.text import search_form
+from lakewatch.functions.text import search_form, search_term
 from lakewatch.operators.analytics import AS_OF, moment
 
+# Month names of a period, and the characters of a stored term.
 MONTHS = ("jan", "fev", "mar", "abr", "mai", "jun", "jul", "ago", "set", "out", "nov", "dez")
-TEXT_CHARS, RAW_CHARS, MOST_TERMS, TERM_CHARS = 12_000, 4_000, 4_000, 64
+TERM_CHARS = 64
 
 
-def corpus_text() -> Column:
-    """The searchable form of a document."""
+def corpus_text(raw_chars: int | None = None, text_chars: int | None = None) -> Column:
+    """The searchable form of a document: its whole text, unless a caller limits the raw text's or the form's characters."""
     meta = F.array_join(F.transform(F.map_entries("metadados"), lambda e: F.concat_ws(" ", e["key"], e["value"])), "\n")
-    parts = [F.col("doc_id").cast("string"), F.col("titulo"), F.col("source_id"), F.col("uf"), F.array_join("topics", " "), F.array_join("user_tags", " "), F.col("tipo"), F.col("severity_tier"), F.col("resumo"), F.array_join("tags", " "), meta, F.col("url"), F.substring("texto", 1, RAW_CHARS), F.date_format(F.coalesce("data_publicacao", "fetched_at"), "yyyy-MM-dd")]
-    return F.substring(search_form(F.concat_ws("\n", *parts)), 1, TEXT_CHARS)
+    parts = [F.col("doc_id").cast("string"), F.col("titulo"), F.col("source_id"), F.col("uf"), F.array_join("topics", " "), F.array_join("user_tags", " "), F.col("tipo"), F.col("severity_tier"), F.col("resumo"), F.array_join("tags", " "), meta, F.col("url"), F.col("texto") if raw_chars is None else F.substring("texto", 1, raw_chars), F.date_format(F.coalesce("data_publicacao", "fetched_at"), "yyyy-MM-dd")]
+    form = search_form(F.concat_ws("\n", *parts))
+    return form if text_chars is None else F.substring(form, 1, text_chars)
 
 
 def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"(?U)\d{1,6}/\d{4}|[\wÀ-ÿ]{3,}"), F.lit(0))
 
 
-def indexed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and terms: structured terms first, then the text's tokens, each once, cut and limited."""
-    d = docs.withColumn("text", corpus_text())
+def indexed(docs: DataFrame, most_terms: int | None = None, **limits) -> DataFrame:
+    """doc_id, text and terms: structured terms first, then the text's tokens, each once and cut; all of them, unless a caller
+    limits their number or the text."""
+    d = docs.withColumn("text", corpus_text(**limits))
     own = F.transform(F.array_compact(F.array(F.lower("source_id"), F.lower("uf"), "tipo", "severity_tier")), lambda x: F.substring(x, 1, TERM_CHARS))
     listed = F.concat(own, F.coalesce("topics", F.array()), F.coalesce("user_tags", F.array()), F.transform(tokens(F.col("text")), lambda x: F.substring(x, 1, TERM_CHARS)))
-    return d.select("doc_id", "text", F.slice(F.array_distinct(listed), 1, MOST_TERMS).alias("terms"))
+    terms = F.array_distinct(listed)
+    return d.select("doc_id", "text", (terms if most_terms is None else F.slice(terms, 1, most_terms)).alias("terms"))
 
 
 def stored_or_built(stored: Column) -> Column:
@@ -40,7 +45,7 @@ def stored_or_built(stored: Column) -> Column:
 
 
 def _term(t: str) -> Column:
-    return search_form(F.lit(t))
+    return F.lit(search_term(t))
 
 
 def indexed_search(docs: DataFrame, index: DataFrame, terms: list[str], limit: int = 50) -> DataFrame:
@@ -91,15 +96,19 @@ def faceted_search(docs: DataFrame, *, uf=None, source_tipo=None, tipo=None, tie
 
 
 def boolean_condition(query: str, text: Column) -> Column:
-    """Words with AND, OR and NOT from left to right, without precedence; without an operator, all words."""
+    """Terms between AND, OR and NOT from left to right, without precedence; what lies between two operators is one term,
+    spaces included. NOT after another operator (AND NOT) negates its term. Without an operator, all words."""
+    parts = [p.strip() for p in re.split(r"\s+(and|or|not)(?=\s)", query.strip().lower())]
+    if len(parts) == 1:
+        return reduce(lambda a, b: a & b, [F.contains(text, _term(w)) for w in query.split()], F.lit(True))
     out, op, negate = None, "and", False
-    for word in query.split():
-        if word.lower() in ("and", "or"):
-            op = word.lower()
-        elif word.lower() == "not":
-            negate = True
-        else:
-            c = F.contains(text, _term(word))
+    for part in parts:
+        if part == "not":
+            negate = True  # the operator before it, if there is one, stays
+        elif part in ("and", "or"):
+            op = part
+        elif part:
+            c = F.contains(text, _term(part))
             c = ~c if negate else c
             out = c if out is None else (out & c if op == "and" else out | c)
             op, negate = "and", False
@@ -121,6 +130,13 @@ def title_ratio(a: Column, b: Column) -> Column:
     return ratio(a, b)
 
 
+def title_similar(title: Column, target: str, least: float = 0.85) -> Column:
+    """Whether a title's ratio to a fixed one, both in lower case, reaches `least`; lengths alone rule out most rows first."""
+    low, n = F.lower(title), len(target)
+    near = 2.0 * F.least(F.length(low), F.lit(n)) / F.greatest(F.length(low) + n, F.lit(1)) >= least
+    return F.coalesce(title_ratio(F.lit(target.lower()), F.when(near, low)) >= least, F.lit(False)) & F.coalesce(near, F.lit(False))
+
+
 def similar_titles(docs: DataFrame, query: str, least: float = 0.7, limit: int = 50) -> DataFrame:
     """Titles by their ratio to the query; lengths alone rule out most rows before Python sees any."""
     title, n = F.lower("titulo"), len(query)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,6 +73,13 @@ def retention(docs: DataFrame, as_of=AS_OF, rules=RETENTION) -> tuple[DataFrame,
     return d.where("__rule IS NULL").drop("__rule"), d.where("__rule IS NOT NULL").groupBy(F.col("__rule").alias("rule")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def retained(collections: dict[str, DataFrame], days: dict[str, int], as_of=AS_OF, at: str = "timestamp") -> tuple[dict[str, DataFrame], DataFrame]:
+    """Collections by name without the rows older than their days, and how many go of each (audit 365 and runs 180 days, say)."""
+    old = lambda name: F.col(at) < moment(as_of) - F.expr(f"INTERVAL '{days[name]}' DAY")
+    counts = [df.where(old(name)).agg(F.lit(name).alias("collection"), F.count(F.lit(1)).alias("n")) for name, df in collections.items()]
+    return {name: df.where(~F.coalesce(old(name), F.lit(False))) for name, df in collections.items()}, reduce(DataFrame.unionByName, counts)
+
+
 def export_owner(tables: dict[str, DataFrame], owner: str, path: str) -> DataFrame:
     """Each table's rows of the owner as gzipped JSON lines under `path`, and a manifest of their counts."""
     rows = None
@@ -138,8 +147,10 @@ def clean_keywords(rows: DataFrame) -> DataFrame:
     return c.groupBy(F.lower("kw").alias("__l")).agg(F.min(F.struct("pos", "kw")).alias("x")).select("x.pos", "x.kw")
 
 
-def added_keywords(extras: DataFrame, defaults: DataFrame, new: DataFrame, most: int = 200) -> DataFrame:
-    """Extras (kw) with the new ones that are no default or extra in any case, 3 to 100 characters long; `most` in all."""
+def added_keywords(extras: DataFrame, defaults: DataFrame, new: DataFrame, most: int | None = 200) -> DataFrame:
+    """Extras (kw) with the new ones that are no default or extra in any case, 3 to 100 characters long; `most` in all, an
+    owner's limit (None: no limit)."""
     known = extras.select(F.lower("kw").alias("l")).unionByName(defaults.select(F.lower("kw").alias("l"))).distinct()
     ok = new.where(F.length("kw").between(3, 100)).withColumn("l", F.lower("kw")).join(known, "l", "left_anti").groupBy("l").agg(F.min("kw").alias("kw"))
-    return extras.select("kw", F.lit(0).alias("o")).unionByName(ok.select("kw", F.lit(1).alias("o"))).orderBy("o", "kw").limit(most).select("kw")
+    out = extras.select("kw", F.lit(0).alias("o")).unionByName(ok.select("kw", F.lit(1).alias("o")))
+    return (out if most is None else out.orderBy("o", "kw").limit(most)).select("kw")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakewatch.operators.analytics import AS_OF, moment, split_list
 from lakewatch.operators.search import checked_pattern, corpus_text
-from lakewatch.functions.text import search_form
+from lakewatch.functions.text import search_form, search_term
 
 # Ready-made watches (name, pattern, type).
 TEMPLATES = (
@@ -55,7 +55,7 @@ def matches(docs: DataFrame, watches: DataFrame, as_of=AS_OF) -> DataFrame:
     for k in range(0, len(listed), AT_ONCE):
         hits = []
         for x in listed[k : k + AT_ONCE]:
-            hit = F.contains("short", search_form(F.lit(x["pattern"]))) if x["pattern_type"] == "term" else F.col("corpus").rlike("(?iU)" + checked_pattern(x["pattern"]))
+            hit = F.contains("short", F.lit(search_term(x["pattern"]))) if x["pattern_type"] == "term" else F.col("corpus").rlike("(?iU)" + checked_pattern(x["pattern"]))
             hit = hit if x["w_uf"] is None else hit & (F.col("uf") == x["w_uf"])
             hits.append(F.when(hit & (F.col("relevancia").isNull() | (F.col("relevancia") >= (x["relevancia_min"] or 0))), F.lit(x["watch_id"])))
         out = out.unionByName(own.select(F.explode(F.array_compact(F.array(*hits))).alias("watch_id"), "doc_id"))

@@ -17,31 +17,39 @@ class Batch:
     stored: DataFrame
     dispatch: DataFrame
     funnel: DataFrame
+    steps: DataFrame  # source_id and a flag for each stage, a row an item
 
 
-def classify_and_store(items: DataFrame, responses: DataFrame, keep_discarded: bool = False) -> DataFrame:
-    """New items with their classification (doc_id is source and hash); without a response they wait as pending, and
-    discarded ones aren't stored."""
+def classified(items: DataFrame, responses: DataFrame) -> DataFrame:
+    """Items with their classification (doc_id is source and hash) and whether a response has it; without one they wait as
+    pending."""
     i = items.withColumn("doc_id", F.concat_ws(":", "source_id", F.substring("content_hash", 1, 16))).withColumn("cluster_key", cluster_key())
-    r = responses.select("content_hash", F.col("tipo").alias("r_tipo"), "relevancia", "topics", "tags")
-    d = i.join(r, "content_hash", "left")
+    r = responses.select("content_hash", F.col("tipo").alias("r_tipo"), "relevancia", "topics", "tags", F.lit(True).alias("answered"))
+    d = i.join(r, "content_hash", "left").withColumn("answered", F.coalesce("answered", F.lit(False)))
     tier = flt.tier_override(flt.tier(F.col("relevancia")), F.coalesce("keywords_bypass", F.lit(False)))
-    d = d.withColumn("tipo", F.col("r_tipo")).drop("r_tipo").withColumn("severity_tier", tier).withColumn("status", F.when(F.col("relevancia").isNull(), "pending").otherwise("classified"))
+    return d.withColumn("tipo", F.col("r_tipo")).drop("r_tipo").withColumn("severity_tier", tier).withColumn("status", F.when(F.col("relevancia").isNull(), "pending").otherwise("classified"))
+
+
+def classify_and_store(items: DataFrame, responses: DataFrame, keep_discarded: bool = False) -> DataFrame:
+    """New items with their classification; discarded ones aren't stored."""
+    d = classified(items, responses).drop("answered")
     return d if keep_discarded else d.where("severity_tier IS NULL OR severity_tier <> 'descartado'")
 
 
 def run_batch(items: DataFrame, sources: DataFrame, stored: DataFrame, responses: DataFrame, keywords, *, as_of=AS_OF, cutoff: float = flt.CUTOFF, mutes: DataFrame | None = None) -> Batch:
-    """items(source_id, titulo, texto, url, data_publicacao, fetched_at, content_hash) through all stages, cheap ones first."""
-    found = flt.keyword_or_org(items, sources, keywords)
-    kept = flt.scored(found, as_of).where(flt.passes(F.col("score"), cutoff))
-    new = flt.unseen(kept, stored)
-    done = classify_and_store(new, responses)
-    sent = flt.routed(done.withColumn("tags", F.coalesce("tags", F.array().cast("array<string>"))), mutes, as_of)
-    key = "content_hash"
-    steps = items.select(key).distinct().withColumn(STAGES[0], F.lit(True))
-    for name, df in zip(STAGES[1:], (found, kept, new, new.join(responses.select(key), key, "left_semi"), done, sent)):
-        steps = steps.join(df.select(key).distinct().withColumn(name, F.lit(True)), key, "left")
-    return Batch(done, sent.select("doc_id", "severity_tier", "channels", "period"), run_funnel(steps))
+    """items(source_id, titulo, texto, url, data_publicacao, fetched_at, content_hash) through all stages. Each item is one row with
+    a flag for each stage that it passes, so the funnel is one aggregation and no stage is computed twice for it."""
+    known = stored.select("content_hash").distinct().withColumn("known", F.lit(True))
+    d = flt.scored(flt.with_found(items, sources, keywords), as_of).join(known, "content_hash", "left")
+    d = classified(d, responses).withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
+    d = d.withColumn("collected", F.lit(True)).withColumn("keywords", F.size("found") > 0).withColumn("prescore", F.col("keywords") & flt.passes(F.col("score"), cutoff))
+    d = d.withColumn("new", F.col("prescore") & F.col("known").isNull()).withColumn("classified", F.col("new") & F.col("answered"))
+    d = d.withColumn("stored", F.col("new") & (F.coalesce("severity_tier", F.lit("")) != "descartado")).withColumn("discarded", F.col("new") & (F.coalesce("severity_tier", F.lit("")) == "descartado"))
+    d = d.withColumn("notified", F.col("stored") & F.col("severity_tier").isNotNull())
+    if mutes is not None:
+        d = d.join(flt.muted(d.where("notified"), mutes, as_of).withColumn("muted", F.lit(True)), "doc_id", "left").withColumn("notified", F.col("notified") & F.col("muted").isNull()).drop("muted")
+    flags = ("known", "answered", *STAGES, "discarded")
+    return Batch(d.where("stored").drop(*flags), flt.with_route(d.where("notified")).select("doc_id", "severity_tier", "channels", "period"), run_funnel(d), d.select("source_id", *STAGES, "discarded"))
 
 
 def reprocess(docs: DataFrame, results: DataFrame) -> DataFrame:

@@ -142,3 +142,27 @@ def watches(spark: SparkSession) -> DataFrame:
 
     rows = spark.createDataFrame([(*w[:5], w[5], w[6], w[7]) for w in WATCHES], "watch_id string, pattern string, pattern_type string, uf string, relevancia_min int, e string, cooldown_hours int, l string")
     return rows.withColumn("expires_at", F.to_timestamp("e")).withColumn("last_triggered", F.to_timestamp("l")).select(*[c.split()[0] for c in WATCH.split(", ")])
+
+
+# Sentences of legal notices, one for each remainder of doc_id by 16; they stand before the document's whole text.
+NOTICES = (
+    "Lei nº 1.234/2024 sancionada pelo governador.", "Alíquota de 4% de ITCD, e de 2,5% a 8% sobre a doação.", "Relator: Dep. João da Silva. O veto parcial foi mantido.",
+    "Fica revogada a Lei nº 10.705/2000 e o Decreto 45.837/2015.", "Embargos infringentes no Recurso Especial.", "Recurso extraordinário, rito dos repetitivos, Tema 825 e Tema nº 1024.",
+    "Doação de R$ 1.500,00 e de R$ 2 milhões.", "Houve modulação dos efeitos; mudam o fato gerador e a base de cálculo. Holding familiar.", "Instrução Normativa RFB nº 2.121/2022, ao lado da SEFAZ-SP.",
+    "Veja o art. 3000 do Código Civil.", "Portaria nº 55/2023 da PGFN.", "CPF 123.456.789-09, CNPJ 12.345.678/0001-95, telefone (11) 91234-5678.", "Chaves sk_live_abcdefghij0123456789 e ghp_abcdefghijklmnopqrstuvwxyz012345.",
+    "Decreto 9/2021. DELETE FROM tabela; ../../etc/passwd", "ＩＴＣＭＤ em São Paulo, ofﬁce​ novo.", "Sem fatos.",
+)
+
+
+def notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id and notice: a sentence by doc_id and the document's whole text; act: the notice's number of an act."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    listed = F.array(*[F.lit(n) for n in NOTICES])
+    return d.select("doc_id", F.col("source").alias("source_id"), F.concat_ws("\n", F.get(listed, (F.col("doc_id") % 16).cast("int")), "text").alias("notice"))
+
+
+NOTICES_SQL = (
+    "notices AS (SELECT doc_id, source AS source_id, doc_id % 16 AS k, concat_ws(chr(10), ["
+    + ", ".join("'" + n.replace("'", "''") + "'" for n in NOTICES)
+    + "][doc_id % 16 + 1], text) AS notice FROM documents)"
+)

@@ -173,23 +173,32 @@ def prefilter_acts(acts: DataFrame, orgs: list[str], keywords: list[str]) -> Dat
     return acts.where(F.size(found_keywords(F.col("texto"), tuple(orgs) + tuple(keywords))) > 0)
 
 
-#: Parsers by name: payloads -> items. Others are added with `register`.
-PARSERS = {"rss": lambda p: parse_feed(p)[0]}
+#: Parsers by name: payloads -> (items, quarantine). Others are added with `register`.
+PARSERS = {"rss": parse_feed}
 
 
 def register(name: str, parser) -> None:
-    """A parser is a function of a payload table that returns items; it is applied with DataFrame.transform."""
+    """A parser is a function of a payload table that returns (items, quarantine)."""
     PARSERS[name] = parser
 
 
 for _name, _mapping in MAPPINGS.items():
-    register(_name, lambda p, m=_mapping: map_json(p, m)[0])
+    register(_name, lambda p, m=_mapping: map_json(p, m))
 
 
-def collect(payloads: DataFrame) -> DataFrame:
-    """payloads(parser, source_id, fetched_at, base_url, body) -> items of every registered parser."""
-    parts = [payloads.where(F.col("parser") == n).transform(f) for n, f in PARSERS.items()]
-    return reduce(DataFrame.unionByName, parts)
+def collect(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """payloads(parser, source_id, fetched_at, base_url, body) -> (items of every registered parser, quarantine by parser). What
+    one source lands broken never stops the others; payloads of an unknown parser are quarantined."""
+    parts = [(n, parser(payloads.where(F.col("parser") == n))) for n, parser in PARSERS.items()]
+    unknown = payloads.where(~F.coalesce(F.col("parser").isin(*PARSERS), F.lit(False))).select("parser", "source_id", F.lit("unknown").alias("reason"), F.substring("body", 1, 500).alias("payload"))
+    items = reduce(DataFrame.unionByName, [p[0] for _, p in parts])
+    bad = reduce(DataFrame.unionByName, [p[1].select(F.lit(n).alias("parser"), "source_id", "reason", "payload") for n, p in parts])
+    return items, bad.unionByName(unknown)
+
+
+def failures(payloads: DataFrame) -> DataFrame:
+    """The report of a collection: parser, source_id, reason and how many payloads were quarantined."""
+    return collect(payloads)[1].groupBy("parser", "source_id", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def html_items(pages: DataFrame, most: int = MOST_HTML) -> tuple[DataFrame, DataFrame]:

@@ -31,11 +31,10 @@ def ingest(stream: DataFrame, table: str, checkpoint: str):
 
     def put(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        try:
-            stored = spark.read.schema(batch.schema).parquet(table)
-        except Exception:  # noqa: BLE001  the first batch finds no table
-            stored = spark.createDataFrame([], batch.schema)
-        unseen(batch, stored).write.mode("append").parquet(table)
+        at = spark._jvm.org.apache.hadoop.fs.Path(table)
+        first = not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)  # any other error of reading the table is one
+        new = batch if first else unseen(batch, spark.read.schema(batch.schema).parquet(table).select("content_hash"))
+        new.write.mode("append").parquet(table)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -32,7 +32,7 @@ def one(spark, column, value=None, schema="c string"):
         (lambda C: detect.act_type(C)["tipo"], "Lei 5/2020 e Decreto nº 7/2021", "decreto"),
         (lambda C: detect.invalid_code_articles(C), "art. 1784 e art. 3000 do Código Civil", [3000]),
         (lambda C: text.search_form(C), "  AÇÃO​  Ünica\tX ", "acao unica x"),
-        (lambda C: text.compare_form(C), "Lei nº 5/2020 — (nova)!", "lei nº 5/2020 nova"),
+        (lambda C: text.compare_form(C), "Lei nº 5/2020 — (nova)!", "lei no 5/2020 nova"),
         (lambda C: text.nfkc(C), "ﬁm ①", "fim 1"),
         (lambda C: text.strip_controls(C), "a\u0000b\nc‍", "ab\nc"),
         (lambda C: text.sanitize_html(C), '<p class="x">a<script>b()</script><i onclick="z">c</i><!-- d --><x>e</x></p>', "<p>a<i>c</i>e</p>"),

@@ -3,7 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from lakewatch import entries
+from lakewatch import entries, session
 from lakewatch.operators import audit, clusters, filters, health, search, tables, watches
 from lakewatch.plans import intake
 from lakewatch.schema import AUDIT, DLQ, RAW_ITEM, SOURCE, WATCH, struct
@@ -21,6 +21,10 @@ def test_boolean_queries(spark):
     assert hits("heranca AND doacao") == ["herança e doação"]
     assert hits("herança AND NOT trust") == ["herança e doação"]
     assert len(hits("trust OR doação")) == 3 and hits("herança doação") == ["herança e doação"]
+    titles = spark.createDataFrame([("a trust",), ("familiar note on holding",), ("holding familiar",)], "t string")
+    found = lambda q: [r.t for r in titles.where(search.boolean_condition(q, search.search_form(F.col("t")))).collect()]
+    assert found("trust OR holding familiar") == ["a trust", "holding familiar"]  # what lies between operators is one term
+    assert found("holding not note on") == ["holding familiar"] and found("familiar holding") == ["familiar note on holding", "holding familiar"]
 
 
 def test_regex_guard():
@@ -36,6 +40,74 @@ def test_clusters(spark):
     assert got[1] == hashlib.sha256(b"a|numato:1234/2024").hexdigest()[:16]
 
 
+def _links_by_all_pairs(rows, least):
+    import difflib
+
+    label = {d: d for d, _ in rows}
+
+    def root(d):
+        return d if label[d] == d else root(label[d])
+
+    for k, (a, x) in enumerate(rows):
+        for b, y in rows[k + 1 :]:
+            if x and y and difflib.SequenceMatcher(None, x, y).ratio() >= least:
+                label[max(root(a), root(b))] = min(root(a), root(b))
+    return {d: root(d) for d, _ in rows}
+
+
+@pytest.mark.parametrize("piece", [4096, 3])
+def test_similar_titles_have_the_components_of_all_pairs(spark, piece):
+    import random
+
+    r = random.Random(5)
+    words = ["lei", "altera", "imposto", "herança", "doação", "de", "o", "sobre", "bens", "regime", "alíquota", "estado", "公告", "é"]
+    rows = []
+    for d in range(150):
+        title = list(r.choice(rows)[1]) if rows and r.random() < 0.6 else list(" ".join(r.choice(words) for _ in range(r.randint(1, 9))))
+        for _ in range(r.choice([0, 1, 2, 5, 9])):
+            at = r.randrange(len(title) + 1) if title else 0
+            title[at : at + r.randint(0, 2)] = r.choice(["x", "", "ab", "é "])
+        rows.append((d, "".join(title)))
+    df = spark.createDataFrame(rows, "item long, titulo string")
+    norm = {x.item: x.n for x in df.select("item", clusters.compare_form(F.col("titulo")).alias("n")).collect()}
+    want = _links_by_all_pairs([(d, norm[d]) for d, _ in rows], 0.85)
+    clusters.shared_dir(spark)
+    pairs = clusters.similar_pairs(df, 0.85, piece)
+    got = {x.node: x.root for x in clusters.components(pairs, df.select(F.col("item").alias("node"))).collect()}
+    assert got == want
+    assert clusters.similar_pairs(df.limit(0)).count() == 0
+
+
+def test_title_similarity_of_a_watch(spark):
+    titles = [("Governo altera o ITCD em 2024",), ("governo altera o itcd em 2025",), ("Outro assunto",), (None,), ("",)]
+    df = spark.createDataFrame(titles, "t string")
+    assert [r.t for r in df.where(search.title_similar(F.col("t"), "Governo altera o ITCD em 2024")).collect()] == [t for t, in titles[:2]]
+
+
+def test_checkpoint_folder_must_be_shared(spark):
+    class Context:
+        master = "spark://host:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Session())
+    assert session.shared_dir(spark)
+
+
+def test_collection_isolates_failures(spark):
+    rows = [("rss", "a", "<rss><item><title>T</title><link>http://x/1</link></item></rss>"), ("rss", "a", "oops"), ("camara", "b", "<html>"), ("nosuch", "c", "x")]
+    p = spark.createDataFrame(rows, "parser string, source_id string, body string").withColumn("fetched_at", F.lit("2024-03-01").cast("timestamp")).withColumn("base_url", F.lit("https://x.org"))
+    items, bad = payloads.collect(p)
+    assert [r.titulo for r in items.collect()] == ["T"]
+    assert {(r.parser, r.source_id, r.reason) for r in bad.collect()} == {("rss", "a", "parse_error"), ("camara", "b", "parse_error"), ("nosuch", "c", "unknown")}
+
+
 def test_keyword_rule_of_bypass_sources(spark):
     sources = spark.createDataFrame([("b", True, ["STF"], [], True, "sefaz"), ("k", False, ["STF"], [], True, "sefaz"), ("o", False, [], ["doação"], True, "sefaz")], "id string, keywords_bypass boolean, org_mentions array<string>, keywords_required array<string>, trusted boolean, tipo string")
     items = spark.createDataFrame([(s, t, "") for s in "bko" for t in ("STF decide", "ITCD sobe", "Doação cresce")], "source_id string, titulo string, texto string")
