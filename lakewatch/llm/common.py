@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakewatch.session import ship_package
+from lakewatch.session import shared_dir, ship_package
 
 #: Bytes of the smaller side up to which a join may be broadcast; beyond it the join is shuffled.
 BROADCAST_BYTES = 32 << 20
@@ -25,24 +24,34 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one is set only where the cluster names none."""
-    sc = spark.sparkContext
-    at = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='lakewatch-')}"
-        sc.setCheckpointDir(at)
-    return at
+def tables_dir(spark: SparkSession) -> str:
+    """The application's own folder of intermediate tables, in the folder that driver and executors share."""
+    return f"{shared_dir(spark).rstrip('/')}/lakewatch/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables of the application. Results that read them must have been written before."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """`df` written to a table of its own in the shared folder and read again: lineage ends there."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lakewatch/{name}-{uuid.uuid4().hex}"
+    path = f"{tables_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `materialize` has written and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def map_arrow(df: DataFrame, fn, schema, rows: int = 2_000) -> DataFrame:
     """`mapInArrow` with the package at hand in the workers. `fn` takes and gives iterators of record batches; it gets at
     most `rows` rows at a time, so that what it builds for them stays small."""

@@ -4,38 +4,49 @@ A line is a part of a text between newlines; its tokens are the set of its words
 removed if a line at an earlier place, by (doc_id, line number), has a Jaccard similarity of `threshold` or more to it,
 whether or not that one is removed itself. So the first of every group of alike lines stays.
 
-1. One scan gives every line's place with a 128-bit key of its word sequence, and the tokens' counts in a table of fixed
-   size (a hashed token's count orders it; any fixed order keeps the join exact). Lines with a key seen at an earlier
+1. One scan gives every line's place with a 128-bit key of its word sequence, and the tokens' counts in a table sized by
+   the input (a hashed token's count orders it; any fixed order keeps the join exact). Lines with a key seen at an earlier
    place go; within a task they are found at once, so of a line on every page only a row for each task is shuffled.
 2. A second scan sorts each line's tokens by rarity and gives its prefix of n - ceil(threshold * n) + 1 tokens, for the
-   first line of each key. Each token's list, in order of place, shows every line the list's
-   first `block` ones. Length and positional filters, and a bound from 64-bit token signatures, leave candidates.
-3. The candidates' lines are fetched and their Jaccard verified. Lines that found no match and have a longer list take the
-   next, eight times larger block of it, until none is left: a dense list costs its length, not its square.
+   first line of each key, without tokens that stand in one line only. A token in over `dense` lines is no key by itself:
+   two alike lines share a second token in the prefix that is one longer, so the pairs of both are the keys.
+3. Each key's list, in order of place, shows every line the list's first `block` ones. Length and positional filters, and
+   a bound from token signatures of 64 to 256 bits, leave candidates; a line stops looking after `most` of them.
+4. The candidates' lines are fetched and their Jaccard verified, the most alike first. Lines that found no match and have
+   not seen all of a list go on in it, in blocks eight times larger each round, until none is left: a dense list costs its
+   length, not its square.
 
 Nulls: rows with a null doc_id or text stay as they are. Rows that share a doc_id are one document: what is removed from
 one is removed from all, and equal places don't remove each other. Blank lines are never removed. Empty tables give empty
-tables. All columns of `docs` are kept; n_chars, if there is one, follows the text.
+tables. Very long lines have as many tokens as they have words; nothing is cut. All columns of `docs` are kept, also those
+named like the ones used inside; n_chars, if there is one, follows the text.
 """
 
 from __future__ import annotations
 
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakewatch.llm.common import buffers, chunks, map_arrow, materialize, mix64, powers, sized_join, span_hashes, utf8, word_spans
+from lakewatch.llm.common import buffers, chunks, discard, map_arrow, materialize, mix64, powers, sized_join, span_hashes, utf8, word_spans
 
 THRESHOLD = 0.8
-#: Slots of the token-count table, its size whatever the input.
-SLOTS = 1 << 21
+#: Bytes of text for each slot of the token-count table, and its least and greatest size as powers of 2.
+SLOT_BYTES, LEAST_SLOTS, MOST_SLOTS = 256, 16, 24
 #: Parts in which tasks hand over the table.
 PARTS = 32
-#: Earlier lines of a token's list that are looked at first.
-BLOCK = 256
+#: Lines with a token from which it is a key only together with a second one.
+DENSE = 1024
+#: Bits of a key: enough to tell keys apart; lists that share one by chance only cost comparisons.
+KEY_BITS = 40
+#: Tokens of a line above which its signature has 128 bits and 256 bits; it has 64 else.
+WIDER, WIDEST = 48, 144
+#: Earlier lines of a key's list that are looked at first, and the candidates after which a line stops looking.
+BLOCK, MOST = 256, 8
 #: Lines whose earliest place a task remembers, to give repeated ones once; then it starts anew (which only costs rows).
 REMEMBERED = 1 << 18
 
@@ -73,14 +84,14 @@ class _Firsts:
     """The earliest place of each line that a task has seen."""
 
     def __init__(self):
-        self.places: dict[int, int] = {}
+        self.places: dict[bytes, int] = {}
 
-    def fresh(self, keys: np.ndarray, doc_ids: np.ndarray, lines: np.ndarray) -> np.ndarray:
+    def fresh(self, k1: np.ndarray, k2: np.ndarray, doc_ids: np.ndarray, lines: np.ndarray) -> np.ndarray:
         """Whether each line stands at an earlier place than all of its kind so far."""
         if len(self.places) > REMEMBERED:
             self.places.clear()
-        out, places = np.zeros(len(keys), bool), self.places
-        for x, (key, d, k) in enumerate(zip(keys.tolist(), doc_ids.tolist(), lines.tolist())):
+        out, places = np.zeros(len(k1), bool), self.places
+        for x, (key, d, k) in enumerate(zip(np.stack([k1, k2], 1).view("V16")[:, 0].tolist(), doc_ids.tolist(), lines.tolist())):
             place = d << 32 | k
             known = places.get(key)
             if known is None or place < known:
@@ -90,7 +101,15 @@ class _Firsts:
         return out
 
 
-def _occurrences(docs: DataFrame) -> DataFrame:
+def table_slots(docs: DataFrame) -> int:
+    """Slots of the token-count table by the optimizer's estimate of the bytes to read, a power of 2 between bounds."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= 1 << 60:  # not known
+        size = SLOT_BYTES << 20
+    return 1 << min(MOST_SLOTS, max(LEAST_SLOTS, (size // SLOT_BYTES).bit_length()))
+
+
+def _occurrences(docs: DataFrame, slots: int) -> DataFrame:
     """kind 0: key (k1, k2) and place of each line that is the first of its kind in the task so far; kind 2: places of the
     others, which have an earlier equal; kind 1: the task's numbers of tokens by slot, a part (k1) of the table a row."""
     names = ["kind", "k1", "k2", "doc_id", "line", "counts"]
@@ -99,34 +118,33 @@ def _occurrences(docs: DataFrame) -> DataFrame:
         return pa.record_batch([pa.array(np.full(len(k1), kind, np.int8)), pa.array(k1), pa.array(k2), pa.array(doc_id, pa.int64()), pa.array(line, pa.int32()), pa.nulls(len(k1), pa.binary())], names=names)
 
     def run(batches):
-        counts, firsts = np.zeros(SLOTS, np.int64), _Firsts()
+        counts, firsts = np.zeros(slots, np.uint32), _Firsts()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = buffers(batch.column(1))
-            slots = []
             for i, j in chunks(offsets):
                 at = offsets[i : j + 1]
                 hashes, doc, number, a, b = _lines(data[at[0] : at[-1]], at - at[0])
                 if len(hashes):
-                    slots.append(_slot(hashes))
+                    slot, n = np.unique(_slot(hashes, slots), return_counts=True)
+                    counts[slot] += np.minimum(n, 0xFFFFFFFF - counts[slot]).astype(np.uint32)
                     k1, k2 = _keys(hashes, a, b)
                     own = ids[i:j][doc]
-                    new = firsts.fresh(k1, own, number)
+                    new = firsts.fresh(k1, k2, own, number)
                     yield rows(0, k1[new], k2[new], own[new], number[new])
                     none = np.zeros(int((~new).sum()), np.int64)
                     yield rows(2, none, none, own[~new], number[~new])
-            if slots:
-                counts += np.bincount(np.concatenate(slots), minlength=SLOTS)
         if counts.any():
-            parts = [zlib.compress(c.astype("<u4").tobytes(), 1) for c in np.minimum(counts, 2**32 - 1).reshape(PARTS, -1)]
+            parts = [zlib.compress(c.astype("<u4").tobytes(), 1) for c in counts.reshape(PARTS, -1)]
             none = np.zeros(PARTS, np.int64)
             yield pa.record_batch([pa.array(np.ones(PARTS, np.int8)), pa.array(np.arange(PARTS)), pa.array(none), pa.array(none), pa.array(none.astype(np.int32)), pa.array(parts, pa.binary())], names=names)
 
     return map_arrow(docs, run, "kind byte, k1 long, k2 long, doc_id long, line int, counts binary")
 
 
-def _table(parts: DataFrame) -> np.ndarray:
-    """The count table from the tasks' parts (k1, counts): each part is summed by one task as its rows stream in."""
+def _table(parts: DataFrame, slots: int) -> np.ndarray:
+    """A byte for each slot, 8 times the base-2 logarithm of its count and one, rounded up, from the tasks' parts (k1, counts):
+    each part is summed by one task as its rows stream in."""
 
     def run(batches):
         sums: dict[int, np.ndarray] = {}
@@ -134,30 +152,62 @@ def _table(parts: DataFrame) -> np.ndarray:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 more = np.frombuffer(zlib.decompress(raw), "<u4").astype(np.int64)
                 sums[k] = sums[k] + more if k in sums else more
-        yield pa.record_batch([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], names=["k1", "counts"])
+        coded = [np.minimum(255, np.ceil(8 * np.log2(v + 1))).astype(np.uint8).tobytes() for v in sums.values()]
+        yield pa.record_batch([pa.array(list(sums), pa.int64()), pa.array(coded, pa.binary())], names=["k1", "rarity"])
 
-    rows = map_arrow(parts.repartition(PARTS, "k1"), run, "k1 long, counts binary", rows=64).collect()  # PARTS rows, a table in all
-    table = np.zeros((PARTS, SLOTS // PARTS), np.int64)
+    rows = map_arrow(parts.repartition(PARTS, "k1"), run, "k1 long, rarity binary", rows=64).collect()  # PARTS rows, a table in all
+    table = np.zeros((PARTS, slots // PARTS), np.uint8)
     for r in rows:
-        table[r.k1] = np.frombuffer(r.counts, np.int64)
+        table[r.k1] = np.frombuffer(r.rarity, np.uint8)
     return table.reshape(-1)
 
 
-def _slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes & np.uint64(SLOTS - 1)).astype(np.int64)
+def _slot(hashes: np.ndarray, slots: int) -> np.ndarray:
+    return (hashes & np.uint64(slots - 1)).astype(np.int64)
 
 
 def _prefix(n: np.ndarray, threshold: float) -> np.ndarray:
     return n - np.ceil(threshold * n - 1e-9).astype(np.int64) + 1
 
 
-def _postings(docs: DataFrame, counts: np.ndarray, threshold: float) -> DataFrame:
-    """(token, doc_id, line, n, i, sig): the prefix tokens of the first line of each kind; a token holds its rarity in its
-    leading bits."""
-    rarity = docs.sparkSession.sparkContext.broadcast(np.minimum(255, np.ceil(8 * np.log2(counts + 1))).astype(np.uint8))
+def _line_keys(token: np.ndarray, count: np.ndarray, a: np.ndarray, n: np.ndarray, threshold: float, dense: int):
+    """(line, key, i) of lines whose tokens by rarity start at `a`, n each: a prefix token and its place; for a dense one its
+    pairs with a later token, where i says how many of the line's tokens are past both, as if it were a token's place."""
+    lines, place = np.repeat(np.arange(len(a)), n), np.arange(len(token)) - np.repeat(a, n)
+    prefix = np.repeat(_prefix(n, threshold), n)
+    key = (place < prefix) & (count > 1)
+    pairs = key & (count > dense) & (np.repeat(n, n) > 1) if threshold > 0.5 else np.zeros(len(key), bool)
+    one, two = np.flatnonzero(key & ~pairs), np.flatnonzero(pairs)
+    more = np.minimum(prefix[two] + 1, np.repeat(n, n)[two]) - place[two] - 1  # later tokens of the prefix that is one longer
+    first = np.repeat(two, more)
+    second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(more) - more, more)
+    first, second = first[count[second] > 1], second[count[second] > 1]
+    own = np.concatenate([one, first])
+    keys = np.concatenate([mix64(token[one]), mix64(token[first] ^ mix64(token[second]))])
+    return lines[own], keys >> np.uint64(64 - KEY_BITS), np.concatenate([place[one], place[second] - 1])
+
+
+SIGNATURE = ("s0", "s1", "s2", "s3")
+#: A key's row: the line's place, its number of tokens n and the key's place i among them in one number, its signature.
+POSTING = ("token", "doc_id", "line", "ni", *SIGNATURE)
+
+
+def _signatures(token: np.ndarray, a: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """Four words a line with a bit flipped for each token; shorter lines' words are folded into two or one, the others 0."""
+    word, bit = (token >> np.uint64(6)) & np.uint64(3), np.uint64(1) << (token & np.uint64(63))
+    w = [np.bitwise_xor.reduceat(np.where(word == k, bit, np.uint64(0)), a) for k in range(4)]
+    two, one = n <= WIDEST, n <= WIDER
+    w = [np.where(two, w[0] ^ w[2], w[0]), np.where(two, w[1] ^ w[3], w[1]), np.where(two, np.uint64(0), w[2]), np.where(two, np.uint64(0), w[3])]
+    return [np.where(one, w[0] ^ w[1], w[0]).view(np.int64), np.where(one, np.uint64(0), w[1]).view(np.int64), w[2].view(np.int64), w[3].view(np.int64)]
+
+
+def _postings(docs: DataFrame, table: np.ndarray, repeated: DataFrame, threshold: float, dense: int) -> DataFrame:
+    """POSTING columns: the keys of the first line of each kind; lines of `repeated` have none."""
+    slots, told = len(table), docs.sparkSession.sparkContext.broadcast(table)  # a byte a slot
 
     def run(batches):
-        rank, firsts = rarity.value, _Firsts()
+        rank, firsts = told.value, _Firsts()
+        most = np.floor(2 ** (np.arange(256) / 8)).astype(np.int64) - 1  # the count that a rarity stands for, at most
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             data, offsets = buffers(batch.column(1))
@@ -166,89 +216,125 @@ def _postings(docs: DataFrame, counts: np.ndarray, threshold: float) -> DataFram
                 hashes, doc, number, a, b = _lines(data[at[0] : at[-1]], at - at[0])
                 if not len(hashes):
                     continue
-                k1, k2 = _keys(hashes, a, b)
-                fresh = firsts.fresh(k1, ids[i:j][doc], number)
+                fresh = firsts.fresh(*_keys(hashes, a, b), ids[i:j][doc], number)
                 word = np.repeat(fresh, b - a)
                 if not word.any():
                     continue
                 own, h = np.repeat(np.arange(len(a)), b - a)[word], hashes[word]
-                token = (rank[_slot(h)].astype(np.uint64) << np.uint64(55)) | (mix64(h) >> np.uint64(9))
+                rarity = rank[_slot(h, slots)]
+                token = (rarity.astype(np.uint64) << np.uint64(55)) | (mix64(h) >> np.uint64(9))
                 order = np.lexsort((token, own))
-                own, token = own[order], token[order]
+                own, token, rarity = own[order], token[order], rarity[order]
                 once = np.concatenate([[True], (own[1:] != own[:-1]) | (token[1:] != token[:-1])])
-                own, token = own[once], token[once]
+                own, token, rarity = own[once], token[once], rarity[once]
                 a, b = _runs(own)
                 n, rows = b - a, own[a]
-                sig = np.bitwise_xor.reduceat(np.uint64(1) << (token & np.uint64(63)), a)
-                taken = _prefix(n, threshold)
-                keep = np.arange(len(own)) - np.repeat(a, n) < np.repeat(taken, n)
-                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(taken)]).astype(np.int32)), pa.array(token[keep].view(np.int64)))
-                yield pa.record_batch([pa.array(k1[rows]), pa.array(k2[rows]), pa.array(ids[i:j][doc[rows]]), pa.array(number[rows]), pa.array(n.astype(np.int32)), pa.array(sig.view(np.int64)), tokens], names=["k1", "k2", "doc_id", "line", "n", "sig", "tokens"])
-
-    rows = map_arrow(docs, run, "k1 long, k2 long, doc_id long, line int, n int, sig long, tokens array<long>")
-    kind = Window.partitionBy("k1", "k2").orderBy("doc_id", "line")  # a row for each task that has the line
-    first = rows.withColumn("rank", F.row_number().over(kind)).where("rank = 1")
-    return first.select(F.posexplode("tokens").alias("i", "token"), "doc_id", "line", "n", "sig").select("token", "doc_id", "line", "n", "i", "sig")
-
-
-def _first_blocks(postings: DataFrame, threshold: float, block: int) -> DataFrame:
-    """Over each token's list in order of place: kind 0, a line and those of the list's first `block` lines that it may
-    match, the most alike first, `far` bits from it; kind 1, the rows from rank `block` (counted from 0) on. Lists stream through; only their first rows are held."""
-    names = ("token", "doc_id", "line", "n", "i", "sig")
-
-    def run(batches):
-        held = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32, np.int32, np.int64)]
-        before = 0  # rows of the open list that have passed
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(6)]
-            k = len(held[0]) if before and held[0][0] == new[0][0] else 0
-            cols = [np.concatenate([h[:k], x]) for h, x in zip(held, new)]
-            token, doc_id, line, n, i, sig = cols
-            idx = np.arange(len(token))
-            head = np.concatenate([[True], token[1:] != token[:-1]])
-            start = np.maximum.accumulate(np.where(head, idx, 0))
-            rank = idx - start + np.where(start == 0, before - k, 0) if k else idx - start
-            own, other, far, x = [idx[:0]], [idx[:0]], [idx[:0]], idx[k:]
-            for j in range(block):
-                x = x[rank[x] > j]
-                if not len(x):
-                    break
-                t = start[x] + j
-                total = n[x] + n[t]
-                need = np.ceil(total * (threshold / (1 + threshold)) - 1e-9)
-                apart = np.bitwise_count((sig[x] ^ sig[t]).view(np.uint64)).astype(np.int64)
-                ok = apart <= total - 2 * need
-                a, b, need, apart = x[ok], t[ok], need[ok], apart[ok]
-                ok = (np.minimum(n[a] - i[a], n[b] - i[b]) >= need) & (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-9)
-                ok &= (doc_id[b] != doc_id[a]) | (line[b] != line[a])
-                own.append(a[ok])
-                other.append(b[ok])
-                far.append(apart[ok])
-            own, other, far = np.concatenate(own), np.concatenate(other), np.concatenate(far)
-            order = np.lexsort((far, own))  # a line's candidates of this list in one row, the most alike first
-            own, other, far = own[order], other[order], far[order]
-            a, b = _runs(own) if len(own) else (own, own)
-            long = np.flatnonzero((rank >= block) & (idx >= k))
-            at = np.concatenate([own[a], long])
-            ends = np.concatenate([[0], b, np.full(len(long), len(own))]).astype(np.int32)
-            found = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(doc_id[other]), pa.array(line[other])], names=["t_doc_id", "t_line"]))
-            out = {"kind": pa.array(np.repeat(np.array([0, 1], np.int8), [len(a), len(long)])), "rank": pa.array(rank[at].astype(np.int64))} | {c: pa.array(v[at]) for c, v in zip(names, cols)}
-            out |= {"far": pa.array(np.concatenate([far[a], np.zeros(len(long), np.int64)])), "found": found}
-            if len(at):
-                yield pa.record_batch(list(out.values()), names=list(out))
-            last = int(start[-1])
-            before = int(rank[-1]) + 1
-            held = [c[last : last + block].copy() for c in cols]
-
+                sig = _signatures(token, a, n)
+                line, key, place = _line_keys(token, most[rarity], a, n, threshold, dense)
+                order = np.argsort(line, kind="stable")
+                ends = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(a)))]).astype(np.int32)
+                keys = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(key[order].view(np.int64)), pa.array(np.repeat(n, np.diff(ends)) << 32 | place[order])], names=["token", "ni"]))
+                yield pa.record_batch([pa.array(ids[i:j][doc[rows]]), pa.array(number[rows]), *map(pa.array, sig), keys], names=["doc_id", "line", *SIGNATURE, "keys"])
+
+    rows = map_arrow(docs, run, "doc_id long, line int, s0 long, s1 long, s2 long, s3 long, keys array<struct<token: long, ni: long>>")
+    first = sized_join(rows, repeated, repeated.count(), 48, ["doc_id", "line"], "left_anti")  # a line that other tasks have, too
+    return first.select("doc_id", "line", *SIGNATURE, F.inline("keys")).select(*POSTING)
+
+
+def _gathered(batches, rows: int):
+    """The columns of as many batches at a time as have `rows` rows."""
+    some, n = [], 0
+    for batch in batches:
+        some.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+        n += batch.num_rows
+        if n >= rows:
+            yield [np.concatenate(c) for c in zip(*some)]
+            some, n = [], 0
+    if n:
+        yield [np.concatenate(c) for c in zip(*some)]
+
+
+def _list_heads(batches, threshold: float, block: int, most: int):
+    """Over each key's list in order of place: kind 0, a line and the first `most` of the list's first `block` lines that it
+    may match, the most alike first, `far` bits from it; kind 1, rows at `rank` (from 0) that have not seen those between rank
+    `since` and their own; kind 2, the first `block` rows of lists with such rows. Lists stream through; only their first
+    rows are held."""
+    held = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, *[np.int64] * 5)]
+    before, open_list = 0, False  # rows of the list that have passed, and whether it has rows of kind 1
+    for new in _gathered(batches, 1 << 15):
+        k = len(held[0]) if before and held[0][0] == new[0][0] else 0
+        open_list = open_list and k > 0
+        cols = [np.concatenate([h[:k], x]) for h, x in zip(held, new)]
+        token, doc_id, line, n, i = *cols[:3], (cols[3] >> 32).astype(np.int32), (cols[3] & 0xFFFFFFFF).astype(np.int32)
+        idx = np.arange(len(token), dtype=np.int32)
+        head = np.concatenate([[True], token[1:] != token[:-1]])
+        start = np.maximum.accumulate(np.where(head, idx, 0))
+        rank = idx.astype(np.int64) - start
+        rank[k:] += np.where(start[k:] == 0, before - k, 0) if k else 0
+        totals = np.arange(2 * int(n.max()) + 1)
+        need_of = np.ceil(totals * (threshold / (1 + threshold)) - 1e-9).astype(np.int64)
+        apart_of = totals - 2 * need_of  # words that are in one of both only, at most
+        seen, since = np.zeros(len(idx), np.int16), np.minimum(rank, block)
+        words = [c.view(np.uint64) for c in cols[4:]]
+        halves = [words[0] ^ words[2], words[1] ^ words[3]]
+        folded = halves[0] ^ halves[1]
+        own, other, far, x = [idx[:0]], [idx[:0]], [np.zeros(0, np.int16)], idx[k:]
+        for j in range(block):
+            x = x[(rank[x] > j) & (seen[x] < most)]
+            if not len(x):
+                break
+            t = start[x] + j
+            total = n[x] + n[t]
+            apart = np.bitwise_count(folded[x] ^ folded[t])
+            ok = apart <= apart_of[total]
+            a, b, apart, total = x[ok], t[ok], apart[ok].astype(np.int16), total[ok]
+            for parts, least in ((halves, WIDER), (words, WIDEST)):  # the wider signatures that both have
+                both = np.flatnonzero((n[a] > least) & (n[b] > least))
+                if len(both):
+                    apart[both] = sum(np.bitwise_count(w[a[both]] ^ w[b[both]]).astype(np.int16) for w in parts)
+                    ok = apart <= apart_of[total]
+                    a, b, apart, total = a[ok], b[ok], apart[ok], total[ok]
+            need = need_of[total]
+            ok = (np.minimum(n[a] - i[a], n[b] - i[b]) >= need) & (np.minimum(n[a], n[b]) >= threshold * np.maximum(n[a], n[b]) - 1e-9)
+            ok &= (doc_id[b] != doc_id[a]) | (line[b] != line[a])
+            a = a[ok]
+            own.append(a)
+            other.append(b[ok])
+            far.append(apart[ok])
+            seen[a] += 1
+            since[a[seen[a] == most]] = j + 1
+        own, other, far = np.concatenate(own), np.concatenate(other), np.concatenate(far)
+        order = np.lexsort((far, own))  # a line's candidates of this list in one row, the most alike first
+        own, other, far = own[order], other[order], far[order]
+        a, b = _runs(own) if len(own) else (own, own)
+        segment = np.cumsum(head) - 1
+        left = (idx >= k) & ((since < rank) | (rank >= block))
+        opened = np.zeros(segment[-1] + 1, bool)
+        opened[segment[left]] = True
+        told = open_list  # the held rows of the first list have been given
+        opened[0] |= open_list
+        heads = np.flatnonzero((rank < block) & opened[segment] & ((idx >= k) | (not told)))
+        left = np.flatnonzero(left)
+        at = np.concatenate([own[a], left, heads])
+        ends = np.concatenate([[0], b, np.full(len(left) + len(heads), len(own))]).astype(np.int32)
+        found = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(doc_id[other]), pa.array(line[other])], names=["t_doc_id", "t_line"]))
+        out = {"kind": pa.array(np.repeat(np.array([0, 1, 2], np.int8), [len(a), len(left), len(heads)])), "rank": pa.array(rank[at]), "since": pa.array(since[at])} | {c: pa.array(v[at]) for c, v in zip(POSTING, cols)}
+        out |= {"far": pa.array(np.concatenate([far[a], np.zeros(len(left) + len(heads), np.int16)]).astype(np.int32)), "found": found}
+        if len(at):
+            yield pa.record_batch(list(out.values()), names=list(out))
+        last = int(start[-1])
+        before, open_list = int(rank[-1]) + 1, bool(opened[-1])
+        held = [c[last : last + block].copy() for c in cols]
+
+
+def _first_blocks(postings: DataFrame, threshold: float, block: int, most: int) -> DataFrame:
+    """`_list_heads` over the lists of all keys, each in one task."""
     ordered = postings.repartition("token").sortWithinPartitions("token", "doc_id", "line")
-    return map_arrow(ordered, run, "kind byte, rank long, token long, doc_id long, line int, n int, i int, sig long, far long, found array<struct<t_doc_id: long, t_line: int>>", rows=1 << 16)
+    return map_arrow(ordered, lambda batches: _list_heads(batches, threshold, block, most), "kind byte, rank long, since long, token long, doc_id long, line int, ni long, s0 long, s1 long, s2 long, s3 long, far int, found array<struct<t_doc_id: long, t_line: int>>", rows=1 << 15)
 
 
 def _token_sets(wanted: DataFrame) -> DataFrame:
-    """(doc_id, line, text) with one line's text -> (doc_id, line, tokens, sig): the set of its words' hashes, and a signature of 256
-    bits with one flipped for each."""
+    """(doc_id, line, text) with one line's text -> (doc_id, line, tokens): the set of its words' hashes."""
 
     def run(batches):
         for batch in batches:
@@ -265,101 +351,101 @@ def _token_sets(wanted: DataFrame) -> DataFrame:
                 token.append(h[once])
             sizes = np.bincount(np.concatenate(own), minlength=batch.num_rows) if own else np.zeros(batch.num_rows, np.int64)
             values = np.concatenate(token).view(np.int64) if token else np.zeros(0, np.int64)
-            sig, bit = np.zeros((batch.num_rows, 4), np.uint64), values.view(np.uint64)
-            where = np.repeat(np.arange(batch.num_rows), sizes)
-            np.bitwise_xor.at(sig, (where, ((bit >> np.uint64(6)) & np.uint64(3)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
             tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
-            sigs = pa.ListArray.from_arrays(pa.array(np.arange(0, 4 * batch.num_rows + 1, 4, dtype=np.int32)), pa.array(sig.reshape(-1).view(np.int64)))
-            yield pa.record_batch([batch.column(0), batch.column(1), tokens, sigs], names=["doc_id", "line", "tokens", "sig"])
+            yield pa.record_batch([batch.column(0), batch.column(1), tokens], names=["doc_id", "line", "tokens"])
 
-    return map_arrow(wanted, run, "doc_id long, line int, tokens array<long>, sig array<long>", rows=1 << 14)
+    return map_arrow(wanted, run, "doc_id long, line int, tokens array<long>", rows=1 << 14)
 
 
 def _may_match(s, t, threshold: float):
     """Length, positional and signature filters for a list's row `s` and an earlier one `t` (prefixes of columns)."""
-    c = lambda side, name: F.col(f"{side}{name}")
+    parts = {"n": lambda x: F.shiftright(x, 32), "i": lambda x: x.bitwiseAND(F.lit(0xFFFFFFFF))}
+    c = lambda side, name: parts[name](F.col(f"{side}ni")) if name in parts else F.col(f"{side}{name}")
     most = F.least(c(s, "n") - c(s, "i"), c(t, "n") - c(t, "i"))
     need = F.ceil((c(s, "n") + c(t, "n")) * F.lit(threshold / (1 + threshold)) - 1e-9)
-    apart = F.bit_count(c(s, "sig").bitwiseXOR(c(t, "sig")))
+    flips = lambda *k: F.bit_count(reduce(lambda x, y: x.bitwiseXOR(y), [c(side, SIGNATURE[j]) for side in (s, t) for j in k]))
+    shorter = F.least(c(s, "n"), c(t, "n"))
+    apart = F.when(shorter > WIDEST, flips(0) + flips(1) + flips(2) + flips(3)).when(shorter > WIDER, flips(0, 2) + flips(1, 3)).otherwise(flips(0, 1, 2, 3))
     earlier = (c(t, "doc_id") < c(s, "doc_id")) | ((c(t, "doc_id") == c(s, "doc_id")) & (c(t, "line") < c(s, "line")))
     return earlier & (F.least(c(s, "n"), c(t, "n")) >= F.greatest(c(s, "n"), c(t, "n")) * threshold - 1e-9) & (most >= need) & (apart <= c(s, "n") + c(t, "n") - 2 * need)
 
 
-def _without(pairs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Pairs without those of a repeated line: it goes anyway, and the first of its kind stands for it."""
-    place = [F.col("doc_id").alias("t_doc_id"), F.col("line").alias("t_line")]
-    return pairs.join(repeated, ["doc_id", "line"], "left_anti").join(repeated.select(*place), ["t_doc_id", "t_line"], "left_anti").select("doc_id", "line", "t_doc_id", "t_line")
-
-
 def _alike(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
-    """(doc_id, line) of the pairs (doc_id, line, t_doc_id, t_line) whose Jaccard reaches the threshold, from the lines'
-    texts. Signatures of 256 bits bound the overlap first, so that few pairs carry their token sets."""
+    """(doc_id, line) of the pairs (doc_id, line, t_doc_id, t_line) whose Jaccard reaches the threshold, from the lines' words."""
     pairs = materialize(pairs, "line-pairs")
     ends = pairs.select("doc_id", "line").unionByName(pairs.select(F.col("t_doc_id").alias("doc_id"), F.col("t_line").alias("line")))
     asked = materialize(ends.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "line-asked")
     size = asked.agg(F.count(F.lit(1)), F.sum(F.size("lines"))).first()
-    wanted = sized_join(docs, asked, size[0], 48 + 8 * ((size[1] or 0) // max(1, size[0])), "doc_id", "inner")
+    if not size[0]:
+        return pairs.select("doc_id", "line")
+    wanted = sized_join(docs, asked, size[0], 48 + 8 * (size[1] // size[0]), "doc_id", "inner")
     parts = F.split(F.col("text").cast("string"), "\n")
     own = F.element_at(F.transform(F.array(parts), lambda p: F.transform("lines", lambda k: F.struct(k.alias("line"), F.get(p, k).cast("binary").alias("text")))), 1)
     sets = materialize(_token_sets(wanted.select("doc_id", F.inline(own))), "line-sets")
-    need = lambda a, b: F.ceil((a + b) * F.lit(threshold / (1 + threshold)) - 1e-9)
-    short = sets.select("doc_id", "line", F.size("tokens").alias("n"), "sig")
-    other = short.select(F.col("doc_id").alias("t_doc_id"), F.col("line").alias("t_line"), F.col("n").alias("t_n"), F.col("sig").alias("t_sig"))
-    apart = F.aggregate(F.zip_with("sig", "t_sig", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
-    near = pairs.join(short, ["doc_id", "line"]).join(other, ["t_doc_id", "t_line"]).where(apart <= F.col("n") + F.col("t_n") - 2 * need(F.col("n"), F.col("t_n"))).select("doc_id", "line", "t_doc_id", "t_line")
-    t = sets.select(F.col("doc_id").alias("t_doc_id"), F.col("line").alias("t_line"), F.col("tokens").alias("t_tokens"))
-    both = near.join(t, ["t_doc_id", "t_line"]).join(sets.drop("sig"), ["doc_id", "line"])
-    return both.where(F.size(F.array_intersect("tokens", "t_tokens")) >= need(F.size("tokens"), F.size("t_tokens"))).select("doc_id", "line").distinct()
-
-
-def _verified(docs: DataFrame, found: DataFrame, repeated: DataFrame, threshold: float) -> DataFrame:
+    pair = F.xxhash64("doc_id", "line", "t_doc_id", "t_line")
+    numbered = pairs.select(F.col("doc_id"), F.col("line"), pair.alias("pair"), F.lit(0).alias("side"))
+    asking = numbered.unionByName(pairs.select(F.col("t_doc_id").alias("doc_id"), F.col("t_line").alias("line"), pair.alias("pair"), F.lit(1).alias("side")))
+    told = sized_join(sets, asking, 2 * pairs.count(), 64, ["doc_id", "line"], "inner")  # a line's tokens, for each pair it is in
+    left = told.where("side = 0").select("pair", "doc_id", "line", "tokens")
+    both = left.join(told.where("side = 1").select("pair", F.col("tokens").alias("t_tokens")), "pair")
+    need = F.ceil((F.size("tokens") + F.size("t_tokens")) * F.lit(threshold / (1 + threshold)) - 1e-9)
+    out = materialize(both.where(F.size(F.array_intersect("tokens", "t_tokens")) >= need).select("doc_id", "line").distinct(), "line-near")
+    discard(pairs, asked, sets)
+    return out
+
+
+def _verified(docs: DataFrame, found: DataFrame, threshold: float) -> list[DataFrame]:
     """(doc_id, line) of the lines of `found` (doc_id, line, far, found) that one of their candidates matches. Each line's
     most alike candidate is verified first; only lines that it doesn't settle have all of theirs verified, so a dense group
     costs its lines, not its pairs."""
-    found = found.join(repeated, ["doc_id", "line"], "left_anti")
     best = found.groupBy("doc_id", "line").agg(F.min_by(F.col("found")[0], F.struct("far", F.col("found")[0])).alias("t")).select("doc_id", "line", "t.*")
-    first = materialize(_alike(docs, _without(best, repeated), threshold), "line-near")
-    rest = found.join(first, ["doc_id", "line"], "left_anti").select("doc_id", "line", F.inline("found")).distinct()
-    return first.unionByName(_alike(docs, _without(rest, repeated), threshold)).distinct()
+    first = _alike(docs, best, threshold)
+    rest = found.where(F.size("found") > 0).join(first, ["doc_id", "line"], "left_anti").select("doc_id", "line", F.inline("found")).distinct()
+    return [first, _alike(docs, rest, threshold)]
 
 
-def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, most: int = MOST, dense: int = DENSE) -> DataFrame:
     """(doc_id, line): places of the lines that go, line numbers from 0."""
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
-    seen = materialize(_occurrences(docs), "line-occurrences")
-    counts = _table(seen.where("kind = 1").select("k1", "counts"))
+    slots = table_slots(docs)
+    seen = materialize(_occurrences(docs, slots), "line-occurrences")
+    table = _table(seen.where("kind = 1").select("k1", "counts"), slots)
     firsts = seen.where("kind = 0").select("k1", "k2", "doc_id", "line")
     place = Window.partitionBy("k1", "k2").orderBy("doc_id", "line")  # a row for each task that has the line, and few more
-    repeated = firsts.withColumn("rank", F.rank().over(place)).where("rank > 1").select("doc_id", "line").unionByName(seen.where("kind = 2").select("doc_id", "line"))
-    gone = [materialize(repeated, "line-repeated")]
-
-    blocks = materialize(_first_blocks(_postings(docs, counts, threshold), threshold, block), "line-blocks")
-    gone.append(materialize(_verified(docs, blocks.where("kind = 0").select("doc_id", "line", "far", "found"), gone[0], threshold), "line-near"))
-
-    done, long, size = block, blocks.where("kind = 1").select("token", "rank", "doc_id", "line", "n", "i", "sig"), block
+    repeated = materialize(firsts.withColumn("rank", F.rank().over(place)).where("rank > 1").select("doc_id", "line"), "line-repeated")
+    gone = [repeated, materialize(seen.where("kind = 2").select("doc_id", "line"), "line-repeated")]
+    discard(seen)
+
+    blocks = materialize(_first_blocks(_postings(docs, table, repeated, threshold, dense), threshold, block, most), "line-blocks")
+    near = _verified(docs, blocks.where("kind = 0").select("doc_id", "line", "far", "found"), threshold)
+    names = ("rank", *POSTING[1:])
+    earlier = blocks.where(f"(kind = 1 AND rank >= {block}) OR kind = 2").select("token", *[F.col(c).alias(f"t_{c}") for c in names])
+    left, size = blocks.where("kind = 1").select("token", "since", *names), block
     while True:
         size *= 8
-        left = long.where(F.col("rank") > done)
-        for g in gone:
+        left = left.where(F.col("since") < F.col("rank"))
+        for g in near:
             left = left.join(g, ["doc_id", "line"], "left_anti")
+        gone += near
         left = materialize(left, "line-left")
         if left.isEmpty():
             break
-        names = ("rank", "doc_id", "line", "n", "i", "sig")
-        earlier = long.where((F.col("rank") >= done) & (F.col("rank") < done + size)).select("token", *[F.col(c).alias(f"t_{c}") for c in names])
-        pairs = left.join(earlier, "token").where((F.col("t_rank") < F.col("rank")) & _may_match("", "t_", threshold))
-        gone.append(materialize(_alike(docs, _without(pairs.select("doc_id", "line", "t_doc_id", "t_line").distinct(), gone[0]), threshold), "line-near"))
-        done += size
+        pairs = left.join(earlier, "token").where((F.col("t_rank") >= F.col("since")) & (F.col("t_rank") < F.col("since") + size) & (F.col("t_rank") < F.col("rank")) & _may_match("", "t_", threshold))
+        near = [_alike(docs, pairs.select("doc_id", "line", "t_doc_id", "t_line").distinct(), threshold)]
+        left = left.withColumn("since", F.col("since") + size)
     out = gone[0]
     for g in gone[1:]:
         out = out.unionByName(g)
-    return out.distinct()
+    out = materialize(out.distinct(), "line-removed")
+    discard(blocks, *gone)
+    return out
 
 
-def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, **params) -> DataFrame:
     """`docs` with the removed lines cut out of `text`, and `removed_lines` (their numbers, ascending)."""
-    gone = removed_lines(docs, threshold, block).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed"))
-    gone = materialize(gone, "line-removed")
+    places = removed_lines(docs, threshold, **params)
+    gone = materialize(places.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed")), "line-removed")
+    discard(places)
     size = gone.agg(F.count(F.lit(1)), F.sum(F.size("removed"))).first()
     columns = [c for c in docs.columns if c != "removed_lines"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*columns).alias("row"))  # no name of theirs can clash

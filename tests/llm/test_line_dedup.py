@@ -40,13 +40,37 @@ def corpus(seed, docs=60):
 
 
 def test_removed_lines_equal_brute_force(spark):
-    for seed, block in ((1, 256), (2, 1), (3, 3)):
+    for seed, params in ((1, {}), (2, {"block": 1, "most": 1}), (3, {"block": 3, "most": 2}), (4, {"dense": 1}), (5, {"dense": 4, "block": 4, "most": 1})):
         rows = corpus(seed)
         df = spark.createDataFrame([(d, t, None, "x", "y") for d, t in rows], SCHEMA).repartition(5)
-        got = {tuple(r) for r in line_dedup.removed_lines(df, block=block).collect()}
+        got = {tuple(r) for r in line_dedup.removed_lines(df, **params).collect()}
         assert got == brute(rows)
 
 
+def test_rows_that_share_a_doc_id_are_one_document(spark):
+    rows = [(1, "a b c d e f\nx y z"), (1, "a b c d e f\nx y z\nq r s t"), (2, "x y z\nq r s t"), (2, None)]
+    out = line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r.doc_id, r.text or "", r.removed_lines) for r in out.collect()) == [(1, "a b c d e f\nx y z", []), (1, "a b c d e f\nx y z\nq r s t", []), (2, "", [0, 1]), (2, "", [0, 1])]
+
+
+def test_a_dense_list_is_held_in_bounded_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    n, sig = 40_000, np.random.default_rng(1).integers(0, 2, 40_000)
+    columns = [np.zeros(n, np.int64), np.arange(n), np.zeros(n, np.int32), np.full(n, 40 << 32), sig, *[np.zeros(n, np.int64)] * 3]
+    batches = [pa.record_batch([pa.array(c[k : k + 10_000]) for c in columns], names=list("abcdefgh")) for k in range(0, n, 10_000)]
+    tracemalloc.start()
+    kinds = np.zeros(3, int)
+    for b in line_dedup._list_heads(iter(batches), 0.8, 256, 8):
+        kinds += np.bincount(b.column(0).to_numpy(), minlength=3)
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+    assert kinds.tolist() == [n - 1, n - 9, 256]
+
+
 def test_texts_lose_exactly_the_removed_lines(spark):
     rows = corpus(4, 30)
     gone = brute(rows)
