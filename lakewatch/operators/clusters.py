@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import difflib
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakewatch.functions.detect import act
 from lakewatch.functions.text import compare_form
-from lakewatch.operators.search import title_ratio
 from lakewatch.session import shared_dir
 
 FUZZY = 0.85
@@ -55,7 +56,7 @@ def _token_ranks(titles: DataFrame) -> np.ndarray:
         counts = np.zeros(SLOTS, np.int64)
         for batch in batches:
             for t in batch.column("norm").to_pylist():
-                counts += np.bincount((_tokens(t) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+                np.add.at(counts, (_tokens(t) % np.uint64(SLOTS)).astype(np.int64), 1)
         at = np.flatnonzero(counts)
         yield pa.record_batch([pa.array(at), pa.array(counts[at])], names=["slot", "n"])
 
@@ -95,6 +96,33 @@ def _postings(titles: DataFrame, order: np.ndarray, least: float) -> DataFrame:
     return titles.mapInArrow(run, "token long, item long, n int, s0 long, s1 long, s2 long, s3 long")
 
 
+def _common(places: dict[str, int], n: int, y: str) -> int:
+    """Length of the longest common subsequence of y and a string of n characters, given as bit sets of each one's places."""
+    rest = full = (1 << n) - 1
+    for c in y:
+        at = rest & places.get(c, 0)
+        rest = (rest + at | rest - at) & full
+    return n - rest.bit_count()
+
+
+def _reaches(a: Column, b: Column, least: float) -> Column:
+    """Whether SequenceMatcher's ratio of a to b is `least` or more. What it matches is a common subsequence, so the longest one
+    of those bounds it, and is much cheaper."""
+
+    @F.pandas_udf("boolean")
+    def reaches(x: pd.Series, y: pd.Series) -> pd.Series:
+        out = []
+        for p, q in zip(x, y):
+            places: dict[str, int] = {}
+            for i, c in enumerate(p):
+                places[c] = places.get(c, 0) | 1 << i
+            bound = 2.0 * _common(places, len(p), q) >= least * (len(p) + len(q)) - 1e-9
+            out.append(bound and difflib.SequenceMatcher(None, p, q).ratio() >= least)
+        return pd.Series(out, dtype=bool)
+
+    return reaches(a, b)
+
+
 def _near(batches, least: float):
     """(a, b) of each group of rows (token, u, v, part, item, n, s0..s3), of equal token, u and v and in order of part: pairs of a
     row of part 0 with one of part 1, or of two rows of part 0 if the group has no other part (u = v), whose lengths and
@@ -152,7 +180,7 @@ def similar_pairs(items: DataFrame, least: float = FUZZY, piece: int = PIECE) ->
     streams = group.repartition("token", "u", "v").sortWithinPartitions("token", "u", "v", "part")
     near = streams.mapInArrow(lambda batches: _near(batches, least), "a long, b long").distinct()
     x, y = (r.select(F.col("item").alias(c), F.col("norm").alias(n)) for c, n in (("a", "x"), ("b", "y")))
-    return near.join(x, "a").join(y, "b").where(title_ratio(F.col("x"), F.col("y")) >= least).select("a", "b").unionByName(same)
+    return near.join(x, "a").join(y, "b").where(_reaches(F.col("x"), F.col("y"), least)).select("a", "b").unionByName(same)
 
 
 def components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 30) -> DataFrame:
