@@ -108,6 +108,8 @@ def _a25(spark, d):
     return analytics.slo(e)
 
 
+query("a25_slo_by_source", "SELECT 'src' || event_id % 20 AS source_id, avg((event_type <> 'error')::INT::DOUBLE) AS success, count(*) AS n FROM events GROUP BY 1")(lambda s, d: analytics.slo_by_source(views.source_events(s, d)))
+
 # Windows over histories
 query("w01_trailing_verdict", """SELECT source_id, arg_max(dis, (ts, event_id)) AS should_disable, arg_max(en, (ts, event_id)) AS should_enable FROM (SELECT source_id, ts, event_id, max(ok::INT) OVER f = 0 AND count(*) OVER f = 5 AS dis, min(ok::INT) OVER g = 1 AND count(*) OVER g = 3 AS en
 FROM source_events WINDOW f AS (PARTITION BY source_id ORDER BY ts, event_id ROWS 4 PRECEDING), g AS (PARTITION BY source_id ORDER BY ts, event_id ROWS 2 PRECEDING)) GROUP BY 1""", "source_events")(lambda s, d: health.trailing_verdict(views.source_events(s, d)))
@@ -189,8 +191,9 @@ _corpus(
     lambda c: filters.validated_responses(*_responses(c))[1].groupBy("reason").agg(F.count(F.lit(1)).alias("n")),
 )
 _corpus("f15_rule_classifier", "SELECT doc_id, n, CASE WHEN n = 0 THEN 0 ELSE least(10, 4 + 2 * n) END AS relevancia FROM (SELECT doc_id, " + " + ".join(f"({_TOPN(w)} > 0)::INT" for w in TOPIC_WORDS.values()).replace("(texto)", "(titulo || ' ' || texto)") + " AS n FROM corpus)", lambda c: filters.rule_classifier(c, TOPIC_WORDS).select("doc_id", F.size("topics").alias("n"), "relevancia"))
-_corpus("f19_predicates", "SELECT doc_id, coalesce(relevancia >= 8, false) AS high_relevance, coalesce(aliquotas, '') <> '' AS has_aliquotas, false AS has_revogacoes, false AS has_modulacao, coalesce(tipo = 'view', false) AS is_tipo FROM corpus", lambda c: filters.document_predicates(c, tipo="view"))
-query("f20_url_safety", "SELECT page_id, regexp_matches(url, '^https://[^/]') AND length(url) <= 2048 AS safe FROM pages")(lambda s, d: views.table(s, d, "pages").select("page_id", protect.safe_url(F.col("url")).alias("safe")))
+_corpus("f19_predicates", "SELECT doc_id, coalesce(relevancia >= 8, false) AS high_relevance, coalesce(aliquotas, '') <> '' AS has_aliquotas, doc_id % 4 = 0 AS has_revogacoes, doc_id % 8 = 0 AS has_modulacao, coalesce(tipo = 'view', false) AS is_tipo FROM corpus", lambda c: filters.document_predicates(c.withColumn("metadados", F.map_concat("metadados", F.map_filter(F.create_map(F.lit("revogacoes_citadas"), F.expr("CASE WHEN doc_id % 4 = 0 THEN '1/2000' END"), F.lit("modulacao_efeitos"), F.expr("CASE WHEN doc_id % 8 = 0 THEN 'true' WHEN doc_id % 8 = 1 THEN 'false' END")), lambda k, v: v.isNotNull()))), tipo="view"))
+_HOSTS = ("https://10.0.0.5/x", "https://localhost/", "http://a.example.org/", "https://[::1]/", "https://8.8.8.8/", "https://[2606:4700::1111]/x", "https://user@192.168.1.1:8443/", "https://metadata.google.internal/")
+query("f20_url_safety", "SELECT page_id, CASE WHEN page_id % 9 = 8 THEN regexp_matches(url, '^https://[^/]') AND length(url) <= 2048 ELSE page_id % 9 IN (4, 5) END AS safe FROM pages")(lambda s, d: views.table(s, d, "pages").select("page_id", protect.safe_url(F.when(F.col("page_id") % 9 == 8, F.col("url")).otherwise(F.get(F.array(*[F.lit(h) for h in _HOSTS]), (F.col("page_id") % 9).cast("int")))).alias("safe")))
 _NETS = (("10.0.0.0/8", 167772160, 184549375), ("66.0.0.0/7", 1107296256, 1140850687), ("17.5.0.0/17", 285540352, 285573119), ("100.64.0.0/10", 1681915904, 1686110207))
 
 
@@ -261,35 +264,51 @@ UNION ALL SELECT 'w2', doc_id FROM corpus WHERE uf = 'EN' AND contains({_SHORT},
 _both("j05_silent_sources", f"SELECT s.id AS source_id, ativo, coalesce(n, 0) AS n, last_seen, last_seen IS NULL OR NOT ({since('last_seen', 7)}) AS silent FROM sources s LEFT JOIN (SELECT source_id, count(*) AS n, max(fetched_at) AS last_seen FROM corpus GROUP BY 1) b ON b.source_id = s.id", health.silent_sources)
 
 # Clusters
-_corpus("c02_cluster_key", "SELECT doc_id, 'url:' || url AS cluster_key FROM corpus", lambda c: c.select("doc_id", clusters.cluster_key().alias("cluster_key")))
+_acted = lambda c: c.withColumn("titulo", F.expr("CASE WHEN doc_id % 3 = 0 THEN concat('Lei nº ', doc_id % 15, '/2024 ', titulo) ELSE titulo END"))  # noqa: E731  a third of the titles name an act
+_corpus("c02_cluster_key", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'numato:' || doc_id % 15 || '/2024' ELSE 'url:' || url END AS cluster_key FROM corpus", lambda c: _acted(c).select("doc_id", clusters.cluster_key().alias("cluster_key")))
 _corpus("c03_clusters", None, lambda c: clusters.assign_clusters(c.select("doc_id", "titulo", "url", "content_hash")).select("doc_id", "cluster_id"))
-_corpus("c04_duplicate_flags", "SELECT doc_id, content_hash IN (SELECT content_hash FROM corpus WHERE doc_id % 2 = 0) AS same_hash, false AS same_key FROM corpus WHERE doc_id % 2 = 1", lambda c: clusters.duplicate_flags(c.where("doc_id % 2 = 1"), c.where("doc_id % 2 = 0")).select("doc_id", "same_hash", "same_key"))
+_corpus("c04_duplicate_flags", "SELECT doc_id, content_hash IN (SELECT content_hash FROM corpus WHERE doc_id % 4 = 0) AS same_hash, doc_id % 3 = 0 AND doc_id % 15 IN (SELECT doc_id % 15 FROM corpus WHERE doc_id % 4 = 0 AND doc_id % 3 = 0) AS same_key FROM corpus WHERE doc_id % 4 <> 0", lambda c: clusters.duplicate_flags(_acted(c).where("doc_id % 4 <> 0"), _acted(c).where("doc_id % 4 = 0")).select("doc_id", "same_hash", "same_key"))
 _THEME = "SELECT array_to_string(list_sort(topics), '+') AS topics, coalesce(numero_ato, '_') AS numero, string_agg(DISTINCT uf, '|' ORDER BY uf) AS ufs, count(*) AS n FROM corpus WHERE len(topics) > 0 GROUP BY 1, 2"
 _flat = lambda g: g.select("topics", "numero", F.array_join("ufs", "|").alias("ufs"), "n")
 _corpus("c07_thematic_clusters", _THEME, lambda c: _flat(clusters.thematic(c)))
 _corpus("c08_multi_region", f"SELECT * FROM ({_THEME}) WHERE contains(ufs, '|')", lambda c: _flat(clusters.multi_region(clusters.thematic(c))))
 
 # Tables
-_corpus("k01_upsert", "SELECT doc_id FROM corpus", lambda c: tables.upsert(c.where("doc_id % 3 <> 0"), c.where("doc_id % 2 = 0").unionByName(c.where("doc_id % 6 = 3")))[0].select("doc_id"))
+def _upserted(c: DataFrame) -> DataFrame:
+    """A batch of the even documents, classified anew, some with another title, into a table of those that three doesn't divide."""
+    batch = c.where("doc_id % 2 = 0").withColumn("relevancia", F.lit(99)).withColumn("titulo", F.expr("CASE WHEN doc_id % 10 = 0 THEN 'x' ELSE titulo END"))
+    table, conflicts = tables.upsert(c.where("doc_id % 3 <> 0"), batch)
+    return table.select(F.lit("table").alias("part"), "doc_id", "relevancia").unionByName(conflicts.select(F.lit("conflict").alias("part"), "doc_id", F.lit(None).cast("int").alias("relevancia")))
+
+
+_corpus("k01_upsert", "SELECT 'table' AS part, doc_id, CASE WHEN doc_id % 3 = 0 THEN 99 ELSE relevancia END AS relevancia FROM corpus WHERE doc_id % 3 <> 0 OR doc_id % 2 = 0 UNION ALL SELECT 'conflict', doc_id, NULL FROM corpus WHERE doc_id % 10 = 0 AND doc_id % 3 <> 0", _upserted)
 _corpus("k02_replace_classification", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 10 ELSE relevancia END AS relevancia FROM corpus", lambda c: tables.replace_classification(c, c.where("doc_id % 2 = 0").select("doc_id", F.lit(10).alias("relevancia"))).select("doc_id", "relevancia"))
 _corpus("k03_set_status", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'notified' ELSE status END AS status FROM corpus", lambda c: tables.set_status(c, c.where("doc_id % 5 = 0").select("doc_id", F.lit("notified").alias("status"))).select("doc_id", "status"))
 _corpus("k04_tags", "SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN 'estrela|novo' ELSE 'novo' END AS user_tags FROM corpus", lambda c: tables.add_tag(tables.remove_tag(tables.rename_tag(c, "favorito", "estrela"), "lido"), "novo").select("doc_id", F.array_join("user_tags", "|").alias("user_tags")))
 _corpus("k05_reindex", f"SELECT doc_id, 2 AS index_version, md5({_TEXT}) AS form FROM corpus", lambda c: tables.reindex(c, search.indexed(c).withColumn("index_version", F.when(F.col("doc_id") % 2 == 0, 2).otherwise(1))).select("doc_id", "index_version", F.md5("text").alias("form")))
 _corpus("k06_retention", f"SELECT 'discarded' AS rule, count(*) AS n FROM corpus WHERE severity_tier = 'descartado' AND fetched_at < {AS_OF} - INTERVAL '10' DAY HAVING count(*) > 0 UNION ALL SELECT 'pending', count(*) FROM corpus WHERE status = 'pending' AND fetched_at < {AS_OF} - INTERVAL '20' DAY HAVING count(*) > 0", lambda c: tables.retention(c, rules=(("discarded", "severity_tier = 'descartado'", 10), ("pending", "status = 'pending'", 20)))[1])
-_corpus("k10_csv_rows", "SELECT doc_id, uf, array_to_string(tags, ' | ') AS tags, array_to_string(topics, ' | ') AS topics FROM corpus", lambda c: tables.csv_rows(c).select("doc_id", "uf", "tags", "topics"))
-_corpus("k11_json_rows", "SELECT doc_id, coalesce(len(tags), 0) AS n_tags, coalesce(len(topics), 0) AS n_topics FROM corpus", lambda c: tables.json_rows(c).select("doc_id", F.size("tags").alias("n_tags"), F.size("topics").alias("n_topics")))
+_corpus("k10_csv_rows", "SELECT doc_id, source_id, uf, titulo, url, data_publicacao, fetched_at, tipo, relevancia, severity_tier, resumo, array_to_string(tags, ' | ') AS tags, array_to_string(topics, ' | ') AS topics FROM corpus", tables.csv_rows)
+_corpus("k11_json_rows", "SELECT doc_id, source_id, uf, titulo, url, data_publicacao, fetched_at, tipo, relevancia, severity_tier, resumo, array_to_string(coalesce(tags, []), '|') AS tags, array_to_string(coalesce(topics, []), '|') AS topics, status, numero_ato, llm_model, prompt_version FROM corpus", lambda c: tables.json_rows(c).withColumn("tags", F.array_join("tags", "|")).withColumn("topics", F.array_join("topics", "|")).withColumn("numero_ato", F.col("metadados")["numero_ato"]).drop("metadados"))
 _corpus("k12_feeds", "SELECT 'uf/' || uf AS feed, doc_id FROM (SELECT uf, doc_id, row_number() OVER (PARTITION BY uf ORDER BY fetched_at DESC, doc_id) AS r FROM corpus) WHERE r <= 50 UNION ALL SELECT 'tipo/' || tipo, doc_id FROM (SELECT tipo, doc_id, row_number() OVER (PARTITION BY tipo ORDER BY fetched_at DESC, doc_id) AS r FROM corpus WHERE tipo IS NOT NULL) WHERE r <= 50 UNION ALL SELECT * FROM (SELECT 'relevantes', doc_id FROM corpus WHERE relevancia >= 7 ORDER BY fetched_at DESC, doc_id LIMIT 50)", lambda c: tables.feeds(c).select("feed", "doc_id"))
 _corpus("k13_exported_since", "SELECT doc_id FROM corpus WHERE CAST(fetched_at AS DATE) >= DATE '2024-01-20'", lambda c: tables.exported_since(c, "2024-01-20").select("doc_id"))
 _corpus("k16_clean_keywords", "SELECT min(doc_id) AS pos, arg_min(kw, doc_id) AS kw FROM (SELECT doc_id, trim(regexp_replace(tags[1], '\\s+', ' ', 'g')) AS kw FROM corpus WHERE len(tags) > 0) WHERE length(kw) BETWEEN 1 AND 80 GROUP BY lower(kw)", lambda c: tables.clean_keywords(c.where("size(tags) > 0").select(F.col("doc_id").alias("pos"), F.col("tags")[0].alias("kw"))))
 _corpus("k18_mutes", "SELECT doc_id FROM corpus WHERE has_llm AND uf <> 'DE' AND tipo <> 'click'", lambda c: filters.routed(c, c.sparkSession.createDataFrame([("UF=DE", "2024-02-10 00:00:00"), ("tipo=click", "2024-03-01 00:00:00"), ("UF=EN", "2024-01-01 00:00:00")], "key string, u string").select("key", F.to_timestamp("u").alias("until"))).select("doc_id"))
 _corpus("k09_reconcile_owner", "SELECT 'new' AS owner_id, count(*) AS n FROM corpus", lambda c: tables.reconcile_owner(c, "owner", "new").groupBy("owner_id").agg(F.count(F.lit(1)).alias("n")))
-_corpus("k08_restore", "SELECT CASE WHEN doc_id % 7 = 0 THEN 'version' WHEN doc_id % 5 = 0 THEN 'owner' ELSE 'collection' END AS reason, count(*) AS n FROM corpus WHERE doc_id % 7 = 0 OR doc_id % 5 = 0 OR doc_id % 11 = 0 GROUP BY 1", lambda c: tables.restore(c.select(F.expr("CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END").alias("version"), F.expr("CASE WHEN doc_id % 5 = 0 THEN 'other' ELSE 'owner' END").alias("owner_id"), F.expr("CASE WHEN doc_id % 11 = 0 THEN 'x' ELSE 'documents' END").alias("collection"), "doc_id"), "owner", ("documents",))[1])
+def _restored(c: DataFrame) -> DataFrame:
+    rows = c.select(F.expr("CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 1 END").alias("version"), F.expr("CASE WHEN doc_id % 5 = 0 THEN 'other' ELSE 'owner' END").alias("owner_id"), F.expr("CASE WHEN doc_id % 11 = 0 THEN 'x' ELSE 'documents' END").alias("collection"), F.expr("CASE WHEN doc_id % 13 = 0 THEN concat(doc_id, ' ') ELSE CAST(doc_id AS STRING) END").alias("doc_id"))
+    good, bad = tables.restore(rows, "owner", ("documents",))
+    return bad.unionByName(good.groupBy("collection").agg(F.count(F.lit(1)).alias("n")).select(F.concat(F.lit("accepted "), "collection").alias("reason"), "n"))
+
+
+_corpus("k08_restore", "SELECT CASE WHEN doc_id % 7 = 0 THEN 'version' WHEN doc_id % 5 = 0 THEN 'owner' WHEN doc_id % 11 = 0 THEN 'collection' WHEN doc_id % 13 = 0 THEN 'doc_id' ELSE 'accepted documents' END AS reason, count(*) AS n FROM corpus GROUP BY 1", _restored)
 
 # Pipeline
 
 
-def _batch(spark, d) -> intake.Batch:
+def _batch(spark, d, one_source: bool = False) -> intake.Batch:
     c, s = views.corpus(spark, d), views.sources(spark, d)
+    if one_source:  # contents that several sources have are left out
+        c = c.join(c.groupBy("content_hash").agg(F.min("source_id").alias("a"), F.max("source_id").alias("b")).where("a = b").select("content_hash"), "content_hash", "left_semi")
     new = _items(c).drop("doc_id").withColumn("n", F.lit(1)).dropDuplicates(["content_hash"]).drop("n")
     responses = c.where("has_llm").groupBy("content_hash").agg(F.min("tipo").alias("tipo"), F.max("relevancia").alias("relevancia"), F.min("topics").alias("topics"), F.min("tags").alias("tags"))
     return intake.run_batch(new, s.withColumn("keywords_bypass", F.lit(False)).withColumn("org_mentions", F.array().cast("array<string>")).withColumn("keywords_required", F.array().cast("array<string>")).withColumn("trusted", F.lit(True)), c.where("doc_id % 4 = 0").select("content_hash"), responses, KEYWORDS, cutoff=0.0)
@@ -302,6 +321,9 @@ _corpus(
     lambda c: None,
 )
 QUERIES["p01_a21_batch_funnel"] = lambda spark, d: _batch(spark, d).funnel.groupBy().pivot("stage", ["collected", "keywords", "prescore", "new", "classified", "stored", "notified"]).agg(F.max("n"))
+_corpus("a21_items_by_source", f"""SELECT source_id, count(*) AS collected, count_if(f AND NOT old AND NOT (llm AND r < 5))::BIGINT AS stored, count_if(f AND NOT old AND llm AND r < 5)::BIGINT AS discarded FROM (
+    SELECT content_hash, min(source_id) AS source_id, bool_or(len({_FOUND.format("titulo || ' ' || texto", _lit(KEYWORDS))}) > 0) AS f, bool_or(doc_id % 4 = 0) AS old, bool_or(has_llm) AS llm, max(relevancia) AS r FROM corpus GROUP BY 1 HAVING min(source_id) = max(source_id)) GROUP BY 1""", lambda c: None)
+QUERIES["a21_items_by_source"] = lambda spark, d: analytics.items_by_source(_batch(spark, d, one_source=True).steps)
 _corpus("p03_reprocess", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 11 < 5 THEN 'archived' ELSE 'classified' END ELSE status END AS status FROM corpus", lambda c: intake.reprocess(c, c.where("doc_id % 2 = 0").select("doc_id", F.lit("lei").alias("tipo"), (F.col("doc_id") % 11).cast("int").alias("relevancia"))).select("doc_id", "status"))
 _corpus("p04_dispatch_split", "SELECT doc_id, CASE WHEN severity_tier = 'critico' THEN 'immediate' ELSE 'digest' END AS queue FROM corpus WHERE severity_tier IS NOT NULL", intake.dispatch_split)
 _corpus("p05_d24_digest_rows", f"SELECT doc_id, coalesce(titulo, '(sem título)') AS titulo, coalesce(tipo, 'outro') AS tipo, strftime(coalesce(data_publicacao, fetched_at), '%d/%m/%Y') AS data, array_to_string(coalesce(topics, []), ', ') AS topics FROM corpus WHERE severity_tier IS NOT NULL AND {since('fetched_at', 7)} ORDER BY fetched_at DESC, doc_id LIMIT 1000", lambda c: intake.digest_rows(c).select("doc_id", "titulo", "tipo", "data", "topics"))

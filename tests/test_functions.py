@@ -36,6 +36,9 @@ def one(spark, column, value=None, schema="c string"):
         (lambda C: text.nfkc(C), "ﬁm ①", "fim 1"),
         (lambda C: text.strip_controls(C), "a\u0000b\nc‍", "ab\nc"),
         (lambda C: text.sanitize_html(C), '<p class="x">a<script>b()</script><i onclick="z">c</i><!-- d --><x>e</x></p>', "<p>a<i>c</i>e</p>"),
+        (lambda C: text.sanitize_html(C), '<p class="x">a<script>b</script><!-- c --><a href="y">d</a><IFRAME src="z"/>e</p>', "<p>ade</p>"),
+        (lambda C: text.detection_form(C), "Ｌｅｉ\u0007 1/2020\u200b", "Lei 1/2020"),
+        (lambda C: text.search_form(C), "ＡÇÃO  ﬁnaĺ\n\u0007x", "acao final x"),
         (lambda C: text.act_number(C), "lei nº 1.234 de 2024", "1234/2024"),
         (lambda C: text.duration_days(C), "3w", 21),
         (lambda C: text.duration_days(C), "3x", None),
