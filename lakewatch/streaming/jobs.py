@@ -45,21 +45,21 @@ def _ordered(rows: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
 
 
 class ZeroRuns(StatefulProcessor):
-    """Rows (source_id, run_day, items) -> consecutive zero runs, alert exactly at `alert_at`."""
+    """Rows (source_id, run_day, items) -> consecutive zero runs, the last day with items, alert exactly at `alert_at`."""
 
     def __init__(self, alert_at: int = 7, most: int = 10_000):
         self.alert_at, self.most = alert_at, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("zeros", "zeros int")
+        self.state = handle.getValueState("zeros", "zeros int, last date")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        zeros, out = (self.state.get()[0] if self.state.exists() else 0), []
+        (zeros, last), out = (self.state.get() if self.state.exists() else (0, None)), []
         for r in _ordered(rows, "run_day").itertuples():
-            zeros = 0 if r.items > 0 else zeros + 1
-            out.append((key[0], r.run_day, int(r.items), min(zeros, self.most), zeros == self.alert_at))
-        self.state.update((min(zeros, self.most),))
-        yield pd.DataFrame(out, columns=["source_id", "run_day", "items", "consecutive_zero_runs", "alert"])
+            zeros, last = (0, r.run_day) if r.items > 0 else (zeros + 1, last)
+            out.append((key[0], r.run_day, int(r.items), min(zeros, self.most), last, zeros == self.alert_at))
+        self.state.update((min(zeros, self.most), last))
+        yield pd.DataFrame(out, columns=["source_id", "run_day", "items", "consecutive_zero_runs", "last_nonzero_at", "alert"])
 
     def close(self) -> None:
         pass
@@ -67,7 +67,7 @@ class ZeroRuns(StatefulProcessor):
 
 def zero_run_stream(history: DataFrame, alert_at: int = 7) -> DataFrame:
     ship_package(history.sparkSession)
-    out = "source_id string, run_day date, items long, consecutive_zero_runs int, alert boolean"
+    out = "source_id string, run_day date, items long, consecutive_zero_runs int, last_nonzero_at date, alert boolean"
     return history.groupBy("source_id").transformWithStateInPandas(ZeroRuns(alert_at), out, "Update", "None")
 
 
@@ -166,6 +166,46 @@ def trigger_stream(hits: DataFrame) -> DataFrame:
     return hits.groupBy("watch_id").transformWithStateInPandas(Cooldown(), "watch_id string, doc_id long, ts timestamp", "Update", "None")
 
 
+class Heartbeat(StatefulProcessor):
+    """Rows (source_id, ts, ok) -> last success and failure, failures since the last success, and whether the source is chronic
+    (`most` failures in a row). A timer in event time tells a source stale that has had no success for `days`."""
+
+    def __init__(self, days: float = 7.0, most: int = 5):
+        self.days, self.most = days, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.state = handle, handle.getValueState("beat", "ok timestamp, failure timestamp, failures int")
+
+    def _told(self, key, stale: bool) -> pd.DataFrame:
+        ok, failure, failures = self.state.get()
+        row = (key[0], ok, failure, failures, stale, failures >= self.most)
+        return pd.DataFrame([row], columns=["source_id", "last_ok", "last_failure", "failures", "stale", "chronic"])
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        ok, failure, failures = self.state.get() if self.state.exists() else (None, None, 0)
+        for r in _ordered(rows, "ts").itertuples():
+            ts = pd.Timestamp(r.ts).to_pydatetime()
+            ok, failure, failures = (ts, failure, 0) if r.ok else (ok, ts, failures + 1)
+        self.state.update((ok, failure, failures))
+        for due in list(self.handle.listTimers()):
+            self.handle.deleteTimer(due)
+        if ok is not None:
+            self.handle.registerTimer(int(pd.Timestamp(ok).timestamp() * 1000 + self.days * 86_400_000))
+        yield self._told(key, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        yield self._told(key, True)
+
+    def close(self) -> None:
+        pass
+
+
+def staleness_stream(events: DataFrame, days: float = 7.0, most: int = 5, delay: str = "1 hour") -> DataFrame:
+    ship_package(events.sparkSession)
+    out = "source_id string, last_ok timestamp, last_failure timestamp, failures int, stale boolean, chronic boolean"
+    return events.withWatermark("ts", delay).groupBy("source_id").transformWithStateInPandas(Heartbeat(days, most), out, "Update", "EventTime")
+
+
 def heartbeat_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("source_id").agg(F.max(F.when(F.col("ok"), F.col("ts"))).alias("last_ok"), F.max(F.when(~F.col("ok"), F.col("ts"))).alias("last_failure"))
 

@@ -26,8 +26,8 @@ def streamed(spark, df, tmp_path, transform, mode="update", files=3):
 
 def test_zero_runs_equal_the_batch_form(spark, tmp_path):
     history = corpus.run_history(spark, SMALL).orderBy("run_day")
-    got = {(r.source_id, r.run_day, r.consecutive_zero_runs, r.alert) for r in streamed(spark, history, tmp_path, jobs.zero_run_stream)}
-    assert got == {(r.source_id, r.run_day, r.consecutive_zero_runs, r.alert) for r in health.zero_runs(history).collect()}
+    told = lambda rows: {(r.source_id, r.run_day, r.consecutive_zero_runs, r.last_nonzero_at, r.alert) for r in rows}
+    assert told(streamed(spark, history, tmp_path, jobs.zero_run_stream)) == told(health.zero_runs(history).collect())
 
 
 def test_admission_equals_a_loop(spark, tmp_path):
@@ -52,6 +52,22 @@ def test_breaker_opens_and_recovers(spark, tmp_path):
     assert [(r.admitted, r.state) for r in rows] == [(True, "closed")] * 4 + [(True, "open"), (False, "open"), (True, "open"), (False, "open"), (True, "closed"), (True, "closed")]
 
 
+def test_staleness_timer_and_failure_streak(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    (tmp_path / "in").mkdir()
+    jobs.use_state_store(spark)
+    out = []
+    for k, rows in enumerate([[("s", 0, True), ("f", 0, True), *(("f", h, False) for h in range(1, 6))], [("f", 24, True), ("x", 24 * 9, True)], [("x", 24 * 10, True)]]):
+        df = spark.createDataFrame([(s, t0 + dt.timedelta(hours=h), ok) for s, h, ok in rows], "source_id string, ts timestamp, ok boolean")
+        df.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        src = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+        q = jobs.staleness_stream(src).writeStream.outputMode("update").foreachBatch(lambda b, _: out.extend(b.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        assert q.exception() is None
+    assert [(r.source_id, r.failures) for r in out if r.chronic and not r.stale] == [("f", 5)]
+    assert {r.source_id for r in out if r.stale} == {"s", "f"}
+
+
 def test_watch_cooldown(spark, tmp_path):
     t0 = dt.datetime(2024, 1, 1)
     df = spark.createDataFrame([("w", i, t0 + dt.timedelta(hours=i), 3) for i in range(8)] + [("x", i, t0 + dt.timedelta(hours=i), 0) for i in range(3)], "watch_id string, doc_id long, ts timestamp, cooldown_hours int")
