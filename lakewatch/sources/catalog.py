@@ -13,11 +13,16 @@ GOV_DOMAINS, FEDERAL, CORE = (".gov.br", ".leg.br", ".jus.br"), ("stf", "stj", "
 
 
 def read_catalog(spark: SparkSession, path: str, active_only: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(catalogue by id, ids that appear more than once) of landed JSON with the model's schema; malformed rows are dropped."""
-    rows = spark.read.schema(struct(SOURCE)).option("mode", "DROPMALFORMED").json(path).where("id IS NOT NULL")
-    twice = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    good = rows.join(twice.select("id"), "id", "left_anti")
-    return (good.where("ativo") if active_only else good).orderBy("id"), twice
+    """(catalogue by id, quarantine) of landed JSON with the model's schema. The quarantine has id, reason (malformed, no_id,
+    duplicate_id) and the record as it landed, if it is malformed."""
+    parsed = F.from_json("value", struct(f"{SOURCE}, _corrupt_record STRING"), {"columnNameOfCorruptRecord": "_corrupt_record"})  # every field, whatever is read of it
+    rows = spark.read.text(path).where("trim(value) <> ''").select(parsed.alias("r")).select("r.*")
+    repeated = rows.where("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", F.lit(True).alias("repeated"))
+    reason = F.when(F.col("_corrupt_record").isNotNull(), "malformed").when(F.col("id").isNull(), "no_id").when(F.col("repeated"), "duplicate_id")
+    told = rows.join(repeated, "id", "left").withColumn("reason", reason)
+    good = told.where("reason IS NULL").drop("_corrupt_record", "repeated", "reason")
+    bad = told.where("reason IS NOT NULL").select("id", "reason", F.col("_corrupt_record").alias("record")).distinct()
+    return (good.where("ativo") if active_only else good).orderBy("id"), bad
 
 
 def select_sources(sources: DataFrame, overlay: DataFrame, active_ufs: DataFrame, *, federal: bool = True, skip_geo: bool = False, only_geo: bool = False) -> DataFrame:

@@ -176,9 +176,10 @@ def test_feed_json_xml_and_gazette(spark, tmp_path):
 def test_links_and_catalog(spark, tmp_path):
     pages = spark.createDataFrame([(1, "https://x.org/a/b?q", '<a href="c">C</a><a href="/d"><b>D</b></a><a href="javascript:x">E</a><a href="//y.org/f">F</a><a href="https://z.org">G</a><a href="h"></a>')], "page_id long, url string, html string")
     assert {(r.titulo, r.url) for r in payloads.links_of(pages).collect()} == {("C", "https://x.org/a/c"), ("D", "https://x.org/d"), ("F", "https://y.org/f"), ("G", "https://z.org")}
-    (tmp_path / "s.json").write_text('{"id": "b", "ativo": true}\n{"id": "a", "ativo": false}\n{"id": "c"}\n{"id": "c"}\n')
-    rows, twice = catalog.read_catalog(spark, str(tmp_path / "s.json"))
-    assert [r.id for r in rows.collect()] == ["a", "b"] and [r.id for r in twice.collect()] == ["c"]
+    (tmp_path / "s.json").write_text('{"id": "b", "ativo": true}\n{"id": "a", "ativo": false}\n{"id": "c"}\n{"id": "c"}\n{"ativo": true}\n{"id": "d", "ativo": "maybe"}\n{oops\n')
+    rows, bad = catalog.read_catalog(spark, str(tmp_path / "s.json"))
+    assert [r.id for r in rows.collect()] == ["a", "b"]
+    assert sorted((r.id or "", r.reason) for r in bad.collect()) == [("", "malformed"), ("", "no_id"), ("c", "duplicate_id"), ("d", "malformed")]
 
 
 def test_export_restore_and_queue(spark, tmp_path):
