@@ -220,6 +220,9 @@ _MAPS = "array_to_string(list_filter([CASE WHEN numero_ato IS NOT NULL THEN 'num
 _TEXT = _FORM.format(f"concat_ws(chr(10), doc_id, titulo, source_id, uf, array_to_string(topics, ' '), array_to_string(user_tags, ' '), tipo, severity_tier, resumo, array_to_string(tags, ' '), {_MAPS}, url, texto, strftime(coalesce(data_publicacao, fetched_at), '%Y-%m-%d'))")
 _corpus("x02_corpus_text", f"SELECT doc_id, md5({_TEXT}) AS form FROM corpus", lambda c: c.select("doc_id", F.md5(search.corpus_text()).alias("form")))
 _SEARCH = f"(SELECT *, {_TEXT} AS ctext FROM corpus)"
+_TERMS = "list_distinct(list_concat(list_filter([lower(source_id), lower(uf), tipo, severity_tier], lambda x: x IS NOT NULL), coalesce(topics, []), coalesce(user_tags, []), list_transform(regexp_extract_all(ctext, '\\d{1,6}/\\d{4}|[0-9A-Za-z_À-ÿ]{3,}'), lambda x: substr(x, 1, 64))))"
+_corpus("x03_index_terms", f"SELECT doc_id, len(t) AS n, md5(array_to_string(list_sort(t), '|')) AS terms FROM (SELECT doc_id, {_TERMS} AS t FROM {_SEARCH})", lambda c: search.indexed(c).select("doc_id", F.size("terms").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("terms"), "|")).alias("terms")))
+_corpus("x04_stored_or_built", f"SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN 'kept' ELSE ctext END) AS form FROM {_SEARCH}", lambda c: c.select("doc_id", F.md5(search.stored_or_built(F.expr("CASE doc_id % 4 WHEN 1 THEN '' WHEN 3 THEN NULL ELSE 'kept' END"))).alias("form")))
 _corpus("x06_indexed_search", f"SELECT doc_id FROM {_SEARCH} WHERE status <> 'archived' AND contains(ctext, 'favorito') AND contains(ctext, 'en') AND list_contains(user_tags, 'favorito') ORDER BY fetched_at DESC, doc_id LIMIT 50", lambda c: search.indexed_search(c, search.indexed(c), ["favorito", "en"]).select("doc_id"))
 _corpus("x07_scan_search", f"SELECT doc_id FROM {_SEARCH} WHERE contains(ctext, 'ration') AND contains(ctext, 'the') ORDER BY fetched_at DESC, doc_id LIMIT 50", lambda c: search.scan_search(c, ["Ration", "the"]).select("doc_id"))
 _corpus("x08_faceted_search", f"SELECT doc_id FROM corpus WHERE uf = 'EN' AND relevancia >= 5 AND llm_model = 'm1' AND eff_date >= {AS_OF} - INTERVAL '21' DAY ORDER BY doc_id LIMIT 50", lambda c: search.faceted_search(c, uf="EN", least_relevance=5, model="m1", period="3w").select("doc_id"))
