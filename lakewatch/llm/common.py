@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -58,11 +59,22 @@ def map_arrow(df: DataFrame, fn, schema, rows: int = 2_000) -> DataFrame:
     ship_package(df.sparkSession)
 
     def run(batches):
-        return fn(b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+        try:
+            yield from fn(b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+        finally:
+            release_memory()
 
     return df.mapInArrow(run, schema)
 
 
+def release_memory() -> None:
+    """Gives what a task has freed back to the system: workers are used again, and their allocators would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def sized_join(big: DataFrame, small: DataFrame, rows: int, row_bytes: int, on, how: str) -> DataFrame:
     """Join that broadcasts `small` only if its counted rows stay under BROADCAST_BYTES; else both sides are shuffled
     and adaptive execution splits hot keys."""
@@ -102,8 +114,6 @@ def chunks(offsets: np.ndarray, size: int = CHUNK_BYTES):
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _CODES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -127,12 +137,34 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+#: Bytes of a span that are hashed eight at a time; what is longer is hashed by sums over its bytes.
+SHORT_SPAN = 64
+_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
     """64-bit hash of each byte span of `data`, equal for equal bytes wherever they stand."""
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_CODES[_LOWER[data] if lower else data] * up[: len(data)], out=sums[1:])
-    return mix64((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    x = np.zeros(len(data) + 8, np.uint8)
+    x[: len(data)] = data
+    if lower:
+        x += ((x >= 65) & (x <= 90)).view(np.uint8) << 5
+    eight = np.ndarray(len(data) + 1, "<u8", x, 0, (1,))  # the eight bytes from each place on
+    length = ends - starts
+    cut = lambda at, n: np.where(n > 0, eight[at] & (_FULL >> (64 - 8 * np.clip(n, 1, 8)).astype(np.uint64)), np.uint64(0))
+    out = mix64(cut(starts, length) ^ (length.astype(np.uint64) * _BASE))
+    k, done = np.flatnonzero(length > 8), 8
+    while len(k) and done < SHORT_SPAN:
+        out[k] = mix64(out[k] * _BASE + cut(starts[k] + done, length[k] - done))
+        done += 8
+        k = k[length[k] > done]
+    if len(k):
+        up, down = powers(len(data) + 1)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(_CODES[x[: len(data)]] * up[: len(data)], out=sums[1:])
+        out[k] = mix64(out[k] * _BASE + (sums[ends[k]] - sums[starts[k]]) * down[starts[k]])
+    return out
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

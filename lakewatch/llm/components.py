@@ -11,8 +11,8 @@ from lakewatch.llm.common import materialize
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(a, b) links of comparable ids -> (node, root), root the smallest id that the node reaches.
 
-    A node's neighbours are never gathered: its smallest neighbour is a running minimum over a window, so a hub's rows
-    are streamed. Rounds are logarithmic in practice; each ends in a table in the shared folder. Nodes without links
+    A node's neighbours are never gathered: its smallest one is a partial aggregation that is joined back, so a hub's rows can be
+    split. Rounds are logarithmic in practice; each ends in a table in the shared folder. Nodes without links
     don't appear; null ends are ignored.
     """
     links = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")

@@ -1,17 +1,21 @@
 """SimHash near-duplicates: a positional inverted index over the fingerprints' bytes with count filtering.
 
 Two fingerprints of 64 bits that differ in at most 4 bits agree in at least 4 of their 8 bytes. Lists of single
-positional bytes would hold a 256th of all fingerprints each, so the index is keyed by 4 positional bytes: every pair
-that reaches the guaranteed minimum meets under some key. Where a pair meets, its shared positional bytes are tallied;
-the pair is retained if the tally reaches the minimum and this key is its first, and is then verified by its
-differing bits. Equal fingerprints are one entry, however many documents carry them.
+positional bytes would hold a 256th of all fingerprints each, so the index is keyed by 3 positional bytes: 20 triples of
+positions suffice for every 4 positions to hold one of them, so every pair that reaches the guaranteed minimum meets.
+Where a pair meets, its shared positional bytes are tallied; it is retained if the tally reaches the minimum and this
+triple is its first, and is then verified by its differing bits. Equal fingerprints are one entry, however many documents
+carry them.
 
-A list longer than `dense_list` isn't paired: its fingerprints are linked through midpoints instead. Each gives every
-fingerprint within 2 bits of itself; two are within 4 bits exactly if they give a common one, so linking each to the
-smallest giver of each midpoint joins the same groups with rows in proportion to the list.
+A list longer than `dense_list` is told apart by a fourth positional byte, which retained pairs share, too. A list that
+is still longer isn't paired: its fingerprints are linked through midpoints instead. Each gives every fingerprint within
+2 bits of itself; two are within 4 bits exactly if they give a common one, so linking each to the smallest giver of each
+midpoint joins the same groups with rows in proportion to the list.
 
 Nulls: a null text has no words and fingerprint zero, like every text without words; they link like any others. Null
-doc_ids are ignored when the smallest is taken. Repeated rows get equal results. Other columns are ignored.
+doc_ids are ignored when the smallest is taken; a group of none but null ones has a null component_id. Texts of any length
+are read whole, in slices. Repeated rows get equal results, and rows that share a doc_id each have their own text's. Empty
+tables give no rows. Other columns are ignored by `components` and kept, whatever their names, by `deduplicate`.
 """
 
 from __future__ import annotations
@@ -20,10 +24,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewatch.llm.common import map_arrow, materialize, utf8
+from lakewatch.llm.common import discard, map_arrow, materialize, sized_join, utf8
 from lakewatch.llm.components import connected_components
 
 #: Words of a shingle, seed of its XXH64, differing bits that still link.
@@ -66,29 +70,54 @@ def _signed(values: list[int]) -> list[int]:
     return [x - (1 << 64) if x >= 1 << 63 else x for x in values]
 
 
+def triples() -> list[tuple[int, int, int]]:
+    """Triples of the 8 byte positions such that any 4 positions hold one: all within a group of 0-2, 3-5 and 6-7, and two of a
+    group with one of the next."""
+    groups = ((0, 1, 2), (3, 4, 5), (6, 7))
+    inside = [g for g in groups if len(g) == 3]
+    return inside + [(*two, one) for g, after in zip(groups, groups[1:] + groups[:1]) for two in combinations(g, 2) for one in after]
+
+
+def _listed(index: DataFrame, dense_list: int) -> DataFrame:
+    """The index's rows (key, ...) whose key has others, with whether its list is longer than `dense_list`. Keys are counted with
+    partial sums and joined back, so a hot key's rows can be split."""
+    counts = materialize(index.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "simhash-keys")
+    own = sized_join(index, counts, counts.count(), 64, "key", "inner")
+    out = materialize(own.withColumn("dense", F.col("n") > dense_list).drop("n"), "simhash-lists")
+    discard(counts)
+    return out
+
+
 def links(fps: DataFrame, bits: int = BITS, dense_list: int = DENSE_LIST) -> DataFrame:
     """(fp) distinct -> (a, b), a < b: links whose components are those of all pairs within `bits` bits.
 
-    For 4 bits or fewer. No pair of different lists is lost and none is given twice by pairing."""
+    For 4 bits or fewer. No pair of different lists is lost."""
     if not 0 <= bits <= 4:
         raise ValueError("bits must be 0 to 4")
-    least = 8 - bits
-    keys = list(combinations(range(8), least))
-    masks = [sum(255 << 8 * i for i in k) for k in keys]
+    least, keys = 8 - bits, triples()
+    position = _signed([255 << 8 * i for i in range(8)])
+    masks = _signed([sum(255 << 8 * i for i in k) for k in keys])
     first = [next((n for n, k in enumerate(keys) if all(shared >> i & 1 for i in k)), -1) for shared in range(256)]
-    index = fps.select("fp", F.posexplode(F.transform(F.lit(_signed(masks)), lambda m: F.col("fp").bitwiseAND(m))).alias("combo", "key"))
-    listed = index.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("combo", "key"))).where("n > 1")
-    listed = materialize(listed, "simhash-lists")
-    short = listed.where(F.col("n") <= dense_list).select("combo", "key", "fp")
+    index = fps.select("fp", F.posexplode(F.transform(F.lit(masks), lambda m: F.col("fp").bitwiseAND(m))).alias("triple", "part"))
+    index = index.select(F.xxhash64("triple", "part").alias("key"), "triple", "fp")
+    listed = _listed(index, dense_list)
     x = F.col("a").bitwiseXOR(F.col("b"))
-    shared = sum((F.when(x.bitwiseAND(F.lit(m)) == 0, F.lit(1 << i)).otherwise(F.lit(0)) for i, m in enumerate(_signed([255 << 8 * i for i in range(8)]))), F.lit(0))
-    enough = (F.bit_count(shared) >= least) & (F.get(F.lit(first), shared) == F.col("combo"))  # the tally; the pair's first key
-    left, right = short.withColumnRenamed("fp", "a"), short.withColumnRenamed("fp", "b")
-    pairs = left.join(right, ["combo", "key"]).where((F.col("a") < F.col("b")) & enough & (F.bit_count(x) <= bits)).select("a", "b")
-    dense = listed.where(F.col("n") > dense_list).select("fp").distinct()
+    shared = sum((F.when(x.bitwiseAND(F.lit(m)) == 0, F.lit(1 << i)).otherwise(F.lit(0)) for i, m in enumerate(position)), F.lit(0))
+
+    def met(rows: DataFrame, own=F.lit(True)) -> DataFrame:
+        """Pairs of a list that share the least number of positional bytes and are near."""
+        left, right = rows.withColumnRenamed("fp", "a"), rows.select("key", F.col("fp").alias("b"))
+        return left.join(right, "key").where((F.col("a") < F.col("b")) & (F.bit_count(shared) >= least) & own & (F.bit_count(x) <= bits)).select("a", "b")
+
+    pairs = met(listed.where("NOT dense"), F.get(F.lit(first), shared) == F.col("triple"))  # given by its first triple only
+    dense = listed.where("dense")
     if dense.isEmpty():
         return pairs
-    return pairs.unionByName(midpoint_links(dense, bits)).where("a <> b").distinct()
+    others = [[F.struct(F.lit(i).alias("at"), F.col("fp").bitwiseAND(F.lit(m)).alias("byte")) for i, m in enumerate(position) if i not in k] for k in keys]
+    fourth = F.get(F.array(*[F.array(*o) for o in others]), F.col("triple"))
+    finer = _listed(dense.select("key", "fp", F.inline(fourth)).select(F.xxhash64("key", "at", "byte").alias("key"), "fp"), dense_list)
+    pairs = pairs.unionByName(met(finer.where("NOT dense")))
+    return pairs.unionByName(midpoint_links(finer.where("dense").select("fp").distinct(), bits)).where("a <> b").distinct()
 
 
 def midpoint_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
@@ -108,7 +137,7 @@ def midpoint_links(fps: DataFrame, bits: int = BITS) -> DataFrame:
 
 def components(docs: DataFrame, bits: int = BITS, dense_list: int = DENSE_LIST) -> DataFrame:
     """One row for each row of `docs`: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
-    own = materialize(fingerprints(docs), "simhash-fingerprints")
+    own = materialize(fingerprints(docs), "simhash-fingerprints")  # read by the caller's result, so it stays
     groups = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-groups")
     roots = connected_components(links(groups.select("fp"), bits, dense_list)).select(F.col("node").alias("fp"), "root")
     rooted = groups.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -118,6 +147,14 @@ def components(docs: DataFrame, bits: int = BITS, dense_list: int = DENSE_LIST)
 
 
 def deduplicate(docs: DataFrame, **params) -> DataFrame:
-    """`docs` (all columns) without the documents that have a smaller doc_id in their group; null doc_ids stay."""
-    gone = components(docs, **params).where("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """`docs` (all columns) without the documents that have a smaller doc_id in their group; null doc_ids stay. Rows that share a
+    doc_id go together if one of them has to; if they stay, those with equal texts are one row."""
+    labels = materialize(components(docs, **params), "simhash-labels")
+    gone = labels.where("doc_id > component_id").select("doc_id").distinct()
+    kept = sized_join(docs, gone, gone.count(), 32, "doc_id", "left_anti").select(*docs.columns)
+    repeated = labels.where("doc_id IS NOT NULL").groupBy("doc_id", "fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id").distinct()
+    if repeated.isEmpty():
+        return kept
+    again = kept.join(repeated, "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("hash"), F.struct(*docs.columns).alias("row"))
+    once = again.groupBy("doc_id", "hash", F.col("row.text").alias("text")).agg(F.first("row").alias("row")).select("row.*")
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)

@@ -42,7 +42,7 @@ def fingerprints():
     return sorted(out)
 
 
-@pytest.mark.parametrize("bits,dense", [(4, 256), (4, 1), (3, 2), (1, 1), (0, 2)])
+@pytest.mark.parametrize("bits,dense", [(4, 256), (4, 1), (4, 5), (3, 2), (1, 1), (0, 2)])
 def test_links_have_the_components_of_all_pairs(spark, bits, dense):
     fps = fingerprints()
     want = {}
@@ -83,6 +83,20 @@ def test_empty_and_null_ids(spark):
     assert simhash.components(spark.createDataFrame([(None, "a b"), (3, "a b"), (3, "a b")], "doc_id long, text string")).count() == 3
 
 
+def test_every_four_positions_hold_a_triple():
+    from itertools import combinations
+
+    keys = simhash.triples()
+    assert len(set(keys)) == len(keys) == 20
+    assert all(any(set(k) <= set(four) for k in keys) for four in combinations(range(8), 4))
+
+
+def test_repeated_rows_and_doc_ids(spark):
+    rows = [(3, "a b", "x"), (3, "a b", "x"), (4, "A B", "x"), (5, "c d e f", "x"), (5, "g h i j", "x"), (None, "a b", "x")]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, row string"))
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "a b"), (3, "a b"), (5, "c d e f"), (5, "g h i j")]
+
+
 def test_chain_of_links_is_one_component(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (500, 501), (7, 7)], "a long, b long")
     roots = {r.node: r.root for r in components.connected_components(edges).collect()}
