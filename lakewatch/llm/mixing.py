@@ -6,7 +6,8 @@ source's order (a prefix sum over a bounded table), a window inside each range g
 the source is cut at its exact budget; a budget above the source's size takes whole epochs first.
 
 Nulls: a null text has size 0; a null source is a source of its own, last in order; a null doc_id has an empty key.
-Rows that agree in source, doc_id and size are interchangeable. Empty tables give empty results. Columns of the input
+Rows that agree in source, doc_id and size are interchangeable; ties of keys break by doc_id, then size. Texts of any length
+are counted whole. Empty tables give empty results. Columns of the input
 other than doc_id, text and source are ignored by `mix` and kept by `mixed_documents`.
 """
 
@@ -15,8 +16,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakewatch.llm.common import SEPARATORS, WORD, materialize
+from lakewatch.llm.common import WORD, materialize, sized_join
 
+SPACED_WORD = "[\\x20\\x09-\\x0D]*" + WORD
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (5, 2, 1)
 #: The mix has this many times the words of the input; no source gives more than CAP times its own.
@@ -74,14 +76,15 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     cut after its first words. Documents that aren't taken go. doc_id is to be unique; of rows that share one, each
     gets what the first in order of size got. A column n_chars, if there is one, follows the text."""
     plan = mix(docs, **params).groupBy("doc_id").agg(F.max_by("taken", "size").alias("taken"), F.max("size").alias("size"))
+    plan = materialize(plan, "mix-plan")
     rows = docs.select("doc_id", F.struct(*docs.columns).alias("row")).alias("d")  # no name of theirs can clash
-    d = rows.join(plan.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id"))).select("row", "taken", "size")
+    d = sized_join(rows, plan.alias("p"), plan.count(), 48, F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")), "inner").select("row", "taken", "size")
     d = d.withColumn("whole", F.expr("CASE WHEN size > 0 THEN taken div size ELSE 0 END").cast("int"))
     part = F.col("taken") - F.col("whole") * F.col("size")
     copies = F.concat(F.array_repeat(F.lit(0), F.col("whole")), F.when(part > 0, F.array(part.cast("int"))).otherwise(F.array().cast("array<int>")))
     d = d.select("row", F.explode(copies).alias("cut"))
-    words = F.filter(F.split("row.text", SEPARATORS), lambda w: w != "")
-    text = F.when(F.col("cut") > 0, F.array_join(F.slice(words, 1, F.greatest(F.col("cut"), F.lit(1))), " ")).otherwise(F.col("row.text"))
+    parts = F.regexp_extract_all("row.text", F.lit(SPACED_WORD), F.lit(0))  # words, each with what separates it from the one before
+    text = F.when(F.col("cut") > 0, F.array_join(F.slice(parts, 1, F.greatest(F.col("cut"), F.lit(1))), "")).otherwise(F.col("row.text"))
     new = {"text": text}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length(text).cast(dict(docs.dtypes)["n_chars"])

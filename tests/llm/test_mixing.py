@@ -54,6 +54,14 @@ def test_mixed_documents_hold_the_taken_words(spark):
     words = {r.doc_id: r.n for r in out.groupBy("doc_id").agg(F.sum(F.regexp_count("text", F.lit(r"\S+"))).alias("n")).collect()}
     assert words == {r.doc_id: r.taken for r in mixing.mix(df).collect() if r.taken}
     assert out.where("n_chars <> length(text) OR `cut` <> 9").count() == 0
+    lined = spark.createDataFrame([(i, "one two\nthree  four\n\nfive six", "s") for i in range(3)], SCHEMA)
+    texts = [r.text for r in mixing.mixed_documents(lined, ratio=1.3, cap=2.0).collect()]
+    assert sorted(texts)[0] == "one two\nthree  four\n\nfive" and len(texts) == 4  # 23 of 18 words: a cut keeps its line breaks
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b", "s", "k", 5, "r", 1.0)], SCHEMA + ", key string, size long, range string, target double")
+    assert mixing.mix(df).select("size", "taken").first() == (2, 3) and mixing.mixed_documents(df).columns == df.columns
 
 
 def test_empty_tables(spark):
