@@ -1,19 +1,22 @@
 """Language identification by language-bitmask n-gram filters.
 
-A bit-sliced Bloom filter holds one word of bits for each slot, a bit for each language: an n-gram's languages are the
-bits that all of its slots share, so one look-up answers for every language at once. A text's score for a language is the
-number of its n-grams that have the language's bit, corrected for the false positives that the language's fill lets
-through; the highest decides.
+A bit-sliced Bloom filter holds a row of bits for each slot, two for each language: an n-gram's languages are the bits that
+all of its slots share, so one look-up gives every language that contains it, and, by the second bit, those that have at
+least a tenth of its greatest share. A text's score for a language is the number of its n-grams with the first bit plus
+that with the second, each corrected for the false positives that the bit's fill lets through; the highest decides. The
+second count keeps n-grams that have strayed into a language by single mislabelled or mixed texts from deciding.
 
 N-grams are 4 bytes of the UTF-8 text, A-Z lower-cased, with everything but letters and bytes over 127 as a space; those
-with two spaces in a row are left out. A language's n-grams are those with at least MIN_SHARE of its n-grams in the
-training texts and at least a tenth of the share they have in any other language. Training reads the whole texts of at
+with two spaces in a row are left out. A language contains the n-grams with at least MIN_SHARE of its n-grams in the
+training texts, whatever their share in others. Training reads the whole texts of at
 most SAMPLE labelled documents, taken in order of a hash of doc_id; counting is distributed, and what reaches the driver
 is bounded by 1 / MIN_SHARE n-grams a language.
 
 Nulls: a text that is null or has no letter is `und` with score 0; a null lang trains nothing; a null doc_id trains
 nothing and isn't held out. Without training rows every text is `und`. A text with letters but without a known n-gram gets
-the commonest language with score 0. Ties go to the language that comes first. Repeated rows get equal results.
+the commonest language with score 0. Ties go to the language that comes first. Repeated rows get equal results, and rows
+that share a doc_id each their own. Texts of any length are read whole. Empty tables give no rows. Other columns are ignored
+by `identify` and kept by `annotate` and `keep_identified`, but for lang_pred and score, which `annotate` replaces.
 """
 
 from __future__ import annotations
@@ -29,6 +32,8 @@ from lakewatch.llm.common import buffers, chunks, map_arrow, mix64, utf8
 SAMPLE = 20_000
 #: Least share of a language's n-grams that puts an n-gram in its filter.
 MIN_SHARE = 2e-5
+#: Share of an n-gram, by its greatest in a language, that sets a language's second bit.
+STRONG = 0.1
 #: Slots of the filter and slots of an n-gram.
 SLOTS, HASHES = 1 << 20, 2
 UNKNOWN = "und"
@@ -87,7 +92,8 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, min_share: float = MIN_SHARE) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, commonest first; filter of (SLOTS, words of 64 languages); false-positive rate of each language)."""
+    """(languages, commonest first; filter of (SLOTS, words of 64 bits): a bit for each language that contains an n-gram, then one
+    for each that has a strong share of it; false-positive rate of each bit)."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     order = F.md5(F.col("doc_id").cast("string"))
     chosen = labelled.select("doc_id").distinct().orderBy(order, "doc_id").limit(sample)
@@ -97,12 +103,12 @@ def train(docs: DataFrame, sample: int = SAMPLE, min_share: float = MIN_SHARE) -
     if not len(rows):
         return [], np.zeros((SLOTS, 1), np.uint64), np.zeros(0)
     langs = rows.groupby("lang").n.sum().reset_index().sort_values(["n", "lang"], ascending=[False, True]).lang.tolist()
-    rows = rows[rows.share >= 0.1 * rows.groupby("gram").share.transform("max")]
-    table = np.zeros((SLOTS, (len(langs) + 63) // 64), np.uint64)
-    rates = np.zeros(len(langs))
-    for i, lang in enumerate(langs):
+    strong = rows[rows.share >= STRONG * rows.groupby("gram").share.transform("max")]
+    table = np.zeros((SLOTS, (2 * len(langs) + 63) // 64), np.uint64)
+    rates = np.zeros(2 * len(langs))
+    for i, (lang, own) in enumerate([(x, rows) for x in langs] + [(x, strong) for x in langs]):
         word, bit = i // 64, np.uint64(1) << np.uint64(i % 64)
-        for slot in _slots(rows.gram[rows.lang == lang].to_numpy(np.uint64)):
+        for slot in _slots(own.gram[own.lang == lang].to_numpy(np.uint64)):
             table[slot, word] |= bit
         rates[i] = np.mean((table[:, word] & bit) != 0) ** HASHES
     return langs, table, rates
@@ -129,10 +135,10 @@ def annotate(docs: DataFrame, model=None) -> DataFrame:
                     mask = mask & table[slot] if k else table[slot]
                 total = np.diff(upto)
                 hits = np.zeros((len(langs), j - i))
-                for k in range(len(langs)):
+                for k in range(len(rates)):
                     sums = np.concatenate([[0], np.cumsum((mask[:, k // 64] >> np.uint64(k % 64)) & np.uint64(1))])
                     count = sums[upto[1:]].astype(float) - sums[upto[:-1]]
-                    hits[k] = np.maximum(0, (count - rates[k] * total) / (1 - rates[k]))
+                    hits[k % len(langs)] += np.maximum(0, (count - rates[k] * total) / (1 - rates[k]))
                 for d in range(j - i):
                     if not langs or not _has_letter(part[at[d] : at[d + 1]].tobytes()):
                         pred.append(UNKNOWN)

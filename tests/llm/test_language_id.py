@@ -30,3 +30,38 @@ def test_edges(spark):
     none = language_id.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r.lang_pred for r in none} == {"und"}
     assert language_id.identify(df.limit(0)).count() == 0
+
+
+def test_predictions_equal_plain_sets(spark):
+    """Without false positives the filter is a set of n-grams a language: a plain version with dictionaries decides alike."""
+    from collections import Counter
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text")
+    rows = docs.withColumn("held", language_id.held_out()).collect()
+
+    def grams(text):
+        folded = "".join(chr(b) if 97 <= b <= 122 or b > 127 else chr(b + 32) if 65 <= b <= 90 else " " for b in (text or "").encode())
+        return [g for g in (folded[k : k + 4] for k in range(len(folded) - 3)) if "  " not in g]
+
+    counts = {}
+    for r in rows:
+        if r.lang is not None and not r.held:
+            counts.setdefault(r.lang, Counter()).update(grams(r.text))
+    langs = sorted(counts, key=lambda x: (-sum(counts[x].values()), x))
+    share = {x: {g: n / sum(counts[x].values()) for g, n in counts[x].items()} for x in langs}
+    has = {x: {g for g, p in share[x].items() if p >= language_id.MIN_SHARE} for x in langs}
+    top = Counter()
+    for x in langs:
+        for g in has[x]:
+            top[g] = max(top[g], share[x][g])
+    strong = {x: {g for g in has[x] if share[x][g] >= language_id.STRONG * top[g]} for x in langs}
+
+    def plain(text):
+        if not any(c.isalpha() for c in text or ""):
+            return "und"
+        hits = [sum((g in has[x]) + (g in strong[x]) for g in grams(text)) for x in langs]
+        return langs[hits.index(max(hits))]
+
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs).collect()}
+    differ = [r.doc_id for r in rows if got[r.doc_id] != plain(r.text)]
+    assert len(differ) <= 0.01 * len(rows)  # single false positives may break a near tie
