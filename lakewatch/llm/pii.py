@@ -5,10 +5,11 @@ or a written one, (at) or [at], is covered twice (all kinds that pass the exact
 after is read too). Each window is decoded by Viterbi; spans of one
 kind that overlap or meet in two windows' common part are one span; of overlapping spans of different kinds those with the
 greatest total lead are kept over the whole text (weighted interval scheduling). An exact check follows: a card has 13 to 19
-digits and passes Luhn, a phone has 7 to 15, an address has its parts. What overlaps a fixed span isn't added.
+digits and passes Luhn, a phone has 7 to 15, an address has its parts; a number grouped as a person's number (3-2-4 digits,
+or 3.3.3-2) is told as `id` whatever the model took it for. What overlaps a fixed span isn't added.
 
-Nulls: a null text is empty. Repeated rows get equal results; a null doc_id is kept. Offsets are code points, ends
-exclusive. Other columns are ignored. Everything is per text, in one pass, without a shuffle.
+Nulls: a null text is empty. Repeated rows get equal results; a null doc_id is kept. Texts of any length are read whole, empty
+tables give no rows. Offsets are code points, ends exclusive. Other columns are ignored. Everything is per text, in one pass, without a shuffle.
 """
 
 from __future__ import annotations
@@ -33,6 +34,9 @@ _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _TRIGGER = re.compile(r"[0-9@]+|[(\[]at[)\]]")
+_ID = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{3}-[0-9]{2}")
+#: Kinds of spans in order: those of the fixed patterns, then what only the model finds.
+ORDER = (*KINDS, "id")
 _DIGITS = re.compile(r"[0-9]+")
 
 
@@ -138,7 +142,8 @@ def model_spans(model: pii_model.Model, batch: list[str]) -> list[list[tuple[str
         for r in np.flatnonzero(tags.any(1)):
             d, a = some[r]
             found[d] += _window_spans(tags[r], lead[r], a)
-    return [[(KINDS[k], a, b) for k, a, b in reconcile(s) if plausible(KINDS[k], text[a:b])] if s else [] for s, text in zip(found, batch)]
+    told = lambda k, value: "id" if _ID.fullmatch(value) else KINDS[k] if plausible(KINDS[k], value) else None
+    return [[(kind, a, b) for k, a, b in reconcile(s) if (kind := told(k, text[a:b]))] if s else [] for s, text in zip(found, batch)]
 
 
 def spans_of(model: pii_model.Model, batch: list[str]) -> list[list[tuple[str, int, int, str]]]:
@@ -150,13 +155,13 @@ def spans_of(model: pii_model.Model, batch: list[str]) -> list[list[tuple[str, i
         reach = np.maximum.accumulate([b for _, b in taken]).tolist() if taken else []
         free = lambda a, b: not (i := bisect.bisect_left(taken, (b,))) or reach[i - 1] <= a
         rows = [(*s, "base") for s in base] + [(k, a, b, "model") for k, a, b in more if free(a, b)]
-        out.append(sorted(rows, key=lambda s: (KINDS.index(s[0]), s[1], s[2])))
+        out.append(sorted(rows, key=lambda s: (ORDER.index(s[0]), s[1], s[2])))
     return out
 
 
 def find_pii(docs: DataFrame, model: pii_model.Model | None = None) -> DataFrame:
     """doc_id; found: array of (kind, start, end, origin, value)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model or pii_model.train())
+    sent = docs.sparkSession.sparkContext.broadcast(model or pii_model.trained())
 
     def run(batches):
         for batch in batches:

@@ -1,8 +1,14 @@
-"""A character-level bidirectional LSTM with CRF transitions in numpy: training from labelled spans and decoding."""
+"""A character-level bidirectional LSTM with CRF transitions in numpy: training from labelled spans and decoding.
+
+`train` makes the model, the same for every input; `python -m lakewatch.llm.pii_model` writes what it made beside this file,
+and `trained` reads it, so that no query trains anew. A test trains again and compares."""
 
 from __future__ import annotations
 
 import functools
+import io
+import os
+import pkgutil
 import unicodedata
 from dataclasses import dataclass
 
@@ -69,7 +75,9 @@ def emissions(m: Model, seq: np.ndarray, keep: bool = False):
     states = np.zeros((steps, 2, batch, HIDDEN), np.float32)
     saved = []
     for t in range(steps):
-        gates = np.stack([m.x[0][both[0, t]], m.x[1][both[1, t]]]) + np.matmul(h, m.u)
+        gates = np.matmul(h, m.u)
+        gates[0] += m.x[0][both[0, t]]
+        gates[1] += m.x[1][both[1, t]]
         i, f, o = (_sigmoid(gates[..., k * HIDDEN : (k + 1) * HIDDEN]) for k in range(3))
         g = np.tanh(gates[..., 3 * HIDDEN :])
         new = (f * c + i * g) * live[:, t]
@@ -120,15 +128,17 @@ def loss_and_gradient(m: Model, seq: np.ndarray, tags: np.ndarray):
     d_x, d_u = np.zeros_like(m.x), np.zeros_like(m.u)
     d_h = np.zeros((2, batch, HIDDEN), np.float32)
     d_c = np.zeros_like(d_h)
+    all_gates = np.zeros((2, steps, batch, 4 * HIDDEN), m.x.dtype)
     for t in range(steps - 1, -1, -1):
         i, f, o, g, c, h, squashed = saved[t]
         d_h = (d_h + d_states[t]) * live[:, t]
         d_new = (d_c + d_h * o * (1 - squashed**2)) * live[:, t]
         d_gates = np.concatenate([d_new * g * i * (1 - i), d_new * c * f * (1 - f), d_h * squashed * o * (1 - o), d_new * i * (1 - g**2)], -1)
         d_u += np.matmul(h.transpose(0, 2, 1), d_gates)
-        for k in (0, 1):
-            np.add.at(d_x[k], both[k, t], d_gates[k])
+        all_gates[:, t] = d_gates
         d_h, d_c = np.matmul(d_gates, m.u.transpose(0, 2, 1)), d_new * f
+    for k in (0, 1):  # a class's rows summed: its indicator times the gates
+        d_x[k] = (both[k].reshape(1, -1) == np.arange(CLASSES)[:, None]).astype(all_gates.dtype) @ all_gates[k].reshape(-1, 4 * HIDDEN)
     return (log_z - gold).mean(), [g / batch for g in (d_x, d_u, d_out, d_bias, d_trans)]
 
 
@@ -194,7 +204,6 @@ def _examples(rng, n: int, width: int):
     return seq, tags
 
 
-@functools.lru_cache(maxsize=1)
 def train(seed: int = 5, steps: int = 350, batch: int = 48, width: int = 64) -> Model:
     """The model, the same for every input: Adam on invented labelled spans."""
     rng = np.random.default_rng(seed)
@@ -216,6 +225,16 @@ def train(seed: int = 5, steps: int = 350, batch: int = 48, width: int = 64) ->
     return m
 
 
+STORED = "pii_model.npz"
+
+
+@functools.lru_cache(maxsize=1)
+def trained() -> Model:
+    """The stored model."""
+    with np.load(io.BytesIO(pkgutil.get_data(__package__, STORED))) as parts:
+        return Model(*(parts[f"arr_{k}"] for k in range(5)))
+
+
 def decode(m: Model, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Best tags (B, T) of windows, and each place's lead of its tag over `outside` in the emissions."""
     scores = emissions(m, seq)
@@ -233,3 +252,7 @@ def decode(m: Model, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         tags[:, t - 1] = back[t, rows, tags[:, t]]
     lead = np.take_along_axis(scores.transpose(1, 0, 2), tags[:, :, None], 2)[:, :, 0] - scores[:, :, 0].T
     return np.where(seq != 0, tags, 0), lead
+
+
+if __name__ == "__main__":
+    np.savez_compressed(os.path.join(os.path.dirname(os.path.abspath(__file__)), STORED), *train().parts())

@@ -8,7 +8,9 @@ looked-up values, for a batch of documents at a time.
 Training takes at most SAMPLE labelled rows (in order of a hash of doc_id), never the held-out ones; their features are
 computed by Spark and only the numbers come to the driver. Nulls: a null text is empty; a null label trains nothing; a
 null doc_id trains nothing and isn't held out. Without rows of both labels every score is the share of label 1 (a half
-without rows). Several labels of a doc_id count as rows of their own. Other columns are ignored.
+without rows). Several labels of a doc_id count as rows of their own. Texts without words have features and a score like
+any others; those of any length are read whole. Repeated rows get equal scores. Empty tables give no rows. Other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -206,7 +208,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Gam:
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     chosen = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "quality").limit(sample)
     own = docs.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")  # `sample` ids at most
-    rows = measured(own.select("doc_id", "text")).join(chosen, "doc_id").orderBy("doc_id", "quality", "x").select("x", "quality").limit(2 * sample).toPandas()
+    rows = measured(own.select("doc_id", "text")).join(chosen, "doc_id").orderBy("doc_id", "quality", "x").select("x", "quality").limit(sample).toPandas()
     x = np.array(rows.x.tolist(), float).reshape(-1, len(NAMES))
     return fit(x, rows.quality.to_numpy(float))
 

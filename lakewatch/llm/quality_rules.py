@@ -1,7 +1,8 @@
 """Quality rules: every rule is evaluated once, its failures kept as bits beside the measurements; policies (masks of
 rules, by version) and ablations are then bit operations on that ledger. DataFrame functions only.
 
-Nulls: a null text has no words. Empty tables give empty ledgers. Repeated rows are judged one by one. Columns other
+Nulls: a null text has no words. Empty tables give empty ledgers. Repeated rows are judged one by one and alike. Texts of any
+length are measured whole. Columns other
 than doc_id and text are ignored.
 """
 

@@ -5,7 +5,8 @@ spans so that the product of their guesses is least (dynamic programming over lo
 is reported as a span of kind `guess`. Everything is per text, in one pass, without a shuffle.
 
 Nulls: a null text is empty: no spans, the digest of an empty list. Repeated rows get equal results; a null doc_id is kept.
-Offsets are code points, ends exclusive. Other columns are ignored.
+Texts of any length are read whole and a value of any length is costed whole; its pieces that recur are found in time in
+proportion to it. Empty tables give no rows. Offsets are code points, ends exclusive. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -73,10 +73,17 @@ def test_gradient_of_the_tagger():
 
 def test_tagger_on_held_out_spans():
     seq, tags = pii_model._examples(np.random.default_rng(99), 400, 64)
-    got, _ = pii_model.decode(pii_model.train(), seq)
+    got, _ = pii_model.decode(pii_model.trained(), seq)
     assert (got == tags)[seq != 0].mean() > 0.93 and (got == tags)[tags > 0].mean() > 0.9
 
 
+def test_the_stored_model_is_what_training_makes():
+    again, stored = pii_model.train(), pii_model.trained()
+    assert all(p.shape == q.shape for p, q in zip(again.parts(), stored.parts()))
+    seq, _ = pii_model._examples(np.random.default_rng(98), 200, 64)
+    assert (pii_model.decode(again, seq)[0] == pii_model.decode(stored, seq)[0])[seq != 0].mean() > 0.99
+
+
 def test_pii_spans(spark):
     rows = [
         (1, "mail ab.c@x.example.com, or 10.2.3.255 and 300.1.1.1"), (2, "card 4111 1111 1111 1111 or 4111111111111112"), (3, "call +1 (212) 555-0199 now"), (4, None), (5, ""), (None, "é 4111-1111-1111-1111"), (6, "call (212) 555-0187 today"),
@@ -94,6 +101,51 @@ def test_pii_spans(spark):
         assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest() and set(want) <= set(r.spans.split(",") if r.spans else [])
 
 
+def test_best_tags_equal_all_sequences():
+    rng = np.random.default_rng(3)
+    m = pii_model.Model(*(rng.normal(0, 0.7, s) for s in ((2, pii_model.CLASSES, 64), (2, 16, 64), (32, pii_model.TAGS), (pii_model.TAGS,), (pii_model.TAGS, pii_model.TAGS))))
+    seq = rng.integers(1, pii_model.CLASSES, (3, 4)).astype(np.uint8)
+    seq[2, 3:] = 0
+    tags, _ = pii_model.decode(m, seq)
+    scores = pii_model.emissions(m, seq)
+    for b, n in enumerate((4, 4, 3)):
+        value = lambda path, b=b: sum(scores[t, b, k] for t, k in enumerate(path)) + sum(m.trans[x, y] for x, y in zip(path, path[1:]))
+        best = max(itertools.product(range(pii_model.TAGS), repeat=n), key=value)
+        assert tuple(tags[b, :n]) == best
+
+
+def plain_pii(text):
+    """The fixed patterns by the contract's words, matches that fail dropped."""
+    luhn = lambda d: sum(sum(divmod(2 * int(c), 10)) if k % 2 else int(c) for k, c in enumerate(reversed(d))) % 10 == 0
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    checks = (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda s: True), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda s: all(int(x) <= 255 for x in s.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda s: 16 <= len(digits(s)) <= 19 and luhn(digits(s))), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda s: 8 <= len(digits(s)) <= 15),
+    )
+    return [f"{k}:{m.start()}:{m.end()}" for k, p, ok in checks for m in re.finditer(p, text) if ok(m[0])]
+
+
+def test_base_spans_equal_the_plain_patterns():
+    r = np.random.default_rng(8)
+    parts = ["a.b@c.de", "x@y", "10.0.0.1", "256.1.1.1", "1.2.3.4.5", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (212) 555-0199", "+12", "00012.1.1.1", "é", " ", "-", "+", "@", ".", "7" * 20, "word"]
+    for _ in range(500):
+        text = "".join(parts[k] for k in r.integers(0, len(parts), int(r.integers(0, 12))))
+        assert [f"{k}:{a}:{b}" for k, a, b in pii.base_spans(text)] == plain_pii(text)
+
+
+def test_empty_tables_repeated_rows_and_very_long_values(spark):
+    df = spark.createDataFrame([(1, "pwd: Kd92hfq1! a@b.cd", 1)] * 2 + [(2, "token=" + "aB3$" * 5000, 2)], "doc_id long, text string, spans int")
+    for found, digest in ((secret_scan.find_secrets, secret_scan.digest), (pii.find_pii, pii.digest)):
+        rows = [tuple(r) for r in digest(found(df)).collect()]
+        assert len(rows) == 3 and len(set(rows)) == 2
+        assert digest(found(df.limit(0))).count() == 0
+
+
+def test_person_numbers_are_no_phones():
+    spans = pii.spans_of(pii_model.trained(), ["his number is 123-45-6789 and she called (212) 555-0187 today"])[0]
+    assert ("id", 14, 25, "model") in spans and ("phone", 41, 55, "model") in spans
+
+
 def test_reconcile_is_the_best_choice():
     spans = [(0, 0, 10, 5.0), (1, 8, 20, 6.0), (0, 19, 30, 5.5), (2, 40, 44, 1.0), (2, 42, 50, 2.0)]
     assert pii.reconcile(spans) == [(0, 0, 10), (0, 19, 30), (2, 40, 50)]
@@ -118,6 +170,59 @@ def test_quality_edges(spark):
     assert len(out) == 6 and all(0 <= r.score <= 1 for r in out)
 
 
+def test_features_equal_plain_counts():
+    texts = ["One two.\nOne two.\n\nthree THREE one", "", "a | b !! C #1 é\tñ", "x y x y x y x", "\n \n", "Wörd 12.5% end? Yes! no"]
+    raw = [t.encode() for t in texts]
+    got = quality_gam.measures(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for t, row in zip(texts, got):
+        b, words = t.encode(), [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", t)]
+        low = [w.lower() for w in words]
+        n, w, chars = len(words), max(1, len(words)), max(1, len(b))
+        size = [len(x) for x in words]
+        count = lambda s: sum(b.count(c.encode()) for c in s)
+        lines = [tuple(x.lower().encode().split()) for x in t.split("\n") if x.split()]
+        triples = list(zip(low, low[1:], low[2:]))
+        mean = sum(size) / w
+        want = {
+            "log_words": math.log1p(n), "word_length": mean, "word_length_sd": math.sqrt(max(0, sum(x * x for x in size) / w - mean**2)), "longest_word": max(size, default=0), "exclamations": b.count(b"!") / w, "pipes": b.count(b"|") / w,
+            "upper": sum(65 <= c <= 90 for c in b) / chars, "digits": sum(48 <= c <= 57 for c in b) / chars, "words_a_line": n / (t.count("\n") + 1), "duplicate_lines": (len(lines) - len(set(lines))) / max(1, len(lines)), "distinct_words": len(set(low)) / w,
+            "repeated_triples": (len(triples) - len(set(triples))) / max(1, len(triples)), "commonest_word": max((low.count(x) for x in low), default=0) / w, "short_words": sum(x <= 3 for x in size) / w, "capitalised": sum(65 <= x[0] <= 90 for x in words) / w, "words_a_stop": n / (count(".?!") + 1),
+        }
+        for k, v in want.items():
+            assert abs(row[quality_gam.NAMES.index(k)] - v) < 1e-9, (t, k)
+
+
+def test_trees_take_the_best_cuts():
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        g, h = rng.normal(0, 1, 12), rng.uniform(0.1, 1, 12)
+        gain = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + 1.0)
+        c = max(range(1, 12), key=lambda c: gain(0, c) + gain(c, 12))
+        tree = quality_gam._tree(g, h, leaves=2)
+        assert np.allclose(tree, np.where(np.arange(12) < c, g[:c].sum() / (h[:c].sum() + 1), g[c:].sum() / (h[c:].sum() + 1)))
+        gg, hh = rng.normal(0, 1, (5, 5)), rng.uniform(0.1, 1, (5, 5))
+        parts = lambda x, a, b: (x[:a, :b].sum(), x[:a, b:].sum(), x[a:, :b].sum(), x[a:, b:].sum())
+        best = max((sum(p * p / (q + 4) for p, q in zip(parts(gg, a, b), parts(hh, a, b))) for a in range(1, 5) for b in range(1, 5)))
+        assert abs(quality_gam._pair_tree(gg, hh)[1] - best) < 1e-9
+
+
+def test_scores_are_sums_of_looked_up_values():
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(0, 1, (300, 4)), (rng.random(300) < 0.5).astype(float)
+    m = quality_gam.fit(x, y)
+    for row in x[:20]:
+        bins = [sum(v >= c for c in cuts) for v, cuts in zip(row, m.cuts)]
+        total = m.base + sum(m.tables[f][b] for f, b in enumerate(bins)) + sum(t[bins[f] * quality_gam.PAIR_BINS // quality_gam.BINS, bins[k] * quality_gam.PAIR_BINS // quality_gam.BINS] for t, (f, k) in zip(m.pair_tables, m.pairs))
+        assert abs(m.score(row[None])[0] - 1 / (1 + math.exp(-total))) < 1e-12
+
+
+def test_quality_columns_may_clash(spark):
+    docs = spark.createDataFrame([(1, "", "x", 1), (2, "a b c", "y", 0)], "doc_id long, text string, score string, quality int")
+    labels = spark.createDataFrame([(1, 0, "t"), (2, 1, "t")], "doc_id long, quality int, text string")
+    assert quality_gam.score(docs, quality_gam.train(docs, labels)).columns == ["doc_id", "held_out", "score", "predicted"]
+    assert quality_gam.score(docs.limit(0), quality_gam.train(docs, labels)).count() == 0
+
+
 def test_features_do_not_depend_on_neighbours():
     texts = [b"One two.\nOne two.\nthree", b"", b"a | b !! C", b"x", b"\n"]
     together = quality_gam.measures(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
