@@ -48,15 +48,16 @@ WIDER, WIDEST = 48, 144
 #: Earlier lines of a key's list that are looked at first, and the candidates after which a line stops looking.
 BLOCK, MOST = 256, 8
 #: Lines whose earliest place a task remembers, to give repeated ones once; then it starts anew (which only costs rows).
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 
 
 def _lines(data: np.ndarray, offsets: np.ndarray):
     """Of the lines with words in a run of texts: their words' 64-bit hashes, one line after the other; each line's
     document, number in it, first word and end."""
     starts, ends = word_spans(data, offsets)
-    newlines = np.concatenate([[0], np.cumsum(data == 10)])
-    doc = np.searchsorted(offsets, starts, "right") - 1
+    newlines = np.zeros(len(data) + 1, np.int32)
+    np.cumsum(data == 10, dtype=np.int32, out=newlines[1:])
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
     number = newlines[starts] - newlines[offsets[doc]]
     cut = np.flatnonzero((np.diff(doc) != 0) | (np.diff(number) != 0)) + 1
     a = np.concatenate([[0], cut]) if len(starts) else cut
@@ -69,6 +70,16 @@ def _runs(line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], cut]), np.concatenate([cut, [len(line)]])
 
 
+def _by_line(line: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """The order by line, then token, of tokens whose lines ascend: by one number of both, which is fast, unless it ties tokens that
+    differ."""
+    bits = np.uint64(max(1, int(line[-1] - line[0]).bit_length())) if len(line) else np.uint64(1)
+    both = (line - line[:1]).astype(np.uint64) << (np.uint64(64) - bits) | token >> bits
+    order = np.argsort(both)
+    tied = both[order[1:]] == both[order[:-1]]
+    return np.lexsort((token, line)) if (tied & (token[order[1:]] != token[order[:-1]])).any() else order
+
+
 def _keys(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit keys of each run of words, in order."""
     up, down = powers(len(hashes) + 1)
@@ -126,8 +137,7 @@ def _occurrences(docs: DataFrame, slots: int) -> DataFrame:
                 at = offsets[i : j + 1]
                 hashes, doc, number, a, b = _lines(data[at[0] : at[-1]], at - at[0])
                 if len(hashes):
-                    slot, n = np.unique(_slot(hashes, slots), return_counts=True)
-                    counts[slot] += np.minimum(n, 0xFFFFFFFF - counts[slot]).astype(np.uint32)
+                    np.add.at(counts, _slot(hashes, slots), np.uint32(1))
                     k1, k2 = _keys(hashes, a, b)
                     own = ids[i:j][doc]
                     new = firsts.fresh(k1, k2, own, number)
@@ -223,7 +233,7 @@ def _postings(docs: DataFrame, table: np.ndarray, repeated: DataFrame, threshold
                 own, h = np.repeat(np.arange(len(a)), b - a)[word], hashes[word]
                 rarity = rank[_slot(h, slots)]
                 token = (rarity.astype(np.uint64) << np.uint64(55)) | (mix64(h) >> np.uint64(9))
-                order = np.lexsort((token, own))
+                order = _by_line(own, token)
                 own, token, rarity = own[order], token[order], rarity[order]
                 once = np.concatenate([[True], (own[1:] != own[:-1]) | (token[1:] != token[:-1])])
                 own, token, rarity = own[once], token[once], rarity[once]
@@ -344,7 +354,7 @@ def _token_sets(wanted: DataFrame) -> DataFrame:
                 at = offsets[i : j + 1]
                 hashes, doc, _, a, b = _lines(data[at[0] : at[-1]], at - at[0])
                 row = np.repeat(doc + i, b - a)
-                order = np.lexsort((hashes, row))
+                order = _by_line(row, hashes)
                 row, h = row[order], hashes[order]
                 once = np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])])[: len(row)]
                 own.append(row[once])
@@ -373,39 +383,32 @@ def _may_match(s, t, threshold: float):
 def _alike(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     """(doc_id, line) of the pairs (doc_id, line, t_doc_id, t_line) whose Jaccard reaches the threshold, from the lines' words."""
     pairs = materialize(pairs, "line-pairs")
-    ends = pairs.select("doc_id", "line").unionByName(pairs.select(F.col("t_doc_id").alias("doc_id"), F.col("t_line").alias("line")))
-    asked = materialize(ends.groupBy("doc_id").agg(F.collect_set("line").alias("lines")), "line-asked")
-    size = asked.agg(F.count(F.lit(1)), F.sum(F.size("lines"))).first()
-    if not size[0]:
+    n = pairs.count()
+    if not n:
         return pairs.select("doc_id", "line")
-    wanted = sized_join(docs, asked, size[0], 48 + 8 * (size[1] // size[0]), "doc_id", "inner")
+    ends = pairs.select("doc_id", "line").unionByName(pairs.select(F.col("t_doc_id").alias("doc_id"), F.col("t_line").alias("line")))
+    asked = ends.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))  # of each pair's two lines at most a document each
+    wanted = sized_join(docs, asked, 2 * n, 56, "doc_id", "inner")
     parts = F.split(F.col("text").cast("string"), "\n")
     own = F.element_at(F.transform(F.array(parts), lambda p: F.transform("lines", lambda k: F.struct(k.alias("line"), F.get(p, k).cast("binary").alias("text")))), 1)
     sets = materialize(_token_sets(wanted.select("doc_id", F.inline(own))), "line-sets")
     pair = F.xxhash64("doc_id", "line", "t_doc_id", "t_line")
     numbered = pairs.select(F.col("doc_id"), F.col("line"), pair.alias("pair"), F.lit(0).alias("side"))
     asking = numbered.unionByName(pairs.select(F.col("t_doc_id").alias("doc_id"), F.col("t_line").alias("line"), pair.alias("pair"), F.lit(1).alias("side")))
-    told = sized_join(sets, asking, 2 * pairs.count(), 64, ["doc_id", "line"], "inner")  # a line's tokens, for each pair it is in
+    told = sized_join(sets, asking, 2 * n, 64, ["doc_id", "line"], "inner")  # a line's tokens, for each pair it is in
     left = told.where("side = 0").select("pair", "doc_id", "line", "tokens")
     both = left.join(told.where("side = 1").select("pair", F.col("tokens").alias("t_tokens")), "pair")
     need = F.ceil((F.size("tokens") + F.size("t_tokens")) * F.lit(threshold / (1 + threshold)) - 1e-9)
     out = materialize(both.where(F.size(F.array_intersect("tokens", "t_tokens")) >= need).select("doc_id", "line").distinct(), "line-near")
-    discard(pairs, asked, sets)
+    discard(pairs, sets)
     return out
 
 
-def _verified(docs: DataFrame, found: DataFrame, threshold: float) -> list[DataFrame]:
-    """(doc_id, line) of the lines of `found` (doc_id, line, far, found) that one of their candidates matches. Each line's
-    most alike candidate is verified first; only lines that it doesn't settle have all of theirs verified, so a dense group
-    costs its lines, not its pairs."""
-    best = found.groupBy("doc_id", "line").agg(F.min_by(F.col("found")[0], F.struct("far", F.col("found")[0])).alias("t")).select("doc_id", "line", "t.*")
-    first = _alike(docs, best, threshold)
-    rest = found.where(F.size("found") > 0).join(first, ["doc_id", "line"], "left_anti").select("doc_id", "line", F.inline("found")).distinct()
-    return [first, _alike(docs, rest, threshold)]
-
+def _removed(docs: DataFrame, threshold: float, block: int, most: int, dense: int) -> list[DataFrame]:
+    """Tables of (doc_id, line), places of the lines that go; a place may be given twice.
 
-def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, most: int = MOST, dense: int = DENSE) -> DataFrame:
-    """(doc_id, line): places of the lines that go, line numbers from 0."""
+    Each line's most alike candidate is verified first. Lines that it doesn't settle have all of theirs verified, together with
+    those of the lists that they have not seen to the end, so a dense group costs its lines, not its pairs."""
     docs = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
     slots = table_slots(docs)
     seen = materialize(_occurrences(docs, slots), "line-occurrences")
@@ -413,39 +416,38 @@ def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, block: int = BL
     firsts = seen.where("kind = 0").select("k1", "k2", "doc_id", "line")
     place = Window.partitionBy("k1", "k2").orderBy("doc_id", "line")  # a row for each task that has the line, and few more
     repeated = materialize(firsts.withColumn("rank", F.rank().over(place)).where("rank > 1").select("doc_id", "line"), "line-repeated")
-    gone = [repeated, materialize(seen.where("kind = 2").select("doc_id", "line"), "line-repeated")]
-    discard(seen)
+    gone = [repeated, seen.where("kind = 2").select("doc_id", "line")]
 
     blocks = materialize(_first_blocks(_postings(docs, table, repeated, threshold, dense), threshold, block, most), "line-blocks")
-    near = _verified(docs, blocks.where("kind = 0").select("doc_id", "line", "far", "found"), threshold)
+    found = blocks.where("kind = 0").select("doc_id", "line", "far", "found")
+    best = found.groupBy("doc_id", "line").agg(F.min_by(F.col("found")[0], F.struct("far", F.col("found")[0])).alias("t")).select("doc_id", "line", "t.*")
+    gone.append(_alike(docs, best, threshold))
+    pairs = found.join(gone[-1], ["doc_id", "line"], "left_anti").select("doc_id", "line", F.inline("found"))
     names = ("rank", *POSTING[1:])
     earlier = blocks.where(f"(kind = 1 AND rank >= {block}) OR kind = 2").select("token", *[F.col(c).alias(f"t_{c}") for c in names])
     left, size = blocks.where("kind = 1").select("token", "since", *names), block
     while True:
         size *= 8
-        left = left.where(F.col("since") < F.col("rank"))
-        for g in near:
-            left = left.join(g, ["doc_id", "line"], "left_anti")
-        gone += near
-        left = materialize(left, "line-left")
-        if left.isEmpty():
-            break
-        pairs = left.join(earlier, "token").where((F.col("t_rank") >= F.col("since")) & (F.col("t_rank") < F.col("since") + size) & (F.col("t_rank") < F.col("rank")) & _may_match("", "t_", threshold))
-        near = [_alike(docs, pairs.select("doc_id", "line", "t_doc_id", "t_line").distinct(), threshold)]
-        left = left.withColumn("since", F.col("since") + size)
-    out = gone[0]
-    for g in gone[1:]:
-        out = out.unionByName(g)
-    out = materialize(out.distinct(), "line-removed")
-    discard(blocks, *gone)
-    return out
+        left = materialize(left.where(F.col("since") < F.col("rank")).join(gone[-1], ["doc_id", "line"], "left_anti"), "line-left")
+        more = left.join(earlier, "token").where((F.col("t_rank") >= F.col("since")) & (F.col("t_rank") < F.col("since") + size) & (F.col("t_rank") < F.col("rank")) & _may_match("", "t_", threshold))
+        more = more.select("doc_id", "line", "t_doc_id", "t_line")
+        gone.append(_alike(docs, (more if pairs is None else more.unionByName(pairs)).distinct(), threshold))
+        left, pairs = left.withColumn("since", F.col("since") + size), None
+        if left.where(F.col("since") < F.col("rank")).isEmpty():
+            discard(blocks)
+            return gone
+
+
+def removed_lines(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, most: int = MOST, dense: int = DENSE) -> DataFrame:
+    """(doc_id, line): places of the lines that go, line numbers from 0."""
+    return reduce(DataFrame.unionByName, _removed(docs, threshold, block, most, dense)).distinct()
 
 
-def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, **params) -> DataFrame:
+def deduplicate(docs: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK, most: int = MOST, dense: int = DENSE) -> DataFrame:
     """`docs` with the removed lines cut out of `text`, and `removed_lines` (their numbers, ascending)."""
-    places = removed_lines(docs, threshold, **params)
-    gone = materialize(places.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed")), "line-removed")
-    discard(places)
+    places = _removed(docs, threshold, block, most, dense)
+    gone = materialize(reduce(DataFrame.unionByName, places).groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("removed")), "line-removed")
+    discard(*places)
     size = gone.agg(F.count(F.lit(1)), F.sum(F.size("removed"))).first()
     columns = [c for c in docs.columns if c != "removed_lines"]
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.struct(*columns).alias("row"))  # no name of theirs can clash
