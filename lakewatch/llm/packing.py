@@ -7,21 +7,24 @@ they are, so workers fill their own sequences without hearing of each other: pie
 ranges' counts give each its first rank in the class, and piece r of class k goes to the class's sequence r // k. What is
 left in each class, fewer than k pieces, is a few thousand pieces at most whatever the input, and is packed first-fit.
 
-Token ids are those of the tokenizer file for the whole text: a cut before a single space between two characters that are
-no white space never changes them, so the words of a text are looked up in a bounded cache and only new ones are encoded.
+Token ids are those of the tokenizer file for the whole text: its added tokens are told first, and a cut before a single
+space between two characters that are no white space never changes the rest's, so the words of a text are looked up in a
+bounded cache and only new ones are encoded.
 
 Nulls: a null text is empty (one piece: id 0); a null doc_id packs like any other. Rows that share a doc_id are documents
-of their own. Empty tables give no pieces. Columns other than doc_id and text are ignored.
+of their own. A text of any length is encoded whole, in its task's memory. Ties between pieces break by a hash, then by
+doc_id, start and place in the table. Empty tables give no pieces. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import json
+import re
 import zlib
 from array import array
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,10 +34,10 @@ from lakewatch.llm.common import map_arrow, materialize, texts, utf8
 CAPACITY = 1024
 #: Ids of a sequence that a class may leave empty.
 SLACK = 32
-#: Hashed ranges that a class's pieces are ranked in.
-RANGES = 1024
+#: Pieces of a hashed range, about, in which a class's pieces are ranked; their number follows from the pieces.
+RANGE_PIECES = 1 << 15
 #: Words that a worker's cache holds before it starts anew.
-CACHED = 600_000
+CACHED = 250_000
 
 #: White space other than the single space, and its neighbourhoods in which a split could matter.
 _WHITE = "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -44,7 +47,7 @@ _tokenizers: dict[str, Tokens] = {}
 
 
 def tokenizer_path() -> str:
-    """The byte-level BPE of 50,257 ids as ranks: the same vocabulary as its tokenizers file, three times as fast."""
+    """The byte-level BPE of 50,257 ids as ranks: the same vocabulary as its tokenizers file beside it, three times as fast."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -60,6 +63,10 @@ class Tokens(dict):
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.encoder = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(path.removesuffix(".tiktoken") + ".json", encoding="utf-8") as f:
+            added = {t["content"]: array("I", [t["id"]]).tobytes() for t in json.load(f)["added_tokens"]}
+        self.added = added
+        self.split = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")" if added else r"(?!)").split
 
     def encode(self, text: str) -> bytes:
         return array("I", self.encoder.encode_ordinary(text)).tobytes()
@@ -71,6 +78,9 @@ class Tokens(dict):
         return ids
 
     def of(self, text: str) -> bytes:
+        return b"".join(self.added.get(part) or self.plain(part) for part in self.split(text) if part)
+
+    def plain(self, text: str) -> bytes:
         if any(x in text for x in _BESIDE):
             return self.encode(text)
         first, *rest = text.split(" ")
@@ -115,14 +125,19 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, s
             yield pa.record_batch([pa.array(c, pa.list_(pa.int32()) if n == "ids" else pa.int64()) for n, c in zip(names, columns)], names=names)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, mark long" + ", ids array<int>" * with_ids
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")), run, schema)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")), run, schema, rows=250)
 
 
 def _first_fit(capacity: int):
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "start", "mark", "piece_id"], ascending=[False, True, True, True, True], ignore_index=True)
+    def run(batches):
+        columns = ("length", "doc_id", "start", "mark", "piece_id")
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        c = {n: np.concatenate([b.column(n).fill_null(-(1 << 62)).to_numpy(zero_copy_only=False) for b in batches]) for n in columns}
+        order = np.lexsort((c["piece_id"], c["mark"], c["start"], c["doc_id"], -c["length"]))
         room, bins, offsets = np.zeros(0, np.int64), [], []
-        for n in rows.length:
+        for n in c["length"][order].tolist():
             fit = np.flatnonzero(room >= n)
             at = int(fit[0]) if len(fit) else len(room)
             if not len(fit):
@@ -130,7 +145,7 @@ def _first_fit(capacity: int):
             bins.append(at)
             offsets.append(capacity - int(room[at]))
             room[at] -= n
-        return rows.assign(sequence_id=bins, offset=offsets)[["piece_id", "sequence_id", "offset"]]
+        yield pa.record_batch([pa.array(c["piece_id"][order]), pa.array(bins, pa.int64()), pa.array(offsets, pa.int64())], names=["piece_id", "sequence_id", "offset"])
 
     return run
 
@@ -139,9 +154,10 @@ def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Pieces (doc_id, start, length, mark, and a unique piece_id) with sequence_id and offset. `cut` is read several times:
     give it a materialised table without the ids."""
     kind = F.expr(f"{capacity} div length")
-    spread = F.pmod(F.xxhash64("doc_id", "start", "mark"), F.lit(RANGES))
+    ranges = 1 << max(6, min(20, (cut.count() // RANGE_PIECES).bit_length()))
+    spread = F.pmod(F.xxhash64("doc_id", "start", "mark"), F.lit(ranges))
     p = cut.select("*", kind.alias("class"), spread.alias("range"))
-    counts = p.groupBy("class", "range").agg(F.count(F.lit(1)).alias("n"))  # RANGES rows a class at most
+    counts = p.groupBy("class", "range").agg(F.count(F.lit(1)).alias("n"))  # `ranges` rows a class at most
     totals = counts.groupBy("class").agg(F.sum("n").alias("all")).withColumn("bins", F.expr("`all` div class"))
     upto = lambda *by: Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("first_bin", F.coalesce(F.sum("bins").over(Window.orderBy("class").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -156,8 +172,8 @@ def assign(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     placed = full.withColumn("offset", offset).select(*cut.columns, "sequence_id", "offset")
     rest = ranked.where("sequence_id IS NULL").drop("rank", "sequence_id")
     base = full.agg(F.coalesce(F.max("sequence_id") + 1, F.lit(0)).alias("base"))
-    few = rest.select("doc_id", "start", "length", "mark", "piece_id", F.lit(0).alias("g"))  # a few thousand pieces
-    fitted = few.groupBy("g").applyInPandas(_first_fit(capacity), "piece_id long, sequence_id long, offset long")
+    few = rest.select("doc_id", "start", "length", "mark", "piece_id").repartition(1)  # a few thousand pieces, whatever the input
+    fitted = map_arrow(few, _first_fit(capacity), "piece_id long, sequence_id long, offset long")
     fitted = fitted.crossJoin(F.broadcast(base)).select("piece_id", (F.col("sequence_id") + F.col("base")).alias("sequence_id"), "offset")
     return placed.unionByName(rest.join(F.broadcast(fitted), "piece_id").select(*placed.columns))
 
