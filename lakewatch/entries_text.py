@@ -120,3 +120,10 @@ on_corpus(
     "SELECT DISTINCT lower(tags[1]) AS kw FROM corpus WHERE len(tags) > 0 AND length(tags[1]) BETWEEN 3 AND 100 AND lower(tags[1]) <> 'the' UNION ALL SELECT 'Extra'",
     lambda c: tables.added_keywords(c.sparkSession.createDataFrame([("Extra",)], "kw string"), c.sparkSession.createDataFrame([("The",)], "kw string"), c.where("size(tags) > 0").select(F.lower(F.col("tags")[0]).alias("kw")), most=None),
 )
+_CONFIG = (("en", "the "), ("en", " of "), ("es", " de "), ("es", "CIÓN"), ("de", "und"), ("de", "ver"), ("fr", "ment"), ("fr", "la"))
+_N = lambda t: " + ".join(f"contains(form, '{k.strip().lower()}')::INT" for x, k in _CONFIG if x == t)
+on_corpus(
+    "e03_configured_topics",
+    "SELECT doc_id, array_to_string(list_transform(list_sort(list_filter([" + ", ".join(f"{{'n': -({_N(t)}), 't': '{t}'}}" for t in ("de", "en", "es", "fr")) + "], lambda r: r.n < 0)), lambda r: r.t), '|') AS topics FROM (SELECT doc_id, trim(regexp_replace(lower(texto), '\\s+', ' ', 'g')) AS form FROM corpus)",
+    lambda c: filters.configured_topics(c, c.sparkSession.createDataFrame(list(_CONFIG), "topic string, kw string")).select("doc_id", F.array_join("topics", "|").alias("topics")),
+)

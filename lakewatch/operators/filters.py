@@ -72,6 +72,16 @@ def topics_of(text: Column, by_topic: dict[str, tuple]) -> Column:
     return F.transform(F.array_sort(F.filter(F.array(*rows), lambda r: r["n"] < 0)), lambda r: r["topic"])
 
 
+def configured_topics(docs: DataFrame, config: DataFrame, text: str = "texto") -> DataFrame:
+    """Documents with `topics` by a table of keywords (topic, kw), read when the job runs: most keywords first, then by name. The
+    table is an owner's configuration; it becomes one row that goes to every task."""
+    pairs = config.select("topic", "kw").distinct().agg(F.array_sort(F.collect_list(F.struct("topic", collapse(F.lower(nfkc(F.col("kw")))).alias("form")))).alias("__pairs"))
+    d = docs.withColumn("__form", _norm(F.col(text))).crossJoin(F.broadcast(pairs))  # one row
+    hits = F.transform(F.filter("__pairs", lambda p: F.contains(F.col("__form"), p["form"])), lambda p: p["topic"])
+    counted = F.transform(F.array_distinct(hits), lambda t: F.struct((-F.size(F.filter(hits, lambda h: h == t))).alias("n"), t.alias("topic")))
+    return d.withColumn("topics", F.transform(F.array_sort(counted), lambda r: r["topic"])).select(*[c for c in docs.columns if c != "topics"], "topics")
+
+
 def automaton_match(docs: DataFrame, words: list[str], text: str = "texto") -> DataFrame:
     """doc_id and the words found, sorted, lower-cased: one automaton for each task, for dictionaries of thousands."""
     words = sorted({w.lower() for w in words})

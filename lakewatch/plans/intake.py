@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -36,14 +37,31 @@ def classify_and_store(items: DataFrame, responses: DataFrame, keep_discarded: b
     return d if keep_discarded else d.where("severity_tier IS NULL OR severity_tier <> 'descartado'")
 
 
-def run_batch(items: DataFrame, sources: DataFrame, stored: DataFrame, responses: DataFrame, keywords, *, as_of=AS_OF, cutoff: float = flt.CUTOFF, mutes: DataFrame | None = None) -> Batch:
+#: A provider of classifications: new items (titulo, texto, content_hash, ...) -> responses(content_hash, tipo, relevancia, topics,
+#: tags). Items that it gives no row for wait as pending.
+Classifier = Callable[[DataFrame], DataFrame]
+
+
+def rule_provider(by_topic: dict[str, tuple] = flt.KEYWORDS) -> Classifier:
+    """The provider that classifies by the rules of keywords, one response for each content."""
+
+    def classify(items: DataFrame) -> DataFrame:
+        d = flt.rule_classifier(items.withColumn("doc_id", F.col("content_hash")), by_topic)
+        return d.select(F.col("doc_id").alias("content_hash"), "tipo", "relevancia", "topics", "tags").dropDuplicates(["content_hash"])
+
+    return classify
+
+
+def run_batch(items: DataFrame, sources: DataFrame, stored: DataFrame, responses: DataFrame | Classifier, keywords, *, as_of=AS_OF, cutoff: float = flt.CUTOFF, mutes: DataFrame | None = None) -> Batch:
     """items(source_id, titulo, texto, url, data_publicacao, fetched_at, content_hash) through all stages. Each item is one row with
-    a flag for each stage that it passes, so the funnel is one aggregation and no stage is computed twice for it."""
+    a flag for each stage that it passes, so the funnel is one aggregation and no stage is computed twice for it. `responses` is a
+    table, or a provider that is asked for the new items only."""
     known = stored.select("content_hash").distinct().withColumn("known", F.lit(True))
     d = flt.scored(flt.with_found(items, sources, keywords), as_of).join(known, "content_hash", "left")
-    d = classified(d, responses).withColumn("tags", F.coalesce("tags", F.array().cast("array<string>")))
     d = d.withColumn("collected", F.lit(True)).withColumn("keywords", F.size("found") > 0).withColumn("prescore", F.col("keywords") & flt.passes(F.col("score"), cutoff))
-    d = d.withColumn("new", F.col("prescore") & F.col("known").isNull()).withColumn("classified", F.col("new") & F.col("answered"))
+    d = d.withColumn("new", F.col("prescore") & F.col("known").isNull())
+    answers = responses(d.where("new").select(*items.columns)) if callable(responses) else responses
+    d = classified(d, answers).withColumn("tags", F.coalesce("tags", F.array().cast("array<string>"))).withColumn("classified", F.col("new") & F.col("answered"))
     d = d.withColumn("stored", F.col("new") & (F.coalesce("severity_tier", F.lit("")) != "descartado")).withColumn("discarded", F.col("new") & (F.coalesce("severity_tier", F.lit("")) == "descartado"))
     d = d.withColumn("notified", F.col("stored") & F.col("severity_tier").isNotNull())
     if mutes is not None:

@@ -211,6 +211,20 @@ def test_batch_keeps_pending_documents(spark):
     assert health.zero_run_report(entries.views.run_history(spark, SMALL)).count() > 0
 
 
+def test_batch_asks_a_provider_for_new_items_only(spark):
+    asked = []
+
+    def provider(items):
+        asked.append(items)
+        return intake.rule_provider({"itcd": ("license", "the and")})(items)
+
+    c, s = entries.views.corpus(spark, SMALL), entries.views.sources(spark, SMALL)
+    items = entries._items(c).drop("doc_id").dropDuplicates(["content_hash"])
+    b = intake.run_batch(items, s, c.where("doc_id % 4 = 0").select("content_hash"), provider, entries.KEYWORDS, cutoff=0.0)
+    n = {r.stage: r.n for r in b.funnel.collect()}
+    assert asked[0].count() == n["new"] == n["classified"] > 0 and n["stored"] <= n["new"]
+
+
 def test_audit_chain_is_streamed(spark):
     log = spark.range(500).selectExpr("concat('o', id % 3) AS owner_id", "id AS entry_id", "timestamp_seconds((id * 7) % 90) AS timestamp", "'view' AS action", "'p' AS payload")
     size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
