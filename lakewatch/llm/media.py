@@ -8,8 +8,9 @@ the 33 header bytes alone; features from range reads of whole payloads, once for
 A shard is opened under a new name for each attempt at a task, so a repeated task never disturbs what rows refer to; the
 rows are written to a table before they are used. Places in shards are the only columns that differ between runs.
 
-Nulls: a null text is empty: 64 zero samples. Equal texts get equal values. A null doc_id is kept. Empty tables give no
-rows. Other columns are ignored.
+Nulls: a null text is empty: 64 zero samples. Equal texts get equal values, repeated rows included. A null doc_id is kept. A
+text of any length is one payload, in its task's memory while it is encoded. Empty tables give no rows. Other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -26,11 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewatch.llm.common import map_arrow, materialize, shared_dir, utf8
+from lakewatch.llm.common import map_arrow, materialize, tables_dir, utf8
 
 WIDTH = 64
-#: Bytes at which a task starts its next shard.
-SHARD_BYTES = 256 << 20
+#: Bytes at which a task starts its next shard; stored bytes that a task reads back, about.
+SHARD_BYTES, READ_BYTES = 256 << 20, 16 << 20
+#: Payloads whose places a task remembers; then it starts anew, and a copy of one may be stored again.
+REMEMBERED = 1 << 17
 HEADER_BYTES = 33
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
@@ -85,9 +88,10 @@ def _filesystem(uri: str):
     return fs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}")
 
 
-def store(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """doc_id, n_bytes and the place of each row's payload: digest (of the stored form), shard, offset, length."""
-    folder = f"{shared_dir(docs.sparkSession).rstrip('/')}/lakewatch/media-{uuid.uuid4().hex}"
+def store(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, str]:
+    """(rows, folder): doc_id, n_bytes and the place of each row's payload: digest (of the stored form), shard in the folder, offset,
+    length."""
+    folder = f"{tables_dir(docs.sparkSession)}/media-{uuid.uuid4().hex}"
 
     def run(batches):
         system, at = _filesystem(folder)
@@ -101,13 +105,15 @@ def store(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
                     key = hashlib.sha256(text).digest()
                     place = places.get(key)
                     if place is None:
+                        if len(places) >= REMEMBERED:
+                            places.clear()
                         stored = encode(padded(text))
                         name = hashlib.sha256(stored).hexdigest()
                         if out is None or out.tell() > shard_bytes:
                             if out is not None:
                                 out.write(b"\0" * 1024)
                                 out.close()
-                            shard = f"{uuid.uuid4().hex}.tar"
+                            shard = f"{uuid.uuid4().hex[:16]}.tar"
                             out = system.open_output_stream(f"{at}/{shard}")
                         info = tarfile.TarInfo(f"{name}.png")
                         info.size = len(stored)
@@ -124,48 +130,58 @@ def store(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
                 out.close()
 
     rows = map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")), run, "doc_id long, n_bytes long, digest string, shard string, offset long, length long")
-    return materialize(rows.withColumn("shard", F.concat(F.lit(f"{folder}/"), "shard")), "media-rows")
+    return materialize(rows, "media-rows"), folder
 
 
 def places(rows: DataFrame) -> DataFrame:
-    """One row for each digest: its canonical shard, offset and length, dealt by shard so that a task reads few files."""
-    first = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p")).select("digest", "p.*")
-    return first.repartitionByRange("shard", "offset")
+    """One row for each digest: its canonical shard, offset and length."""
+    return rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("p")).select("digest", "p.*")
 
 
-def read_ranges(at: DataFrame, fn, schema: str, only_header: bool = False) -> DataFrame:
-    """`digest` and what `fn` makes of each place's bytes (its first HEADER_BYTES if only_header), a tuple."""
+def dealt(at: DataFrame, read_bytes: int = READ_BYTES) -> DataFrame:
+    """Places in files for tasks of about `read_bytes`, each a run of neighbouring places in order, so that it reads few shards
+    forwards."""
+    least = at.sparkSession.sparkContext.defaultParallelism
+    n = max(least, (at.agg(F.sum("length")).first()[0] or 0) // read_bytes)
+    return materialize(at.repartitionByRange(n, "shard", "offset").sortWithinPartitions("shard", "offset"), "media-places")
+
+
+PLACE = "digest string, shard string, offset long, length long"
+
+
+def read_ranges(at: DataFrame, folder: str, fn, schema: str, only_header: bool = False) -> DataFrame:
+    """What `fn` makes of each place's bytes, a tuple: with the place; or, if only_header, of its first HEADER_BYTES, with the digest."""
+    columns = [x.split() for x in (f"digest string, {schema}" if only_header else f"{PLACE}, {schema}").split(", ")]
+    kinds = {"string": pa.string(), "long": pa.int64()}
 
     def run(batches):
-        files: dict[str, object] = {}
+        name, file = None, None
         for batch in batches:
             rows = []
             for digest, shard, offset, length in zip(*(batch.column(k).to_pylist() for k in range(4))):
-                if shard not in files:
-                    for f in files.values():
-                        f.close()
-                    files.clear()
-                    system, path = _filesystem(shard)
-                    files[shard] = system.open_input_file(path)
-                files[shard].seek(offset)
-                rows.append((digest, *fn(files[shard].read(HEADER_BYTES if only_header else length))))
-            names = [x.split()[0] for x in ("digest string, " + schema).split(", ")]
-            kinds = [{"string": pa.string(), "long": pa.int64()}[x.split()[1]] for x in ("digest string, " + schema).split(", ")]
-            columns = list(zip(*rows)) or [()] * len(names)
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
-        for f in files.values():
-            f.close()
-
-    return map_arrow(at.select("digest", "shard", "offset", "length"), run, "digest string, " + schema)
-
-
-def metadata(at: DataFrame) -> DataFrame:
+                if shard != name:
+                    if file is not None:
+                        file.close()
+                    system, path = _filesystem(f"{folder}/{shard}")
+                    name, file = shard, system.open_input_file(path)
+                file.seek(offset)
+                place = (digest,) if only_header else (digest, shard, offset, length)
+                rows.append((*place, *fn(file.read(HEADER_BYTES if only_header else length))))
+            listed = list(zip(*rows)) or [()] * len(columns)
+            yield pa.record_batch([pa.array(c, kinds[k]) for c, (_, k) in zip(listed, columns)], names=[n for n, _ in columns])
+        if file is not None:
+            file.close()
+
+    return map_arrow(at.select("digest", "shard", "offset", "length"), run, ", ".join(" ".join(c) for c in columns))
+
+
+def metadata(at: DataFrame, folder: str) -> DataFrame:
     """digest, width and height, from header bytes alone."""
-    return read_ranges(at, header, "width long, height long", only_header=True)
+    return read_ranges(at, folder, header, "width long, height long", only_header=True)
 
 
-def features(at: DataFrame) -> DataFrame:
-    """digest, and of the payload read back: bytes, SHA-256, CRC-32 of its last 64, and feature; bytes and SHA-256 of the
+def features(at: DataFrame, folder: str) -> DataFrame:
+    """The place, and of the payload read back: bytes, SHA-256, CRC-32 of its last 64, and feature; bytes and SHA-256 of the
     stored form, which must be the digest."""
 
     def of(stored: bytes):
@@ -173,12 +189,13 @@ def features(at: DataFrame) -> DataFrame:
         payload = decode(stored)
         return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), name, feature(payload)
 
-    return read_ranges(at, of, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return read_ranges(at, folder, of, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, the features of the row's stored payload, width and height, and its place."""
-    rows = store(docs)
-    at = materialize(places(rows), "media-places")
-    known = features(at).join(metadata(at), "digest").join(at, "digest")
-    return rows.select("doc_id", "n_bytes", "digest").join(known, "digest").drop("digest")
+    """doc_id, n_bytes, the features of the row's stored payload, width and height, its digest and its place."""
+    rows, folder = store(docs)
+    at = dealt(places(rows))
+    known = features(at, folder).join(metadata(at, folder), "digest")
+    out = rows.select("doc_id", "n_bytes", "digest").join(known, "digest")
+    return out.withColumn("shard", F.concat(F.lit(f"{folder}/"), "shard"))
