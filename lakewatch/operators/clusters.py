@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -36,13 +37,15 @@ def duplicate_flags(items: DataFrame, stored: DataFrame) -> DataFrame:
     return i.join(h, "content_hash", "left").join(k, "cluster_key", "left").withColumn("same_hash", F.coalesce("same_hash", no)).withColumn("same_key", F.coalesce("same_key", no))
 
 
-def _tokens(title: str) -> np.ndarray:
-    """Hashes of a title's characters, the n-th of a kind told from the others: what two titles share of them bounds the
-    characters that any alignment matches."""
+def _tokens(title: str, size: int = 1) -> np.ndarray:
+    """Hashes of a title's characters (or of its pairs of neighbours), the n-th of a kind told from the others: what two titles
+    share of them bounds the characters that any alignment matches."""
     points = np.frombuffer(title.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    if size == 2:
+        points = points[:-1] * np.uint64(2654435761) + points[1:] & np.uint64(0xFFFFFFFF)
     order = np.argsort(points, kind="stable")
     kinds = points[order]
-    head = np.concatenate([[True], kinds[1:] != kinds[:-1]])
+    head = np.concatenate([np.ones(min(1, len(kinds)), bool), kinds[1:] != kinds[:-1]])
     nth = np.arange(len(kinds)) - np.maximum.accumulate(np.where(head, np.arange(len(kinds)), 0))
     x = (kinds << np.uint64(32) | nth.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -96,6 +99,23 @@ def _postings(titles: DataFrame, order: np.ndarray, least: float) -> DataFrame:
     return titles.mapInArrow(run, "token long, item long, n int, s0 long, s1 long, s2 long, s3 long")
 
 
+def _neighbours(titles: DataFrame) -> DataFrame:
+    """(item, norm, b0 to b7): 512 bits, one flipped for each pair of neighbouring characters. Blocks that match M characters keep
+    all pairs inside them, and there are at most 1 + a + b - 2 M blocks; so titles of lengths a and b whose ratio needs M
+    characters differ in at most 3 (a + b) - 6 M pairs."""
+
+    def run(batches):
+        for batch in batches:
+            sig = np.zeros((batch.num_rows, 8), np.uint64)
+            for k, t in enumerate(batch.column("norm").to_pylist()):
+                x = _tokens(t, 2)
+                np.bitwise_xor.at(sig[k], ((x >> np.uint64(6)) & np.uint64(7)).astype(np.int64), np.uint64(1) << (x & np.uint64(63)))
+            columns = [np.ascontiguousarray(sig[:, k]).view(np.int64) for k in range(8)]
+            yield pa.record_batch([batch.column("item"), batch.column("norm"), *map(pa.array, columns)], names=["item", "norm", *[f"b{k}" for k in range(8)]])
+
+    return titles.mapInArrow(run, "item long, norm string, " + ", ".join(f"b{k} long" for k in range(8)))
+
+
 def _common(places: dict[str, int], n: int, y: str) -> int:
     """Length of the longest common subsequence of y and a string of n characters, given as bit sets of each one's places."""
     rest = full = (1 << n) - 1
@@ -129,16 +149,19 @@ def _near(batches, least: float):
     signatures let them reach the ratio. A group is a piece of a list by another: what is held is bounded."""
 
     def pairs(x):
-        u, v, part, item, n = x[1], x[2], x[3], x[4], x[5].astype(np.int64)
-        sig = np.stack(x[6:10], 1).view(np.uint64)
+        u, v, part, item, n = x[1], x[2], x[3], x[4], x[5].astype(np.int32)
+        sig = [c.view(np.uint64) for c in x[6:10]]
+        totals = np.arange(2 * int(n.max()) + 1)
+        most = (totals - 2 * np.ceil(least * totals / 2 - 1e-9)).astype(np.int16)
         left, right = (np.flatnonzero(part == 0), np.flatnonzero(part == 1)) if u[0] != v[0] else (np.arange(len(n)), np.arange(len(n)))
         for k in range(0, len(left), 256):
             i = left[k : k + 256]
-            total = n[i][:, None] + n[right][None, :]
-            far = sum(np.bitwise_count(sig[i, w][:, None] ^ sig[right, w][None, :]).astype(np.int16) for w in range(4))
-            ok = (far <= total - 2 * np.ceil(least * total / 2 - 1e-9)) & (2 * np.minimum(n[i][:, None], n[right][None, :]) >= least * total - 1e-9)
-            a, b = np.nonzero(ok)
-            a, b = item[i[a]], item[right[b]]
+            j = right[k:] if u[0] == v[0] else right  # of one list with itself, each pair once
+            far = np.zeros((len(i), len(j)), np.int16)
+            for w in sig:
+                far += np.bitwise_count(w[i][:, None] ^ w[j][None, :])
+            a, b = np.nonzero(far <= most[n[i][:, None] + n[j][None, :]])
+            a, b = item[i[a]], item[j[b]]
             keep = a != b
             yield np.minimum(a, b)[keep], np.maximum(a, b)[keep]
 
@@ -179,8 +202,12 @@ def similar_pairs(items: DataFrame, least: float = FUZZY, piece: int = PIECE) ->
     group = dealt.select("token", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), (F.col("own") > F.col("other")).cast("int").alias("part"), "item", "n", "s0", "s1", "s2", "s3")
     streams = group.repartition("token", "u", "v").sortWithinPartitions("token", "u", "v", "part")
     near = streams.mapInArrow(lambda batches: _near(batches, least), "a long, b long").distinct()
-    x, y = (r.select(F.col("item").alias(c), F.col("norm").alias(n)) for c, n in (("a", "x"), ("b", "y")))
-    return near.join(x, "a").join(y, "b").where(_reaches(F.col("x"), F.col("y"), least)).select("a", "b").unionByName(same)
+    told = _neighbours(r).checkpoint()
+    x, y = (told.select(F.col("item").alias(c), *[F.col(k).alias(f"{n}_{k}") for k in told.columns[1:]]) for c, n in (("a", "x"), ("b", "y")))
+    total = F.length("x_norm") + F.length("y_norm")
+    far = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"x_b{k}").bitwiseXOR(F.col(f"y_b{k}"))) for k in range(8)])
+    both = near.join(x, "a").join(y, "b").where(far <= 3 * total - 6 * F.ceil(F.lit(least) * total / 2 - 1e-9))
+    return both.where(_reaches(F.col("x_norm"), F.col("y_norm"), least)).select("a", "b").unionByName(same)
 
 
 def components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 30) -> DataFrame:
