@@ -397,7 +397,8 @@ def _alike(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     asking = numbered.unionByName(pairs.select(F.col("t_doc_id").alias("doc_id"), F.col("t_line").alias("line"), pair.alias("pair"), F.lit(1).alias("side")))
     told = sized_join(sets, asking, 2 * n, 64, ["doc_id", "line"], "inner")  # a line's tokens, for each pair it is in
     left = told.where("side = 0").select("pair", "doc_id", "line", "tokens")
-    both = left.join(told.where("side = 1").select("pair", F.col("tokens").alias("t_tokens")), "pair")
+    right = told.where("side = 1").select("pair", F.col("tokens").alias("t_tokens"))
+    both = left.join(right.hint("merge"), "pair")  # no estimate of the optimizer is to broadcast token sets
     need = F.ceil((F.size("tokens") + F.size("t_tokens")) * F.lit(threshold / (1 + threshold)) - 1e-9)
     out = materialize(both.where(F.size(F.array_intersect("tokens", "t_tokens")) >= need).select("doc_id", "line").distinct(), "line-near")
     discard(pairs, sets)

@@ -176,10 +176,10 @@ def find_pii(docs: DataFrame, model: pii_model.Model | None = None) -> DataFrame
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """doc_id, counts of the base spans by kind, their digest, all spans, and how many the model added."""
+    """doc_id, counts of the base spans by kind, their digest, all spans, how many the model added and how many there are."""
     told = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     joined = lambda a: F.array_join(F.transform(a, told), ",")
     count = lambda k: F.size(F.filter("found", lambda s: (s["kind"] == k) & (s["origin"] == "base"))).cast("long")
     base = F.filter("found", lambda s: s["origin"] == "base")
     added = F.size(F.filter("found", lambda s: s["origin"] == "model")).cast("long")
-    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined("found").alias("spans"), added.alias("n_added"))
+    return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined("found").alias("spans"), added.alias("n_added"), F.size("found").cast("long").alias("n_spans"))
