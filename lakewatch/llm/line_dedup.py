@@ -430,7 +430,7 @@ def _removed(docs: DataFrame, threshold: float, block: int, most: int, dense: in
     while True:
         size *= 8
         left = materialize(left.where(F.col("since") < F.col("rank")).join(gone[-1], ["doc_id", "line"], "left_anti"), "line-left")
-        more = left.join(earlier, "token").where((F.col("t_rank") >= F.col("since")) & (F.col("t_rank") < F.col("since") + size) & (F.col("t_rank") < F.col("rank")) & _may_match("", "t_", threshold))
+        more = sized_join(earlier, left, left.count(), 96, "token", "inner").where((F.col("t_rank") >= F.col("since")) & (F.col("t_rank") < F.col("since") + size) & (F.col("t_rank") < F.col("rank")) & _may_match("", "t_", threshold))
         more = more.select("doc_id", "line", "t_doc_id", "t_line")
         gone.append(_alike(docs, (more if pairs is None else more.unionByName(pairs)).distinct(), threshold))
         left, pairs = left.withColumn("since", F.col("since") + size), None
