@@ -25,6 +25,10 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def read_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
 def tables_dir(spark: SparkSession) -> str:
     """The application's own folder of intermediate tables, in the folder that driver and executors share."""
     return f"{shared_dir(spark).rstrip('/')}/lakewatch/{spark.sparkContext.applicationId}"

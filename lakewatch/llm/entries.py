@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakewatch.llm import alignment, language_id, line_dedup, media, mixing, packing, pii, quality_gam, quality_rules, secret_scan, simhash
-from lakewatch.llm.common import read_documents
+from lakewatch.llm import alignment, centroids, language_id, line_dedup, media, metric_tree, mixing, packing, pii, quality_gam, quality_rules, secret_scan, simhash
+from lakewatch.llm.common import read_documents, read_embeddings
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,12 +49,20 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_gam.score(docs, quality_gam.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op11_sharded_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read_embeddings(spark, sf_dir))
+
+
+def op12_metric_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_tree.top_k(read_embeddings(spark, sf_dir))
+
+
 def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(read_documents(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_secret_scan, op2_simhash_near_dedup, op3_mix_sources, op4_language_id, op5_pii, op6_quality_rules, op7_harmonic_packing, op8_media_columns, op9_line_dedup, op10_quality_classifier,
-    op13_tokenizer_alignment,
+    op11_sharded_lloyd, op12_metric_tree_search, op13_tokenizer_alignment,
 )}
 ORACLE_SQL = {"op3_mix_sources": mixing.ORACLE_SQL, "op6_quality_rules": quality_rules.ORACLE_SQL}
