@@ -84,7 +84,7 @@ class Tree:
         near = distances(x[own], x[chosen], x_extra[own], x_extra[chosen]).argmin(1)
         parts = [(c, own[near == k]) for k, c in enumerate(chosen) if (near == k).any()]
         if max(len(p) for _, p in parts) > 0.9 * len(own):  # copies, or nearly: cut anyhow
-            parts = [(p[0], p) for p in np.array_split(own, self.fan)]
+            parts = [(p[0], p) for p in np.array_split(own, min(self.fan, len(own)))]
         objects = np.array([c for c, _ in parts])
         radii, children = [], []
         for c, p in parts:
