@@ -2,23 +2,19 @@
 
 from __future__ import annotations
 
-import difflib
-import math
-from functools import reduce
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakewatch.functions.detect import act
+from lakewatch.functions.similarity import Strings, alike
 from lakewatch.functions.text import compare_form
-from lakewatch.session import shared_dir
+from lakewatch.session import shared_dir, ship_package
 
 FUZZY = 0.85
-#: Slots of the table of token counts; titles of a list that are compared as one group.
-SLOTS, PIECE = 1 << 16, 4096
+#: Titles of a piece at least; two pieces are compared as one group.
+PIECE = 2048
 
 
 def cluster_key(title: str = "titulo", url: str = "url", uf: str | None = None) -> Column:
@@ -37,177 +33,68 @@ def duplicate_flags(items: DataFrame, stored: DataFrame) -> DataFrame:
     return i.join(h, "content_hash", "left").join(k, "cluster_key", "left").withColumn("same_hash", F.coalesce("same_hash", no)).withColumn("same_key", F.coalesce("same_key", no))
 
 
-def _tokens(title: str, size: int = 1) -> np.ndarray:
-    """Hashes of a title's characters (or of its pairs of neighbours), the n-th of a kind told from the others: what two titles
-    share of them bounds the characters that any alignment matches."""
-    points = np.frombuffer(title.encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
-    if size == 2:
-        points = points[:-1] * np.uint64(2654435761) + points[1:] & np.uint64(0xFFFFFFFF)
-    order = np.argsort(points, kind="stable")
-    kinds = points[order]
-    head = np.concatenate([np.ones(min(1, len(kinds)), bool), kinds[1:] != kinds[:-1]])
-    nth = np.arange(len(kinds)) - np.maximum.accumulate(np.where(head, np.arange(len(kinds)), 0))
-    x = (kinds << np.uint64(32) | nth.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
-
-
-def _token_ranks(titles: DataFrame) -> np.ndarray:
-    """The commonness of tokens by slot, counted over all titles: a table of SLOTS numbers, whatever the input."""
-
-    def run(batches):
-        counts = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            for t in batch.column("norm").to_pylist():
-                np.add.at(counts, (_tokens(t) % np.uint64(SLOTS)).astype(np.int64), 1)
-        at = np.flatnonzero(counts)
-        yield pa.record_batch([pa.array(at), pa.array(counts[at])], names=["slot", "n"])
-
-    rows = titles.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    order = np.zeros(SLOTS, np.uint32)
-    rows = rows.sort_values(["n", "slot"])
-    order[rows.slot.to_numpy()] = np.arange(len(rows))
-    return order
-
-
-def _postings(titles: DataFrame, order: np.ndarray, least: float) -> DataFrame:
-    """(token, item, n, sig): each title under the rarest of its tokens, as many as leave fewer than it must share; two titles
-    that may reach the ratio have one of them in common. sig: 256 bits, one flipped for each token."""
-    sent = titles.sparkSession.sparkContext.broadcast(order)
-
-    def run(batches):
-        for batch in batches:
-            out = [[], [], [], []]
-            for item, t in zip(batch.column("item").to_pylist(), batch.column("norm").to_pylist()):
-                x = _tokens(t)
-                token = (sent.value[(x % np.uint64(SLOTS)).astype(np.int64)].astype(np.uint64) << np.uint64(44)) | (x >> np.uint64(20))
-                token.sort()
-                sig = np.zeros(4, np.uint64)
-                np.bitwise_xor.at(sig, ((x >> np.uint64(6)) & np.uint64(3)).astype(np.int64), np.uint64(1) << (x & np.uint64(63)))
-                n = len(x)
-                shortest = math.ceil(n * least / (2 - least) - 1e-9)  # of the titles that may reach the ratio with it
-                kept = np.unique(token[: n - math.ceil(least * (n + shortest) / 2 - 1e-9) + 1])
-                out[0].append(kept.view(np.int64))
-                out[1].append(np.full(len(kept), item))
-                out[2].append(np.full(len(kept), n, np.int32))
-                out[3].append(np.broadcast_to(sig, (len(kept), 4)))
-            if out[0]:
-                sig = np.concatenate(out[3]).view(np.int64)
-                columns = [*(np.concatenate(c) for c in out[:3]), *(np.ascontiguousarray(sig[:, k]) for k in range(4))]
-                yield pa.record_batch([pa.array(c) for c in columns], names=["token", "item", "n", "s0", "s1", "s2", "s3"])
-
-    return titles.mapInArrow(run, "token long, item long, n int, s0 long, s1 long, s2 long, s3 long")
-
-
-def _neighbours(titles: DataFrame) -> DataFrame:
-    """(item, norm, b0 to b7): 512 bits, one flipped for each pair of neighbouring characters. Blocks that match M characters keep
-    all pairs inside them, and there are at most 1 + a + b - 2 M blocks; so titles of lengths a and b whose ratio needs M
-    characters differ in at most 3 (a + b) - 6 M pairs."""
-
-    def run(batches):
-        for batch in batches:
-            sig = np.zeros((batch.num_rows, 8), np.uint64)
-            for k, t in enumerate(batch.column("norm").to_pylist()):
-                x = _tokens(t, 2)
-                np.bitwise_xor.at(sig[k], ((x >> np.uint64(6)) & np.uint64(7)).astype(np.int64), np.uint64(1) << (x & np.uint64(63)))
-            columns = [np.ascontiguousarray(sig[:, k]).view(np.int64) for k in range(8)]
-            yield pa.record_batch([batch.column("item"), batch.column("norm"), *map(pa.array, columns)], names=["item", "norm", *[f"b{k}" for k in range(8)]])
-
-    return titles.mapInArrow(run, "item long, norm string, " + ", ".join(f"b{k} long" for k in range(8)))
-
-
-def _common(places: dict[str, int], n: int, y: str) -> int:
-    """Length of the longest common subsequence of y and a string of n characters, given as bit sets of each one's places."""
-    rest = full = (1 << n) - 1
-    for c in y:
-        at = rest & places.get(c, 0)
-        rest = (rest + at | rest - at) & full
-    return n - rest.bit_count()
-
-
-def _reaches(a: Column, b: Column, least: float) -> Column:
-    """Whether SequenceMatcher's ratio of a to b is `least` or more. What it matches is a common subsequence, so the longest one
-    of those bounds it, and is much cheaper."""
-
-    @F.pandas_udf("boolean")
-    def reaches(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x, y):
-            places: dict[str, int] = {}
-            for i, c in enumerate(p):
-                places[c] = places.get(c, 0) | 1 << i
-            bound = 2.0 * _common(places, len(p), q) >= least * (len(p) + len(q)) - 1e-9
-            out.append(bound and difflib.SequenceMatcher(None, p, q).ratio() >= least)
-        return pd.Series(out, dtype=bool)
-
-    return reaches(a, b)
-
-
 def _near(batches, least: float):
-    """(a, b) of each group of rows (token, u, v, part, item, n, s0..s3), of equal token, u and v and in order of part: pairs of a
-    row of part 0 with one of part 1, or of two rows of part 0 if the group has no other part (u = v), whose lengths and
-    signatures let them reach the ratio. A group is a piece of a list by another: what is held is bounded."""
-
-    def pairs(x):
-        u, v, part, item, n = x[1], x[2], x[3], x[4], x[5].astype(np.int32)
-        sig = [c.view(np.uint64) for c in x[6:10]]
-        totals = np.arange(2 * int(n.max()) + 1)
-        most = (totals - 2 * np.ceil(least * totals / 2 - 1e-9)).astype(np.int16)
-        left, right = (np.flatnonzero(part == 0), np.flatnonzero(part == 1)) if u[0] != v[0] else (np.arange(len(n)), np.arange(len(n)))
-        for k in range(0, len(left), 256):
-            i = left[k : k + 256]
-            j = right[k:] if u[0] == v[0] else right  # of one list with itself, each pair once
-            far = np.zeros((len(i), len(j)), np.int16)
-            for w in sig:
-                far += np.bitwise_count(w[i][:, None] ^ w[j][None, :])
-            a, b = np.nonzero(far <= most[n[i][:, None] + n[j][None, :]])
-            a, b = item[i[a]], item[j[b]]
-            keep = a != b
-            yield np.minimum(a, b)[keep], np.maximum(a, b)[keep]
+    """(a, b) of each group of rows (u, v, part, item, norm), of equal u and v and in order of part: alike titles, one of part 0
+    and one of part 1, or two of part 0 if the group is a piece by itself (u = v). A group is two pieces: what is held is
+    bounded."""
+
+    def pairs(rows):
+        u, v, part, item, norm = rows
+        first = int(np.searchsorted(part, 1))
+        x = Strings(norm[:first])
+        y = x if u[0] == v[0] else Strings(norm[first:])
+        left, right = item[:first], item[:first] if u[0] == v[0] else item[first:]
+        i, j = alike(x, y, least, left, right, same=u[0] == v[0])
+        a, b = left[i], right[j]
+        return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     held = None
     for batch in batches:
-        new = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        held = new if held is None else [np.concatenate([h, c]) for h, c in zip(held, new)]
-        if not len(held[0]):
-            continue
-        cut = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0) | (np.diff(held[2]) != 0)) + 1
-        bounds = np.concatenate([[0], cut])
-        found = [p for a, b in zip(bounds[:-1], bounds[1:]) for p in pairs([c[a:b] for c in held])]
-        held = [c[bounds[-1] :] for c in held]
-        if found:
-            a, b = (np.concatenate(c) for c in zip(*found))
-            both = np.unique(np.stack([a, b], 1), axis=0)
-            yield pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+        new = [batch.column(c).to_numpy() for c in ("u", "v", "part", "item")] + [batch.column("norm").to_pylist()]
+        held = new if held is None else [np.concatenate([h, c]) for h, c in zip(held[:4], new[:4])] + [held[4] + new[4]]
+        bounds = np.flatnonzero(np.diff(held[0], prepend=-1) | np.diff(held[1], prepend=-1)).tolist()
+        for a, b in zip(bounds, bounds[1:]):
+            yield pairs([c[a:b] for c in held])
+        if bounds:
+            held = [c[bounds[-1] :] for c in held]
     if held is not None and len(held[0]):
-        for a, b in pairs(held):
-            yield pa.record_batch([pa.array(a), pa.array(b)], names=["a", "b"])
+        yield pairs(held)
 
 
-def similar_pairs(items: DataFrame, least: float = FUZZY, piece: int = PIECE) -> DataFrame:
-    """(a, b) of items (item, titulo), a < b: links with the components of all pairs whose titles' ratio reaches `least`.
+def similar_pairs(items: DataFrame, least: float = FUZZY, piece: int | None = None) -> DataFrame:
+    """(a, b) of items (item, titulo), a < b: links with the components of all pairs whose titles' ratio, of the smaller item's
+    to the other's, reaches `least`.
 
-    Equal normalised titles are linked to their smallest item, which alone is compared. The ratio counts matched characters,
-    never more than the titles share: prefix, length and signature filters on characters told by their occurrence keep every
-    pair that may reach it, at every size, and `SequenceMatcher` decides. A token's list beyond `piece` titles is cut into
-    pieces, each pair of pieces a group of its own. Titles that are null or blank once normalised have no links."""
+    Equal normalised titles are linked to their smallest item, which alone is compared. Titles are cut by length into
+    pieces of about `piece` (PIECE, and more as the titles grow); a title goes to every group of two pieces in which a length lets
+    the ratio be reached, and a group is a task's work. In it, the
+    characters that both titles have, then their longest common subsequence, rule out all but a few pairs in whole arrays;
+    SequenceMatcher decides. No index on substrings does better here: a ratio of 0.85 allows 24 edits in 80 characters, so only
+    substrings of 3 are sure to survive, and most pairs of titles share one at a near place. Titles that are null or blank once
+    normalised have no links."""
     t = items.select("item", compare_form(F.col("titulo")).alias("norm")).where("norm <> ''")
     rep = t.groupBy("norm").agg(F.min("item").alias("rep")).checkpoint()
     same = t.join(rep, "norm").where("item <> rep").select(F.col("rep").alias("a"), F.col("item").alias("b"))
-    r = rep.select(F.col("rep").cast("long").alias("item"), "norm")
-    p = _postings(r, _token_ranks(r), least).checkpoint()
-    sizes = p.groupBy("token").agg(F.count(F.lit(1)).alias("list")).where("list > 1").withColumn("pieces", F.ceil(F.col("list") / piece).cast("int"))
-    own = F.pmod(F.xxhash64("item"), F.col("pieces")).cast("int")
-    dealt = p.join(sizes, "token").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    group = dealt.select("token", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), (F.col("own") > F.col("other")).cast("int").alias("part"), "item", "n", "s0", "s1", "s2", "s3")
-    streams = group.repartition("token", "u", "v").sortWithinPartitions("token", "u", "v", "part")
-    near = streams.mapInArrow(lambda batches: _near(batches, least), "a long, b long").distinct()
-    told = _neighbours(r).checkpoint()
-    x, y = (told.select(F.col("item").alias(c), *[F.col(k).alias(f"{n}_{k}") for k in told.columns[1:]]) for c, n in (("a", "x"), ("b", "y")))
-    total = F.length("x_norm") + F.length("y_norm")
-    far = reduce(lambda p, q: p + q, [F.bit_count(F.col(f"x_b{k}").bitwiseXOR(F.col(f"y_b{k}"))) for k in range(8)])
-    both = near.join(x, "a").join(y, "b").where(far <= 3 * total - 6 * F.ceil(F.lit(least) * total / 2 - 1e-9))
-    return both.where(_reaches(F.col("x_norm"), F.col("y_norm"), least)).select("a", "b").unionByName(same)
+    sizes = rep.groupBy(F.length("norm").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy("size").collect()  # a row for each length of a title
+    piece = piece or min(max(sum(r.n for r in sizes) // 256, PIECE), 16 * PIECE)
+    of, last, at = {}, -1, piece
+    for r in sizes:  # pieces of whole lengths; a length with many titles has several pieces, dealt by a hash
+        own = max(1, -(-r.n // piece))
+        if own > 1 or at + r.n > piece:
+            of[r["size"]], last, at = (last + 1, own), last + own, r.n if own == 1 else piece
+        else:
+            of[r["size"]], at = (last, 1), at + r.n
+    if not of:
+        return same
+    reach = {k: [m for m in of if 2 * min(k, m) >= least * (k + m) - 1e-9] for k in of}
+    told = lambda kv: F.create_map(*[F.lit(x) for k, v in kv for x in (k, v)])[F.length("norm")]
+    own = told([(k, first) for k, (first, _) in of.items()]) + F.pmod(F.xxhash64("norm"), told([(k, n) for k, (_, n) in of.items()])).cast("int")
+    partners = F.sequence(told([(k, of[min(v)][0]) for k, v in reach.items()]), told([(k, sum(of[max(v)]) - 1) for k, v in reach.items()]))
+    dealt = rep.select(F.col("rep").cast("long").alias("item"), "norm", own.alias("own")).withColumn("other", F.explode(partners))
+    group = dealt.select(F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), (F.col("own") > F.col("other")).cast("int").alias("part"), "item", "norm")
+    ship_package(items.sparkSession)
+    streams = group.repartition("u", "v").sortWithinPartitions("u", "v", "part")
+    return streams.mapInArrow(lambda batches: _near(batches, least), "a long, b long").unionByName(same)
 
 
 def components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 30) -> DataFrame:

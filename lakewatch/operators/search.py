@@ -6,12 +6,15 @@ import difflib
 import re
 from functools import reduce
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lakewatch.functions.similarity import Strings, common, least_matches
 from lakewatch.functions.text import search_form, search_term
 from lakewatch.operators.analytics import AS_OF, moment
+from lakewatch.session import ship_package
 
 # Month names of a period, and the characters of a stored term.
 MONTHS = ("jan", "fev", "mar", "abr", "mai", "jun", "jul", "ago", "set", "out", "nov", "dez")
@@ -120,13 +123,22 @@ def boolean_search(docs: DataFrame, query: str, limit: int = 50) -> DataFrame:
     return d.where(boolean_condition(query, F.col("text"))).orderBy("doc_id").limit(limit)
 
 
-def title_ratio(a: Column, b: Column) -> Column:
-    """SequenceMatcher's ratio of two strings."""
+def title_ratio(a: Column, b: Column, least: float = 0.0) -> Column:
+    """SequenceMatcher's ratio of two strings; null where the longest common subsequence, found for a batch at once, keeps it
+    below `least`."""
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y)], dtype=float)
-
+        p, q = [s or "" for s in x], [s or "" for s in y]
+        out = np.full(len(p), np.nan)
+        for k in range(0, len(p), 1024):
+            i, j = Strings(p[k : k + 1024]), Strings(q[k : k + 1024])
+            both = np.arange(len(i.size))
+            for n in np.flatnonzero(common(i, both, j, both) >= least_matches(i.size + j.size, least)).tolist():
+                out[k + n] = difflib.SequenceMatcher(None, p[k + n], q[k + n]).ratio()
+        return pd.Series(out).astype(object).where(~np.isnan(out), None)
+
+    ship_package(SparkSession.getActiveSession())
     return ratio(a, b)
 
 
@@ -134,14 +146,14 @@ def title_similar(title: Column, target: str, least: float = 0.85) -> Column:
     """Whether a title's ratio to a fixed one, both in lower case, reaches `least`; lengths alone rule out most rows first."""
     low, n = F.lower(title), len(target)
     near = 2.0 * F.least(F.length(low), F.lit(n)) / F.greatest(F.length(low) + n, F.lit(1)) >= least
-    return F.coalesce(title_ratio(F.lit(target.lower()), F.when(near, low)) >= least, F.lit(False)) & F.coalesce(near, F.lit(False))
+    return F.coalesce(title_ratio(F.lit(target.lower()), F.when(near, low), least) >= least, F.lit(False)) & F.coalesce(near, F.lit(False))
 
 
 def similar_titles(docs: DataFrame, query: str, least: float = 0.7, limit: int = 50) -> DataFrame:
     """Titles by their ratio to the query; lengths alone rule out most rows before Python sees any."""
     title, n = F.lower("titulo"), len(query)
     bound = 2.0 * F.least(F.length(title), F.lit(n)) / (F.length(title) + n)
-    d = docs.where(bound >= least).withColumn("ratio", title_ratio(F.lit(query.lower()), title))
+    d = docs.where(bound >= least).withColumn("ratio", title_ratio(F.lit(query.lower()), title, least))
     return d.where(F.col("ratio") >= least).orderBy(F.col("ratio").desc(), "doc_id").limit(limit)
 
 
@@ -150,7 +162,7 @@ def more_like(docs: DataFrame, doc_id: int, least: float = 0.5, limit: int = 5)
     target = docs.where(F.col("doc_id") == doc_id).select(F.lower("titulo").alias("target")).limit(1)
     d = docs.where(F.col("doc_id") != doc_id).crossJoin(F.broadcast(target))
     bound = 2.0 * F.least(F.length("titulo"), F.length("target")) / (F.length("titulo") + F.length("target"))
-    d = d.where(bound >= least).withColumn("ratio", title_ratio(F.col("target"), F.lower("titulo")))
+    d = d.where(bound >= least).withColumn("ratio", title_ratio(F.col("target"), F.lower("titulo"), least))
     return d.where(F.col("ratio") >= least).orderBy(F.col("ratio").desc(), "doc_id").limit(limit).drop("target")
 
 
