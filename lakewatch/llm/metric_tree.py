@@ -35,12 +35,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakewatch.llm.common import map_arrow, materialize
-from lakewatch.llm.vectors import as_long, integers, products
+from lakewatch.llm.vectors import as_long, integers, largest, products
 from lakewatch.session import ship_package
 
 SCALE, NEAREST, EVERY = 256, 5, 50
 #: Routing objects at most; vectors of a tree, from the first to the second as the table grows; entries of a page; queries of a block.
-ROUTES, TREE_ROWS, PAGE, FAN, QUERIES = 512, (4096, 65536), 128, 16, 2048
+ROUTES, TREE_ROWS, PAGE, FAN, QUERIES = 512, (4096, 65536), 512, 16, 2048
 
 
 def squares(x: np.ndarray) -> np.ndarray:
@@ -73,6 +73,15 @@ class Tree:
         self.radius = self._build(x, extra(x, most), np.arange(len(x)), route[None], extra(route[None], most))
         self.pages.reverse()  # the root is the last page that is closed
         del self.page, self.fan
+        self.largest, self.doubles = largest(x, route), None
+
+    def scores(self, at: int, pick: np.ndarray | None, q: np.ndarray, q_double: np.ndarray | None) -> np.ndarray:
+        """Exact inner products of a page's picked entries and a query; in doubles, made once, where they hold every sum."""
+        if q_double is None:
+            x = self.pages[at][1]
+            return clipped(products(x if pick is None else x[pick], q[None])[:, 0])
+        x = self.doubles[at]
+        return (x if pick is None else x[pick]) @ q_double
 
     def _build(self, x: np.ndarray, x_extra: np.ndarray, own: np.ndarray, o: np.ndarray, o_extra: np.ndarray) -> float:
         """Adds the pages over the rows `own` below the routing object `o`, children first; gives its covering radius."""
@@ -80,11 +89,12 @@ class Tree:
         if len(own) <= self.page:
             self.pages.append((True, x[own], to_o, None, own))
             return float(to_o.max(initial=0))
-        chosen = own[np.linspace(0, len(own) - 1, self.fan).astype(np.int64)]
+        fan = min(self.fan, max(2, -(-2 * len(own) // self.page)))
+        chosen = own[np.linspace(0, len(own) - 1, fan).astype(np.int64)]
         near = distances(x[own], x[chosen], x_extra[own], x_extra[chosen]).argmin(1)
         parts = [(c, own[near == k]) for k, c in enumerate(chosen) if (near == k).any()]
         if max(len(p) for _, p in parts) > 0.9 * len(own):  # copies, or nearly: cut anyhow
-            parts = [(p[0], p) for p in np.array_split(own, min(self.fan, len(own)))]
+            parts = [(p[0], p) for p in np.array_split(own, fan)]
         objects = np.array([c for c, _ in parts])
         radii, children = [], []
         for c, p in parts:
@@ -103,13 +113,17 @@ class Tree:
         least = bound
         limit = float(away(bound)) + margin if bound is not None else math.inf
         last = len(self.pages) - 1
+        q_double = None
+        if largest(q) * self.largest * max(1, len(q)) < 1 << 53:
+            self.doubles = self.doubles or [p[1].astype(np.float64) for p in self.pages]
+            q_double = q.astype(np.float64)
         first = float(away(products(q[None], self.route[None])[0, 0]))
         open_ = [(max(0.0, first - self.radius), 0, first)]
         while open_:
             low, at, to_o = heapq.heappop(open_)
             if low > limit:
                 break
-            leaf, x, stored, radii, below = self.pages[at]
+            leaf, _, stored, radii, below = self.pages[at]
             bounds = np.abs(to_o - stored) - (0 if leaf else radii)
             pick = np.flatnonzero(~(bounds > limit))
             if seen is not None:
@@ -117,7 +131,7 @@ class Tree:
                 seen[1] += len(bounds) - len(pick)
             if not len(pick):
                 continue
-            score = clipped(products(x[pick] if len(pick) < len(x) else x, q[None])[:, 0])
+            score = self.scores(at, pick if len(pick) < len(stored) else None, q, q_double)
             if leaf:
                 good = np.flatnonzero(score >= least) if least is not None else np.arange(len(score))
                 fresh = [(-int(score[i]), self.ids[r] is None, self.ids[r] or 0, int(self.rows[r])) for i, r in zip(good, below[pick[good]])]
