@@ -13,6 +13,7 @@ from lakewatch.plans import intake
 from lakewatch.registry import ORACLE_SQL, QUERIES, on_both, on_corpus, on_notices, query, same
 from lakewatch.sources import catalog, corpus as views, payloads
 from lakewatch.streaming import jobs
+from lakewatch.streaming.replay import replay
 
 ACTIVE = ["EN", "FR", "XX"]
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -122,6 +123,24 @@ query("w04_zero_run_report", f"SELECT source_id, zeros, greatest(0, (SELECT coun
 _corpus("w05_top_per_group", "SELECT uf, doc_id, rank FROM (SELECT uf, doc_id, row_number() OVER (PARTITION BY uf ORDER BY fetched_at DESC, doc_id) AS rank FROM corpus) WHERE rank <= 50", lambda c: health.top_per_group(c, "uf").select("uf", "doc_id", "rank"))
 query("w06_admission_bound", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) AS in_window, count(*) OVER (PARTITION BY user_id ORDER BY CAST(floor(epoch(ts)) AS BIGINT) RANGE BETWEEN 86399 PRECEDING AND CURRENT ROW) <= 2 AS admitted FROM events")(lambda s, d: audit.admission_bound(views.requests(s, d), 2, 86400).select("event_id", "in_window", "admitted"))
 
+# Admission in full: the SQL steps through every key's requests with the times that were admitted.
+_ADMITTED = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+s AS (SELECT user_id, event_id, n, [us] AS held, TRUE AS admitted FROM e WHERE n = 1 UNION ALL
+  SELECT user_id, event_id, n, CASE WHEN len(held) < 3 THEN list_append(held, us) ELSE held END, len(held) < 3 FROM
+    (SELECT e.user_id, e.event_id, e.n, e.us, list_filter(s.held, lambda x: x >= e.us - 86400000000) AS held FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1))
+SELECT event_id, admitted FROM s"""
+query("w06_admission", _ADMITTED)(lambda s, d: audit.admit(views.requests(s, d), 3, 86400, 7 * 86400).select("event_id", "admitted"))
+# The state machines as streams: what they give over a table that lands in two parts, with a restart between.
+query("t05_admission_stream", _ADMITTED)(lambda s, d: replay(views.requests(s, d), "ts", lambda r: jobs.admission_stream(r, 3, 86400)).select("event_id", "admitted"))
+query("t02_zero_run_stream", _ZERO, "run_history")(lambda s, d: replay(views.run_history(s, d), "run_day", lambda r: jobs.zero_run_stream(r, 3)))
+_BREAKER = """RECURSIVE e AS (SELECT source_id, ok, ts, row_number() OVER (PARTITION BY source_id ORDER BY ts, event_id) AS n FROM source_events),
+s AS (SELECT DISTINCT source_id, NULL::TIMESTAMP AS ts, FALSE AS ok, 0::BIGINT AS n, TRUE AS admitted, 'closed' AS state, 0 AS failures, TIMESTAMP '1970-01-01' AS opened FROM e UNION ALL
+  SELECT source_id, ts, ok, n, admitted, CASE WHEN admitted AND ok THEN 'closed' WHEN trips THEN 'open' ELSE state END, CASE WHEN admitted AND ok THEN 0 WHEN admitted THEN failures + 1 ELSE failures END, CASE WHEN trips THEN ts ELSE opened END
+  FROM (SELECT *, admitted AND NOT ok AND (state = 'half_open' OR failures + 1 >= 2) AS trips FROM (SELECT *, state <> 'open' AS admitted FROM
+    (SELECT e.source_id, e.ts, e.ok, e.n, s.failures, s.opened, CASE WHEN s.state = 'open' AND e.ts - s.opened >= INTERVAL 6 HOUR THEN 'half_open' ELSE s.state END AS state FROM s JOIN e ON e.source_id = s.source_id AND e.n = s.n + 1))))
+SELECT source_id, ts, ok, admitted, state, failures FROM s WHERE n > 0"""
+query("t03_breaker_stream", f"WITH {_BREAKER.replace('RECURSIVE', 'RECURSIVE ' + views.SOURCE_EVENTS_SQL + ',', 1)}")(lambda s, d: replay(views.source_events(s, d), "ts", lambda r: jobs.breaker_stream(r, 2, 6.0)))
+
 
 def _log(spark, d) -> DataFrame:
     """An audit log from all events: every user is an owner, entries without their links."""
@@ -264,6 +283,19 @@ query("j03_active_sources", "SELECT id FROM sources WHERE uf IN ('EN', 'FR')", "
 _SHORT = _FORM.format("concat_ws(' ', titulo, resumo)")
 query("j04_f18_watch_matches", f"""SELECT 'w1' AS watch_id, doc_id FROM corpus WHERE contains({_SHORT}, 'ration') UNION ALL SELECT 'w3', doc_id FROM {_SEARCH} WHERE regexp_matches(ctext, 'nd (of|to) ') AND (relevancia IS NULL OR relevancia >= 7) UNION ALL SELECT 'w4', doc_id FROM corpus WHERE numero_ato = '12/2024'
 UNION ALL SELECT 'w2', doc_id FROM corpus WHERE uf = 'EN' AND contains({_SHORT}, 'the') AND (relevancia IS NULL OR relevancia >= 5) UNION ALL SELECT 'w6', doc_id FROM corpus WHERE uf = 'EN' AND list_contains(topics, 'sucessoes') AND (relevancia IS NULL OR relevancia >= 3) UNION ALL SELECT 'w8', doc_id FROM corpus WHERE numero_ato = '9/2024' AND uf = 'DE'""", "corpus")(lambda s, d: watches.matches(views.corpus(s, d), views.watches(s)))
+# Matches as events of their documents' dates: a watch fires unless it did within six hours.
+_FIRED = ORACLE_SQL["j04_f18_watch_matches"].removeprefix("WITH ")
+_CUT = _FIRED.index("SELECT 'w1'")
+
+
+def _hits(spark, d) -> DataFrame:
+    c = views.corpus(spark, d)
+    return watches.matches(c, views.watches(spark)).join(c.select("doc_id", F.col("fetched_at").alias("ts")), "doc_id").select("watch_id", "doc_id", "ts", F.lit(6).alias("cooldown_hours"))
+
+
+query("t06_watch_stream", f"""WITH RECURSIVE {_FIRED[:_CUT]}, m AS ({_FIRED[_CUT:]}), e AS (SELECT m.watch_id, m.doc_id, c.fetched_at AS ts, row_number() OVER (PARTITION BY m.watch_id ORDER BY c.fetched_at, m.doc_id) AS n FROM m JOIN corpus c ON c.doc_id = m.doc_id),
+s AS (SELECT watch_id, doc_id, ts, n, TRUE AS fires, ts AS at FROM e WHERE n = 1 UNION ALL SELECT e.watch_id, e.doc_id, e.ts, e.n, e.ts - s.at >= INTERVAL 6 HOUR, CASE WHEN e.ts - s.at >= INTERVAL 6 HOUR THEN e.ts ELSE s.at END FROM s JOIN e ON e.watch_id = s.watch_id AND e.n = s.n + 1)
+SELECT watch_id, doc_id, ts FROM s WHERE fires""")(lambda s, d: replay(_hits(s, d), "ts", jobs.trigger_stream))
 _both("j05_silent_sources", f"SELECT s.id AS source_id, ativo, coalesce(n, 0) AS n, last_seen, last_seen IS NULL OR NOT ({since('last_seen', 7)}) AS silent FROM sources s LEFT JOIN (SELECT source_id, count(*) AS n, max(fetched_at) AS last_seen FROM corpus GROUP BY 1) b ON b.source_id = s.id", health.silent_sources)
 
 # Clusters

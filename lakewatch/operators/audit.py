@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections import deque
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -50,3 +51,59 @@ def admission_bound(requests: DataFrame, limit: int = 10, seconds: int = 60) ->
     count here, so this admits no more than the exact state machine does."""
     by = Window.partitionBy("key").orderBy(F.unix_seconds("ts")).rangeBetween(1 - seconds, 0)
     return requests.withColumn("in_window", F.count(F.lit(1)).over(by)).withColumn("admitted", F.col("in_window") <= limit)
+
+
+def _segments(requests: DataFrame, limit: int, seconds: int, bucket: int) -> DataFrame:
+    """`requests` with `us` (ts in microseconds), `open_` (whether what was refused before may matter for the row) and `segment`
+    (where such a stretch of its key begins).
+
+    A row with fewer than `limit` earlier ones in its window is admitted whatever happened. Only the stretches around other rows have
+    to be folded, each from an empty state: every row in the window of a doubtful one belongs to its stretch. All windows are
+    over buckets of time, with the rows near a bucket's ends seen from both sides, so a busy key is many tasks."""
+    span, wide = 1_000_000 * seconds, 1_000_000 * max(bucket, 2 * seconds)
+    r = requests.withColumn("us", F.unix_micros("ts"))
+    at = F.floor(F.col("us") / wide)
+    near = F.array_compact(F.array(at, F.when(F.col("us") - at * wide < span, at - 1), F.when((at + 1) * wide - F.col("us") <= 2 * span, at + 1)))
+    r = r.withColumn("own", at).withColumn("bucket", F.explode(near))
+    by = Window.partitionBy("key", "bucket")
+    up, down = by.orderBy("us", "event_id"), by.orderBy(F.desc("us"), F.desc("event_id"))
+    held = up.rowsBetween(Window.unboundedPreceding, 0)
+    r = r.withColumn("doubt", F.coalesce(F.col("us") - F.lag("us", limit).over(up) <= span, F.lit(False)))
+    r = r.withColumn("after", F.coalesce(F.col("us") - F.last(F.when(F.col("doubt"), F.col("us")), ignorenulls=True).over(held) <= span, F.lit(False)))
+    r = r.withColumn("before", F.last(F.when(F.col("after"), F.col("us")), ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0)))
+    r = r.withColumn("open_", F.coalesce(F.col("before") - F.col("us") <= span, F.lit(False)))
+    apart = F.coalesce(~F.lag("open_").over(up) | (F.col("us") - F.lag("us").over(up) > span), F.lit(True))
+    r = r.withColumn("begins", F.when(F.col("open_") & apart, F.struct("us", "event_id"))).where("bucket = own")
+    r = r.withColumn("in_bucket", F.last("begins", ignorenulls=True).over(held))
+    last = r.groupBy("key", "bucket").agg(F.max("begins").alias("last_one"))  # a row for each bucket of a key's life
+    carried = F.last("last_one", ignorenulls=True).over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    return r.join(last.select("key", "bucket", carried.alias("carried")), ["key", "bucket"]).withColumn("segment", F.coalesce("in_bucket", "carried"))
+
+
+def admit(requests: DataFrame, limit: int = 10, seconds: int = 60, bucket: int = 3600) -> DataFrame:
+    """requests(key, event_id, ts) with whether each is admitted: at most `limit` admitted ones in any `seconds` (both ends
+    counted), in order of ts and event_id; refused ones don't count. Exact: the same as the state machine in a stream.
+
+    Stretches of a key in which a refusal may matter are folded one after the other, each as a sorted stream of which the last
+    admitted times are held; all other rows are admitted by window functions."""
+    s = _segments(requests.select("key", "event_id", "ts"), limit, seconds, bucket).checkpoint()
+    span, names = 1_000_000 * seconds, ["key", "event_id", "ts"]
+
+    def fold(batches):
+        own, held = None, deque()
+        for batch in batches:
+            out = []
+            for key, us, segment in zip(*(batch.column(c).to_pylist() for c in ("key", "us", "segment"))):
+                if own != (key, segment):
+                    own, held = (key, segment), deque()
+                while held and held[0] < us - span:
+                    held.popleft()
+                out.append(len(held) < limit)
+                if out[-1]:
+                    held.append(us)
+            yield pa.record_batch([*(batch.column(c) for c in names), pa.array(out, pa.bool_())], names=[*names, "admitted"])
+
+    streams = s.where("open_").select(*names, "us", F.to_json("segment").alias("segment")).repartition("key", "segment").sortWithinPartitions("key", "segment", "us", "event_id")
+    kinds = {f.name: f.dataType.simpleString() for f in requests.schema.fields}
+    folded = streams.mapInArrow(fold, ", ".join(f"{n} {kinds[n]}" for n in names) + ", admitted boolean")
+    return s.where("NOT open_").select(*names, F.lit(True).alias("admitted")).unionByName(folded)

@@ -40,8 +40,9 @@ def ingest(stream: DataFrame, table: str, checkpoint: str):
 
 
 def _ordered(rows: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
+    """The rows in order; those that share the columns `by` (as far as there are such) stay as they came."""
     frames = list(rows)
-    return pd.concat(frames).sort_values(list(by)) if frames else pd.DataFrame()
+    return pd.concat(frames).sort_values([c for c in by if c in frames[0]], kind="stable") if frames else pd.DataFrame()
 
 
 class ZeroRuns(StatefulProcessor):
@@ -84,7 +85,7 @@ class Breaker(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         state, failures, opened = self.state.get() if self.state.exists() else ("closed", 0, datetime(1970, 1, 1))
         out = []
-        for r in _ordered(rows, "ts").itertuples():
+        for r in _ordered(rows, "ts", "event_id").itertuples():
             ts = pd.Timestamp(r.ts).to_pydatetime()
             if state == "open" and ts - opened.replace(tzinfo=ts.tzinfo) >= timedelta(hours=self.hours):
                 state = "half_open"
@@ -110,7 +111,7 @@ def breaker_stream(events: DataFrame, most: int = 5, hours: float = 1.0) -> Data
 
 
 class Admission(StatefulProcessor):
-    """Rows (key, ts) -> admitted: at most `limit` admitted ones in any `seconds`; refused ones don't count."""
+    """Rows (key, ts) -> admitted: at most `limit` admitted ones in any `seconds`, both ends counted; refused ones don't count."""
 
     def __init__(self, limit: int = 10, seconds: int = 60):
         self.limit, self.seconds = limit, seconds
@@ -122,7 +123,7 @@ class Admission(StatefulProcessor):
         window, out = [pd.Timestamp(x[0]) for x in self.accepted.get()] if self.accepted.exists() else [], []
         for r in _ordered(rows, "ts", "event_id").itertuples():
             ts = pd.Timestamp(r.ts)
-            window = [x for x in window if (ts - x).total_seconds() < self.seconds]
+            window = [x for x in window if (ts - x).total_seconds() <= self.seconds]
             ok = len(window) < self.limit
             if ok:
                 window.append(ts)

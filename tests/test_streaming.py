@@ -37,7 +37,7 @@ def test_admission_equals_a_loop(spark, tmp_path):
     got = {r.event_id: r.admitted for r in streamed(spark, df, tmp_path, lambda s: jobs.admission_stream(s, 3, 60))}
     kept, want = defaultdict(list), {}
     for key, i, ts in sorted(rows, key=lambda r: (r[2], r[1])):
-        kept[key] = [x for x in kept[key] if (ts - x).total_seconds() < 60]
+        kept[key] = [x for x in kept[key] if (ts - x).total_seconds() <= 60]
         want[i] = len(kept[key]) < 3
         if want[i]:
             kept[key].append(ts)
