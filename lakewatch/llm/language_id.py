@@ -114,11 +114,12 @@ def train(docs: DataFrame, sample: int = SAMPLE, min_share: float = MIN_SHARE) -
     return langs, table, rates
 
 
-def annotate(docs: DataFrame, model=None) -> DataFrame:
-    """`docs` (all columns) with lang_pred and score (the winner's share of the corrected counts)."""
+def annotate(docs: DataFrame, model=None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """`docs` (all columns) with lang_pred and score (the winner's share of the corrected counts), or columns of other `names`;
+    columns of `docs` with these names are replaced."""
     langs, table, rates = model or train(docs)
     kept = docs.sparkSession.sparkContext.broadcast(table)
-    columns = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    columns = [c for c in docs.columns if c not in names]
     at_text = columns.index("text")
 
     def run(batches):
@@ -146,10 +147,10 @@ def annotate(docs: DataFrame, model=None) -> DataFrame:
                     else:
                         pred.append(langs[int(hits[:, d].argmax())])
                         scores.append(float(hits[:, d].max() / max(hits[:, d].sum(), 1e-9)))
-            yield pa.record_batch([*batch.columns, pa.array(pred, pa.string()), pa.array(scores, pa.float64())], names=[*columns, "lang_pred", "score"])
+            yield pa.record_batch([*batch.columns, pa.array(pred, pa.string()), pa.array(scores, pa.float64())], names=[*columns, *names])
 
     own = docs.select(*columns)
-    schema = own.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
+    schema = own.withColumn(names[0], F.lit("")).withColumn(names[1], F.lit(0.0)).schema
     return map_arrow(own, run, schema)
 
 
@@ -161,4 +162,6 @@ def identify(docs: DataFrame, model=None) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model=None) -> DataFrame:
     """Rows of `docs` (all columns) whose text has a language; those without a letter go."""
-    return annotate(docs, model or train(docs)).where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    taken = {c.lower() for c in docs.columns}
+    pred, score = (next(n for n in (f"{name}_{k}" for k in range(len(taken) + 1)) if n not in taken) for name in ("own_pred", "own_score"))
+    return annotate(docs, model or train(docs), (pred, score)).where(F.col(pred) != UNKNOWN).select(*docs.columns)

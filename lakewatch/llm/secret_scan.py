@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import itertools
 import math
 import re
 
@@ -46,21 +47,32 @@ _LEET = str.maketrans("4301$@57", "aeolsast")
 _ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
 _BESIDE = {a + b for row in _ROWS for a, b in zip(row, row[1:])} | {a + b for x, y in zip(_ROWS, _ROWS[1:]) for i, b in enumerate(y) for a in x[i : i + 2]}
 _BESIDE |= {p[::-1] for p in _BESIDE}
-_DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])[-/._]?(?:0?[1-9]|1[0-2])[-/._]?(?:(?:19|20)\d\d|\d\d)|(?:19|20)\d\d")
+_YEAR, _MONTH, _DAY, _CUT = r"(?:19|20)\d\d", r"(?:0?[1-9]|1[0-2])", r"(?:0?[1-9]|[12]\d|3[01])", r"[-/._]?"
+#: The forms of a date, for a whole span: year first or last (there with 2 digits too), or a year alone.
+_DATE = re.compile(rf"{_YEAR}{_CUT}{_MONTH}{_CUT}{_DAY}|(?:{_DAY}{_CUT}{_MONTH}|{_MONTH}{_CUT}{_DAY}){_CUT}(?:{_YEAR}|\d\d)|{_YEAR}", re.A)
+_DATE_CHARS = frozenset("0123456789-/._")
+#: log10 guesses of a date, a year, how often something repeats, and a walk: a key, a direction and a length; of one more span.
+_ONE_DATE, _ONE_YEAR, _TIMES, _WALK, _STEP = math.log10(365 * 119), math.log10(119), 1.0, math.log10(47 * 4 * 8), math.log10(2)
+_MOST_PERIOD = 8
 
 
 @functools.lru_cache(maxsize=1)
 def _ranks() -> tuple[dict[str, int], int]:
     """Each word's number of guesses, and the longest word's length: the words of passwords, then the whole words of 4 letters
-    or more of a byte-level BPE vocabulary in its order, commonest first, so that prose costs little."""
+    or more, and the parts of words of 5 or more, of an English and a multilingual byte-level BPE vocabulary in turn, each in its order, commonest first, so that
+    prose costs little."""
     import public_tokenizers
 
-    words = dict.fromkeys(_WORDS)
-    with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as lines:
-        for token in (base64.b64decode(line.split()[0]) for line in lines):
-            if len(token) >= 5 and token[:1] == b" " and token[1:].isalpha():
-                words.setdefault(token[1:].decode("ascii").lower())
-    return {w: i + 1 for i, w in enumerate(words)}, max(map(len, words))
+    def words(name: str):
+        with open(public_tokenizers.path(name), "rb") as lines:
+            for token in (base64.b64decode(line.split()[0]).decode("utf-8", "replace") for line in lines):
+                if len(token) >= 5 and token.lstrip(" ").isalpha():
+                    yield token.lstrip(" ").lower()
+
+    found = dict.fromkeys(_WORDS)
+    for pair in itertools.zip_longest(words("byte_bpe_50k.tiktoken"), words("byte_bpe_multi_50k.tiktoken")):
+        found.update((w, None) for w in pair if w)
+    return {w: i + 1 for i, w in enumerate(found)}, max(map(len, found))
 
 
 def _alphabet(value: str) -> float:
@@ -69,52 +81,66 @@ def _alphabet(value: str) -> float:
     return math.log10(sum(n for p, n in kinds if re.search(p, value)) or 1)
 
 
-def _segments(value: str):
-    """(start, end, log10 guesses) of the spans that are cheaper than brute force may be."""
-    low, n = value.lower(), len(value)
-    rank, longest = _ranks()
-    plain = low.translate(_LEET)
+def _fixed_spans(value: str, low: str) -> dict[int, list[tuple[int, float]]]:
+    """By their ends, the words and dates that stand anywhere in the value: (start, log10 guesses)."""
+    n, (rank, longest) = len(value), _ranks()
+    plain, found = low.translate(_LEET), {}
     for i in range(n):
         for j in range(i + 3, min(n, i + longest) + 1):
             for form, extra in ((low, 0.0), (plain, 0.3)):
                 if form[i:j] in rank:
-                    yield i, j, math.log10(rank[form[i:j]]) + extra * (low[i:j] != plain[i:j]) + 0.3 * (value[i:j] != low[i:j])
-    for m in _DATE.finditer(value):
-        yield m.start(), m.end(), math.log10(365 * 119 if m.end() - m.start() > 4 else 119)
-    for period in range(1, 9):
-        i = 0
-        while i < n:
-            j = i + period
-            while j < n and value[j] == value[j - period]:
-                j += 1
-            times = (j - i) // period
-            if times >= 2 and times * period >= 3:
-                yield i, i + times * period, _alphabet(value[i : i + period]) * period + math.log10(times)
-            i = max(i + 1, j - period + 1)
-    i = 0
-    while i < n:
-        j, k = i + 1, i + 1
-        while j < n and low[j - 1 : j + 1] in _BESIDE:
-            j += 1
-        while k < n and k > i and ord(low[k]) - ord(low[k - 1]) in (1, -1) and (k < i + 2 or ord(low[k]) - ord(low[k - 1]) == ord(low[k - 1]) - ord(low[k - 2])):
-            k += 1
-        if (j := max(j, k)) - i >= 3:
-            yield i, j, math.log10(47 * 4 * (j - i))
-        i = j - 1 if j - i >= 3 else i + 1
+                    cost = math.log10(rank[form[i:j]]) + extra * (low[i:j] != plain[i:j]) + 0.3 * (value[i:j] != low[i:j])
+                    found.setdefault(j, []).append((i, cost))
+        if value[i] in _DATE_CHARS:
+            for j in range(i + 4, min(n, i + 10) + 1):
+                if value[j - 1] not in _DATE_CHARS:
+                    break
+                if _DATE.fullmatch(value, i, j):
+                    found.setdefault(j, []).append((i, _ONE_YEAR if j - i == 4 and value[i : i + 2] in ("19", "20") else _ONE_DATE))
+    return found
 
 
 def guesses(value: str) -> float:
-    """log10 of the least guesses over all segmentations; a further segment costs a factor of 2."""
-    char = _alphabet(value)
-    by_end: dict[int, list[tuple[int, float]]] = {}
-    for i, j, cost in _segments(value):
-        by_end.setdefault(j, []).append((i, cost))
-    step = math.log10(2)
-    best, brute = [0.0], math.inf  # brute: the least cost of a segmentation whose last span is by brute force
-    for j in range(1, len(value) + 1):
-        brute = min(brute, best[-1] + step) + char
-        best.append(min([brute, *(best[i] + cost + step for i, cost in by_end.get(j, ()))]))
-    return max(0.0, best[-1] - step)
+    """log10 of the least guesses over all segmentations into words, dates, repeats, walks and brute-force spans; each further
+    span costs a factor of 2.
+
+    Words and dates are spans that are looked up. Repeats (of 1 to 8 characters, twice or more and 3 characters at least) and
+    walks (3 characters or more, each beside the one before on the keyboard, or each the next or each the last of the alphabet)
+    are states of the dynamic program, which may begin and end anywhere: all of it takes time in proportion to the value."""
+    low, n, char = value.lower(), len(value), _alphabet(value)
+    if len(low) != n:  # a character whose lower case is longer: told as it is
+        low = value
+    ends = _fixed_spans(value, low)
+    best = [0.0] * (n + 1)
+    brute = math.inf
+    repeats = [[math.inf] * (n + 1) for _ in range(_MOST_PERIOD + 1)]
+    same = [0] * (_MOST_PERIOD + 1)  # how many characters in a row equal the one a period before
+    walk = {kind: [math.inf] * (n + 1) for kind in ("keys", 1, -1)}
+    for j in range(1, n + 1):
+        brute = min(brute, best[j - 1] + _STEP) + char
+        least = min([brute, *(best[i] + cost + _STEP for i, cost in ends.get(j, ()))])
+        for p in range(1, _MOST_PERIOD + 1):
+            same[p] = same[p] + 1 if j > p and value[j - 1] == value[j - 1 - p] else 0
+            if same[p] >= p:  # the last p characters repeat those before
+                here = repeats[p][j - p]
+                first = max(2, -(-3 // p)) * p
+                if j >= first and same[p] >= first - p:
+                    unit = value[j - p : j]
+                    here = min(here, best[j - first] + _STEP + _alphabet(unit) * p + _TIMES)
+                repeats[p][j] = here
+                least = min(least, here)
+        if j >= 2:
+            a, b = low[j - 2], low[j - 1]
+            for kind, own in walk.items():
+                if not (a + b in _BESIDE if kind == "keys" else ord(b) - ord(a) == kind):
+                    continue
+                here = own[j - 1]
+                if j >= 3 and (low[j - 3] + a in _BESIDE if kind == "keys" else ord(a) - ord(low[j - 3]) == kind):
+                    here = min(here, best[j - 3] + _STEP + _WALK)
+                own[j] = here
+                least = min(least, here)
+        best[j] = least
+    return max(0.0, best[n] - _STEP)
 
 
 def scan(text: str, least_guesses: float = LEAST_GUESSES) -> tuple[list[tuple[str, int, int]], float]:

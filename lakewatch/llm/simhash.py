@@ -148,7 +148,8 @@ def components(docs: DataFrame, bits: int = BITS, dense_list: int = DENSE_LIST)
 
 def deduplicate(docs: DataFrame, **params) -> DataFrame:
     """`docs` (all columns) without the documents that have a smaller doc_id in their group; null doc_ids stay. Rows that share a
-    doc_id go together if one of them has to; if they stay, those with equal texts are one row."""
+    doc_id go together if one of them has to; if they stay, those with equal texts are one row, the one whose
+    columns as JSON have the smallest SHA-256."""
     labels = materialize(components(docs, **params), "simhash-labels")
     gone = labels.where("doc_id > component_id").select("doc_id").distinct()
     kept = sized_join(docs, gone, gone.count(), 32, "doc_id", "left_anti").select(*docs.columns)
@@ -156,5 +157,6 @@ def deduplicate(docs: DataFrame, **params) -> DataFrame:
     if repeated.isEmpty():
         return kept
     again = kept.join(repeated, "doc_id", "left_semi").select("doc_id", F.xxhash64("text").alias("hash"), F.struct(*docs.columns).alias("row"))
-    once = again.groupBy("doc_id", "hash", F.col("row.text").alias("text")).agg(F.first("row").alias("row")).select("row.*")
+    told = F.struct(F.sha2(F.to_json("row"), 256), F.to_json("row"))
+    once = again.groupBy("doc_id", "hash", F.col("row.text").alias("text")).agg(F.min_by("row", told).alias("row")).select("row.*")
     return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)

@@ -34,11 +34,12 @@ def test_each_stage_on_its_own_input(spark):
 def test_stages_with_nulls_repeats_and_clashing_columns(spark):
     a, b = "the cat sat on the mat and slept all day", "a dog ran over the old green hill at noon"
     rows = [(1, f"{a}\n{b}", "en", "s"), (1, f"{a}\n{b}", "en", "s"), (2, None, "en", "s"), (3, "", None, None), (4, a, "en", "s"), (5, "12 !", "de", "t"), (None, "words without an id stay here", None, None), (6, "der hund lief heute schnell nach hause zurück", "de", None), (7, "long " * 20000, "en", "t")]
-    docs = spark.createDataFrame([(*r, len(r[1] or ""), "x", 1, 2.0) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, row string, size int, score double")
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), "x", k, 2.0 + k) for k, r in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long, row string, size int, score double")
     stage = dict(corpus_pipeline.STAGES)
     ids = lambda df: sorted(r.doc_id or 0 for r in df.collect())
     told = stage["language_id"](spark, docs, SF).cache()
     assert ids(told) == [0, 1, 1, 4, 6, 7] and told.columns == docs.columns
+    assert sorted(map(tuple, told.collect()), key=repr) == sorted((tuple(r) for r in docs.collect() if (r.doc_id or 0) in (0, 1, 4, 6, 7)), key=repr)
     lines = stage["line_dedup"](spark, told, SF).cache()
     assert ids(lines) == [0, 1, 1, 6, 7] and lines.columns == docs.columns  # 4 has no line of its own
     single = stage["simhash_near_dedup"](spark, lines, SF).cache()
