@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakewatch.functions import detect, protect, text
-from lakewatch.operators import analytics, audit, clusters, filters, health, search, tables, watches
+from lakewatch.operators import analytics, audit, clusters, filters, health, postings, search, tables, watches
 from lakewatch.plans import intake
 from lakewatch.registry import ORACLE_SQL, QUERIES, on_both, on_corpus, on_notices, query, same
-from lakewatch.sources import catalog, corpus as views, payloads
+from lakewatch.session import scratch
+from lakewatch.sources import catalog, corpus as views, payloads, selectors
 from lakewatch.streaming import jobs
 from lakewatch.streaming.replay import replay
 
@@ -243,6 +244,14 @@ _TERMS = "list_distinct(list_concat(list_filter([lower(source_id), lower(uf), ti
 _corpus("x03_index_terms", f"SELECT doc_id, len(t) AS n, md5(array_to_string(list_sort(t), '|')) AS terms FROM (SELECT doc_id, {_TERMS} AS t FROM {_SEARCH})", lambda c: search.indexed(c).select("doc_id", F.size("terms").cast("long").alias("n"), F.md5(F.array_join(F.array_sort("terms"), "|")).alias("terms")))
 _corpus("x04_stored_or_built", f"SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN 'kept' ELSE ctext END) AS form FROM {_SEARCH}", lambda c: c.select("doc_id", F.md5(search.stored_or_built(F.expr("CASE doc_id % 4 WHEN 1 THEN '' WHEN 3 THEN NULL ELSE 'kept' END"))).alias("form")))
 _corpus("x06_indexed_search", f"SELECT doc_id FROM {_SEARCH} WHERE status <> 'archived' AND contains(ctext, 'favorito') AND contains(ctext, 'en') AND list_contains(user_tags, 'favorito') ORDER BY fetched_at DESC, doc_id LIMIT 50", lambda c: search.indexed_search(c, search.indexed(c), ["favorito", "en"]).select("doc_id"))
+def _postings_search(c: DataFrame) -> DataFrame:
+    """The search over an index of all documents, built first."""
+    path = scratch(c.sparkSession, "postings")
+    postings.build(c, path)
+    return postings.search(c.sparkSession, path, ["favorito", "en"]).select("doc_id")
+
+
+_corpus("x06_postings_search", f"SELECT doc_id FROM {_SEARCH} WHERE status <> 'archived' AND contains(ctext, 'favorito') AND contains(ctext, 'en') AND list_contains(user_tags, 'favorito') ORDER BY fetched_at DESC, doc_id LIMIT 50", _postings_search)
 _corpus("x07_scan_search", f"SELECT doc_id FROM {_SEARCH} WHERE contains(ctext, 'ration') AND contains(ctext, 'the') ORDER BY fetched_at DESC, doc_id LIMIT 50", lambda c: search.scan_search(c, ["Ration", "the"]).select("doc_id"))
 _corpus("x08_faceted_search", f"SELECT doc_id FROM corpus WHERE uf = 'EN' AND relevancia >= 5 AND llm_model = 'm1' AND eff_date >= {AS_OF} - INTERVAL '21' DAY ORDER BY doc_id LIMIT 50", lambda c: search.faceted_search(c, uf="EN", least_relevance=5, model="m1", period="3w").select("doc_id"))
 _corpus("x10_boolean_search", f"SELECT doc_id FROM {_SEARCH} WHERE (contains(ctext, 'license') OR contains(ctext, 'ration')) AND NOT contains(ctext, 'zu') ORDER BY doc_id LIMIT 50", lambda c: search.boolean_search(c, "license OR ration AND NOT zu").select("doc_id"))
@@ -264,6 +273,25 @@ query("s03_source_selection", "SELECT id FROM sources WHERE (CASE WHEN id = 'src
 query("s04_source_lint", """SELECT id, array_to_string(w, '|') AS warnings FROM (SELECT id, list_filter([CASE WHEN contains(url, '.gov.br') AND NOT starts_with(url, 'https://') THEN 'gov_url_not_https' END, CASE WHEN len(keywords_required) > 0 AND NOT contains(upper(array_to_string(keywords_required, ' ')), 'ITCD') THEN 'keywords_without_core' END,
 CASE WHEN len(topics) = 0 THEN 'no_topics' END, CASE WHEN fragile AND coalesce(notas, '') = '' THEN 'fragile_without_notes' END], lambda x: x IS NOT NULL) AS w FROM sources) WHERE len(w) > 0""", "sources")(lambda s, d: catalog.lint(views.sources(s, d)).select("id", F.array_join("warnings", "|").alias("warnings")))
 query("s06_page_links", None)(lambda s, d: payloads.links_of(views.table(s, d, "pages")))
+def _listing(spark, d) -> DataFrame:
+    """The documents as listing pages of their sources, fifty ids each: nested and unclosed elements, whole texts, relative addresses,
+    and rows that aren't items."""
+    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    t = views.table(spark, d, "documents").select("doc_id", "source", F.coalesce("text", F.lit("")).alias("text"))
+    link = F.expr("concat(CASE doc_id % 5 WHEN 0 THEN '/d/' WHEN 1 THEN 'd/' WHEN 2 THEN 'https://other.org/' WHEN 3 THEN 'javascript:' ELSE '?q=' END, doc_id)")
+    head = F.concat(F.lit('<li class="x row"><h3>'), esc(F.substring("text", 1, 10)), F.lit("<b>"), esc(F.substring("text", 11, 30)), F.lit("</b></h3><p>"), esc(F.col("text")))
+    row = F.concat(head, F.expr("CASE doc_id % 4 WHEN 0 THEN '<span>' ELSE '</p>' END"), F.lit('<div><a class="go" rel=x href="'), link, F.lit('">more</a>'), F.expr("CASE doc_id % 3 WHEN 0 THEN '</div></li>' WHEN 1 THEN '</div>' ELSE '</section>' END"))
+    page = t.groupBy("source", F.expr("doc_id div 50").alias("n")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", row.alias("row")))), lambda x: x["row"]), "").alias("rows"))
+    html = F.concat(F.lit('<html><ul class="nav"><li class="row"><h3>no</h3><a class="go" href="/no">x</a></ul><ul class="items">'), "rows", F.lit('</ul><li class="row"><h3>no</h3><a class="go" href="/no">y</a>'))
+    return page.select(F.col("source").alias("source_id"), F.lit("2024-01-31").cast("timestamp").alias("fetched_at"), F.concat(F.lit("https://"), "source", F.lit(".example.org/list/"), "n", F.lit(".html")).alias("url"), html.alias("html"))
+
+
+_STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+_NAME = _STRIP.format("substr(text, 1, 10)") + " || " + _STRIP.format("substr(text, 11, 30)")
+_AT = "'https://' || source || '.example.org'"
+query("s06_selected_items", f"SELECT source AS source_id, {_NAME} AS titulo, CASE doc_id % 5 WHEN 0 THEN {_AT} || '/d/' || doc_id WHEN 1 THEN {_AT} || '/list/d/' || doc_id WHEN 2 THEN 'https://other.org/' || doc_id ELSE {_AT} || '/list/' || (doc_id // 50) || '.html?q=' || doc_id END AS url FROM documents WHERE doc_id % 5 <> 3 AND {_NAME} <> ''")(
+    lambda s, d: selectors.selected_items(_listing(s, d), views.table(s, d, "documents").select(F.col("source").alias("source_id"), F.lit("ul.items > li.row").alias("item"), F.lit("h3").alias("titulo"), F.lit("li a.go@href").alias("link")).distinct())[0].select("source_id", "titulo", "url")
+)
 query("s19_sanitize_html", None)(lambda s, d: payloads.html_items(views.table(s, d, "pages"))[0])
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -23,6 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path of the application's in the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/lakewatch/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def ship_package(spark: SparkSession) -> None:
     """Python workers import this package from PYTHONPATH; where it isn't on it, they get a zip of it."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

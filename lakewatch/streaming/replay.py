@@ -3,13 +3,12 @@ part, ends with it, and is started again for the next one, so its state has to s
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewatch.session import shared_dir
+from lakewatch.session import scratch
 from lakewatch.streaming.jobs import use_state_store
 
 
@@ -18,7 +17,7 @@ def replay(table: DataFrame, time: str, transform: Callable[[DataFrame], DataFra
     Rows of the sink are kept under their micro-batch's number: a batch that is run again replaces what it wrote."""
     spark = table.sparkSession
     use_state_store(spark)
-    root = f"{shared_dir(spark).rstrip('/')}/lakewatch/{spark.sparkContext.applicationId}/replay-{uuid.uuid4().hex}"
+    root = scratch(spark, "replay")
     at = F.unix_micros(F.col(time).cast("timestamp"))
     cuts = table.agg(F.percentile_approx(at, [k / parts for k in range(1, parts)])).first()[0] or []
     of = sum((F.coalesce((at > c).cast("int"), F.lit(0)) for c in cuts), F.lit(0))
