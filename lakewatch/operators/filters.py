@@ -32,13 +32,24 @@ def strings(words) -> Column:
     return F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
 
 
-def found_keywords(text: Column, keywords: Column | tuple | list) -> Column:
-    """The keywords that are substrings of the text, as they are spelled, in their order; both sides in compatibility form, lower
-    case and single spaces (a column of keywords is taken to be in compatibility form)."""
+def _with_form(text: Column, fn) -> Column:
+    """`fn` of the text's normal form, which is made once, however often it is used."""
+    return F.element_at(F.transform(F.array(_norm(text)), fn), 1)
+
+
+def keywords_in(form: Column, keywords: Column | tuple | list) -> Column:
+    """The keywords that are substrings of a normal form, as they are spelled, in their order (a column of keywords is taken to
+    be in compatibility form)."""
     if isinstance(keywords, Column):
-        return F.element_at(F.transform(F.array(_norm(text)), lambda t: F.filter(keywords, lambda k: F.contains(t, collapse(F.lower(k))))), 1)
+        return F.filter(keywords, lambda k: F.contains(form, collapse(F.lower(k))))
     pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(" ".join(unicodedata.normalize("NFKC", k).lower().split())).alias("form")) for k in keywords]) if keywords else F.expr("CAST(array() AS array<struct<k: string, form: string>>)")
-    return F.element_at(F.transform(F.array(_norm(text)), lambda t: F.transform(F.filter(pairs, lambda p: F.contains(t, p["form"])), lambda p: p["k"])), 1)
+    return F.transform(F.filter(pairs, lambda p: F.contains(form, p["form"])), lambda p: p["k"])
+
+
+def found_keywords(text: Column, keywords: Column | tuple | list) -> Column:
+    """The keywords that are substrings of the text, as they are spelled, in their order; both sides in compatibility form, lower
+    case and single spaces."""
+    return _with_form(text, lambda form: keywords_in(form, keywords))
 
 
 def keyword_match(docs: DataFrame, keywords, text: str = "texto") -> DataFrame:
@@ -56,9 +67,11 @@ def with_found(items: DataFrame, sources: DataFrame, defaults) -> DataFrame:
     j = items.join(s, "source_id")
     text = F.concat_ws(" ", "titulo", "texto")
     own = F.when(F.size("keywords_required") > 0, F.col("keywords_required")).otherwise(strings(defaults))
-    j = j.withColumn("orgs", found_keywords(text, F.col("org_mentions"))).withColumn("kws", found_keywords(text, own))
+    both = _with_form(text, lambda form: F.struct(keywords_in(form, F.col("org_mentions")).alias("orgs"), keywords_in(form, own).alias("kws")))
+    j = j.withColumn("both", F.explode(F.array(both)))  # one row: a filter on it isn't pushed below, where the form would be made again
+    j = j.withColumn("orgs", F.col("both.orgs")).withColumn("kws", F.col("both.kws"))
     j = j.withColumn("found", F.when(F.col("keywords_bypass"), F.col("orgs")).otherwise(F.array_union("kws", "orgs")))
-    return j.drop("orgs", "kws")
+    return j.drop("both", "orgs", "kws")
 
 
 def keyword_or_org(items: DataFrame, sources: DataFrame, defaults) -> DataFrame:
@@ -68,8 +81,12 @@ def keyword_or_org(items: DataFrame, sources: DataFrame, defaults) -> DataFrame:
 
 def topics_of(text: Column, by_topic: dict[str, tuple]) -> Column:
     """Topics with a keyword in the text, most keywords first, ties in the topics' order."""
-    rows = [F.struct((-F.size(found_keywords(text, tuple(dict.fromkeys(words))))).alias("n"), F.lit(i).alias("ord"), F.lit(t).alias("topic")) for i, (t, words) in enumerate(by_topic.items())]
-    return F.transform(F.array_sort(F.filter(F.array(*rows), lambda r: r["n"] < 0)), lambda r: r["topic"])
+
+    def ordered(form: Column) -> Column:
+        rows = [F.struct((-F.size(keywords_in(form, tuple(dict.fromkeys(words))))).alias("n"), F.lit(i).alias("ord"), F.lit(t).alias("topic")) for i, (t, words) in enumerate(by_topic.items())]
+        return F.transform(F.array_sort(F.filter(F.array(*rows), lambda r: r["n"] < 0)), lambda r: r["topic"])
+
+    return _with_form(text, ordered)
 
 
 def configured_topics(docs: DataFrame, config: DataFrame, text: str = "texto") -> DataFrame:
