@@ -17,10 +17,18 @@ def canonical(prev: Column | None = None) -> Column:
     return F.to_json(F.struct("action", "entry_id", "owner_id", F.sha2("payload", 256).alias("payload_hash"), (prev if prev is not None else F.col("prev_hash")).alias("prev_hash"), F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp")))
 
 
-def verify(log: DataFrame) -> DataFrame:
-    """Every entry with whether its prev_hash is the digest of the entry before it (zeros for an owner's first)."""
-    by = Window.partitionBy("owner_id").orderBy("timestamp", "entry_id")
-    return log.withColumn("expected", F.lag(F.sha2(canonical(), 256), 1, GENESIS).over(by)).withColumn("valid", F.col("prev_hash") == F.col("expected"))
+def verify(log: DataFrame, hours: int = 24) -> DataFrame:
+    """Every entry with whether its prev_hash is the digest of the entry before it (zeros for an owner's first).
+
+    An owner's log is verified in ranges of `hours`, each by itself; a range's first entry is held against the last digest of
+    the range before, which is the only thing that ranges pass on. So an owner with most of the log is many tasks."""
+    d = log.withColumn("digest", F.sha2(canonical(), 256)).withColumn("range", F.floor(F.unix_seconds("timestamp") / (3600 * hours)))
+    d = d.withColumn("before", F.lag("digest").over(Window.partitionBy("owner_id", "range").orderBy("timestamp", "entry_id")))
+    last = d.groupBy("owner_id", "range").agg(F.max_by("digest", F.struct("timestamp", "entry_id")).alias("last"))
+    carried = F.lag("last", 1, GENESIS).over(Window.partitionBy("owner_id").orderBy("range"))  # a row for each range
+    passed = last.select(F.col("owner_id").alias("o"), F.col("range").alias("r"), carried.alias("carried"))
+    j = d.join(passed, F.col("owner_id").eqNullSafe(F.col("o")) & F.col("range").eqNullSafe(F.col("r")))
+    return j.withColumn("expected", F.coalesce("before", "carried")).withColumn("valid", F.col("prev_hash") == F.col("expected")).select(*log.columns, "expected", "valid")
 
 
 def append(entries: DataFrame, last: DataFrame) -> DataFrame:
@@ -77,7 +85,8 @@ def _segments(requests: DataFrame, limit: int, seconds: int, bucket: int) -> Dat
     r = r.withColumn("in_bucket", F.last("begins", ignorenulls=True).over(held))
     last = r.groupBy("key", "bucket").agg(F.max("begins").alias("last_one"))  # a row for each bucket of a key's life
     carried = F.last("last_one", ignorenulls=True).over(Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
-    return r.join(last.select("key", "bucket", carried.alias("carried")), ["key", "bucket"]).withColumn("segment", F.coalesce("in_bucket", "carried"))
+    passed = last.select(F.col("key").alias("k"), F.col("bucket").alias("b"), carried.alias("carried"))
+    return r.join(passed, F.col("key").eqNullSafe(F.col("k")) & (F.col("bucket") == F.col("b"))).withColumn("segment", F.coalesce("in_bucket", "carried"))
 
 
 def admit(requests: DataFrame, limit: int = 10, seconds: int = 60, bucket: int = 3600) -> DataFrame:
@@ -85,7 +94,7 @@ def admit(requests: DataFrame, limit: int = 10, seconds: int = 60, bucket: int =
     counted), in order of ts and event_id; refused ones don't count. Exact: the same as the state machine in a stream.
 
     Stretches of a key in which a refusal may matter are folded one after the other, each as a sorted stream of which the last
-    admitted times are held; all other rows are admitted by window functions."""
+    admitted times are held; all other rows are admitted by window functions. Null keys are one key; rows without a ts are left out."""
     s = _segments(requests.select("key", "event_id", "ts"), limit, seconds, bucket).checkpoint()
     span, names = 1_000_000 * seconds, ["key", "event_id", "ts"]
 

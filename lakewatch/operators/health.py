@@ -58,14 +58,24 @@ def trailing_verdict(history: DataFrame, off_after: int = 5, on_after: int = 3)
     return h.groupBy("source_id").agg(F.max_by("should_disable", at).alias("should_disable"), F.max_by("should_enable", at).alias("should_enable"))
 
 
-def zero_runs(history: DataFrame, alert_at: int = ALERT_AT) -> DataFrame:
-    """history(source_id, run_day, items): consecutive runs without items, reset by any; an alert exactly at `alert_at`."""
-    by = Window.partitionBy("source_id").orderBy("run_day")
-    h = history.withColumn("island", F.sum((F.col("items") > 0).cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    h = h.withColumn("zeros", F.sum((F.col("items") == 0).cast("int")).over(Window.partitionBy("source_id", "island").orderBy("run_day").rowsBetween(Window.unboundedPreceding, 0)))
-    h = h.withColumn("consecutive_zero_runs", F.least(F.col("zeros"), F.lit(MOST_ZEROS)))
-    last = F.last(F.when(F.col("items") > 0, F.col("run_day")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0))
-    return h.select("source_id", "run_day", "items", "consecutive_zero_runs", last.alias("last_nonzero_at"), (F.col("zeros") == alert_at).alias("alert"))
+def zero_runs(history: DataFrame, alert_at: int = ALERT_AT, days: int = 92) -> DataFrame:
+    """history(source_id, run_day, items): consecutive runs without items, reset by any; an alert exactly at `alert_at`.
+
+    A source's history is taken in ranges of `days`. A range's summary (how many runs it has, the place and the day of its last
+    one with items) is all that later ranges need of it: the summaries are scanned, a row for each range."""
+    h = history.withColumn("range", F.floor(F.datediff("run_day", F.lit("1970-01-01")) / days))
+    by = Window.partitionBy("source_id", "range").orderBy("run_day")
+    some = F.col("items") > 0
+    held = by.rowsBetween(Window.unboundedPreceding, 0)
+    h = h.withColumn("place", F.row_number().over(by))
+    h = h.withColumn("own_place", F.max(F.when(some, F.col("place"))).over(held)).withColumn("own_day", F.max(F.when(some, F.col("run_day"))).over(held))
+    ranges = h.groupBy("source_id", "range").agg(F.count(F.lit(1)).alias("n"), F.max("own_place").alias("last_place"), F.max("own_day").alias("last_day"))
+    before = Window.partitionBy("source_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    ranges = ranges.select(F.col("source_id").alias("s"), F.col("range").alias("r"), "offset", F.max(F.col("offset") + F.col("last_place")).over(before).alias("old_place"), F.max("last_day").over(before).alias("old_day"))
+    j = h.join(ranges, F.col("source_id").eqNullSafe(F.col("s")) & F.col("range").eqNullSafe(F.col("r")))
+    zeros = F.col("offset") + F.col("place") - F.coalesce(F.col("offset") + F.col("own_place"), F.col("old_place"), F.lit(0))
+    return j.select("source_id", "run_day", "items", F.least(zeros, F.lit(MOST_ZEROS)).alias("consecutive_zero_runs"), F.coalesce("own_day", "old_day").alias("last_nonzero_at"), (zeros == alert_at).alias("alert"))
 
 
 def zero_run_report(history: DataFrame, k: int = 30) -> DataFrame:

@@ -26,15 +26,36 @@ def item_stream(spark: SparkSession, path: str, delay: str = "7 days") -> DataFr
     return items.withWatermark("fetched_at", delay).dropDuplicatesWithinWatermark(["content_hash"])
 
 
-def ingest(stream: DataFrame, table: str, checkpoint: str):
-    """Each micro-batch's unseen items are appended to the table at `table`."""
+#: Folders of a store of items, by their content's hash.
+STORE_BUCKETS = 1024
+
+
+def stored_like(batch: DataFrame, table: str, buckets: int = STORE_BUCKETS) -> DataFrame:
+    """The hashes of the store at `table` from the folders that the batch's contents belong to; the others aren't read."""
+    own = sorted(r[0] for r in batch.select(_store_bucket(buckets).alias("b")).distinct().collect())  # `buckets` numbers at most
+    return batch.sparkSession.read.schema("content_hash STRING, bucket INT").parquet(table).where(F.col("bucket").isin(own)).select("content_hash")
+
+
+def _store_bucket(buckets: int):
+    return F.pmod(F.xxhash64("content_hash"), F.lit(buckets)).cast("int")
+
+
+def ingest(stream: DataFrame, table: str, checkpoint: str, buckets: int = STORE_BUCKETS):
+    """Each micro-batch's unseen items are added to the store at `table`, which has a folder for each bucket of contents: a batch
+    reads and writes its own folders only. A batch that is run again finds its items there and adds nothing."""
 
     def put(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
         at = spark._jvm.org.apache.hadoop.fs.Path(table)
         first = not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)  # any other error of reading the table is one
-        new = batch if first else unseen(batch, spark.read.schema(batch.schema).parquet(table).select("content_hash"))
-        new.write.mode("append").parquet(table)
+        batch.persist()
+        try:
+            if not batch.isEmpty():
+                new = batch if first else unseen(batch, stored_like(batch, table, buckets))
+                new = new.dropDuplicates(["content_hash"]).withColumn("bucket", _store_bucket(buckets))
+                new.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(table)
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -95,3 +95,45 @@ def test_windows_and_heartbeat_stream(spark, tmp_path):
     (tmp_path / "b").mkdir()
     beat = {r.source_id: r.last_ok for r in streamed(spark, e, tmp_path / "b", jobs.heartbeat_stream, "complete")}
     assert beat == {r.source_id: r.m for r in e.where("ok").groupBy("source_id").agg(F.max("ts").alias("m")).collect()}
+
+
+def test_a_batch_reads_its_own_folders_of_the_store(spark, tmp_path):
+    items = spark.range(4000).select(F.lit("s").alias("source_id"), F.lit("t").alias("titulo"), F.lit("u").alias("url"), F.lit("x").alias("texto"), F.lit(None).cast("timestamp").alias("data_publicacao"), F.lit("2024-01-01").cast("timestamp").alias("fetched_at"), F.sha2(F.col("id").cast("string"), 256).alias("content_hash"))
+    table, told = str(tmp_path / "t"), lambda: spark.read.parquet(str(tmp_path / "t")).select("content_hash").collect()
+    items.where("titulo = 't'").write.json(str(tmp_path / "in"))
+    run = lambda ck: jobs.ingest(jobs.item_stream(spark, str(tmp_path / "in")), table, str(tmp_path / ck), 64).awaitTermination(120)
+    run("c1")
+    assert len(told()) == 4000
+    run("c2")  # the same items as another stream: nothing is added
+    assert len(told()) == 4000
+    few = items.limit(3)
+    read = jobs.stored_like(few, table, 64)
+    plan = read._jdf.queryExecution().executedPlan()
+    read.count()
+    assert few.join(read, "content_hash", "left_anti").count() == 0
+    assert read.select(F.input_file_name()).distinct().count() <= 3 < spark.read.parquet(table).select(F.input_file_name()).distinct().count()
+    assert "PartitionFilters" in plan.toString()
+
+
+def test_zero_runs_and_chains_in_ranges(spark):
+    import random
+
+    from lakewatch.operators import audit
+
+    r, day = random.Random(8), dt.date(2023, 1, 1)
+    rows = [(s, day + dt.timedelta(days=d), r.choice([0, 0, 0, 2])) for s in ("a", "b", None) for d in range(300) if r.random() < 0.8]
+    df = spark.createDataFrame(rows, "source_id string, run_day date, items long")
+    want, state = set(), {}
+    for s, d, n in sorted(rows, key=lambda x: (x[0] or "", x[1])):
+        zeros, last = state.get(s, (0, None))
+        state[s] = zeros, last = (0, d) if n else (zeros + 1, last)
+        want.add((s, d, n, zeros, last, zeros == 5))
+    for days in (1, 7, 92, 10_000):
+        assert {tuple(x) for x in health.zero_runs(df, 5, days).collect()} == want
+    t0 = dt.datetime(2024, 1, 1)
+    entries = spark.createDataFrame([("o" if k % 3 else "p", k, t0 + dt.timedelta(minutes=90 * k), "a", "x") for k in range(200)], "owner_id string, entry_id long, timestamp timestamp, action string, payload string")
+    log = audit.append(entries, spark.createDataFrame([], "owner_id string, last_hash string"))
+    bad = log.withColumn("payload", F.when(F.col("entry_id") == 50, "y").otherwise(F.col("payload"))).cache()
+    for hours in (1, 24, 10**6):
+        assert audit.verify(log, hours).where("NOT valid").count() == 0
+        assert [x.entry_id for x in audit.verify(bad, hours).where("NOT valid").collect()] == [52]
