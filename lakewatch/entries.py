@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakewatch.functions import detect, protect, text
-from lakewatch.operators import analytics, audit, clusters, filters, health, postings, search, tables, watches
+from lakewatch.operators import analytics, audit, clusters, exports, filters, health, postings, search, tables, watches
 from lakewatch.plans import intake
 from lakewatch.registry import ORACLE_SQL, QUERIES, on_both, on_corpus, on_notices, query, same
 from lakewatch.session import scratch
@@ -30,10 +30,18 @@ def since(column: str, days: int) -> str:
     return _SINCE.format(column, days)
 
 
+#: A moment within reach of the corpus's dates, which are the first days of January at every scale but the smallest.
+EARLY = "2024-01-09 00:00:00"
+
+
+def early(column: str, days: int) -> str:
+    return since(column, days).replace(AS_OF, f"TIMESTAMP '{EARLY}'")
+
+
 _TOPICS = "SELECT unnest(list_concat(coalesce(tags, []), coalesce(" + _SPLIT.format("temas_especificos") + ", []))) AS topic FROM corpus WHERE has_llm AND {}"
 
 # Aggregations
-_corpus("a01_trending_topics", f"SELECT topic, count(*) AS n FROM ({_TOPICS.format(since('eff_date', 7))}) GROUP BY topic ORDER BY n DESC, topic LIMIT 10", lambda c: analytics.trending_topics(c, days=7))
+_corpus("a01_trending_topics", f"SELECT topic, count(*) AS n FROM ({_TOPICS.format(early('eff_date', 7))}) GROUP BY topic ORDER BY n DESC, topic LIMIT 10", lambda c: analytics.trending_topics(c, EARLY, days=7))
 _corpus("a02_top_sources", "SELECT source_id, avg(relevancia) AS avg_relevancia, count(*) AS n FROM corpus WHERE has_llm GROUP BY 1 HAVING count(*) >= 3 ORDER BY 2 DESC, 1 LIMIT 10", analytics.top_sources_by_relevance)
 _corpus("a03_top_ufs", "SELECT uf, count(*) AS n FROM corpus GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10", analytics.top_ufs)
 _corpus("a04_coverage_gaps", f"SELECT uf FROM (SELECT unnest(['EN', 'FR', 'XX']) AS uf) WHERE uf NOT IN (SELECT uf FROM corpus WHERE {since('eff_date', 14)})", lambda c: analytics.coverage_gaps(c, ACTIVE))
@@ -252,8 +260,8 @@ def _postings_search(c: DataFrame) -> DataFrame:
 
 
 _corpus("x06_postings_search", f"SELECT doc_id FROM {_SEARCH} WHERE status <> 'archived' AND contains(ctext, 'favorito') AND contains(ctext, 'en') AND list_contains(user_tags, 'favorito') ORDER BY fetched_at DESC, doc_id LIMIT 50", _postings_search)
-_corpus("x07_scan_search", f"SELECT doc_id FROM {_SEARCH} WHERE contains(ctext, 'ration') AND contains(ctext, 'the') ORDER BY fetched_at DESC, doc_id LIMIT 50", lambda c: search.scan_search(c, ["Ration", "the"]).select("doc_id"))
-_corpus("x08_faceted_search", f"SELECT doc_id FROM corpus WHERE uf = 'EN' AND relevancia >= 5 AND llm_model = 'm1' AND eff_date >= {AS_OF} - INTERVAL '21' DAY ORDER BY doc_id LIMIT 50", lambda c: search.faceted_search(c, uf="EN", least_relevance=5, model="m1", period="3w").select("doc_id"))
+_corpus("x07_scan_search", f"SELECT doc_id FROM {_SEARCH} WHERE contains(ctext, 'tion') AND contains(ctext, 'the') ORDER BY fetched_at DESC, doc_id LIMIT 50", lambda c: search.scan_search(c, ["Tion", "the"]).select("doc_id"))
+_corpus("x08_faceted_search", f"SELECT doc_id FROM corpus WHERE uf = 'EN' AND relevancia >= 5 AND llm_model = 'm1' AND {early('eff_date', 7)} ORDER BY doc_id LIMIT 50", lambda c: search.faceted_search(c, uf="EN", least_relevance=5, model="m1", period="1w", as_of=EARLY).select("doc_id"))
 _corpus("x10_boolean_search", f"SELECT doc_id FROM {_SEARCH} WHERE (contains(ctext, 'license') OR contains(ctext, 'ration')) AND NOT contains(ctext, 'zu') ORDER BY doc_id LIMIT 50", lambda c: search.boolean_search(c, "license OR ration AND NOT zu").select("doc_id"))
 _corpus("x10_phrases", f"SELECT doc_id FROM {_SEARCH} WHERE (contains(ctext, 'nd to the') OR contains(ctext, 'ration of')) AND contains(ctext, 'the') AND NOT contains(ctext, 'license') ORDER BY doc_id LIMIT 50", lambda c: search.boolean_search(c, "nd to the OR ration of and the not license").select("doc_id"))
 _corpus("x11_fuzzy_titles", None, lambda c: search.similar_titles(c, "the and attion to thanedble the, anea. eriner thanea. thntblere of then, edtioner in", 0.7).select("doc_id", "titulo", "ratio"))
@@ -352,8 +360,22 @@ _corpus("k05_reindex", f"SELECT doc_id, 2 AS index_version, md5({_TEXT}) AS form
 _corpus("k06_retention", f"SELECT 'discarded' AS rule, count(*) AS n FROM corpus WHERE severity_tier = 'descartado' AND fetched_at < {AS_OF} - INTERVAL '10' DAY HAVING count(*) > 0 UNION ALL SELECT 'pending', count(*) FROM corpus WHERE status = 'pending' AND fetched_at < {AS_OF} - INTERVAL '20' DAY HAVING count(*) > 0", lambda c: tables.retention(c, rules=(("discarded", "severity_tier = 'descartado'", 10), ("pending", "status = 'pending'", 20)))[1])
 _corpus("k10_csv_rows", "SELECT doc_id, source_id, uf, titulo, url, data_publicacao, fetched_at, tipo, relevancia, severity_tier, resumo, array_to_string(tags, ' | ') AS tags, array_to_string(topics, ' | ') AS topics FROM corpus", tables.csv_rows)
 _corpus("k11_json_rows", "SELECT doc_id, source_id, uf, titulo, url, data_publicacao, fetched_at, tipo, relevancia, severity_tier, resumo, array_to_string(coalesce(tags, []), '|') AS tags, array_to_string(coalesce(topics, []), '|') AS topics, status, numero_ato, llm_model, prompt_version FROM corpus", lambda c: tables.json_rows(c).withColumn("tags", F.array_join("tags", "|")).withColumn("topics", F.array_join("topics", "|")).withColumn("numero_ato", F.col("metadados")["numero_ato"]).drop("metadados"))
+def _longer(c: DataFrame) -> DataFrame:
+    """The corpus with the classification's longer texts and lists, made of the documents' own."""
+    return c.withColumn("resumo_completo", F.expr("CASE WHEN has_llm AND doc_id % 3 = 0 THEN texto END")).withColumn("motivo_relevancia", F.expr("CASE WHEN has_llm THEN concat('m', doc_id % 9) END")).withColumn("contexto", F.expr("CASE WHEN has_llm AND doc_id % 2 = 0 THEN resumo END")).withColumn("pontos_chave", F.expr("CASE WHEN has_llm THEN slice(split(texto, '\n'), 1, 3) END")).withColumn("assuntos_relacionados", F.col("topics"))
+
+
+_LONG_DOCS = "(SELECT c.*, coalesce(s.nome, c.source_id) AS fonte, CASE WHEN has_llm AND doc_id % 3 = 0 THEN texto END AS longer, CASE WHEN has_llm THEN 'm' || doc_id % 9 END AS why, CASE WHEN has_llm AND doc_id % 2 = 0 THEN resumo END AS around, CASE WHEN has_llm THEN string_split(texto, chr(10))[1:3] END AS points FROM corpus c LEFT JOIN sources s ON s.id = c.source_id)"
+_ISO = "strftime(data_publicacao, '%Y-%m-%dT%H:%M:%S') || CASE WHEN epoch_us(data_publicacao) % 1000000 > 0 THEN strftime(data_publicacao, '.%f') ELSE '' END || '+00:00'"
+_told = lambda labels, c: f"CASE {c} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in labels.items())
+_both("k10_csv_export", f"SELECT doc_id::VARCHAR AS doc_id, uf, coalesce(tipo, '') AS tipo, coalesce(severity_tier, '') AS tier, coalesce(relevancia::VARCHAR, '') AS relevancia, coalesce({_ISO}, '') AS data_pub, fonte, titulo, url, coalesce(resumo, '') AS resumo, md5(coalesce(longer, '')) AS resumo_completo, md5(coalesce(array_to_string(points, ' | '), '')) AS pontos_chave, coalesce(array_to_string(topics, ' | '), '') AS assuntos_relacionados FROM {_LONG_DOCS}",
+    lambda c, s: exports.csv_export(_longer(c), s).withColumn("resumo_completo", F.md5("resumo_completo")).withColumn("pontos_chave", F.md5("pontos_chave")))
+_both("k11_json_export", f"SELECT doc_id, uf, fonte, url, titulo, {_ISO} AS data_publicacao, tipo, severity_tier, relevancia, resumo, md5(longer) AS resumo_completo, len(coalesce(points, [])) AS pontos_chave, why AS motivo_relevancia, array_to_string(coalesce(topics, []), '|') AS assuntos_relacionados, array_to_string(coalesce(tags, []), '|') AS tags, array_to_string(coalesce(topics, []), '|') AS topics, coalesce(numero_ato, '') AS metadados_extraidos, md5(array_to_string(list_sort({_TERMS}), '|')) AS search_terms FROM (SELECT *, {_TEXT} AS ctext FROM {_LONG_DOCS})",
+    lambda c, s: exports.json_export(_longer(c), s, search.indexed(c)).withColumn("resumo_completo", F.md5("resumo_completo")).withColumn("pontos_chave", F.size("pontos_chave").cast("long")).withColumn("assuntos_relacionados", F.array_join("assuntos_relacionados", "|")).withColumn("tags", F.array_join("tags", "|")).withColumn("topics", F.array_join("topics", "|")).withColumn("metadados_extraidos", F.coalesce(F.col("metadados_extraidos")["numero_ato"], F.lit(""))).withColumn("search_terms", F.md5(F.array_join(F.array_sort("search_terms"), "|"))))
+_both("d24_digest_items", f"SELECT doc_id, titulo, url, md5(coalesce(nullif(longer, ''), resumo, '')) AS resumo, coalesce(resumo, '') AS resumo_curto, uf, {_told(exports.TYPE_LABELS, 'tipo')} ELSE coalesce(tipo, 'Outro') END AS tipo_label, {_told(exports.TIER_SIGNS, 'severity_tier')} ELSE '⚪' END AS tier_emoji, {_told(exports.TIER_LABELS, 'severity_tier')} ELSE '—' END AS tier_label, {_told(exports.TIER_COLOURS, 'severity_tier')} ELSE '#1976d2' END AS tier_color, coalesce(strftime(data_publicacao, '%d/%m/%Y'), '') AS data_pub, fonte AS fonte_nome, coalesce(relevancia::VARCHAR, '—') AS relevancia, md5(coalesce(array_to_string(points, ' · '), '')) AS pontos_chave, coalesce(why, '') AS motivo_relevancia, coalesce(around, '') AS contexto, coalesce(array_to_string(topics, ', '), '') AS assuntos_relacionados, coalesce(array_to_string(topics, ', '), '') AS topics FROM {_LONG_DOCS}",
+    lambda c, s: exports.digest_items(_longer(c), s).withColumn("resumo", F.md5("resumo")).withColumn("pontos_chave", F.md5("pontos_chave")))
 _corpus("k12_feeds", "SELECT 'uf/' || uf AS feed, doc_id FROM (SELECT uf, doc_id, row_number() OVER (PARTITION BY uf ORDER BY fetched_at DESC, doc_id) AS r FROM corpus) WHERE r <= 50 UNION ALL SELECT 'tipo/' || tipo, doc_id FROM (SELECT tipo, doc_id, row_number() OVER (PARTITION BY tipo ORDER BY fetched_at DESC, doc_id) AS r FROM corpus WHERE tipo IS NOT NULL) WHERE r <= 50 UNION ALL SELECT * FROM (SELECT 'relevantes', doc_id FROM corpus WHERE relevancia >= 7 ORDER BY fetched_at DESC, doc_id LIMIT 50)", lambda c: tables.feeds(c).select("feed", "doc_id"))
-_corpus("k13_exported_since", "SELECT doc_id FROM corpus WHERE CAST(fetched_at AS DATE) >= DATE '2024-01-20'", lambda c: tables.exported_since(c, "2024-01-20").select("doc_id"))
+_corpus("k13_exported_since", "SELECT doc_id FROM corpus WHERE CAST(fetched_at AS DATE) >= DATE '2024-01-03'", lambda c: tables.exported_since(c, "2024-01-03").select("doc_id"))
 _corpus("k16_clean_keywords", "SELECT min(doc_id) AS pos, arg_min(kw, doc_id) AS kw FROM (SELECT doc_id, trim(regexp_replace(tags[1], '\\s+', ' ', 'g')) AS kw FROM corpus WHERE len(tags) > 0) WHERE length(kw) BETWEEN 1 AND 80 GROUP BY lower(kw)", lambda c: tables.clean_keywords(c.where("size(tags) > 0").select(F.col("doc_id").alias("pos"), F.col("tags")[0].alias("kw"))))
 _corpus("k18_mutes", "SELECT doc_id FROM corpus WHERE has_llm AND uf <> 'DE' AND tipo <> 'click'", lambda c: filters.routed(c, c.sparkSession.createDataFrame([("UF=DE", "2024-02-10 00:00:00"), ("tipo=click", "2024-03-01 00:00:00"), ("UF=EN", "2024-01-01 00:00:00")], "key string, u string").select("key", F.to_timestamp("u").alias("until"))).select("doc_id"))
 _corpus("k09_reconcile_owner", "SELECT 'new' AS owner_id, count(*) AS n FROM corpus", lambda c: tables.reconcile_owner(c, "owner", "new").groupBy("owner_id").agg(F.count(F.lit(1)).alias("n")))
@@ -389,8 +411,8 @@ _corpus("a21_items_by_source", f"""SELECT source_id, count(*) AS collected, coun
 QUERIES["a21_items_by_source"] = lambda spark, d: analytics.items_by_source(_batch(spark, d, one_source=True).steps)
 _corpus("p03_reprocess", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 11 < 5 THEN 'archived' ELSE 'classified' END ELSE status END AS status FROM corpus", lambda c: intake.reprocess(c, c.where("doc_id % 2 = 0").select("doc_id", F.lit("lei").alias("tipo"), (F.col("doc_id") % 11).cast("int").alias("relevancia"))).select("doc_id", "status"))
 _corpus("p04_dispatch_split", "SELECT doc_id, CASE WHEN severity_tier = 'critico' THEN 'immediate' ELSE 'digest' END AS queue FROM corpus WHERE severity_tier IS NOT NULL", intake.dispatch_split)
-_corpus("p05_d24_digest_rows", f"SELECT doc_id, coalesce(titulo, '(sem título)') AS titulo, coalesce(tipo, 'outro') AS tipo, strftime(coalesce(data_publicacao, fetched_at), '%d/%m/%Y') AS data, array_to_string(coalesce(topics, []), ', ') AS topics FROM corpus WHERE severity_tier IS NOT NULL AND {since('fetched_at', 7)} ORDER BY fetched_at DESC, doc_id LIMIT 1000", lambda c: intake.digest_rows(c).select("doc_id", "titulo", "tipo", "data", "topics"))
-_corpus("p06_on_demand", f"SELECT doc_id, relevancia, (SELECT count(*) FROM corpus WHERE status = 'pending' AND {since('fetched_at', 7)}) AS pending FROM corpus WHERE severity_tier IS NOT NULL AND {since('fetched_at', 7)} ORDER BY relevancia DESC, fetched_at DESC, doc_id LIMIT 50", lambda c: intake.on_demand(c).select("doc_id", "relevancia", "pending"))
+_corpus("p05_d24_digest_rows", f"SELECT doc_id, coalesce(titulo, '(sem título)') AS titulo, coalesce(tipo, 'outro') AS tipo, strftime(coalesce(data_publicacao, fetched_at), '%d/%m/%Y') AS data, array_to_string(coalesce(topics, []), ', ') AS topics FROM corpus WHERE severity_tier IS NOT NULL AND {early('fetched_at', 7)} ORDER BY fetched_at DESC, doc_id LIMIT 1000", lambda c: intake.digest_rows(c, EARLY).select("doc_id", "titulo", "tipo", "data", "topics"))
+_corpus("p06_on_demand", f"SELECT doc_id, relevancia, (SELECT count(*) FROM corpus WHERE status = 'pending' AND {early('fetched_at', 7)}) AS pending FROM corpus WHERE severity_tier IS NOT NULL AND {early('fetched_at', 7)} ORDER BY relevancia DESC, fetched_at DESC, doc_id LIMIT 50", lambda c: intake.on_demand(c, EARLY).select("doc_id", "relevancia", "pending"))
 _corpus("p07_grouped_digest", "SELECT uf, max(n) AS n, string_agg(doc_id::VARCHAR, '|' ORDER BY r) AS docs FROM (SELECT uf, doc_id, count(*) OVER (PARTITION BY uf) AS n, row_number() OVER (PARTITION BY uf ORDER BY relevancia DESC, doc_id) AS r FROM corpus WHERE severity_tier IS NOT NULL) WHERE r <= 10 GROUP BY 1", lambda c: intake.grouped_digest(c).select("uf", "n", F.array_join("docs", "|").alias("docs")))
 _corpus("t07_periodic_digest", "SELECT time_bucket(INTERVAL '1 day', fetched_at) AS start, coalesce(severity_tier, 'n/a') AS tier, count(*) AS n FROM corpus GROUP BY 1, 2", jobs.periodic_digest)
 _corpus("t08_rolling_trend", "SELECT start, topic, count(*) AS n FROM (SELECT time_bucket(INTERVAL '1 day', eff_date) - i * INTERVAL '1 day' AS start, unnest(topics) AS topic FROM corpus, range(0, 7) t(i)) GROUP BY 1, 2", jobs.rolling_trend)
