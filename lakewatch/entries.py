@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakewatch.functions import detect, protect, text
-from lakewatch.operators import analytics, audit, clusters, exports, filters, health, postings, search, tables, watches
+from lakewatch.operators import analytics, audit, clusters, config, exports, filters, health, postings, search, tables, watches
 from lakewatch.plans import intake
 from lakewatch.registry import ORACLE_SQL, QUERIES, on_both, on_corpus, on_notices, query, same
 from lakewatch.session import scratch
@@ -377,6 +378,32 @@ _both("d24_digest_items", f"SELECT doc_id, titulo, url, md5(coalesce(nullif(long
 _corpus("k12_feeds", "SELECT 'uf/' || uf AS feed, doc_id FROM (SELECT uf, doc_id, row_number() OVER (PARTITION BY uf ORDER BY fetched_at DESC, doc_id) AS r FROM corpus) WHERE r <= 50 UNION ALL SELECT 'tipo/' || tipo, doc_id FROM (SELECT tipo, doc_id, row_number() OVER (PARTITION BY tipo ORDER BY fetched_at DESC, doc_id) AS r FROM corpus WHERE tipo IS NOT NULL) WHERE r <= 50 UNION ALL SELECT * FROM (SELECT 'relevantes', doc_id FROM corpus WHERE relevancia >= 7 ORDER BY fetched_at DESC, doc_id LIMIT 50)", lambda c: tables.feeds(c).select("feed", "doc_id"))
 _corpus("k13_exported_since", "SELECT doc_id FROM corpus WHERE CAST(fetched_at AS DATE) >= DATE '2024-01-03'", lambda c: tables.exported_since(c, "2024-01-03").select("doc_id"))
 _corpus("k16_clean_keywords", "SELECT min(doc_id) AS pos, arg_min(kw, doc_id) AS kw FROM (SELECT doc_id, trim(regexp_replace(tags[1], '\\s+', ' ', 'g')) AS kw FROM corpus WHERE len(tags) > 0) WHERE length(kw) BETWEEN 1 AND 80 GROUP BY lower(kw)", lambda c: tables.clean_keywords(c.where("size(tags) > 0").select(F.col("doc_id").alias("pos"), F.col("tags")[0].alias("kw"))))
+# Configuration by commands, made of the events.
+_VERB = "CASE WHEN value < 20 THEN 'delete' ELSE 'save' END"
+_SETTING = "CASE event_id % 3 WHEN 0 THEN 'state' WHEN 1 THEN 'topic' ELSE 'watch' END AS kind, CASE WHEN event_id % 3 = 1 AND event_id % 7 = 0 THEN 'itcd' ELSE 'k' || user_id % 50 END AS key"
+_MUTE = "CASE event_id % 4 WHEN 0 THEN 'UF=U' || user_id % 9 WHEN 1 THEN 'tipo=' || event_type WHEN 2 THEN 'tag=t' || user_id % 20 ELSE 'x=' || user_id END"
+
+
+def _commands(spark, d, *columns: str) -> DataFrame:
+    e = views.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return e.select("ts", F.col("event_id").alias("seq"), F.expr(_VERB).alias("verb"), *map(F.expr, columns))
+
+
+query("k15_saved_settings", f"""WITH c AS (SELECT ts, event_id, {_VERB} AS verb, {_SETTING}, event_type AS value FROM events),
+h AS (SELECT kind, key, arg_max(value, (ts, event_id)) AS value, arg_max(verb, (ts, event_id)) AS verb FROM c WHERE NOT (kind = 'topic' AND key = 'itcd' AND verb = 'delete') GROUP BY 1, 2)
+SELECT kind, key, value FROM h WHERE verb = 'save' UNION ALL SELECT 'topic', t, NULL FROM (SELECT unnest(['itcd', 'sucessoes', 'regime_bens']) AS t) WHERE t NOT IN (SELECT key FROM h WHERE verb = 'save' AND kind = 'topic')""")(
+    lambda s, d: config.saved_settings(_commands(s, d, "CASE event_id % 3 WHEN 0 THEN 'state' WHEN 1 THEN 'topic' ELSE 'watch' END AS kind", "CASE WHEN event_id % 3 = 1 AND event_id % 7 = 0 THEN 'itcd' ELSE concat('k', user_id % 50) END AS key", "event_type AS value")))
+query("k18_active_mutes", f"""SELECT key, until FROM (SELECT key, arg_max(until, (ts, event_id)) AS until, arg_max(verb, (ts, event_id)) AS verb FROM (SELECT ts, event_id, {_VERB} AS verb, {_MUTE} AS key, ts + (event_id % 20) * INTERVAL '1' DAY AS until FROM events WHERE ts <= {AS_OF} AND event_id % 4 < 3 AND (event_id % 5 <> 4 OR {_VERB} = 'delete')) GROUP BY 1)
+WHERE verb = 'save' AND until > {AS_OF}""")(
+    lambda s, d: config.active_mutes(_commands(s, d, "concat(CASE event_id % 4 WHEN 0 THEN concat('UF=U', user_id % 9) WHEN 1 THEN concat('tipo=', event_type) WHEN 2 THEN concat('tag=t', user_id % 20) ELSE concat('x=', user_id) END, CASE event_id % 5 WHEN 4 THEN ' soon' ELSE concat(' ', event_id % 20, 'd') END) AS text")))
+_corpus("k03_notifications", "SELECT doc_id, sent IS NOT NULL AS enviada, sent AS enviada_em, CASE WHEN sent IS NULL THEN '' WHEN severity_tier = 'critico' THEN 'telegram' WHEN severity_tier IN ('alta', 'normal') THEN 'email|telegram' WHEN severity_tier = 'baixa' THEN 'email' ELSE '' END AS canais FROM corpus LEFT JOIN (SELECT event_id // 3 AS i, min(ts) AS sent FROM events WHERE event_type = 'purchase' GROUP BY 1) ON i = doc_id", None)
+QUERIES["k03_notifications"] = lambda s, d: config.notified(views.corpus(s, d), views.table(s, d, "events").where("event_type = 'purchase'").select(F.expr("event_id div 3").alias("doc_id"), F.col("ts").cast("timestamp").alias("ts"))).select("doc_id", "enviada", "enviada_em", F.array_join("canais", "|").alias("canais"))
+_BAD_SOURCE = "CASE n % 4 WHEN 0 THEN '' ELSE nome END AS nome, CASE n % 5 WHEN 1 THEN 'xx' ELSE uf END AS uf, CASE n % 6 WHEN 2 THEN 'blog' ELSE tipo END AS tipo, n % 10 IN (3, 4) AS keywords_bypass, CASE n % 7 WHEN 3 THEN -1 ELSE expected_min_items_per_week END AS expected_min_items_per_week"
+query("f25_source_errors", f"SELECT id, concat_ws('|', CASE WHEN nome = '' THEN 'nome' END, CASE WHEN NOT regexp_matches(uf, '^([A-Z]{{2}}|_federal)$') THEN 'uf' END, CASE WHEN tipo = 'blog' THEN 'tipo' END, CASE WHEN keywords_bypass AND len(org_mentions) = 0 THEN 'org_mentions' END, CASE WHEN coalesce(expected_min_items_per_week, 0) < 0 THEN 'expected' END) AS errors FROM (SELECT id, org_mentions, {_BAD_SOURCE} FROM (SELECT *, CAST(substr(id, 4) AS INT) AS n FROM sources))", "sources")(
+    lambda s, d: config.source_errors(views.sources(s, d).withColumn("n", F.expr("CAST(substr(id, 4) AS INT)")).select("id", "url", "org_mentions", *map(F.expr, re.split(r", (?=CASE|n % 10)", _BAD_SOURCE))), F.array(*[F.lit(k) for k in ("sefaz", "assembleia", "noticia", "doe", "jurisprudencia", "federal")])).select("id", F.array_join("errors", "|").alias("errors")))
+_BAD_DOC = ("CASE doc_id % 6 WHEN 1 THEN '' ELSE titulo END AS titulo", "CASE doc_id % 5 WHEN 2 THEN repeat('u', 3000) ELSE url END AS url", "CASE doc_id % 4 WHEN 3 THEN 'abc' ELSE content_hash END AS content_hash", "CASE doc_id % 7 WHEN 0 THEN 'x1' ELSE uf END AS uf", "CASE doc_id % 8 WHEN 5 THEN 11 ELSE relevancia END AS relevancia")
+_corpus("f25_damaged_documents", "SELECT doc_id, concat_ws('|', CASE WHEN titulo = '' THEN 'titulo' END, CASE WHEN length(url) > 2048 THEN 'url' END, CASE WHEN length(content_hash) <> 64 THEN 'content_hash' END, CASE WHEN uf = 'x1' THEN 'uf' END, CASE WHEN relevancia > 10 THEN 'relevancia' END, CASE WHEN doc_id % 9 = 4 THEN 'tags' END) AS errors FROM (SELECT doc_id, " + ", ".join(_BAD_DOC) + " FROM corpus)",
+    lambda c: filters.model_errors(c.select("doc_id", *map(F.expr, _BAD_DOC), F.expr("CASE doc_id % 9 WHEN 4 THEN array_repeat('t', 21) ELSE tags END").alias("tags"))).select("doc_id", F.array_join("errors", "|").alias("errors")))
 _corpus("k18_mutes", "SELECT doc_id FROM corpus WHERE has_llm AND uf <> 'DE' AND tipo <> 'click'", lambda c: filters.routed(c, c.sparkSession.createDataFrame([("UF=DE", "2024-02-10 00:00:00"), ("tipo=click", "2024-03-01 00:00:00"), ("UF=EN", "2024-01-01 00:00:00")], "key string, u string").select("key", F.to_timestamp("u").alias("until"))).select("doc_id"))
 _corpus("k09_reconcile_owner", "SELECT 'new' AS owner_id, count(*) AS n FROM corpus", lambda c: tables.reconcile_owner(c, "owner", "new").groupBy("owner_id").agg(F.count(F.lit(1)).alias("n")))
 def _restored(c: DataFrame) -> DataFrame:
@@ -390,25 +417,21 @@ _corpus("k08_restore", "SELECT CASE WHEN doc_id % 7 = 0 THEN 'version' WHEN doc_
 # Pipeline
 
 
-def _batch(spark, d, one_source: bool = False) -> intake.Batch:
+def _batch(spark, d) -> intake.Batch:
+    """The corpus as a batch: of documents with the same content the first one, by the rules of its source."""
     c, s = views.corpus(spark, d), views.sources(spark, d)
-    if one_source:  # contents that several sources have are left out
-        c = c.join(c.groupBy("content_hash").agg(F.min("source_id").alias("a"), F.max("source_id").alias("b")).where("a = b").select("content_hash"), "content_hash", "left_semi")
-    new = _items(c).drop("doc_id").withColumn("n", F.lit(1)).dropDuplicates(["content_hash"]).drop("n")
+    i = _items(c)
+    new = i.groupBy("content_hash").agg(F.min_by(F.struct(*[x for x in i.columns if x != "content_hash"]), "doc_id").alias("x")).select("x.*", "content_hash").select(*i.columns).drop("doc_id")
     responses = c.where("has_llm").groupBy("content_hash").agg(F.min("tipo").alias("tipo"), F.max("relevancia").alias("relevancia"), F.min("topics").alias("topics"), F.min("tags").alias("tags"))
-    return intake.run_batch(new, s.withColumn("keywords_bypass", F.lit(False)).withColumn("org_mentions", F.array().cast("array<string>")).withColumn("keywords_required", F.array().cast("array<string>")).withColumn("trusted", F.lit(True)), c.where("doc_id % 4 = 0").select("content_hash"), responses, KEYWORDS, cutoff=0.0)
+    return intake.run_batch(new, s, c.where("doc_id % 4 = 0").select("content_hash"), responses, KEYWORDS, cutoff=0.0)
 
 
-_corpus(
-    "p01_a21_batch_funnel",
-    f"""SELECT * FROM (SELECT count(*) AS collected, count_if(f)::BIGINT AS keywords, count_if(f)::BIGINT AS prescore, count_if(f AND NOT old)::BIGINT AS new, count_if(f AND NOT old AND llm)::BIGINT AS classified, count_if(f AND NOT old AND NOT (llm AND r < 5))::BIGINT AS stored, count_if(f AND NOT old AND llm AND r >= 5)::BIGINT AS notified FROM (
-    SELECT content_hash, bool_or(len({_FOUND.format("titulo || ' ' || texto", _lit(KEYWORDS))}) > 0) AS f, bool_or(doc_id % 4 = 0) AS old, bool_or(has_llm) AS llm, max(relevancia) AS r FROM corpus GROUP BY 1))""",
-    lambda c: None,
-)
+_FLAGS = f"""(SELECT content_hash, arg_min(c.source_id, c.doc_id) AS source_id, arg_min(coalesce(len(k.f), 0) > 0, c.doc_id) AS f, bool_or(c.doc_id % 4 = 0) AS old, bool_or(c.has_llm) AS llm, max(c.relevancia) AS r
+    FROM corpus c LEFT JOIN (SELECT doc_id, f FROM ({_KWORG})) k ON k.doc_id = c.doc_id GROUP BY 1)"""
+_both("p01_a21_batch_funnel", f"SELECT count(*) AS collected, count_if(f)::BIGINT AS keywords, count_if(f)::BIGINT AS prescore, count_if(f AND NOT old)::BIGINT AS new, count_if(f AND NOT old AND llm)::BIGINT AS classified, count_if(f AND NOT old AND NOT (llm AND r < 5))::BIGINT AS stored, count_if(f AND NOT old AND llm AND r >= 5)::BIGINT AS notified FROM {_FLAGS}", None)
 QUERIES["p01_a21_batch_funnel"] = lambda spark, d: _batch(spark, d).funnel.groupBy().pivot("stage", ["collected", "keywords", "prescore", "new", "classified", "stored", "notified"]).agg(F.max("n"))
-_corpus("a21_items_by_source", f"""SELECT source_id, count(*) AS collected, count_if(f AND NOT old AND NOT (llm AND r < 5))::BIGINT AS stored, count_if(f AND NOT old AND llm AND r < 5)::BIGINT AS discarded FROM (
-    SELECT content_hash, min(source_id) AS source_id, bool_or(len({_FOUND.format("titulo || ' ' || texto", _lit(KEYWORDS))}) > 0) AS f, bool_or(doc_id % 4 = 0) AS old, bool_or(has_llm) AS llm, max(relevancia) AS r FROM corpus GROUP BY 1 HAVING min(source_id) = max(source_id)) GROUP BY 1""", lambda c: None)
-QUERIES["a21_items_by_source"] = lambda spark, d: analytics.items_by_source(_batch(spark, d, one_source=True).steps)
+_both("a21_items_by_source", f"SELECT source_id, count(*) AS collected, count_if(f AND NOT old AND NOT (llm AND r < 5))::BIGINT AS stored, count_if(f AND NOT old AND llm AND r < 5)::BIGINT AS discarded FROM {_FLAGS} GROUP BY 1", None)
+QUERIES["a21_items_by_source"] = lambda spark, d: analytics.items_by_source(_batch(spark, d).steps)
 _corpus("p03_reprocess", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 11 < 5 THEN 'archived' ELSE 'classified' END ELSE status END AS status FROM corpus", lambda c: intake.reprocess(c, c.where("doc_id % 2 = 0").select("doc_id", F.lit("lei").alias("tipo"), (F.col("doc_id") % 11).cast("int").alias("relevancia"))).select("doc_id", "status"))
 _corpus("p04_dispatch_split", "SELECT doc_id, CASE WHEN severity_tier = 'critico' THEN 'immediate' ELSE 'digest' END AS queue FROM corpus WHERE severity_tier IS NOT NULL", intake.dispatch_split)
 _corpus("p05_d24_digest_rows", f"SELECT doc_id, coalesce(titulo, '(sem título)') AS titulo, coalesce(tipo, 'outro') AS tipo, strftime(coalesce(data_publicacao, fetched_at), '%d/%m/%Y') AS data, array_to_string(coalesce(topics, []), ', ') AS topics FROM corpus WHERE severity_tier IS NOT NULL AND {early('fetched_at', 7)} ORDER BY fetched_at DESC, doc_id LIMIT 1000", lambda c: intake.digest_rows(c, EARLY).select("doc_id", "titulo", "tipo", "data", "topics"))

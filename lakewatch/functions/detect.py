@@ -29,20 +29,21 @@ COURT_THEME = r"(?iU)\bTema\b[^\d\n]{0,40}?(\d{1,4})"
 NORM = r"(?iU)\b(?:lei|decreto|portaria|resolu\w+|instru\w+|art(?:igo)?|s[uú]mula)\s*(?:complementar\s*)?(?:n[ºo°.]?\s*)?(\d{1,3}(?:\.\d{3})+[/.]\d{4}|\d{1,5}[/.]\d{4})"
 AMOUNT = r"(?iU)R\$\s*\d{1,3}(?:\.\d{3})*(?:,\d{2})?(?:\s*(?:mil|milhão|milhões|bilhão|bilhões))?"
 MODULATION = r"(?iU)modulação\s+(?:de\s+|dos\s+)?efeitos"
-THEMES = {
-    "planejamento_sucessorio": r"planejamento\s+sucessório",
-    "holding_familiar": r"holding\s+familiar|holding\s+patrimonial",
-    "doacao_com_usufruto": r"doação\s+com\s+reserva\s+de\s+usufruto|reserva\s+de\s+usufruto|usufruto\s+vitalício",
-    "testamento": r"\btestamento\b|\btestador(?:a)?\b|disposição\s+de\s+última\s+vontade",
-    "offshore_exterior": r"\boffshore\b|bens\s+(?:no\s+)?(?:exterior|estrangeiros?)|sucessão\s+(?:internacional|transnacional)|trust\s+(?:familiar|sucessório)?",
-    "aliquota_progressiva": r"alíquota\s+progressiva|progressividade\s+(?:da\s+)?alíquota|tabela\s+progressiva",
-    "pec_itcd_federal": r"PEC\s+\d+\s*[/.]\s*\d+(?:[\s\S]{0,200}ITCD|ITCMD)|unificação\s+(?:nacional\s+)?do\s+ITCD|ITCD\s+federal|reforma\s+tributária[\s\S]{0,150}(?:ITCD|herança|sucessão)",
-    "fato_gerador": r"\bfato\s+gerador\b",
-    "base_de_calculo": r"base\s+de\s+cálculo|valor\s+venal\s+(?:de\s+referência|do\s+bem|tributável)",
-    "isencao": r"\bisenção\b|\bisento\b|\bisentar\b",
-    "imunidade": r"\bimunidade\s+tributária\b|imunidade\s+(?:recíproca|de\s+templos|cultural)",
-    "gia_itcmd": r"\bGIA\b|declaração\s+(?:de\s+)?ITCMD|obrigação\s+acessória",
+THEME_PATTERNS = {
+    "planejamento_sucessorio": (r"planejamento\s+sucessório",),
+    "holding_familiar": (r"holding\s+familiar", r"holding\s+patrimonial"),
+    "doacao_com_usufruto": (r"doação\s+com\s+reserva\s+de\s+usufruto", r"reserva\s+de\s+usufruto", r"usufruto\s+vitalício"),
+    "testamento": (r"\btestamento\b", r"\btestador(?:a)?\b", r"disposição\s+de\s+última\s+vontade"),
+    "offshore_exterior": (r"\boffshore\b", r"bens\s+(?:no\s+)?(?:exterior|estrangeiros?)", r"sucessão\s+(?:internacional|transnacional)", r"trust\s+(?:familiar|sucessório)?"),
+    "aliquota_progressiva": (r"alíquota\s+progressiva", r"progressividade\s+(?:da\s+)?alíquota", r"tabela\s+progressiva"),
+    "pec_itcd_federal": (r"PEC\s+\d+\s*[/.]\s*\d+(?:[\s\S]{0,200}ITCD|ITCMD)", r"unificação\s+(?:nacional\s+)?do\s+ITCD", r"ITCD\s+federal", r"reforma\s+tributária[\s\S]{0,150}(?:ITCD|herança|sucessão)"),
+    "fato_gerador": (r"fato\s+gerador\s+(?:do\s+)?(?:ITCD|ITCMD|imposto)", r"\bfato\s+gerador\b"),
+    "base_de_calculo": (r"base\s+de\s+cálculo", r"valor\s+venal\s+(?:de\s+referência|do\s+bem|tributável)"),
+    "isencao": (r"\bisenção\b", r"\bisento\b", r"\bisentar\b"),
+    "imunidade": (r"\bimunidade\s+tributária\b", r"imunidade\s+(?:recíproca|de\s+templos|cultural)"),
+    "gia_itcmd": (r"\bGIA[-\s]?ITCMD\b", r"\bGIA\b", r"declaração\s+(?:de\s+)?ITCMD", r"obrigação\s+acessória"),
 }
+THEMES = {name: "|".join(patterns) for name, patterns in THEME_PATTERNS.items()}
 # Acts by type in order of priority, and issuing bodies in order.
 ACT_TYPES = {
     "instrucao_normativa": r"\b(?:Instrução\s+Normativa|IN)\s*(?:RFB|SRF|SRFB|SECEX)?\s*(?:n[º°.]?\s*)?(\d{1,6}(?:\.\d{3})?)\s*[/\-]\s*(\d{4})\b",

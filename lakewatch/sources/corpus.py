@@ -15,7 +15,8 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").alias("d")
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
     l = table(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("labelled"))
-    j = d.join(e, "doc_id").join(l, "doc_id", "left")
+    j = d.join(e, "doc_id", "left").join(l, "doc_id", "left")  # a document without an event has the first day, and no value
+    j = j.withColumn("ts", F.coalesce("ts", F.lit("2024-01-01").cast("timestamp"))).withColumn("event_type", F.coalesce("event_type", F.lit("view"))).withColumn("value", F.coalesce("value", F.lit(0.0)))
     n = F.expr("CAST(substr(source, 4) AS INT)")
     when = lambda c: F.expr(f"CASE WHEN labelled THEN {c} END")
     relevance = "CAST(floor(value) AS INT) % 11"
@@ -57,7 +58,7 @@ corpus AS (SELECT *, CASE WHEN relevancia IS NULL THEN 'pending' WHEN relevancia
     CASE d.doc_id % 10 WHEN 0 THEN ['favorito', 'lido'] WHEN 1 THEN ['lido'] ELSE [] END AS user_tags,
     CASE WHEN l.doc_id IS NOT NULL AND d.doc_id % 3 = 0 THEN d.doc_id % 40 || '/2024' END AS numero_ato, CASE WHEN l.doc_id IS NOT NULL AND d.doc_id % 5 = 0 THEN d.doc_id % 4 || '%, ' || d.doc_id % 3 || '%' END AS aliquotas,
     CASE WHEN l.doc_id IS NOT NULL AND d.doc_id % 6 = 0 THEN 'R$ ' || d.doc_id % 100 END AS valores_monetarios, CASE WHEN l.doc_id IS NOT NULL AND d.doc_id % 2 = 0 THEN 't' || d.doc_id % 7 || ', t' || d.doc_id % 3 END AS temas_especificos
-  FROM documents d JOIN events e ON e.event_id = d.doc_id LEFT JOIN labels l ON l.doc_id = d.doc_id))
+  FROM documents d LEFT JOIN (SELECT event_id, ts, event_type, value FROM events) e0 ON e0.event_id = d.doc_id CROSS JOIN LATERAL (SELECT coalesce(e0.ts, TIMESTAMP '2024-01-01 00:00:00') AS ts, coalesce(e0.event_type, 'view') AS event_type, coalesce(e0.value, 0.0) AS value) e LEFT JOIN labels l ON l.doc_id = d.doc_id))
 """
 
 
