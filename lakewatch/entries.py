@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import re
+import zipfile
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ from lakewatch.operators import analytics, audit, clusters, config, exports, fil
 from lakewatch.plans import intake
 from lakewatch.registry import ORACLE_SQL, QUERIES, on_both, on_corpus, on_notices, query, same
 from lakewatch.session import scratch
-from lakewatch.sources import catalog, corpus as views, payloads, selectors
+from lakewatch.sources import catalog, corpus as views, payloads, selectors, zipped
 from lakewatch.streaming import jobs
 from lakewatch.streaming.replay import replay
 
@@ -281,6 +284,29 @@ _corpus("s24_l02_page", "SELECT doc_id FROM corpus WHERE status = 'classified' O
 query("s03_source_selection", "SELECT id FROM sources WHERE (CASE WHEN id = 'src3' THEN false WHEN id = 'src19' THEN true ELSE ativo END) AND (uf IN ('EN', 'FR') OR uf = '_federal')", "sources")(lambda s, d: catalog.select_sources(views.sources(s, d), s.createDataFrame([("src3", False), ("src19", True)], "id string, ativo boolean"), s.createDataFrame([("EN",), ("FR",)], "uf string")).select("id"))
 query("s04_source_lint", """SELECT id, array_to_string(w, '|') AS warnings FROM (SELECT id, list_filter([CASE WHEN contains(url, '.gov.br') AND NOT starts_with(url, 'https://') THEN 'gov_url_not_https' END, CASE WHEN len(keywords_required) > 0 AND NOT contains(upper(array_to_string(keywords_required, ' ')), 'ITCD') THEN 'keywords_without_core' END,
 CASE WHEN len(topics) = 0 THEN 'no_topics' END, CASE WHEN fragile AND coalesce(notas, '') = '' THEN 'fragile_without_notes' END], lambda x: x IS NOT NULL) AS w FROM sources) WHERE len(w) > 0""", "sources")(lambda s, d: catalog.lint(views.sources(s, d)).select("id", F.array_join("warnings", "|").alias("warnings")))
+def _archives(spark, d) -> DataFrame:
+    """The documents as zipped XML of their sources, five hundred ids each; the executors zip them."""
+    esc = lambda c: F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    t = views.table(spark, d, "documents").select("doc_id", "source", F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", " ").alias("text"))
+    one = F.concat(F.expr("concat('<propositura><IdDocumento>', doc_id, '</IdDocumento><Natureza>', CASE doc_id % 3 WHEN 0 THEN 'REQ' ELSE 'PL' END, '</Natureza><NroLegislativo>', doc_id, '</NroLegislativo><AnoLegislativo>2024</AnoLegislativo><Ementa>')"), esc(F.col("text")), F.expr("concat('</Ementa><DtEntradaSistema>', CASE doc_id % 4 WHEN 1 THEN '2023-06-01' ELSE '2024-01-15' END, '</DtEntradaSistema></propositura>')"))
+    xml = t.groupBy("source", F.expr("doc_id div 500").alias("n")).agg(F.array_join(F.collect_list(one), "").alias("rows")).select("source", F.concat(F.lit("<r>"), "rows", F.lit("</r>")).alias("xml"))
+
+    def zip_up(batches):
+        for b in batches:
+            out = []
+            for x in b.column("xml").to_pylist():
+                buffer = io.BytesIO()
+                with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+                    z.writestr("dump.xml", x)
+                out.append(buffer.getvalue())
+            yield pa.record_batch([b.column("source"), pa.array(out, pa.binary())], names=["source_id", "content"])
+
+    return xml.mapInArrow(zip_up, "source_id string, content binary").withColumn("fetched_at", F.lit("2024-01-31").cast("timestamp"))
+
+
+query("s16_zipped_xml", "SELECT 'alesp' AS source_id, 'PL ' || doc_id || '/2024' AS titulo, sha256('alesp:' || doc_id) AS content_hash, length(trim(regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'))) AS n FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 4 <> 1")(
+    lambda s, d: payloads.map_xml(zipped.zipped_records(_archives(s, d), "propositura", ["IdDocumento", "Natureza", "NroLegislativo", "AnoLegislativo", "Ementa", "DtEntradaSistema", "DtPublicacao"], {"Natureza": ["PL"]}, ("DtEntradaSistema", "2024-01-01"))[0], "alesp", "alesp", "2024-01-31").select("source_id", "titulo", "content_hash", F.length("texto").cast("long").alias("n"))
+)
 query("s06_page_links", None)(lambda s, d: payloads.links_of(views.table(s, d, "pages")))
 def _listing(spark, d) -> DataFrame:
     """The documents as listing pages of their sources, fifty ids each: nested and unclosed elements, whole texts, relative addresses,
