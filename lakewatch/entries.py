@@ -99,6 +99,13 @@ _corpus("a19_status_counts", f"SELECT 'status' AS metric, status AS key, count(*
 _corpus("a20_user_tags", "SELECT tag, count(*) AS n FROM (SELECT unnest(user_tags) AS tag FROM corpus) GROUP BY 1", analytics.user_tag_counts)
 
 
+_REGION = "CASE WHEN event_id % 5 < 3 THEN 'U' || event_id % 5 ELSE NULL END"
+query("a22_run_metrics", f"""WITH e AS (SELECT {_REGION} AS uf, event_type AS kind, CAST(floor(value) AS BIGINT) AS d, event_id % 3 AS items, event_id % 11 AS tokens, event_id % 13 <> 0 AS ok FROM events), u AS (SELECT uf, uf IN (SELECT uf FROM e WHERE items > 0 AND uf IS NOT NULL) AS has FROM (SELECT unnest(['U0', 'U1', 'U2', 'U9']) AS uf))
+SELECT 'llm_calls' AS name, 'llm' AS label, count_if(kind = 'click')::DOUBLE AS value FROM e UNION ALL SELECT 'llm_failures', 'llm', count_if(kind = 'click' AND NOT ok)::DOUBLE FROM e UNION ALL SELECT 'llm_tokens', 'llm', coalesce(sum(CASE WHEN kind = 'click' THEN tokens END), 0)::DOUBLE FROM e
+UNION ALL SELECT 'stage_duration_ms', kind, sum(d)::DOUBLE FROM e GROUP BY 2 UNION ALL SELECT 'uf_with_items', uf, has::INT::DOUBLE FROM u UNION ALL SELECT 'uf_coverage_percent', 'uf', 100.0::DOUBLE * count_if(has) / count(*) FROM u""")(
+    lambda s, d: analytics.run_metrics(views.table(s, d, "events").select(F.expr("CASE WHEN event_id % 5 < 3 THEN concat('U', event_id % 5) END AS uf"), F.col("event_type").alias("kind"), F.floor("value").alias("duration_ms"), (F.col("event_id") % 3).alias("items"), (F.col("event_id") % 11).alias("tokens"), (F.col("event_id") % 13 != 0).alias("ok")), ["U0", "U1", "U2", "U9"], "click"))
+
+
 @query("a22_execution_metrics", """SELECT 'collector_duration_ms' AS name, collector AS label, sum(d)::DOUBLE AS value FROM (SELECT 'src' || event_id % 20 AS collector, CAST(floor(value) AS BIGINT) AS d FROM events) GROUP BY 2
 UNION ALL SELECT 'collector_errors', 'src' || event_id % 20, count_if(event_type = 'error')::DOUBLE FROM events GROUP BY 2 UNION ALL SELECT 'collector_items', 'src' || event_id % 20, sum(event_id % 3)::DOUBLE FROM events GROUP BY 2
 UNION ALL SELECT 'quota_percent', 'view', least(100.0, 100.0 * count_if(event_type = 'view') / 1500)::DOUBLE FROM events UNION ALL SELECT 'quota_percent', 'click', least(100.0, 100.0 * count_if(event_type = 'click') / 20000)::DOUBLE FROM events""")

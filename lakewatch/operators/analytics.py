@@ -171,6 +171,22 @@ def execution_metrics(events: DataFrame, quotas: dict[str, int]) -> DataFrame:
     return rows.select("name", "label", "value").unionByName(used.select(F.inline(F.array(*share))))
 
 
+def run_metrics(events: DataFrame, regions: list[str], call: str = "llm") -> DataFrame:
+    """run_events(collector, uf, kind, duration_ms, items, tokens, ok) -> name, label, value of a whole run: the classifier's calls,
+    failures and tokens, every stage's time, the regions with items (1) and without (0), and the share that has some. One
+    aggregation by kind and one by region; regions are an owner's list."""
+    asked, zero = F.col("kind") == call, F.lit(0)
+    calls = events.agg(F.count_if(asked).alias("llm_calls"), F.count_if(asked & ~F.col("ok")).alias("llm_failures"), F.coalesce(F.sum(F.when(asked, F.col("tokens"))), zero).alias("llm_tokens"))
+    row = lambda name, label, value: F.struct(F.lit(name).alias("name"), label.alias("label"), value.cast("double").alias("value"))
+    out = calls.select(F.inline(F.array(*[row(n, F.lit("llm"), F.col(n)) for n in calls.columns])))
+    stages = events.groupBy("kind").agg(F.sum("duration_ms").alias("d")).select(F.lit("stage_duration_ms").alias("name"), F.col("kind").alias("label"), F.col("d").cast("double").alias("value"))
+    listed = events.sparkSession.createDataFrame([(r,) for r in regions], "uf string")
+    some = listed.join(events.where("items > 0").select("uf").distinct().withColumn("has", F.lit(1.0)), "uf", "left").select("uf", F.coalesce("has", F.lit(0.0)).alias("has"))
+    by_region = some.select(F.lit("uf_with_items").alias("name"), F.col("uf").alias("label"), F.col("has").alias("value"))
+    share = some.agg(F.coalesce(100.0 * F.sum("has") / F.count(F.lit(1)), F.lit(0.0)).alias("value")).select(F.lit("uf_coverage_percent").alias("name"), F.lit("uf").alias("label"), "value")
+    return out.unionByName(stages).unionByName(by_region).unionByName(share)
+
+
 def digest_summary(docs: DataFrame, k: int = 5) -> DataFrame:
     """One row: counts of the two highest tiers, regions that aren't federal, the most relevant documents, section sizes."""
     d = docs.where("has_llm")
