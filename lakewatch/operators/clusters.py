@@ -34,24 +34,30 @@ def duplicate_flags(items: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def _near(batches, least: float):
-    """(a, b) of each group of rows (u, v, part, item, norm), of equal u and v and in order of part: alike titles, one of part 0
-    and one of part 1, or two of part 0 if the group is a piece by itself (u = v). A group is two pieces: what is held is
+    """(a, b) of each group of rows (u, v, part, item, fresh, norm), of equal u and v and in order of part: alike titles of which
+    one at least is fresh, one of part 0 and one of part 1, or two of part 0 if the group is a piece by itself (u = v). A group is two pieces: what is held is
     bounded."""
 
     def pairs(rows):
-        u, v, part, item, norm = rows
+        u, v, part, item, fresh, norm = rows
         first = int(np.searchsorted(part, 1))
-        x = Strings(norm[:first])
-        y = x if u[0] == v[0] else Strings(norm[first:])
-        left, right = item[:first], item[:first] if u[0] == v[0] else item[first:]
-        i, j = alike(x, y, least, left, right, same=u[0] == v[0])
-        a, b = left[i], right[j]
+        left, right = slice(0, first), slice(0, first) if u[0] == v[0] else slice(first, len(item))
+        sides = [(np.flatnonzero(fresh[left]), np.flatnonzero(fresh[right])), (np.flatnonzero(~fresh[left]), np.flatnonzero(~fresh[right]))]
+        todo = [(sides[0][0], sides[0][1]), (sides[0][0], sides[1][1])] + ([(sides[1][0], sides[0][1])] if u[0] != v[0] else [])
+        found = [np.zeros((2, 0), np.int64)]
+        for k, m in todo:  # fresh with fresh, and fresh with others
+            same = u[0] == v[0] and len(m) == len(k) and m is sides[0][1]
+            x = Strings([norm[left][n] for n in k])
+            y = x if same else Strings([norm[right][n] for n in m])
+            i, j = alike(x, y, least, item[left][k], item[right][m], same=same)
+            found.append(np.stack([item[left][k][i], item[right][m][j]]))
+        a, b = np.concatenate(found, axis=1)
         return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     held = None
     for batch in batches:
-        new = [batch.column(c).to_numpy() for c in ("u", "v", "part", "item")] + [batch.column("norm").to_pylist()]
-        held = new if held is None else [np.concatenate([h, c]) for h, c in zip(held[:4], new[:4])] + [held[4] + new[4]]
+        new = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("u", "v", "part", "item", "fresh")] + [batch.column("norm").to_pylist()]
+        held = new if held is None else [np.concatenate([h, c]) for h, c in zip(held[:5], new[:5])] + [held[5] + new[5]]
         bounds = np.flatnonzero(np.diff(held[0], prepend=-1) | np.diff(held[1], prepend=-1)).tolist()
         for a, b in zip(bounds, bounds[1:]):
             yield pairs([c[a:b] for c in held])
@@ -71,10 +77,11 @@ def similar_pairs(items: DataFrame, least: float = FUZZY, piece: int | None = No
     characters that both titles have, then their longest common subsequence, rule out all but a few pairs in whole arrays;
     SequenceMatcher decides. No index on substrings does better here: a ratio of 0.85 allows 24 edits in 80 characters, so only
     substrings of 3 are sure to survive, and most pairs of titles share one at a near place. Titles that are null or blank once
-    normalised have no links."""
-    t = items.select("item", compare_form(F.col("titulo")).alias("norm")).where("norm <> ''")
-    rep = t.groupBy("norm").agg(F.min("item").alias("rep")).checkpoint()
-    same = t.join(rep, "norm").where("item <> rep").select(F.col("rep").alias("a"), F.col("item").alias("b"))
+    normalised have no links. If `items` has a column `fresh`, only pairs with a fresh title are looked for: the others are known."""
+    known = F.col("fresh") if "fresh" in items.columns else F.lit(True)
+    t = items.select("item", known.alias("fresh"), compare_form(F.col("titulo")).alias("norm")).where("norm <> ''")
+    rep = t.groupBy("norm").agg(F.min("item").alias("rep"), F.bool_and("fresh").alias("fresh")).checkpoint()
+    same = t.join(rep.select("norm", "rep"), "norm").where("item <> rep").select(F.col("rep").alias("a"), F.col("item").alias("b"))
     sizes = rep.groupBy(F.length("norm").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy("size").collect()  # a row for each length of a title
     piece = piece or min(max(sum(r.n for r in sizes) // 256, PIECE), 16 * PIECE)
     of, last, at = {}, -1, piece
@@ -90,8 +97,8 @@ def similar_pairs(items: DataFrame, least: float = FUZZY, piece: int | None = No
     told = lambda kv: F.create_map(*[F.lit(x) for k, v in kv for x in (k, v)])[F.length("norm")]
     own = told([(k, first) for k, (first, _) in of.items()]) + F.pmod(F.xxhash64("norm"), told([(k, n) for k, (_, n) in of.items()])).cast("int")
     partners = F.sequence(told([(k, of[min(v)][0]) for k, v in reach.items()]), told([(k, sum(of[max(v)]) - 1) for k, v in reach.items()]))
-    dealt = rep.select(F.col("rep").cast("long").alias("item"), "norm", own.alias("own")).withColumn("other", F.explode(partners))
-    group = dealt.select(F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), (F.col("own") > F.col("other")).cast("int").alias("part"), "item", "norm")
+    dealt = rep.select(F.col("rep").cast("long").alias("item"), "fresh", "norm", own.alias("own")).withColumn("other", F.explode(partners))
+    group = dealt.select(F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), (F.col("own") > F.col("other")).cast("int").alias("part"), "item", "fresh", "norm")
     ship_package(items.sparkSession)
     streams = group.repartition("u", "v").sortWithinPartitions("u", "v", "part")
     return streams.mapInArrow(lambda batches: _near(batches, least), "a long, b long").unionByName(same)
@@ -125,6 +132,32 @@ def assign_clusters(items: DataFrame, least: float = FUZZY) -> DataFrame:
     return items.join(roots.join(name, "root").select(F.col("node").alias("doc_id"), "cluster_id"), "doc_id")
 
 
+def extend_clusters(stored: DataFrame, new: DataFrame, least: float = FUZZY) -> tuple[DataFrame, DataFrame]:
+    """stored(doc_id, root, titulo, url, content_hash), the map of earlier items to their clusters' first members, and new items ->
+    (doc_id, root of the new items; root, new_root of the stored clusters that new items have joined to an earlier one).
+
+    Only pairs with a new item are looked for. What is stored of a cluster is one node, so the components that are computed are
+    those that new items touch; two batches give the same clusters as one."""
+    shared_dir(new.sparkSession)
+    columns = ("doc_id", "titulo", "url", "content_hash")
+    i = stored.select(*columns, F.lit(False).alias("fresh")).unionByName(new.select(*columns, F.lit(True).alias("fresh"))).withColumn("cluster_key", cluster_key()).checkpoint()
+    own = i.where("fresh")
+
+    def first(c: str) -> DataFrame:
+        least_one = i.join(own.select(c).distinct(), c, "left_semi").groupBy(c).agg(F.min("doc_id").alias("a"))
+        return least_one.join(own.select(c, F.col("doc_id").alias("b")), c).where("a <> b").select("a", "b")
+
+    edges = first("content_hash").unionByName(first("cluster_key")).unionByName(similar_pairs(i.select(F.col("doc_id").alias("item"), "titulo", "fresh"), least))
+    roots = stored.select(F.col("doc_id").alias("d"), "root")
+    for end in ("a", "b"):
+        edges = edges.join(roots, F.col(end) == F.col("d"), "left").withColumn(end, F.coalesce("root", end)).select("a", "b")
+    edges = edges.where("a <> b").distinct().checkpoint()
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).union(new.select("doc_id")).distinct()
+    found = components(edges, nodes)
+    moved = found.join(stored.select(F.col("root").alias("node")).distinct(), "node", "left_semi").where("node <> root").select(F.col("node").alias("root"), F.col("root").alias("new_root"))
+    return new.select("doc_id").join(found, F.col("doc_id") == F.col("node")).select("doc_id", "root"), moved
+
+
 def thematic_members(docs: DataFrame) -> DataFrame:
     """doc_id, uf and the group (topics, numero) of each document with topics: sorted topics and act number."""
     d = docs.where(F.size(F.coalesce("topics", F.array())) > 0)

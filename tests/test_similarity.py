@@ -30,3 +30,30 @@ def test_bounds_hold_and_nothing_is_lost():
     y = Strings(words[:50])
     back = sorted((i, j) for i in range(len(words)) for j in range(50) if difflib.SequenceMatcher(None, *((words[i], words[j]) if i < j else (words[j], words[i]))).ratio() >= 0.7)
     assert sorted(zip(*alike(x, y, 0.7, every, every[:50]))) == back
+
+
+def test_two_batches_give_the_clusters_of_one(spark):
+    from pyspark.sql import functions as F
+
+    from lakewatch.operators import clusters
+    from lakewatch.session import shared_dir
+
+    shared_dir(spark)
+    r, rows = random.Random(3), []
+    for d in range(160):
+        title = list(r.choice(rows)[1]) if rows and r.random() < 0.6 else list(" ".join(r.choice(["lei", "imposto", "de", "bens", "estado", "herança", "12/2024"]) for _ in range(r.randint(3, 9))))
+        for _ in range(r.choice([0, 1, 3, 6])):
+            title.insert(r.randrange(len(title) + 1), r.choice("xyz "))
+        rows.append((d, "".join(title), f"u{d % 90}", f"h{r.randrange(150)}"))
+    docs = spark.createDataFrame(rows, "doc_id long, titulo string, url string, content_hash string")
+    one = {x.doc_id: x.root for x in clusters.extend_clusters(docs.limit(0).withColumn("root", F.col("doc_id")), docs)[0].collect()}
+    by_id = {}
+    for x in clusters.assign_clusters(docs).collect():
+        by_id.setdefault(x.cluster_id, []).append(x.doc_id)
+    assert one == {d: min(own) for own in by_id.values() for d in own} and len(by_id) < 160
+    early, late = docs.where("doc_id < 100"), docs.where("doc_id >= 100")
+    held = early.join(clusters.extend_clusters(early.limit(0).withColumn("root", F.col("doc_id")), early)[0], "doc_id").checkpoint()
+    added, moved = clusters.extend_clusters(held, late)
+    change = {x.root: x.new_root for x in moved.collect()}
+    two = {x.doc_id: change.get(x.root, x.root) for x in held.collect()} | {x.doc_id: x.root for x in added.collect()}
+    assert two == one and change
