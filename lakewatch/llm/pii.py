@@ -33,7 +33,7 @@ _EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]+|[(\[]at[)\]]")
+_TRIGGER = re.compile(r"[0-9@]+|[(\[](?:at|AT)[)\]]")
 _ID = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{3}\.[0-9]{3}\.[0-9]{3}-[0-9]{2}")
 #: Kinds of spans in order: those of the fixed patterns, then what only the model finds.
 ORDER = (*KINDS, "id")
@@ -65,12 +65,12 @@ def plausible(kind: str, value: str) -> bool:
     """The exact check of a span that the model gives."""
     d = _digits(value)
     if kind == "email":
-        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+(?:@|\x20@\x20|\x20?[(\[]at[)\]]\x20?)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", value))
+        return bool(re.fullmatch(r"[A-Za-z0-9._%+-]+(?:@|\x20@\x20|\x20?[(\[](?:at|AT)[)\]]\x20?)[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", value))
     if kind == "ip":
         return bool(re.fullmatch(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}", value)) and all(int(x) <= 255 for x in value.split("."))
     if kind == "card":
         return bool(re.fullmatch(r"[0-9](?:[\x20-]?[0-9])+", value)) and 13 <= len(d) <= 19 and luhn(d)
-    return bool(re.fullmatch(r"(?:\+?[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)[\x20.-]?|[0-9]{2,4}[\x20.-])[0-9]{2,4}[\x20.-]?[0-9]{3,6}|\+[0-9][\x20().0-9-]+[0-9]", value)) and 7 <= len(d) <= 15
+    return bool(re.fullmatch(r"(?:\+?[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)[\x20.-]?|[0-9]{2,4}[\x20.-])[0-9]{2,4}[\x20.-]?[0-9]{3,6}|0[0-9]{1,4}[\x20/-][0-9]{3,8}|\+[0-9][\x20().0-9-]+[0-9]", value)) and 7 <= len(d) <= 15
 
 
 def _starts(text: str) -> list[int]:

@@ -165,11 +165,12 @@ def _examples(rng, n: int, width: int):
     def card():
         d = luhn(pick(["4", "5", "37", "6011"]) + digits(12))[:16]
         d = luhn(d[:15])
-        return pick([d, d, " ".join(d[k : k + 4] for k in range(0, 16, 4)), "-".join(d[k : k + 4] for k in range(0, 16, 4))])
+        short = luhn(pick(["34", "37"]) + digits(12))
+        return pick([d, d, " ".join(d[k : k + 4] for k in range(0, 16, 4)), "-".join(d[k : k + 4] for k in range(0, 16, 4)), f"{short[:4]} {short[4:10]} {short[10:]}", short])
 
     def phone():
         a, b, c = digits(3), digits(3), digits(4)
-        return pick([f"+1 ({a}) {b}-{c}", f"+1 {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{digits(2)} {digits(2)} {digits(4)} {digits(4)}", f"+{digits(11)}", f"+{digits(2)}-{digits(3)}-{digits(6)}"])
+        return pick([f"+1 ({a}) {b}-{c}", f"+1 {a} {b} {c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{digits(2)} {digits(2)} {digits(4)} {digits(4)}", f"+{digits(11)}", f"+{digits(2)}-{digits(3)}-{digits(6)}", f"0{digits(3)} {digits(7)}", f"0{digits(2)}/{digits(7)}", f"0{digits(2)} {digits(3)} {digits(4)}", f"0{digits(4)}-{digits(6)}"])
 
     def other():
         hexed = "".join(pick("0123456789abcdef") for _ in range(rng.integers(8, 41)))
@@ -185,6 +186,7 @@ def _examples(rng, n: int, width: int):
         while len(text) < width + 20:
             kind = pick([*KINDS, None, None, "word", "word", "word"])
             part = word() if kind == "word" else other() if kind is None else makers[kind]()
+            part = part.upper() if kind in ("email", "word") and rng.random() < 0.06 else part
             if kind in makers:
                 k = KINDS.index(kind)
                 labels += [1 + 2 * k] + [2 + 2 * k] * (len(part) - 1)
@@ -195,7 +197,7 @@ def _examples(rng, n: int, width: int):
                 gap = ".\n"
             text, labels = text + part + gap, labels + [0] * len(gap)
         cut = int(rng.integers(0, 12))
-        size = width if rng.random() < 0.8 else int(rng.integers(20, width))
+        size = width if rng.random() < 0.8 else int(rng.integers(min(20, width - 1), width))
         part = labels[cut : cut + size]
         for k, tag in enumerate(part):  # a cut span goes on from before the window
             if tag and tag % 2 == 0 and (k == 0 or part[k - 1] not in (tag, tag - 1)):

@@ -291,3 +291,26 @@ def test_guess_cost_decides_for_every_value():
     assert guessed("pwd = aB3$xY and secret: qZ!m#Tv") == ["aB3$xY", "qZ!m#Tv"]  # 6 and 7 characters
     prose = ("the secret is everything you keep", "password: required", "Authorization: confidential", "the token is not-found", "a secret is something", "the password is management/security")
     assert [guessed(t) for t in prose] == [[]] * len(prose)
+
+
+FORMS = (
+    ("email", "jane.doe@mail.example.org"), ("email", "max (at) example.de"), ("email", "ana [at] correo.es"), ("ip", "10.24.3.199"), ("card", "4012 8888 8888 1881"), ("card", "3782 822463 10005"), ("card", "4012888888881881"),
+    ("phone", "+1 (212) 555-0187"), ("phone", "(212) 555-0187"), ("phone", "0171 1234567"), ("phone", "030/1234567"), ("phone", "212-555-0187"), ("phone", "+49 30 1234 5678"), ("id", "123-45-6789"),
+)
+
+
+def test_spans_put_into_documents_are_found(spark):
+    r = random.Random(11)
+    texts = [x.text for x in spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 200").orderBy("doc_id").limit(280).collect()]
+    model, planted, hit, extra = pii_model.trained(), 0, 0, 0
+    for k, text in enumerate(texts):
+        kind, value = FORMS[k % len(FORMS)]
+        words = text.split(" ")
+        at = len(" ".join(words[: (cut := r.randrange(1, len(words)))])) + 1
+        text = text[:at] + value + " " + " ".join(words[cut:])
+        spans = pii.spans_of(model, [text])[0]
+        base = {tuple(s) for s in pii.base_spans(text)}
+        planted += 1
+        hit += any(s[0] == kind and s[1] < at + len(value) and at < s[2] for s in spans)
+        extra += sum(tuple(s[:3]) not in base and not (s[1] < at + len(value) and at < s[2]) for s in spans)
+    assert hit >= 0.9 * planted and extra <= 0.02 * planted, (hit, planted, extra)
