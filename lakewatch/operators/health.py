@@ -49,13 +49,13 @@ def silent_sources(docs: DataFrame, configured: DataFrame, as_of=AS_OF, days: in
 def trailing_verdict(history: DataFrame, off_after: int = 5, on_after: int = 3) -> DataFrame:
     """history(source_id, ok, ts, event_id) -> each source's latest row's verdict: its last `off_after` all failed, or its
     last `on_after` all succeeded; a shorter history gives false."""
-    by = Window.partitionBy("source_id").orderBy("ts", "event_id")
-    last = lambda n: by.rowsBetween(1 - n, 0)
-    ok = F.col("ok").cast("int")
-    h = history.withColumn("should_disable", (F.max(ok).over(last(off_after)) == 0) & (F.count(ok).over(last(off_after)) == off_after))
-    h = h.withColumn("should_enable", (F.min(ok).over(last(on_after)) == 1) & (F.count(ok).over(last(on_after)) == on_after))
-    at = F.struct("ts", "event_id")
-    return h.groupBy("source_id").agg(F.max_by("should_disable", at).alias("should_disable"), F.max_by("should_enable", at).alias("should_enable"))
+    newest = Window.partitionBy("source_id").orderBy(F.desc("ts"), F.desc("event_id"))
+    # only a source's last rows go on: Spark keeps that many of each task before the shuffle
+    h = history.withColumn("k", F.row_number().over(newest)).where(F.col("k") <= max(off_after, on_after))
+    ok = lambda n: F.when(F.col("k") <= n, F.col("ok").cast("int"))
+    off = (F.max(ok(off_after)) == 0) & (F.count(ok(off_after)) == off_after)
+    on = (F.min(ok(on_after)) == 1) & (F.count(ok(on_after)) == on_after)
+    return h.groupBy("source_id").agg(off.alias("should_disable"), on.alias("should_enable"))
 
 
 def zero_runs(history: DataFrame, alert_at: int = ALERT_AT, days: int = 92) -> DataFrame:
