@@ -153,8 +153,10 @@ def map_xml(rows: DataFrame, family: str, source_id: str, fetched_at: str, keywo
     return distinct_items(items.where("titulo IS NOT NULL AND url IS NOT NULL"))
 
 
+#: An act's number: digits, points and spaces of one line; digits that begin the next line are text.
+ACT_NUMBER = r"(?:Nº|N°|N\.)\s*([\d. \t]*\d)"
 #: A gazette act's header: kind, number.
-HEADER = r"(?:LEI(?: COMPLEMENTAR)?|DECRETO|PORTARIA|RESOLUÇÃO|INSTRUÇÃO NORMATIVA)\s+(?:Nº|N°|N\.)\s*[\d.\s]*\d"
+HEADER = r"(?:LEI(?: COMPLEMENTAR)?|DECRETO|PORTARIA|RESOLUÇÃO|INSTRUÇÃO NORMATIVA)\s+" + ACT_NUMBER.replace("([", "(?:[")
 
 
 def gazette_acts(texts: DataFrame, header: str = HEADER) -> DataFrame:
@@ -162,7 +164,7 @@ def gazette_acts(texts: DataFrame, header: str = HEADER) -> DataFrame:
     broken = F.regexp_replace("text", rf"(?<=\S)[ \t]*(?={header})", "\n")
     parts = texts.select("doc_id", F.posexplode(F.filter(F.split(broken, rf"(?m)(?=^\s*{header})"), lambda x: x.rlike(rf"^\s*{header}"))).alias("pos", "act"))
     title = F.trim(F.regexp_extract("act", r"^\s*([^\n]+)", 1))
-    number = F.regexp_replace(F.regexp_replace(F.regexp_extract("act", rf"(?:Nº|N°|N\.)\s*([\d.\s]*\d)", 1), r"\s+", ""), r"\.$", "")
+    number = F.regexp_replace(F.regexp_replace(F.regexp_extract("act", ACT_NUMBER, 1), r"\s+", ""), r"\.$", "")
     return parts.select("doc_id", "pos", title.alias("titulo"), number.alias("numero"), F.trim("act").alias("texto"))
 
 

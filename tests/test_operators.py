@@ -150,6 +150,12 @@ def test_tags_are_sets(spark):
     assert tables.rename_tag(twice, "a", "b").first().user_tags == ["b"]
 
 
+def test_gazette_numbers_end_with_their_line(spark):
+    rows = [(1, "Diário\nLEI Nº 1.656\n4754 e 5434 são textos. DECRETO Nº 5 5 trata"), (2, "PORTARIA Nº\n7.1\t\n.9 resto")]
+    acts = payloads.gazette_acts(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("doc_id", "pos").collect()
+    assert [(r.titulo, r.numero) for r in acts] == [("LEI Nº 1.656", "1.656"), ("DECRETO Nº 5 5 trata", "55"), ("PORTARIA Nº", "7.1")]
+
+
 def test_feed_json_xml_and_gazette(spark, tmp_path):
     rss = '<rss><item><title>Lei A</title><link>http://x/1</link><guid>g1</guid><pubDate>Mon, 01 Jan 2024 10:00:00 GMT</pubDate></item><item><title>sem link</title></item></rss>'
     atom = '<feed><entry><title>B</title><link href="http://x/2"/><updated>2024-02-01T00:00:00Z</updated><summary>&lt;b&gt; x</summary></entry></feed>'
