@@ -1,6 +1,7 @@
-"""SequenceMatcher's ratio of many strings at once. What it matches is a common subsequence, so two bounds rule out most pairs: the
-characters that both have, and the longest common subsequence, computed for all pairs together in machine words. Characters
-share SLOTS slots by their code: a bound can only grow by that, so no pair is lost."""
+"""SequenceMatcher's ratio of many strings at once. What it matches is a common subsequence, so bounds rule out most pairs: the
+characters that both have, by one matrix product; then the longest common subsequence, of the first 64 characters and of all,
+for all pairs together in machine words. Characters share SLOTS slots by their code: a bound can only grow by that, so no pair is
+lost. What is left gets SequenceMatcher's own blocks, for all pairs together too."""
 
 from __future__ import annotations
 
@@ -9,24 +10,29 @@ import difflib
 import numpy as np
 
 SLOTS = 64
+#: Columns of the matrix product that bounds what two strings share.
+COLUMNS = 160
+#: From this length on SequenceMatcher leaves out characters that are frequent.
+AUTOJUNK = 200
 
 
 class Strings:
-    """Strings as arrays: `slots` (padded with SLOTS), `size`, and how many characters each slot has."""
+    """Strings as arrays: `points`, `slots` (padded with SLOTS), `size`, and how many characters each slot has."""
 
     def __init__(self, strings: list[str]):
         self.strings = strings
         self.size = np.array([len(s) for s in strings], np.int64)
-        points = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32) % SLOTS
+        self.points = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = self.points % SLOTS
         self.slots = np.full((len(strings), int(self.size.max(initial=1)) or 1), SLOTS, np.uint8)
         self.slots[np.arange(self.slots.shape[1]) < self.size[:, None]] = points
         row = np.repeat(np.arange(len(strings)), self.size)
         counts = np.bincount(row * SLOTS + points, minlength=len(strings) * SLOTS).reshape(-1, SLOTS)
         self.counts = np.ascontiguousarray(counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.uint16).T)
 
-    def places(self, rows: np.ndarray) -> np.ndarray:
-        """Of each row and slot, the places that have it, as bits of 64-bit words; none for the padding."""
-        slots = self.slots[rows]
+    def places(self, rows: np.ndarray, first: int | None = None) -> np.ndarray:
+        """Of each row and slot, the places (the `first` ones only) that have it, as bits of 64-bit words; none for the padding."""
+        slots = self.slots[rows, :first]
         out = np.zeros((len(rows), SLOTS + 1, -(-slots.shape[1] // 64)), np.uint64)
         every = np.arange(len(rows))
         for i in range(slots.shape[1]):
@@ -49,24 +55,90 @@ def shared(x: Strings, a: np.ndarray, y: Strings, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def common(x: Strings, a: np.ndarray, y: Strings, b: np.ndarray) -> np.ndarray:
-    """Length of the longest common subsequence of each pair (a[k] of x, b[k] of y), or a little more."""
+def _cells(x: Strings, y: Strings) -> list[tuple[int, int]]:
+    """The cells (slot, k), for strings that have a slot k times or more, that tell the strings apart best; COLUMNS at most."""
+    n, every = len(x.strings) + len(y.strings), []
+    for slot in range(SLOTS):
+        have = np.bincount(np.concatenate([x.counts[slot], y.counts[slot]]))
+        least = n - np.cumsum(have)  # least[k - 1] have the slot k times or more
+        every += [(int(m) * (n - int(m)), slot, k) for k, m in enumerate(least.tolist(), 1) if m]
+    return [(slot, k) for _, slot, k in sorted(every, reverse=True)[:COLUMNS]]
+
+
+def _features(x: Strings, cells: list[tuple[int, int]], least: float, left: bool) -> np.ndarray:
+    """Rows whose products, left with right, are at least the characters in common less those needed: a cell that both have is a
+    character in common, and of the cells left out the pair has half of both's at most."""
+    out = np.zeros((len(x.strings), len(cells) + 2), np.float32)
+    for n, (slot, k) in enumerate(cells):
+        out[:, n] = x.counts[slot] >= k
+    own = (x.size - out[:, : len(cells)].sum(axis=1, dtype=np.float64)) / 2 - least * x.size / 2
+    out[:, -2:] = np.stack([own, np.ones(len(own))] if left else [np.ones(len(own)), own], axis=1)
+    return out
+
+
+def common(x: Strings, a: np.ndarray, y: Strings, b: np.ndarray, first: int | None = None, within: int | None = None) -> np.ndarray:
+    """Length of the longest common subsequence of each pair (a[k] of x, b[k] of y), or a little more; of the `first` characters of
+    the one and those of the other that are `within` a number, if these are given."""
     rows, at = np.unique(a, return_inverse=True)
-    places, slots = x.places(rows), y.slots[b]
-    words = places.shape[2]
+    places, slots = x.places(rows, first), np.ascontiguousarray(y.slots[b].T)
+    words, at = places.shape[2], at * (SLOTS + 1)
+    tables = [np.ascontiguousarray(places[:, :, w]).reshape(-1) for w in range(words)]
     left = [np.full(len(a), 0xFFFFFFFFFFFFFFFF, np.uint64) for _ in range(words)]
-    for j in range(int(y.size[b].max(initial=0))):
-        carry = np.zeros(len(a), np.uint64)
+    cell, u, t = np.empty(len(a), np.intp), np.empty(len(a), np.uint64), np.empty(len(a), np.uint64)
+    for j in range(min(int(y.size[b].max(initial=0)), within or slots.shape[0])):
+        carry = None
+        np.add(at, slots[j], out=cell)
         for w in range(words):
             v = left[w]
-            u = v & places[at, slots[:, j], w]
-            s = v + u
-            t = s + carry
-            carry = ((s < v) | (t < s)).astype(np.uint64)
-            left[w] = t | (v & ~u)
+            np.take(tables[w], cell, out=u, mode="clip")
+            u &= v
+            np.add(v, u, out=t)
+            over = t < v if w + 1 < words else None
+            if carry is not None:
+                t += carry
+                over = None if over is None else over | (t < carry)
+            carry = None if over is None else over.astype(np.uint64)
+            v ^= u  # the places of v that aren't the character's
+            v |= t
     return 64 * words - sum(np.bitwise_count(v).astype(np.int64) for v in left)
 
 
+def longest_blocks(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(size, start in a, start in b) of the longest block of each pair of rows, padded with different values; of equal ones the
+    first in a, then in b, as SequenceMatcher takes them."""
+    n, every = len(a), np.arange(len(a))
+    size, i, j = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    run = np.zeros((n, b.shape[1] + 1), np.uint8)  # strings are shorter than AUTOJUNK
+    for k in range(a.shape[1]):
+        run[:, 1:] = (run[:, :-1] + np.uint8(1)) * (b == a[:, k, None])
+        end = run.argmax(axis=1)
+        now = run[every, end]
+        longer = now > size
+        size[longer], i[longer], j[longer] = now[longer], k + 1 - now[longer].astype(np.int64), end[longer] - now[longer]
+    return size, i, j
+
+
+def matched(points: np.ndarray, start: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Characters that SequenceMatcher matches of each pair of strings (a[k], b[k]), which lie in `points` from `start` on; a pair that
+    can't reach need[k] is left as soon as that is known. Its recursion, of all pairs at once: the longest block, then what lies
+    before and after it."""
+    got, todo = np.zeros(len(a), np.int64), np.stack([np.arange(len(a)), start[a], size[a], start[b], size[b]])
+    todo = todo[:, (todo[2] > 0) & (todo[4] > 0)]
+    while todo.shape[1]:
+        open_ = np.bincount(todo[0], np.minimum(todo[2], todo[4]), len(a))
+        todo = todo[:, (got + open_ >= need)[todo[0]]]
+        todo, parts = todo[:, np.argsort(todo[2] + todo[4], kind="stable")], []
+        for m in range(0, todo.shape[1], 2048):
+            pair, i, n, j, k = todo[:, m : m + 2048]
+            cut = lambda at, of, pad: np.where(np.arange(int(of.max())) < of[:, None], points[np.minimum(at[:, None] + np.arange(int(of.max())), len(points) - 1)], np.uint32(pad))
+            length, u, v = longest_blocks(cut(i, n, 0xFFFFFFFF), cut(j, k, 0xFFFFFFFE))
+            np.add.at(got, pair, length)
+            parts += [np.stack([pair, i, u, j, v]), np.stack([pair, i + u + length, n - u - length, j + v + length, k - v - length])]
+            parts[-2:] = [p[:, (length > 0) & (p[2] > 0) & (p[4] > 0)] for p in parts[-2:]]
+        todo = np.concatenate(parts, axis=1) if parts else todo
+    return got
+
+
 def ratio(p: str, q: str) -> float:
     return difflib.SequenceMatcher(None, p, q).ratio()
 
@@ -75,20 +147,38 @@ def alike(x: Strings, y: Strings, least: float, x_rank: np.ndarray, y_rank: np.n
     """(i, j) of all x[i] and y[j] whose ratio, of the one with the lower rank to the other, reaches `least`; with `same`, i < j of
     one list."""
     out: tuple[list[int], list[int]] = ([], [])
-    for k in range(0, len(x.strings) if y.strings else 0, rows):
-        a = np.arange(k, min(k + rows, len(x.strings)))
-        b = np.arange(k if same else 0, len(y.strings))
-        need = least_matches(np.arange(int(x.size[a].max()) + int(y.size.max(initial=0)) + 1), least)
-        i, j = np.nonzero(shared(x, a, y, b) >= need[x.size[a][:, None] + y.size[b][None, :]])
-        i, j = a[i], b[j]
+    if not x.strings or not y.strings:
+        return out
+    need = least_matches(np.arange(int(x.size.max()) + int(y.size.max()) + 1), least)
+    cells = _cells(x, y)
+    left, right = _features(x, cells, least, True), _features(y, cells, least, False)
+    slack = 1e-2 + 1e-5 * len(need)  # what the product may lose of its sum
+    points, size = np.concatenate([x.points, y.points]), np.concatenate([x.size, y.size])
+    start = np.cumsum(size) - size
+    for k in range(0, len(x.strings), rows):
+        first = k if same else 0
+        i, j = np.nonzero(left[k : k + rows] @ right[first:].T >= -slack)
+        i, j = i + k, j + first
         if same:
             i, j = i[i < j], j[i < j]
-        for m in range(0, len(i), 1 << 15):
-            p, q = i[m : m + (1 << 15)], j[m : m + (1 << 15)]
-            keep = np.flatnonzero(common(x, p, y, q) >= need[x.size[p] + y.size[q]])
-            for s, t in zip(p[keep].tolist(), q[keep].tolist()):
-                p_, q_ = x.strings[s], y.strings[t]
-                if (ratio(p_, q_) if x_rank[s] < y_rank[t] else ratio(q_, p_)) >= least:
-                    out[0].append(s)
-                    out[1].append(t)
+        for m in range(0, len(i), 1 << 14):
+            p, q = i[m : m + (1 << 14)], j[m : m + (1 << 14)]
+            least_of = need[x.size[p] + y.size[q]]
+            # of 64 characters all matches but those after them are in the other's first ones, moved by what it has unmatched
+            keep = common(x, p, y, q, 64, 64 + max(int((y.size[q] - least_of).max()), 0)) >= least_of - np.maximum(x.size[p] - 64, 0)
+            p, q, least_of = p[keep], q[keep], least_of[keep]
+            keep = common(x, p, y, q) >= least_of if len(p) else keep[:0]
+            p, q, least_of = p[keep], q[keep], least_of[keep]
+            lower = x_rank[p] < y_rank[q]
+            a, b = np.where(lower, p, len(x.strings) + q), np.where(lower, len(x.strings) + q, p)
+            short = (size[a] < AUTOJUNK) & (size[b] < AUTOJUNK)
+            good = np.zeros(len(p), bool)
+            s = np.flatnonzero(short)
+            both = size[a[s]] + size[b[s]]  # two empty strings are alike
+            good[s] = np.where(both > 0, 2.0 * matched(points, start, size, a[s], b[s], least_of[s]) / np.maximum(both, 1), 1.0) >= least
+            for t in np.flatnonzero(~short).tolist():
+                p_, q_ = x.strings[p[t]], y.strings[q[t]]
+                good[t] = (ratio(p_, q_) if lower[t] else ratio(q_, p_)) >= least
+            out[0].extend(p[good].tolist())
+            out[1].extend(q[good].tolist())
     return out

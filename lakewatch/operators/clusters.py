@@ -75,7 +75,7 @@ def similar_pairs(items: DataFrame, least: float = FUZZY, piece: int | None = No
     pieces of about `piece` (PIECE, and more as the titles grow); a title goes to every group of two pieces in which a length lets
     the ratio be reached, and a group is a task's work. In it, the
     characters that both titles have, then their longest common subsequence, rule out all but a few pairs in whole arrays;
-    SequenceMatcher decides. No index on substrings does better here: a ratio of 0.85 allows 24 edits in 80 characters, so only
+    SequenceMatcher's blocks, found in whole arrays too, decide. No index on substrings does better here: a ratio of 0.85 allows 24 edits in 80 characters, so only
     substrings of 3 are sure to survive, and most pairs of titles share one at a near place. Titles that are null or blank once
     normalised have no links. If `items` has a column `fresh`, only pairs with a fresh title are looked for: the others are known."""
     known = F.col("fresh") if "fresh" in items.columns else F.lit(True)
@@ -83,7 +83,7 @@ def similar_pairs(items: DataFrame, least: float = FUZZY, piece: int | None = No
     rep = t.groupBy("norm").agg(F.min("item").alias("rep"), F.bool_and("fresh").alias("fresh")).checkpoint()
     same = t.join(rep.select("norm", "rep"), "norm").where("item <> rep").select(F.col("rep").alias("a"), F.col("item").alias("b"))
     sizes = rep.groupBy(F.length("norm").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy("size").collect()  # a row for each length of a title
-    piece = piece or min(max(sum(r.n for r in sizes) // 256, PIECE), 16 * PIECE)
+    piece = piece or min(max(sum(r.n for r in sizes) // 48, PIECE), 16 * PIECE)
     of, last, at = {}, -1, piece
     for r in sizes:  # pieces of whole lengths; a length with many titles has several pieces, dealt by a hash
         own = max(1, -(-r.n // piece))

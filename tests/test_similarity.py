@@ -32,6 +32,22 @@ def test_bounds_hold_and_nothing_is_lost():
     assert sorted(zip(*alike(x, y, 0.7, every, every[:50]))) == back
 
 
+def test_blocks_are_those_of_sequence_matcher():
+    """Fails without a search of blocks for all pairs at once: every pair that passed the bounds went to difflib by itself."""
+    from lakewatch.functions import similarity
+
+    r = random.Random(7)
+    words = ["".join(r.choice("aab é公\U0001f600") for _ in range(r.choice([1, 3, 20, 80, 199]))) for _ in range(40)]
+    words += [w[: len(w) // 2] + "b" + w[len(w) // 2 + 2 :] for w in words]
+    x, n = Strings(words), len(words)
+    a, b = (v.ravel() for v in np.meshgrid(np.arange(n), np.arange(n)))
+    got = similarity.matched(x.points, np.cumsum(x.size) - x.size, x.size, a, b, np.zeros(n * n, np.int64))
+    assert got.tolist() == [sum(m.size for m in difflib.SequenceMatcher(None, words[i], words[j]).get_matching_blocks()) for i, j in zip(a, b)]
+    cells = similarity._cells(x, x)
+    bound = similarity._features(x, cells, 0.0, True) @ similarity._features(x, cells, 0.0, False).T
+    assert len(cells) <= similarity.COLUMNS and (bound >= shared(x, np.arange(n), x, np.arange(n)) - 1e-2).all()
+
+
 def test_two_batches_give_the_clusters_of_one(spark):
     from pyspark.sql import functions as F
 
