@@ -26,7 +26,7 @@ _FLAGS = {"sancao_detectada": detect.SANCTION, "veto_detectado": detect.VETO, "r
 on_notices(
     "d01_d13_facts",
     "SELECT doc_id, " + ", ".join([*(f"{_case(v)} AS {k}" for k, v in _FACTS.items()), *(f"CASE WHEN regexp_matches(notice, {same(p)}) THEN 'true' END AS {k}" for k, p in _FLAGS.items())]) + " FROM notices",
-    lambda n: n.select("doc_id", detect.facts(text.detection_form(F.col("notice"))).alias("m")).select("doc_id", *[F.col("m")[k].alias(k) for k in (*_FACTS, *_FLAGS)]),
+    lambda n: detect.with_facts(n, text.detection_form(F.col("notice")), "m").select("doc_id", *[F.col("m")[k].alias(k) for k in (*_FACTS, *_FLAGS)]),
 )
 on_notices("d10_amounts", f"SELECT doc_id, coalesce({_case({6: 'R$ 1.500,00|R$ 2 mil'})}, '') AS amounts FROM notices", lambda n: n.select("doc_id", F.array_join(detect.amounts(F.col("notice")), "|").alias("amounts")))
 on_notices(
@@ -42,7 +42,7 @@ query("j10_articles_outside", "SELECT doc_id, number FROM (SELECT doc_id, doc_id
 on_notices(
     "f14_enriched",
     f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'llm' ELSE {_case(_FACTS['numero_ato'])} END AS numero_ato, {_case(_FACTS['aliquotas'])} AS aliquotas, CASE WHEN doc_id % 2 = 0 THEN 'y' END AS extra FROM notices",
-    lambda n: n.select("doc_id", detect.enrich(F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("numero_ato"), F.lit("llm"), F.lit("extra"), F.lit("y"))), detect.facts(text.detection_form(F.col("notice")))).alias("m")).select("doc_id", *[F.col("m")[k].alias(k) for k in ("numero_ato", "aliquotas", "extra")]),
+    lambda n: detect.with_facts(n, text.detection_form(F.col("notice"))).select("doc_id", detect.enrich(F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("numero_ato"), F.lit("llm"), F.lit("extra"), F.lit("y"))), F.col("facts")).alias("m")).select("doc_id", *[F.col("m")[k].alias(k) for k in ("numero_ato", "aliquotas", "extra")]),
 )
 on_notices("f01_compatibility_forms", "SELECT doc_id, CASE WHEN k = 14 THEN 'itcmd|OFFICE' ELSE '' END AS found FROM notices", lambda n: n.select("doc_id", F.array_join(filters.found_keywords(F.regexp_replace(F.substring_index("notice", "\n", 1), "​", ""), ("itcmd", "OFFICE")), "|").alias("found")))
 on_corpus(

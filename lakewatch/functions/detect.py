@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
+import re._parser as re_parser
+from functools import cache, reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakewatch.functions.text import all_matches, first_match
@@ -55,10 +57,56 @@ ACT_TYPES = {
 BODIES = ("STF", "STJ", "RFB", "SRF", "PGFN", "AGU", "CNJ", "TIT-SP", "SEFAZ-SP", "SEFAZ-RJ", "SEFAZ-MG", "SEFAZ-RS", "SEFAZ-DF")
 # Mentions of the civil code with what stands around, an article's number, and the articles that exist.
 CODE_CONTEXT = r"(?iU)(?:Código\s+Civil|CC)\b.{0,200}|.{0,200}\b(?:Código\s+Civil|CC)\b"
+CODE_MENTION = r"(?iU)(?:Código\s+Civil|CC)\b"
+#: Ends of lines that no mention holds.
+CODE_LINES = r"(?iU)[\n\r\u0085\u2028\u2029](?!\s*Civil)"
 CODE_ARTICLE = r"(?iU)\b(?:art(?:igo|\.|s?\.)?\s*)?(\d{1,4}(?:\.\d{3})?)\b"
 CODE_FIRST, CODE_LAST = 1, 2046
 
 
+#: What acts and norms end with.
+ACT_END = r"(?sU)^.*\d[/.]\d{4}"
+
+
+def folded(c: Column) -> Column:
+    """Lower case, for `may_match`: also letters that an expression without case takes for plain ones."""
+    return F.lower(F.translate(c, "İıſ\u212a", "iisk"))
+
+
+@cache
+def needed(pattern: str) -> tuple[str, ...]:
+    """Lower-case strings of which every match of an expression has one; none if no such are known."""
+
+    def best(part) -> frozenset[str]:
+        run, found = "", []
+        for op, value in [*part, (None, None)]:
+            if op is re_parser.LITERAL:
+                run += chr(value).lower()
+                continue
+            found, run = found + [frozenset([run])], ""
+            if op is re_parser.SUBPATTERN:
+                found.append(best(value[-1]))
+            elif op in (re_parser.MAX_REPEAT, re_parser.MIN_REPEAT) and value[0] > 0:
+                found.append(best(value[2]))
+            elif op is re_parser.BRANCH:
+                found.append(frozenset().union(*map(best, value[1])))
+        return max(found, key=lambda x: min(map(len, x)))
+
+    words = best(re_parser.parse(re.sub(r"^\(\?[isU]+\)", "", pattern)))
+    return () if "" in words else tuple(sorted(w for w in words if not any(v != w and v in w for v in words)))
+
+
+def may_match(low: Column, *patterns: str) -> Column:
+    """Whether a text, as `folded`, has a string that the matches of some pattern need: cheap, and false for most texts."""
+    words = sorted({w for p in patterns for w in needed(p)})
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words]) if all(map(needed, patterns)) else F.lit(True)
+
+
+def to_last_act(c: Column) -> Column:
+    """The text up to the last digits that may end an act or a norm; empty without such."""
+    return F.regexp_extract(c, ACT_END, 0)
+
+
 def act(c: Column) -> Column:
     number, year = first_match(c, ACT), first_match(c, ACT, 2)
     return F.when(number.isNotNull(), F.concat_ws("/", F.replace(number, F.lit("."), F.lit("")), year))
@@ -92,8 +140,9 @@ def revoked(c: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(after, lambda x: all_matches(x, NORM, 1))))
 
 
-def appeals(c: Column) -> Column:
-    return F.array_sort(F.array_compact(F.array(*[F.when(c.rlike(p), F.lit(n)) for n, p in APPEALS.items()])))
+def appeals(c: Column, low: Column | None = None) -> Column:
+    low = folded(c) if low is None else low
+    return F.array_sort(F.array_compact(F.array(*[F.when(may_match(low, p) & c.rlike(p), F.lit(n)) for n, p in APPEALS.items()])))
 
 
 def repetitive(c: Column) -> Column:
@@ -112,22 +161,33 @@ def modulated(c: Column) -> Column:
     return c.rlike(MODULATION)
 
 
-def themes(c: Column, patterns: dict[str, str] = THEMES) -> Column:
-    return F.array_sort(F.array_compact(F.array(*[F.when(c.rlike("(?iU)" + p), F.lit(n)) for n, p in patterns.items()])))
+def themes(c: Column, patterns: dict[str, str] = THEMES, low: Column | None = None) -> Column:
+    low = folded(c) if low is None else low
+    return F.array_sort(F.array_compact(F.array(*[F.when(may_match(low, p) & c.rlike("(?iU)" + p), F.lit(n)) for n, p in patterns.items()])))
 
 
-def facts(c: Column) -> Column:
-    """All facts of a text as a map of strings; what isn't found isn't in it."""
+def facts(c: Column, low: Column | None = None, acts: Column | None = None) -> Column:
+    """All facts of a text as a map of strings; what isn't found isn't in it. Expressions run on texts only that have a string which
+    they need. `low` and `acts` are the text as `folded` and `to_last_act`, for callers who hold them as columns."""
+    low, acts = folded(c) if low is None else low, to_last_act(c) if acts is None else acts
     listed = lambda a, most: F.nullif(F.array_join(F.slice(a, 1, most), ","), F.lit(""))
-    flag = lambda x: F.when(x, F.lit("true"))
+    flag = lambda p: F.when(may_match(low, p) & c.rlike(p), F.lit("true"))
+    some = lambda x, *patterns: F.when(may_match(low, *patterns), x)
     found = {
-        "numero_ato": act(c), "aliquotas": listed(rates(c), 5), "relator": rapporteur(c), "revogacoes_citadas": listed(revoked(c), 5), "recurso_tipos": listed(appeals(c), 3), "temas_stf_stj": listed(court_themes(c), 10),
-        "normas_citadas": listed(norms(c), 10), "valores_monetarios": listed(amounts(c), 5), "temas_especificos": listed(themes(c), 12), "sancao_detectada": flag(sanctioned(c)), "veto_detectado": flag(vetoed(c)),
-        "repetitivo": flag(repetitive(c)), "modulacao_efeitos": flag(modulated(c)),
+        "numero_ato": F.when(acts != "", act(acts)), "aliquotas": some(listed(rates(c), 5), RATE, RATE_RANGE), "relator": some(rapporteur(c), RAPPORTEUR), "revogacoes_citadas": some(listed(revoked(c), 5), "revog"), "recurso_tipos": listed(appeals(c, low), 3),
+        "temas_stf_stj": some(listed(court_themes(c), 10), COURT_THEME), "normas_citadas": F.when(acts != "", listed(norms(acts), 10)), "valores_monetarios": some(listed(amounts(c), 5), AMOUNT), "temas_especificos": listed(themes(c, low=low), 12),
+        "sancao_detectada": flag(SANCTION), "veto_detectado": flag(VETO), "repetitivo": flag(REPETITIVE), "modulacao_efeitos": flag(MODULATION),
     }
     return F.map_filter(F.create_map(*[x for k, v in found.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
 
 
+def with_facts(docs: DataFrame, form: Column, name: str = "facts") -> DataFrame:
+    """`docs` with the facts of a text; its forms are columns first, so that each is made once."""
+    d = docs.withColumn("__form", form)
+    d = d.withColumns({"__low": folded(F.col("__form")), "__acts": to_last_act(F.col("__form"))})
+    return d.withColumn(name, facts(F.col("__form"), F.col("__low"), F.col("__acts"))).drop("__form", "__low", "__acts")
+
+
 def enrich(llm: Column, found: Column, most: int = 30) -> Column:
     """The classifier's metadata over the detected ones, at most `most` entries."""
     llm = F.coalesce(llm, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
@@ -150,13 +210,16 @@ def body(c: Column, names=BODIES) -> Column:
 
 
 def code_articles(c: Column) -> Column:
-    """Numbers near a mention of the civil code, each once; below 100 only where `art` stands by."""
+    """Numbers near a mention of the civil code, each once; below 100 only where `art` stands by. What is near a mention is in its
+    line, or in the line where the mention ends, so only lines with one are searched."""
 
     def of(part: Column) -> Column:
         numbers = F.transform(all_matches(part, CODE_ARTICLE, 1), lambda n: F.replace(n, F.lit("."), F.lit("")).cast("int"))
         return F.filter(numbers, lambda n: (n >= 100) | F.lower(part).contains("art"))
 
-    return F.array_distinct(F.flatten(F.transform(all_matches(c, CODE_CONTEXT, 0), of)))
+    lines = F.filter(F.split(F.when(c.rlike(CODE_MENTION), c), CODE_LINES), lambda x: x.rlike(CODE_MENTION))
+    near = F.flatten(F.transform(lines, lambda x: all_matches(x, CODE_CONTEXT, 0)))
+    return F.coalesce(F.array_distinct(F.flatten(F.transform(near, of))), F.when(c.isNotNull(), F.array().cast("array<int>")))
 
 
 def invalid_code_articles(c: Column) -> Column:

@@ -78,3 +78,30 @@ def test_dates_and_map_masking(spark):
 def test_redaction_is_idempotent(spark, value):
     once = one(spark, protect.redact_pii(F.col("c")), value)
     assert one(spark, protect.redact_pii(F.col("c")), once) == once
+
+
+def test_guards_lose_no_fact(spark):
+    """Fails without guards: none of these functions was there, and every expression ran on every text."""
+    every = {"(?iU)" + p.removeprefix("(?iU)") for p in (detect.RATE, detect.RATE_RANGE, detect.SANCTION, detect.VETO, detect.RAPPORTEUR, *detect.APPEALS.values(), detect.REPETITIVE, detect.COURT_THEME, detect.AMOUNT, detect.MODULATION, *detect.THEMES.values())}
+    assert all(detect.needed(p) for p in every) and detect.needed(detect.VETO) == ("vet",) and detect.needed("a|b?") == ()
+    texts = ["SANCİONADA, vetou; VETO PARCIAL", "Relator: Dep. João da Silva", "REsp nº 5. R. E.x", "RE 5 rito dos repetitıvos", "4% de itcd, 2,5% até 8 %", "Tema STF 12", "r$ 1.500,00", "MODULAÇÃO\u00a0de\u2003Efeitos", "Isento; GIA; bens no EXTERIOR; Trust familiar", "Lei 5/2020 e IN nº\n7.\n12.345/2019 fim 3", "ﬁm", "", "valor venal do bem, base  de cálculo; progressividade da alíquota"]
+    docs = spark.createDataFrame([(t,) for t in texts], "c string")
+    c = F.col("c")
+    plain = {"v": c.rlike(detect.VETO), "s": c.rlike(detect.SANCTION), "r": c.rlike(detect.REPETITIVE), "m": c.rlike(detect.MODULATION), "act": detect.act(c), "norms": F.nullif(F.array_join(F.slice(detect.norms(c), 1, 10), ","), F.lit("")), "rates": F.nullif(F.array_join(F.slice(detect.rates(c), 1, 5), ","), F.lit("")), "rel": detect.rapporteur(c)}
+    plain["themes"] = F.nullif(F.array_join(F.array_sort(F.array_compact(F.array(*[F.when(c.rlike("(?iU)" + p), F.lit(n)) for n, p in detect.THEMES.items()]))), ","), F.lit(""))
+    plain["appeals"] = F.nullif(F.array_join(F.array_sort(F.array_compact(F.array(*[F.when(c.rlike(p), F.lit(n)) for n, p in detect.APPEALS.items()]))), ","), F.lit(""))
+    names = {"v": "veto_detectado", "s": "sancao_detectada", "r": "repetitivo", "m": "modulacao_efeitos", "act": "numero_ato", "norms": "normas_citadas", "rates": "aliquotas", "rel": "relator", "themes": "temas_especificos", "appeals": "recurso_tipos"}
+    for r in detect.with_facts(docs, c).select("c", "facts", F.struct(*[x.alias(k) for k, x in plain.items()]).alias("p")).collect():
+        assert {n: r.facts.get(n) for n in names.values()} == {n: ("true" if r.p[k] is True else r.p[k] or None) for k, n in names.items()}, r.c
+
+
+def test_articles_are_looked_for_by_line(spark):
+    far = "art. 2500 " + "x" * 230
+    texts = [f"{far} Código Civil\nart. 3000\nart. 2999 do código\n civil, art. 9", "art. 4000 ACC 2100 " + "y " * 150 + "art. 5000 do CC\r\nartigo 2.047 CC", None, "sem nada 3000"]
+    docs = spark.createDataFrame([(t,) for t in texts], "c string")
+    def of(part):
+        numbers = F.transform(F.regexp_extract_all(part, F.lit(detect.CODE_ARTICLE), F.lit(1)), lambda n: F.replace(n, F.lit("."), F.lit("")).cast("int"))
+        return F.filter(numbers, lambda n: (n >= 100) | F.lower(part).contains("art"))
+    whole = F.array_distinct(F.flatten(F.transform(F.regexp_extract_all("c", F.lit(detect.CODE_CONTEXT), F.lit(0)), of)))
+    rows = docs.select(detect.code_articles(F.col("c")).alias("got"), whole.alias("want")).collect()
+    assert [r.got for r in rows] == [r.want for r in rows] and rows[0].got and rows[1].got and detect.CODE_MENTION
