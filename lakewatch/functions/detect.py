@@ -70,7 +70,7 @@ ACT_END = r"(?sU)^.*\d[/.]\d{4}"
 
 def folded(c: Column) -> Column:
     """Lower case, for `may_match`: also letters that an expression without case takes for plain ones."""
-    return F.lower(F.translate(c, "İıſ\u212a", "iisk"))
+    return F.lower(F.when(c.rlike("[İıſ\u212a]"), F.translate(c, "İıſ\u212a", "iisk")).otherwise(c))
 
 
 @cache
@@ -96,10 +96,18 @@ def needed(pattern: str) -> tuple[str, ...]:
     return () if "" in words else tuple(sorted(w for w in words if not any(v != w and v in w for v in words)))
 
 
+#: For expressions whose strings are frequent, what each match holds, in text as `folded`.
+HOLDS = {RATE: r"(?U)%\s*(?:de\s+i|sobre|para|incidente)", APPEALS["re"]: r"(?U)recurso\s+e|^re\s|r\.\s*e\."}
+
+
 def may_match(low: Column, *patterns: str) -> Column:
-    """Whether a text, as `folded`, has a string that the matches of some pattern need: cheap, and false for most texts."""
-    words = sorted({w for p in patterns for w in needed(p)})
-    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words]) if all(map(needed, patterns)) else F.lit(True)
+    """Whether a text, as `folded`, has what the matches of some pattern need: cheap, and false for most texts."""
+
+    def of(p: str) -> Column:
+        has = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in needed(p)]) if needed(p) else F.lit(True)
+        return has & low.rlike(HOLDS[p]) if p in HOLDS else has
+
+    return reduce(lambda a, b: a | b, map(of, patterns))
 
 
 def to_last_act(c: Column) -> Column:

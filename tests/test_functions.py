@@ -105,3 +105,17 @@ def test_articles_are_looked_for_by_line(spark):
     whole = F.array_distinct(F.flatten(F.transform(F.regexp_extract_all("c", F.lit(detect.CODE_CONTEXT), F.lit(0)), of)))
     rows = docs.select(detect.code_articles(F.col("c")).alias("got"), whole.alias("want")).collect()
     assert [r.got for r in rows] == [r.want for r in rows] and rows[0].got and rows[1].got and detect.CODE_MENTION
+
+
+def test_the_test_for_other_letters_is_as_before_and_short(spark):
+    """The class of the test is one range beside single characters; it finds the characters that it did as a class of many ranges."""
+    before = r"[^\x00-\u009F¡¢£¤¥¦§©«¬®°±¶·»¿À-ÖØ-öø-ÿ]"
+    c = F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32BE")
+    points = spark.range(0x110000).where("id < 55296 OR id > 57343").select(c.alias("c"))
+    assert points.where(F.col("c").rlike(before) != F.col("c").rlike(text.BEYOND_LATIN)).count() == 0 and text.BEYOND_LATIN.count("-") == 1
+
+
+def test_frequent_strings_are_told_apart(spark):
+    docs = spark.createDataFrame([("5% a mais. r. x",), ("5 %\u00a0de ITCD",), ("x R.\nE.a",), ("RE 5",)], "c string")
+    low = detect.folded(F.col("c"))
+    assert [tuple(r) for r in docs.select(detect.may_match(low, detect.RATE), detect.may_match(low, detect.APPEALS["re"])).collect()] == [(False, False), (True, False), (False, True), (False, True)]
