@@ -12,6 +12,8 @@ from lakewatch.functions.text import search_term
 from lakewatch.operators.search import indexed
 
 BUCKETS = 64
+#: Documents whose postings of a bucket are one task's, about.
+DOCS = 1 << 16
 #: The version of the terms' form: documents that were indexed under a lower one are stale.
 VERSION = 2
 _TEXTS = "doc_id BIGINT, text STRING, fetched_at TIMESTAMP, status STRING, mark STRING, version INT, generation INT"
@@ -28,11 +30,15 @@ def _mark() -> Column:
 
 
 def _add(docs: DataFrame, path: str, version: int, generation: int) -> None:
-    built = indexed(docs).join(docs.select("doc_id", "fetched_at", "status", _mark().alias("mark")), "doc_id").withColumn("version", F.lit(version)).withColumn("generation", F.lit(generation))
-    built.select(*[c.split()[0] for c in _TEXTS.split(", ")]).write.mode("append").parquet(f"{path}/texts")
-    terms = built.select("doc_id", "generation", F.explode("terms").alias("term")).withColumn("bucket", _bucket(F.col("term")))
-    # a bucket's rows meet in a few tasks, a hot term's in as many as its documents' hashes
-    dealt = terms.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(4))).sortWithinPartitions("bucket", "term", "doc_id")
+    columns = [c.split()[0] for c in _TEXTS.split(", ")]
+    built = indexed(docs.withColumn("mark", _mark()), keep=("fetched_at", "status", "mark")).withColumn("version", F.lit(version)).withColumn("generation", F.lit(generation))
+    built.select(*columns, "terms").write.mode("append").parquet(f"{path}/texts")
+    # the terms are read from what was written: no text is made or cut into terms twice
+    own = docs.sparkSession.read.schema(f"{_TEXTS}, terms ARRAY<STRING>").parquet(f"{path}/texts").where(F.col("generation") == generation)
+    salt = max(4, own.count() // DOCS)
+    terms = own.select("doc_id", "generation", F.explode("terms").alias("term")).withColumn("bucket", _bucket(F.col("term")))
+    # a bucket's rows meet in a few tasks, a hot term's in as many as its documents' hashes, which grow with the documents
+    dealt = terms.repartition("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(salt))).sortWithinPartitions("bucket", "term", "doc_id")
     dealt.write.mode("append").partitionBy("bucket").parquet(f"{path}/postings")
 
 

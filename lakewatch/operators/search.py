@@ -33,14 +33,14 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(r"(?U)\d{1,6}/\d{4}|[\wÀ-ÿ]{3,}"), F.lit(0))
 
 
-def indexed(docs: DataFrame, most_terms: int | None = None, **limits) -> DataFrame:
+def indexed(docs: DataFrame, most_terms: int | None = None, keep: tuple[str, ...] = (), **limits) -> DataFrame:
     """doc_id, text and terms: structured terms first, then the text's tokens, each once and cut; all of them, unless a caller
-    limits their number or the text."""
+    limits their number or the text. Columns of `docs` to `keep` come after them."""
     d = docs.withColumn("text", corpus_text(**limits))
     own = F.transform(F.array_compact(F.array(F.lower("source_id"), F.lower("uf"), "tipo", "severity_tier")), lambda x: F.substring(x, 1, TERM_CHARS))
     listed = F.concat(own, F.coalesce("topics", F.array()), F.coalesce("user_tags", F.array()), F.transform(tokens(F.col("text")), lambda x: F.substring(x, 1, TERM_CHARS)))
     terms = F.array_distinct(listed)
-    return d.select("doc_id", "text", (terms if most_terms is None else F.slice(terms, 1, most_terms)).alias("terms"))
+    return d.select("doc_id", "text", (terms if most_terms is None else F.slice(terms, 1, most_terms)).alias("terms"), *keep)
 
 
 def stored_or_built(stored: Column) -> Column:

@@ -28,3 +28,12 @@ def test_search_and_update_touch_what_they_must(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "new/texts")).count() == before + 1
     for terms in (["novo"], ["favorito"], ["the"]):
         assert ids(postings.search(spark, str(tmp_path / "new"), terms)) == ids(postings.search(spark, path, terms))
+
+
+def test_terms_are_read_from_what_was_written_and_no_text_is_sorted(spark, tmp_path):
+    docs, path = corpus.corpus(spark, SMALL), str(tmp_path / "index")
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin [doc_id" in plan and "LeftOuter" in plan
+    postings.build(docs, path)
+    stored = spark.read.parquet(f"{path}/texts")
+    assert "terms" in stored.columns and stored.select(F.explode("terms")).count() == spark.read.parquet(f"{path}/postings").count()
