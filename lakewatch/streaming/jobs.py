@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -141,17 +142,23 @@ class Admission(StatefulProcessor):
         self.accepted = handle.getListState("accepted", "ts timestamp")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        window, out = [pd.Timestamp(x[0]) for x in self.accepted.get()] if self.accepted.exists() else [], []
-        for r in _ordered(rows, "ts", "event_id").itertuples():
-            ts = pd.Timestamp(r.ts)
-            window = [x for x in window if (ts - x).total_seconds() <= self.seconds]
-            ok = len(window) < self.limit
-            if ok:
-                window.append(ts)
-            out.append((key[0], r.event_id, r.ts, ok))
+        frames, span = list(rows), self.seconds * 1_000_000
+        if not frames:
+            return
+        # whole arrays and plain integers (microseconds): a key has few rows, so what is done once a key or a row decides the time
+        ids, ts = (np.concatenate([f[c].to_numpy() for f in frames]) for c in ("event_id", "ts"))
+        order = np.lexsort((ids, ts))
+        ids, ts = ids[order], ts[order]
+        window = [int(np.datetime64(x[0], "us").astype(np.int64)) for x in self.accepted.get()] if self.accepted.exists() else []
+        admitted = []
+        for now in ts.astype("datetime64[us]").astype(np.int64).tolist():
+            window = [x for x in window if now - x <= span]
+            admitted.append(len(window) < self.limit)
+            if admitted[-1]:
+                window.append(now)
         if window:
-            self.accepted.put([(x.to_pydatetime(),) for x in window])
-        yield pd.DataFrame(out, columns=["key", "event_id", "ts", "admitted"])
+            self.accepted.put([(x,) for x in np.array(window, "datetime64[us]").tolist()])
+        yield pd.DataFrame({"key": key[0], "event_id": ids, "ts": ts, "admitted": admitted})
 
     def close(self) -> None:
         pass
