@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakewatch.session import scratch
+from lakewatch.session import scratch, shared_dir
 from lakewatch.streaming.jobs import use_state_store
 
 
@@ -16,8 +16,10 @@ def replay(table: DataFrame, time: str, transform: Callable[[DataFrame], DataFra
     """What the stream `transform` gives over the rows of `table`, cut at quantiles of the column `time` into `parts` landings.
     Rows of the sink are kept under their micro-batch's number: a batch that is run again replaces what it wrote."""
     spark = table.sparkSession
+    shared_dir(spark)
     use_state_store(spark)
     root = scratch(spark, "replay")
+    table = table.checkpoint()  # computed once: its quantiles and every landing are read from the rows themselves
     at = F.unix_micros(F.col(time).cast("timestamp"))
     cuts = table.agg(F.percentile_approx(at, [k / parts for k in range(1, parts)])).first()[0] or []
     of = sum((F.coalesce((at > c).cast("int"), F.lit(0)) for c in cuts), F.lit(0))

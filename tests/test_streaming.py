@@ -137,3 +137,17 @@ def test_zero_runs_and_chains_in_ranges(spark):
     for hours in (1, 24, 10**6):
         assert audit.verify(log, hours).where("NOT valid").count() == 0
         assert [x.entry_id for x in audit.verify(bad, hours).where("NOT valid").collect()] == [52]
+
+
+def test_a_replay_computes_its_table_once(spark):
+    from lakewatch.streaming.replay import replay
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for f in frames:
+            seen.add(len(f))
+            yield f
+
+    rows = spark.range(6).selectExpr("id % 2 AS key", "id AS event_id", "TIMESTAMP '2024-01-01' + id * INTERVAL '1' HOUR AS ts").mapInPandas(counted, "key long, event_id long, ts timestamp")
+    assert replay(rows, "ts", lambda r: jobs.admission_stream(r, 2, 7200)).count() == 6 and seen.value == 6
