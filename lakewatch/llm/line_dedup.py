@@ -10,7 +10,8 @@ whether or not that one is removed itself. So the first of every group of alike
 2. A second scan sorts each line's tokens by rarity and gives its prefix of n - ceil(threshold * n) + 1 tokens, for the
    first line of each key, without tokens that stand in one line only. A token in over `dense` lines is no key by itself:
    two alike lines share a second token in the prefix that is one longer, so the pairs of both are the keys.
-3. Each key's list, in order of place, shows every line the list's first `block` ones. Length and positional filters, and
+3. Keys travel in packed blocks, a task's keys of one range of them each; a key's row takes some 20 bytes in them, however many
+   tasks the keys are dealt to. Each key's list, in order of place, shows every line the list's first `block` ones. Length and positional filters, and
    a bound from token signatures of 64 to 256 bits, leave candidates; a line stops looking after `most` of them.
 4. The candidates' lines are fetched and their Jaccard verified, the most alike first. Lines that found no match and have
    not seen all of a list go on in it, in blocks eight times larger each round, until none is left: a dense list costs its
@@ -43,6 +44,8 @@ PARTS = 32
 DENSE = 1024
 #: Bits of a key: enough to tell keys apart; lists that share one by chance only cost comparisons.
 KEY_BITS = 40
+#: Ranges of keys that are dealt to tasks, and keys that a task packs into blocks at a time.
+RANGES, PACKED = 1024, 1 << 17
 #: Tokens of a line above which its signature has 128 bits and 256 bits; it has 64 else.
 WIDER, WIDEST = 48, 144
 #: Earlier lines of a key's list that are looked at first, and the candidates after which a line stops looking.
@@ -211,8 +214,9 @@ def _signatures(token: np.ndarray, a: np.ndarray, n: np.ndarray) -> list[np.ndar
     return [np.where(one, w[0] ^ w[1], w[0]).view(np.int64), np.where(one, np.uint64(0), w[1]).view(np.int64), w[2].view(np.int64), w[3].view(np.int64)]
 
 
-def _postings(docs: DataFrame, table: np.ndarray, repeated: DataFrame, threshold: float, dense: int) -> DataFrame:
-    """POSTING columns: the keys of the first line of each kind; lines of `repeated` have none."""
+def _line_postings(docs: DataFrame, table: np.ndarray, threshold: float, dense: int) -> DataFrame:
+    """The lines with keys that are the first of their kind in the task so far: place, number of tokens, signature, and the keys, each
+    with its place among the tokens in the low bits (a place beyond them is given as less, which only loosens a filter)."""
     slots, told = len(table), docs.sparkSession.sparkContext.broadcast(table)  # a byte a slot
 
     def run(batches):
@@ -242,13 +246,90 @@ def _postings(docs: DataFrame, table: np.ndarray, repeated: DataFrame, threshold
                 sig = _signatures(token, a, n)
                 line, key, place = _line_keys(token, most[rarity], a, n, threshold, dense)
                 order = np.argsort(line, kind="stable")
-                ends = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(a)))]).astype(np.int32)
-                keys = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(key[order].view(np.int64)), pa.array(np.repeat(n, np.diff(ends)) << 32 | place[order])], names=["token", "ni"]))
-                yield pa.record_batch([pa.array(ids[i:j][doc[rows]]), pa.array(number[rows]), *map(pa.array, sig), keys], names=["doc_id", "line", *SIGNATURE, "keys"])
+                ends = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(a)))])
+                words = key[order] << np.uint64(64 - KEY_BITS) | np.minimum(place[order], (1 << 64 - KEY_BITS) - 1).astype(np.uint64)
+                keys = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer((8 * ends).astype(np.int32)), pa.py_buffer(words.astype("<u8"))])
+                batch_out = pa.record_batch([pa.array(ids[i:j][doc[rows]]), pa.array(number[rows]), pa.array(n.astype(np.int32)), *map(pa.array, sig), keys], names=["doc_id", "line", "n", *SIGNATURE, "keys"])
+                yield batch_out.filter(pa.array(np.diff(ends) > 0))
+
+    return map_arrow(docs, run, "doc_id long, line int, n int, s0 long, s1 long, s2 long, s3 long, keys binary")
+
+
+def _pack(columns: list[np.ndarray]):
+    """(range of keys, rows, block) of rows with POSTING columns. A block holds its rows in order of key, the key as what it is more
+    than the one before, and of each column the lowest bytes together, then the next, so that what is zero takes no room."""
+    order = np.argsort(columns[0])
+    token = columns[0][order]
+    width = KEY_BITS - (RANGES - 1).bit_length()
+    part = token >> width
+    starts, ends = _runs(part)
+    steps = np.diff(token, prepend=0)
+    steps[starts] = token[starts] - (part[starts] << width)
+    planes = np.empty((len(columns), 8, len(token)), np.uint8)
+    for k, c in enumerate(columns):
+        planes[k] = (c[order] if k else steps).astype("<i8").view(np.uint8).reshape(-1, 8).T
+    codec = pa.Codec("zstd", compression_level=1)
+    for a, b in zip(starts, ends):
+        yield int(part[a]), int(b - a), codec.compress(planes[:, :, a:b].tobytes(), asbytes=True)
+
+
+def _unpack(part: int, rows: int, block: bytes) -> np.ndarray:
+    """The POSTING columns of a block."""
+    planes = np.frombuffer(pa.Codec("zstd").decompress(block, 64 * rows, asbytes=True), np.uint8).reshape(len(POSTING), 8, rows)
+    columns = planes.transpose(0, 2, 1).copy().view("<i8")[:, :, 0]
+    columns[0] = np.cumsum(columns[0]) + (part << KEY_BITS - (RANGES - 1).bit_length())
+    return columns
+
+
+def _blocks(docs: DataFrame, table: np.ndarray, repeated: DataFrame, threshold: float, dense: int) -> DataFrame:
+    """(part, rows, block): the keys of the first line of each kind, packed by range of keys; lines of `repeated` have none."""
+    lines = _line_postings(docs, table, threshold, dense)
+    first = sized_join(lines, repeated, repeated.count(), 48, ["doc_id", "line"], "left_anti")  # a line that other tasks have, too
+
+    def packed(some):
+        parts, rows, blocks = zip(*_pack([np.concatenate(c) for c in zip(*some)]))
+        return pa.record_batch([pa.array(parts, pa.int32()), pa.array(rows, pa.int32()), pa.array(blocks, pa.binary())], names=["part", "rows", "block"])
 
-    rows = map_arrow(docs, run, "doc_id long, line int, s0 long, s1 long, s2 long, s3 long, keys array<struct<token: long, ni: long>>")
-    first = sized_join(rows, repeated, repeated.count(), 48, ["doc_id", "line"], "left_anti")  # a line that other tasks have, too
-    return first.select("doc_id", "line", *SIGNATURE, F.inline("keys")).select(*POSTING)
+    def run(batches):
+        some, held = [], 0
+        for batch in batches:
+            doc_id, line, n, *sig = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
+            data, offsets = buffers(batch.column(7))
+            words, own = data.view("<u8"), np.repeat(np.arange(len(n)), np.diff(offsets) // 8)
+            token, i = (words >> np.uint64(64 - KEY_BITS)).view(np.int64), (words & np.uint64((1 << 64 - KEY_BITS) - 1)).view(np.int64)
+            some.append([token, doc_id[own], line[own], n[own].astype(np.int64) << 32 | i, *[s[own] for s in sig]])
+            held += len(own)
+            if held >= PACKED:
+                yield packed(some)
+                some, held = [], 0
+        if held:
+            yield packed(some)
+
+    return map_arrow(first.select("doc_id", "line", "n", *SIGNATURE, "keys"), run, "part int, rows int, block binary")
+
+
+def _postings(blocks: DataFrame) -> DataFrame:
+    """POSTING columns of packed keys, all rows of a key in one partition."""
+
+    def run(batches):
+        for batch in _unpacked(batches):
+            yield pa.record_batch([pa.array(c.astype(np.int32) if name == "line" else c) for name, c in zip(POSTING, batch)], names=list(POSTING))
+
+    return map_arrow(blocks.repartition("part"), run, "token long, doc_id long, line int, ni long, s0 long, s1 long, s2 long, s3 long")
+
+
+def _unpacked(batches, rows: int = 1 << 15):
+    """The columns of as many blocks at a time as have `rows` rows."""
+    some, n = [], 0
+    for batch in batches:
+        for part, count, block in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            some.append(_unpack(part, count, block))
+            n += count
+            if n >= rows:
+                yield np.concatenate(some, 1)
+                some, n = [], 0
+    if n:
+        yield np.concatenate(some, 1)
 
 
 def _gathered(batches, rows: int):
@@ -337,9 +418,9 @@ def _list_heads(batches, threshold: float, block: int, most: int):
         held = [c[last : last + block].copy() for c in cols]
 
 
-def _first_blocks(postings: DataFrame, threshold: float, block: int, most: int) -> DataFrame:
+def _first_blocks(blocks: DataFrame, threshold: float, block: int, most: int) -> DataFrame:
     """`_list_heads` over the lists of all keys, each in one task."""
-    ordered = postings.repartition("token").sortWithinPartitions("token", "doc_id", "line")
+    ordered = _postings(blocks).sortWithinPartitions("token", "doc_id", "line")
     return map_arrow(ordered, lambda batches: _list_heads(batches, threshold, block, most), "kind byte, rank long, since long, token long, doc_id long, line int, ni long, s0 long, s1 long, s2 long, s3 long, far int, found array<struct<t_doc_id: long, t_line: int>>", rows=1 << 15)
 
 
@@ -419,7 +500,7 @@ def _removed(docs: DataFrame, threshold: float, block: int, most: int, dense: in
     repeated = materialize(firsts.withColumn("rank", F.rank().over(place)).where("rank > 1").select("doc_id", "line"), "line-repeated")
     gone = [repeated, seen.where("kind = 2").select("doc_id", "line")]
 
-    blocks = materialize(_first_blocks(_postings(docs, table, repeated, threshold, dense), threshold, block, most), "line-blocks")
+    blocks = materialize(_first_blocks(_blocks(docs, table, repeated, threshold, dense), threshold, block, most), "line-blocks")
     found = blocks.where("kind = 0").select("doc_id", "line", "far", "found")
     best = found.groupBy("doc_id", "line").agg(F.min_by(F.col("found")[0], F.struct("far", F.col("found")[0])).alias("t")).select("doc_id", "line", "t.*")
     gone.append(_alike(docs, best, threshold))

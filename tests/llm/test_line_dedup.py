@@ -83,3 +83,29 @@ def test_texts_lose_exactly_the_removed_lines(spark):
 
 def test_empty_table(spark):
     assert line_dedup.deduplicate(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_packed_keys_come_back_and_are_small_however_many_tasks_they_go_to():
+    import numpy as np
+
+    r, n = np.random.default_rng(3), 100_000
+    lines = r.integers(0, 10_000, n)
+    columns = [r.integers(0, 1 << line_dedup.KEY_BITS, n), lines + 51_000, (lines % 10).astype(np.int32), (20 + lines % 20) << 32 | r.integers(0, 5, n), r.integers(-(1 << 63), 1 << 63, 10_000)[lines], *[np.zeros(n, np.int64)] * 3]
+    columns[1][:2], columns[2][:2], columns[3][:2] = (-(1 << 63), (1 << 63) - 1), ((1 << 31) - 1, 0), (1 << 62, 1)
+    blocks = list(line_dedup._pack(columns))
+    got = np.concatenate([line_dedup._unpack(*b) for b in blocks], 1)
+    order = np.argsort(columns[0], kind="stable")
+    assert sorted(zip(*got.tolist())) == sorted(zip(*(c[order].tolist() for c in columns)))
+    assert len(blocks) > 500 and sum(len(b[2]) for b in blocks) < 26 * n  # rows of the columns took 34 to 39 bytes, in lz4
+
+
+def test_rows_of_keys_are_shuffled_packed(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(d, t) for d, t in corpus(6) if d is not None], "doc_id long, text string").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    import numpy as np
+
+    none = spark.createDataFrame([], "doc_id long, line int")
+    rows = line_dedup._postings(line_dedup._blocks(docs.repartition(4), np.full(1 << 16, 16, np.uint8), none, 0.8, 1024))
+    parts = rows.select("token", F.spark_partition_id().alias("p")).distinct().groupBy("token").count()
+    assert rows.columns == list(line_dedup.POSTING) and parts.where("count > 1").isEmpty() and rows.count() > 0
