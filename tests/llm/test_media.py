@@ -40,3 +40,19 @@ def test_columns(spark):
 
 def test_empty_table(spark):
     assert media.media_columns(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_places_are_dealt_by_their_bytes_and_kept_short(spark):
+    df = spark.createDataFrame([(d, f"text {d} " * 400) for d in range(60)], "doc_id long, text string").repartition(2)
+    rows, folder = media.store(df)
+    stored = sum(r.length for r in rows.collect())
+    known = media.features(media.dealt(rows, read_bytes=stored // 30), folder)
+    assert known.rdd.getNumPartitions() >= 30 and {len(r.digest) for r in known.collect()} == {32}
+    assert sorted((r.digest, r.width, r.height) for r in media.metadata(media.dealt(rows), folder).collect()) == sorted((r.digest, r.width, r.height) for r in known.collect())
+
+
+def test_texts_are_packed_well():
+    text = " ".join(f"{k * k % 1009} words of {k}" for k in range(2000)).encode()
+    payload = media.padded(text)
+    rows = b"".join(b"\0" + payload[k : k + 64] for k in range(0, len(payload), 64))
+    assert len(media.encode(payload)) < 0.95 * len(zlib.compress(rows, 1))
