@@ -19,12 +19,18 @@ BEYOND_LATIN = r"[\u00A0¨ª\u00AD¯²³´µ¸¹º¼½¾×÷\u0100-\x{10FFFF}]"
 
 
 def plain(c: Column) -> Column:
-    """Latin letters without their accents."""
-    return F.translate(c, _ACCENTED, _PLAIN)
+    """Latin letters without their accents; only text that has some is gone through letter by letter."""
+    return F.when(c.rlike(r"[\u00C0-\u00FF]"), F.translate(c, _ACCENTED, _PLAIN)).otherwise(c)
+
+
+#: A character that may be space, but for plain ones and newlines.
+OTHER_SPACE = BEYOND_LATIN.replace("[", r"[\t\x0B\f\r\x85", 1)
 
 
 def collapse(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
+    """Single spaces; text whose only spaces are plain ones and newlines, as most is, needs no class by property, which is slow."""
+    few = F.regexp_replace(F.replace(c, F.lit("\n"), F.lit(" ")), r"  +", " ")
+    return F.trim(F.when(c.rlike(OTHER_SPACE), F.regexp_replace(c, r"(?U)\s+", " ")).otherwise(few))
 
 
 def nfkc(c: Column) -> Column:
@@ -38,7 +44,11 @@ def nfkc(c: Column) -> Column:
 
 
 def _bare(s: str) -> str:
-    return "".join(k for k in unicodedata.normalize("NFD", unicodedata.normalize("NFKC", s)) if unicodedata.category(k) != "Mn")
+    d = unicodedata.normalize("NFKD", s)
+    for k in set(d):  # a text has few different characters, and fewer marks
+        if k > "\u02ff" and unicodedata.category(k) == "Mn":
+            d = d.replace(k, "")
+    return d
 
 
 def unmarked(c: Column) -> Column:

@@ -55,8 +55,9 @@ def rename_tag(docs: DataFrame, old: str, new: str) -> DataFrame:
 
 def reindex(docs: DataFrame, index: DataFrame, version: int = 2) -> DataFrame:
     """The index with rows rebuilt that are missing, empty or of an older version."""
-    fresh = index.where((F.col("index_version") >= version) & (F.coalesce("text", F.lit("")) != ""))
-    stale = docs.join(fresh.select("doc_id"), "doc_id", "left_anti")
+    current = index.where(F.col("index_version") >= version).select("doc_id", F.explode(F.array("text")).alias("text"), "terms", "index_version")
+    fresh = current.where("text <> ''")  # it stays above the generator, so where a text is built it is not built for the filter once more
+    stale = docs.join(fresh.select("doc_id").hint("shuffle_hash"), "doc_id", "left_anti")  # the smaller side has ids alone, and no text is sorted
     return fresh.select("doc_id", "text", "terms", "index_version").unionByName(indexed(stale).withColumn("index_version", F.lit(version)))
 
 

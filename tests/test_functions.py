@@ -118,3 +118,15 @@ def test_frequent_strings_are_told_apart(spark):
     docs = spark.createDataFrame([("5% a mais. r. x",), ("5 %\u00a0de ITCD",), ("x R.\nE.a",), ("RE 5",)], "c string")
     low = detect.folded(F.col("c"))
     assert [tuple(r) for r in docs.select(detect.may_match(low, detect.RATE), detect.may_match(low, detect.APPEALS["re"])).collect()] == [(False, False), (True, False), (False, True), (False, True)]
+
+
+def test_spaces_and_accents_by_the_shorter_ways_equal_the_plain_ones(spark):
+    import unicodedata
+
+    spaces = [chr(k) for k in (9, 10, 11, 12, 13, 28, 31, 32, 0x85, 0xA0, 0x1680, 0x2003, 0x2028, 0x3000)]
+    rows = [a + b + x + b + a + y for a in ("", " ", "x") for b in spaces for x in (*spaces, "é", "ÿÝ", "×÷ß", "ő") for y in ("", "\n", "  z")] + [None, ""]
+    df = spark.createDataFrame([(x,) for x in rows], "x string")
+    got = df.select("x", text.collapse(F.col("x")), text.plain(F.col("x")), F.trim(F.regexp_replace("x", r"(?U)\s+", " ")), F.translate("x", text._ACCENTED, text._PLAIN)).collect()
+    assert all(r[1] == r[3] and r[2] == r[4] for r in got)
+    bare = lambda s: "".join(k for k in unicodedata.normalize("NFD", unicodedata.normalize("NFKC", s)) if unicodedata.category(k) != "Mn")
+    assert all(text._bare(chr(k)) == bare(chr(k)) for k in range(0x30000) if not 0xD800 <= k < 0xE000)

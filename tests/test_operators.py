@@ -243,3 +243,16 @@ def test_audit_chain_is_streamed(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
     broken = [(k, r.prev_hash) for k, r in checked.items() if not r.valid]
     assert len(checked) == 500 and len(broken) == 1 and broken[0][0][0] == "o1" and broken[0][1] == "f" * 64  # its first goes on from the last hash
+
+
+def test_reindex_builds_a_text_once_and_sorts_none(spark):
+    from lakewatch.operators import search, tables
+    from lakewatch.sources import corpus as views
+
+    c = views.corpus(spark, "/root/testdata/sf0.001")
+    plan = tables.reindex(c, search.indexed(c).withColumn("index_version", F.lit(2))).select("doc_id", F.md5("text"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 3 and "SortMergeJoin" not in plan.split("LeftAnti")[0].splitlines()[-1]
+    stored = spark.createDataFrame([(1, "kept", ["a"], 2), (2, "", ["b"], 2), (3, None, ["c"], 2), (4, "older", ["d"], 1), (-1, "no document", [], 3)], "doc_id long, text string, terms array<string>, index_version int")
+    got = {r.doc_id: r for r in tables.reindex(c.where("doc_id BETWEEN 1 AND 5"), stored).collect()}
+    assert got[1].text == "kept" and got[-1].text == "no document" and set(got) == {-1, 1, 2, 3, 4, 5}
+    assert all(got[k].text.startswith(f"{k} ") and got[k].index_version == 2 for k in (2, 3, 4, 5))
