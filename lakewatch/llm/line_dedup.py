@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakewatch.llm.common import buffers, chunks, discard, map_arrow, materialize, mix64, powers, sized_join, span_hashes, utf8, word_spans
+from lakewatch.llm.common import BROADCAST_BYTES, buffers, chunks, discard, map_arrow, materialize, mix64, powers, sized_join, span_hashes, utf8, word_spans
 
 THRESHOLD = 0.8
 #: Bytes of text for each slot of the token-count table, and its least and greatest size as powers of 2.
@@ -52,16 +52,17 @@ WIDER, WIDEST = 48, 144
 BLOCK, MOST = 256, 8
 #: Lines whose earliest place a task remembers, to give repeated ones once; then it starts anew (which only costs rows).
 REMEMBERED = 1 << 17
+#: Rows that a task puts in order at a time at least, if ranges of keys are small, and rows of a range up to which it does so.
+GROUPED, HELD = 1 << 16, 1 << 21
 
 
 def _lines(data: np.ndarray, offsets: np.ndarray):
     """Of the lines with words in a run of texts: their words' 64-bit hashes, one line after the other; each line's
     document, number in it, first word and end."""
     starts, ends = word_spans(data, offsets)
-    newlines = np.zeros(len(data) + 1, np.int32)
-    np.cumsum(data == 10, dtype=np.int32, out=newlines[1:])
+    newlines = np.flatnonzero(data == 10)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
-    number = newlines[starts] - newlines[offsets[doc]]
+    number = np.cumsum(np.bincount(np.searchsorted(starts, newlines), minlength=len(starts)))[: len(starts)] - np.searchsorted(newlines, offsets)[doc]
     cut = np.flatnonzero((np.diff(doc) != 0) | (np.diff(number) != 0)) + 1
     a = np.concatenate([[0], cut]) if len(starts) else cut
     return span_hashes(data, starts, ends, lower=True), doc[a], number[a].astype(np.int32), a, np.concatenate([cut, [len(starts)]])[: len(a)]
@@ -214,45 +215,61 @@ def _signatures(token: np.ndarray, a: np.ndarray, n: np.ndarray) -> list[np.ndar
     return [np.where(one, w[0] ^ w[1], w[0]).view(np.int64), np.where(one, np.uint64(0), w[1]).view(np.int64), w[2].view(np.int64), w[3].view(np.int64)]
 
 
-def _line_postings(docs: DataFrame, table: np.ndarray, threshold: float, dense: int) -> DataFrame:
+def _scanned(batches, rank: np.ndarray, threshold: float, dense: int):
     """The lines with keys that are the first of their kind in the task so far: place, number of tokens, signature, and the keys, each
     with its place among the tokens in the low bits (a place beyond them is given as less, which only loosens a filter)."""
-    slots, told = len(table), docs.sparkSession.sparkContext.broadcast(table)  # a byte a slot
-
-    def run(batches):
-        rank, firsts = told.value, _Firsts()
-        most = np.floor(2 ** (np.arange(256) / 8)).astype(np.int64) - 1  # the count that a rarity stands for, at most
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            data, offsets = buffers(batch.column(1))
-            for i, j in chunks(offsets):
-                at = offsets[i : j + 1]
-                hashes, doc, number, a, b = _lines(data[at[0] : at[-1]], at - at[0])
-                if not len(hashes):
-                    continue
-                fresh = firsts.fresh(*_keys(hashes, a, b), ids[i:j][doc], number)
-                word = np.repeat(fresh, b - a)
-                if not word.any():
-                    continue
-                own, h = np.repeat(np.arange(len(a)), b - a)[word], hashes[word]
-                rarity = rank[_slot(h, slots)]
-                token = (rarity.astype(np.uint64) << np.uint64(55)) | (mix64(h) >> np.uint64(9))
-                order = _by_line(own, token)
-                own, token, rarity = own[order], token[order], rarity[order]
-                once = np.concatenate([[True], (own[1:] != own[:-1]) | (token[1:] != token[:-1])])
-                own, token, rarity = own[once], token[once], rarity[once]
-                a, b = _runs(own)
-                n, rows = b - a, own[a]
-                sig = _signatures(token, a, n)
-                line, key, place = _line_keys(token, most[rarity], a, n, threshold, dense)
-                order = np.argsort(line, kind="stable")
-                ends = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(a)))])
-                words = key[order] << np.uint64(64 - KEY_BITS) | np.minimum(place[order], (1 << 64 - KEY_BITS) - 1).astype(np.uint64)
-                keys = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer((8 * ends).astype(np.int32)), pa.py_buffer(words.astype("<u8"))])
-                batch_out = pa.record_batch([pa.array(ids[i:j][doc[rows]]), pa.array(number[rows]), pa.array(n.astype(np.int32)), *map(pa.array, sig), keys], names=["doc_id", "line", "n", *SIGNATURE, "keys"])
-                yield batch_out.filter(pa.array(np.diff(ends) > 0))
-
-    return map_arrow(docs, run, "doc_id long, line int, n int, s0 long, s1 long, s2 long, s3 long, keys binary")
+    firsts = _Firsts()
+    most = np.floor(2 ** (np.arange(256) / 8)).astype(np.int64) - 1  # the count that a rarity stands for, at most
+    for batch in batches:
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        data, offsets = buffers(batch.column(1))
+        for i, j in chunks(offsets):
+            at = offsets[i : j + 1]
+            hashes, doc, number, a, b = _lines(data[at[0] : at[-1]], at - at[0])
+            if not len(hashes):
+                continue
+            fresh = firsts.fresh(*_keys(hashes, a, b), ids[i:j][doc], number)
+            word = np.repeat(fresh, b - a)
+            if not word.any():
+                continue
+            own, h = np.repeat(np.arange(len(a)), b - a)[word], hashes[word]
+            rarity = rank[_slot(h, len(rank))]
+            token = (rarity.astype(np.uint64) << np.uint64(55)) | (mix64(h) >> np.uint64(9))
+            order = _by_line(own, token)
+            own, token, rarity = own[order], token[order], rarity[order]
+            once = np.concatenate([[True], (own[1:] != own[:-1]) | (token[1:] != token[:-1])])
+            own, token, rarity = own[once], token[once], rarity[once]
+            a, b = _runs(own)
+            n, rows = b - a, own[a]
+            sig = _signatures(token, a, n)
+            line, key, place = _line_keys(token, most[rarity], a, n, threshold, dense)
+            order = np.argsort(line, kind="stable")
+            ends = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(a)))])
+            words = key[order] << np.uint64(64 - KEY_BITS) | np.minimum(place[order], (1 << 64 - KEY_BITS) - 1).astype(np.uint64)
+            keys = pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer((8 * ends).astype(np.int32)), pa.py_buffer(words.astype("<u8"))])
+            batch_out = pa.record_batch([pa.array(ids[i:j][doc[rows]]), pa.array(number[rows]), pa.array(n.astype(np.int32)), *map(pa.array, sig), keys], names=["doc_id", "line", "n", *SIGNATURE, "keys"])
+            yield batch_out.filter(pa.array(np.diff(ends) > 0))
+
+
+def _line_postings(docs: DataFrame, told, threshold: float, dense: int) -> DataFrame:
+    """`_scanned` as a table; `told` broadcasts the table of counts."""
+    return map_arrow(docs, lambda batches: _scanned(batches, told.value, threshold, dense), "doc_id long, line int, n int, s0 long, s1 long, s2 long, s3 long, keys binary")
+
+
+class _Places:
+    """Some places, in order, and which of others are among them."""
+
+    def __init__(self, doc_id: np.ndarray, line: np.ndarray):
+        self.docs, doc = np.unique(doc_id, return_inverse=True)
+        self.places = np.sort(doc.astype(np.int64) << 32 | line)
+
+    def hold(self, doc_id: np.ndarray, line: np.ndarray) -> np.ndarray:
+        if not len(self.docs):
+            return np.zeros(len(doc_id), bool)
+        doc = np.minimum(np.searchsorted(self.docs, doc_id), len(self.docs) - 1)
+        place = doc << 32 | line
+        at = np.minimum(np.searchsorted(self.places, place), len(self.places) - 1)
+        return (self.docs[doc] == doc_id) & (self.places[at] == place)
 
 
 def _pack(columns: list[np.ndarray]):
@@ -270,42 +287,62 @@ def _pack(columns: list[np.ndarray]):
         planes[k] = (c[order] if k else steps).astype("<i8").view(np.uint8).reshape(-1, 8).T
     codec = pa.Codec("zstd", compression_level=1)
     for a, b in zip(starts, ends):
-        yield int(part[a]), int(b - a), codec.compress(planes[:, :, a:b].tobytes(), asbytes=True)
+        yield int(part[a]), int(b - a), codec.compress(np.ascontiguousarray(planes[:, :, a:b]), asbytes=True)
 
 
 def _unpack(part: int, rows: int, block: bytes) -> np.ndarray:
     """The POSTING columns of a block."""
-    planes = np.frombuffer(pa.Codec("zstd").decompress(block, 64 * rows, asbytes=True), np.uint8).reshape(len(POSTING), 8, rows)
-    columns = planes.transpose(0, 2, 1).copy().view("<i8")[:, :, 0]
-    columns[0] = np.cumsum(columns[0]) + (part << KEY_BITS - (RANGES - 1).bit_length())
-    return columns
+    return _unpack_all([(part, rows, block)])
+
+
+def _unpack_all(blocks: list[tuple[int, int, bytes]]) -> np.ndarray:
+    """The POSTING columns of blocks, one after the other."""
+    parts, rows = (np.array([b[k] for b in blocks], np.int64) for k in (0, 1))
+    ends = np.cumsum(rows)
+    out = np.empty((len(POSTING), int(ends[-1])), "<i8")
+    planes, codec = out.view(np.uint8).reshape(len(POSTING), -1, 8), pa.Codec("zstd")
+    for (_, n, block), b in zip(blocks, ends.tolist()):
+        planes[:, b - n : b] = np.frombuffer(codec.decompress(block, 64 * n, asbytes=True), np.uint8).reshape(len(POSTING), 8, n).transpose(0, 2, 1)
+    sums = np.concatenate([[0], np.cumsum(out[0])])
+    out[0] = sums[1:] + np.repeat((parts << KEY_BITS - (RANGES - 1).bit_length()) - sums[ends - rows], rows)
+    return out
 
 
-def _blocks(docs: DataFrame, table: np.ndarray, repeated: DataFrame, threshold: float, dense: int) -> DataFrame:
-    """(part, rows, block): the keys of the first line of each kind, packed by range of keys; lines of `repeated` have none."""
-    lines = _line_postings(docs, table, threshold, dense)
-    first = sized_join(lines, repeated, repeated.count(), 48, ["doc_id", "line"], "left_anti")  # a line that other tasks have, too
+def _packed(batches, gone: _Places | None = None):
+    """(part, rows, block) of what `_scanned` gives, PACKED keys or more at a time, without the lines at `gone`."""
 
     def packed(some):
         parts, rows, blocks = zip(*_pack([np.concatenate(c) for c in zip(*some)]))
         return pa.record_batch([pa.array(parts, pa.int32()), pa.array(rows, pa.int32()), pa.array(blocks, pa.binary())], names=["part", "rows", "block"])
 
-    def run(batches):
-        some, held = [], 0
-        for batch in batches:
-            doc_id, line, n, *sig = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
-            data, offsets = buffers(batch.column(7))
-            words, own = data.view("<u8"), np.repeat(np.arange(len(n)), np.diff(offsets) // 8)
-            token, i = (words >> np.uint64(64 - KEY_BITS)).view(np.int64), (words & np.uint64((1 << 64 - KEY_BITS) - 1)).view(np.int64)
-            some.append([token, doc_id[own], line[own], n[own].astype(np.int64) << 32 | i, *[s[own] for s in sig]])
-            held += len(own)
-            if held >= PACKED:
-                yield packed(some)
-                some, held = [], 0
-        if held:
+    some, held = [], 0
+    for batch in batches:
+        if gone is not None:
+            batch = batch.filter(pa.array(~gone.hold(batch.column(0).to_numpy(), batch.column(1).to_numpy())))
+        doc_id, line, n, *sig = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(7))
+        data, offsets = buffers(batch.column(7))
+        words, own = data.view("<u8"), np.repeat(np.arange(len(n)), np.diff(offsets) // 8)
+        token, i = (words >> np.uint64(64 - KEY_BITS)).view(np.int64), (words & np.uint64((1 << 64 - KEY_BITS) - 1)).view(np.int64)
+        some.append([token, doc_id[own], line[own], n[own].astype(np.int64) << 32 | i, *[s[own] for s in sig]])
+        held += len(own)
+        if held >= PACKED:
             yield packed(some)
+            some, held = [], 0
+    if held:
+        yield packed(some)
 
-    return map_arrow(first.select("doc_id", "line", "n", *SIGNATURE, "keys"), run, "part int, rows int, block binary")
+
+def _blocks(docs: DataFrame, table: np.ndarray, repeated: DataFrame, threshold: float, dense: int, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(part, rows, block): the keys of the first line of each kind, packed by range of keys; lines of `repeated`, which other tasks
+    have, too, have none. They are left out in the scan that packs the keys if they are few enough for a broadcast, else by a join."""
+    sc, schema = docs.sparkSession.sparkContext, "part int, rows int, block binary"
+    told = sc.broadcast(table)  # a byte a slot
+    if repeated.count() * 48 <= broadcast_bytes:
+        rows = repeated.toArrow()
+        gone = sc.broadcast(_Places(rows.column("doc_id").to_numpy(), rows.column("line").to_numpy()))
+        return map_arrow(docs, lambda batches: _packed(_scanned(batches, told.value, threshold, dense), gone.value), schema)
+    first = _line_postings(docs, told, threshold, dense).join(repeated, ["doc_id", "line"], "left_anti")
+    return map_arrow(first.select("doc_id", "line", "n", *SIGNATURE, "keys"), _packed, schema)
 
 
 def _postings(blocks: DataFrame) -> DataFrame:
@@ -321,15 +358,29 @@ def _postings(blocks: DataFrame) -> DataFrame:
 def _unpacked(batches, rows: int = 1 << 15):
     """The columns of as many blocks at a time as have `rows` rows."""
     some, n = [], 0
-    for batch in batches:
-        for part, count, block in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            some.append(_unpack(part, count, block))
-            n += count
-            if n >= rows:
-                yield np.concatenate(some, 1)
-                some, n = [], 0
+    for block in _rows(batches):
+        some.append(block)
+        n += block[1]
+        if n >= rows:
+            yield _unpack_all(some)
+            some, n = [], 0
     if n:
-        yield np.concatenate(some, 1)
+        yield _unpack_all(some)
+
+
+def _rows(batches):
+    for batch in batches:
+        yield from zip(*(batch.column(k).to_pylist() for k in range(3)))
+
+
+def _in_order(token: np.ndarray, doc_id: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The order by token, then place: by one number for each, which is fast, where 63 bits hold them."""
+    span = lambda x: (int(x.max()) - int(x.min())).bit_length()
+    low = int(line.max()).bit_length()
+    if span(doc_id) + low > 63 or span(token) + len(token).bit_length() > 63:
+        return np.lexsort((line, doc_id, token))
+    at = np.argsort((doc_id - doc_id.min()) << low | line)
+    return at[np.argsort((token[at] - token.min()) << len(token).bit_length() | np.arange(len(token)))]
 
 
 def _gathered(batches, rows: int):
@@ -346,13 +397,18 @@ def _gathered(batches, rows: int):
 
 
 def _list_heads(batches, threshold: float, block: int, most: int):
+    """`_heads` over batches with POSTING columns."""
+    return _heads(_gathered(batches, 1 << 15), threshold, block, most)
+
+
+def _heads(columns, threshold: float, block: int, most: int):
     """Over each key's list in order of place: kind 0, a line and the first `most` of the list's first `block` lines that it
     may match, the most alike first, `far` bits from it; kind 1, rows at `rank` (from 0) that have not seen those between rank
     `since` and their own; kind 2, the first `block` rows of lists with such rows. Lists stream through; only their first
     rows are held."""
     held = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, *[np.int64] * 5)]
     before, open_list = 0, False  # rows of the list that have passed, and whether it has rows of kind 1
-    for new in _gathered(batches, 1 << 15):
+    for new in columns:
         k = len(held[0]) if before and held[0][0] == new[0][0] else 0
         open_list = open_list and k > 0
         cols = [np.concatenate([h[:k], x]) for h, x in zip(held, new)]
@@ -418,10 +474,63 @@ def _list_heads(batches, threshold: float, block: int, most: int):
         held = [c[last : last + block].copy() for c in cols]
 
 
-def _first_blocks(blocks: DataFrame, threshold: float, block: int, most: int) -> DataFrame:
-    """`_list_heads` over the lists of all keys, each in one task."""
-    ordered = _postings(blocks).sortWithinPartitions("token", "doc_id", "line")
-    return map_arrow(ordered, lambda batches: _list_heads(batches, threshold, block, most), "kind byte, rank long, since long, token long, doc_id long, line int, ni long, s0 long, s1 long, s2 long, s3 long, far int, found array<struct<t_doc_id: long, t_line: int>>", rows=1 << 15)
+def _part_heads(batches, threshold: float, block: int, most: int, held: int):
+    """`_list_heads` over the keys of blocks that come in order of part, whole parts at a time; parts of over `held` rows are given
+    as they are, as rows of kind 3."""
+    ready, some, n, part, over = [], [], 0, None, False  # blocks of whole parts, and of the one that is read, with n rows in all
+
+    def heads():
+        cols = _unpack_all(ready)
+        order = _in_order(*cols[:3])
+        slices = ([c.astype(np.int32) if k == 2 else c for k, c in enumerate(cols[:, order[i : i + GROUPED]])] for i in range(0, len(order), GROUPED))
+        yield from _heads(slices, threshold, block, most)
+
+    def as_they_are():
+        cols = _unpack_all(some)
+        none = np.zeros(cols.shape[1], np.int64)
+        out = {"kind": np.full(len(none), 3, np.int8), "rank": none, "since": none} | dict(zip(POSTING, cols)) | {"line": cols[2].astype(np.int32), "far": none.astype(np.int32)}
+        found = pa.ListArray.from_arrays(pa.array(none[:1].repeat(len(none) + 1).astype(np.int32)), pa.StructArray.from_arrays([pa.array(none[:0]), pa.array(none[:0].astype(np.int32))], names=["t_doc_id", "t_line"]))
+        return pa.record_batch([*map(pa.array, out.values()), found], names=[*out, "found"])
+
+    for row in _rows(batches):
+        if row[0] != part:
+            if over and some:
+                yield as_they_are()
+            elif not over:
+                ready += some
+            if ready and (over or n >= GROUPED):
+                yield from heads()
+                ready = []
+            n = sum(r[1] for r in ready)
+            part, some, over = row[0], [], False
+        some.append(row)
+        n += row[1]
+        if not over and n > held and ready:  # the parts before may be what is much
+            yield from heads()
+            ready, n = [], sum(r[1] for r in some)
+        if n > held or (over and n >= 1 << 15):
+            yield as_they_are()
+            some, n, over = [], 0, True
+    if over and some:
+        yield as_they_are()
+    elif not over:
+        ready += some
+    if ready:
+        yield from heads()
+
+
+def _first_blocks(blocks: DataFrame, threshold: float, block: int, most: int, held: int = HELD) -> DataFrame:
+    """`_list_heads` over the lists of all keys, each in one task. A range of keys is put in order by its task if it has no more than
+    `held` rows; what is in larger ones is written and sorted by Spark, so a list may be longer than memory."""
+    kinds = "kind byte, rank long, since long, token long, doc_id long, line int, ni long, s0 long, s1 long, s2 long, s3 long, far int, found array<struct<t_doc_id: long, t_line: int>>"
+    ranges = blocks.repartition("part").sortWithinPartitions("part")
+    out = materialize(map_arrow(ranges, lambda batches: _part_heads(batches, threshold, block, most, held), kinds, rows=1 << 15), "line-blocks")
+    large = out.where("kind = 3").select(*POSTING)
+    if large.isEmpty():
+        return out
+    ordered = large.repartition("token").sortWithinPartitions("token", "doc_id", "line")
+    rest = materialize(map_arrow(ordered, lambda batches: _list_heads(batches, threshold, block, most), kinds, rows=1 << 15), "line-blocks")
+    return out.where("kind < 3").unionByName(rest)
 
 
 def _token_sets(wanted: DataFrame) -> DataFrame:
@@ -500,7 +609,7 @@ def _removed(docs: DataFrame, threshold: float, block: int, most: int, dense: in
     repeated = materialize(firsts.withColumn("rank", F.rank().over(place)).where("rank > 1").select("doc_id", "line"), "line-repeated")
     gone = [repeated, seen.where("kind = 2").select("doc_id", "line")]
 
-    blocks = materialize(_first_blocks(_blocks(docs, table, repeated, threshold, dense), threshold, block, most), "line-blocks")
+    blocks = _first_blocks(_blocks(docs, table, repeated, threshold, dense), threshold, block, most)
     found = blocks.where("kind = 0").select("doc_id", "line", "far", "found")
     best = found.groupBy("doc_id", "line").agg(F.min_by(F.col("found")[0], F.struct("far", F.col("found")[0])).alias("t")).select("doc_id", "line", "t.*")
     gone.append(_alike(docs, best, threshold))

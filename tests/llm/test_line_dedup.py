@@ -109,3 +109,37 @@ def test_rows_of_keys_are_shuffled_packed(spark):
     rows = line_dedup._postings(line_dedup._blocks(docs.repartition(4), np.full(1 << 16, 16, np.uint8), none, 0.8, 1024))
     parts = rows.select("token", F.spark_partition_id().alias("p")).distinct().groupBy("token").count()
     assert rows.columns == list(line_dedup.POSTING) and parts.where("count > 1").isEmpty() and rows.count() > 0
+
+
+def test_ranges_larger_than_memory_are_sorted_by_spark_and_long_lists_cross_groups(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "GROUPED", 64)
+    docs = spark.createDataFrame([(d, t) for d, t in corpus(7) if d is not None], "doc_id long, text string").selectExpr("doc_id", "CAST(coalesce(text, '') AS BINARY) text")
+    import numpy as np
+
+    none = spark.createDataFrame([], "doc_id long, line int")
+    blocks = line_dedup.materialize(line_dedup._blocks(docs.repartition(4), np.full(1 << 16, 16, np.uint8), none, 0.8, 1024), "test-blocks")
+    rows = {held: sorted(map(str, line_dedup._first_blocks(blocks, 0.8, 2, 1, held).where("kind = 1").select("rank", "token", "doc_id", "line").collect())) for held in (0, 100, 1 << 21)}
+    assert rows[0] and rows[0] == rows[100] == rows[1 << 21]
+
+
+def test_keys_are_packed_in_the_scan_and_without_repeated_lines(spark):
+    docs = spark.createDataFrame([(d, t) for d, t in corpus(8) if d is not None], "doc_id long, text string").selectExpr("doc_id", "CAST(coalesce(text, '') AS BINARY) text")
+    import numpy as np
+
+    gone = spark.createDataFrame([(d, k) for d in range(0, 60, 2) for k in range(5)], "doc_id long, line int")
+    table = np.full(1 << 16, 16, np.uint8)
+    plan = line_dedup._blocks(docs, table, gone, 0.8, 1024)
+    assert str(plan._jdf.queryExecution().executedPlan()).count("MapInArrow") == 1  # two Python workers a core held too much
+    places = [{(r.token, r.doc_id, r.line) for r in line_dedup._postings(x).collect()} for x in (plan, line_dedup._blocks(docs, table, gone, 0.8, 1024, -1), line_dedup._blocks(docs, table, gone.limit(0), 0.8, 1024))]
+    left = {x for x in places[2] if not (x[1] < 60 and x[1] % 2 == 0 and x[2] < 5)}
+    assert places[0] == places[1] == left and left < places[2]
+
+
+def test_order_of_keys_is_that_of_places_for_any_ids():
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    for ids in ((0, 50), (-(1 << 63), (1 << 63) - 1)):
+        token, doc_id, line = r.integers(0, 40, 500), r.integers(*ids, 500), r.integers(0, 9, 500).astype(np.int32)
+        order, want = line_dedup._in_order(token, doc_id, line), np.lexsort((line, doc_id, token))
+        assert all((c[order] == c[want]).all() for c in (token, doc_id, line))
