@@ -116,8 +116,6 @@ def chunks(offsets: np.ndarray, size: int = CHUNK_BYTES):
         i = j
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _CODES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -143,7 +141,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 #: Bytes of a span that are hashed eight at a time; what is longer is hashed by sums over its bytes.
 SHORT_SPAN = 64
-_FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
@@ -156,7 +154,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
         x += ((x >= 65) & (x <= 90)).view(np.uint8) << 5
     eight = np.ndarray(len(data) + 1, "<u8", x, 0, (1,))  # the eight bytes from each place on
     length = ends - starts
-    cut = lambda at, n: np.where(n > 0, eight[at] & (_FULL >> (64 - 8 * np.clip(n, 1, 8)).astype(np.uint64)), np.uint64(0))
+    cut = lambda at, n: eight[at] & _LOW_BYTES[np.minimum(n, 8)]
     out = mix64(cut(starts, length) ^ (length.astype(np.uint64) * _BASE))
     k, done = np.flatnonzero(length > 8), 8
     while len(k) and done < SHORT_SPAN:
@@ -174,7 +172,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words in a run of texts; a word ends where its text ends."""
     solid = np.zeros(len(data) + 2, bool)
-    solid[1:-1] = ~_SPACE[data]
+    solid[1:-1] = (data != 32) & (data - np.uint8(9) > 4)  # what is below 9 wraps round
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
     starts = np.flatnonzero(solid[1:-1] & (~solid[:-2] | cut[:-1]))
