@@ -16,6 +16,9 @@ from lakewatch.session import shared_dir, ship_package
 BROADCAST_BYTES = 32 << 20
 #: Bytes of text that the vectorised scanners take at a time (a longer document is taken alone).
 CHUNK_BYTES = 1 << 19
+#: Bytes of a batch that the JVM hands a Python worker at once, about, where the session sets no other limit (Spark's own is 10,000
+#: rows, some 20 MB of documents, which the JVM and the worker hold twice).
+BATCH_BYTES, BATCH_BYTES_KEY = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: The word separators of every contract: space and 0x09 to 0x0D.
 SEPARATORS = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -59,10 +62,15 @@ def discard(*tables: DataFrame) -> None:
 
 def map_arrow(df: DataFrame, fn, schema, rows: int = 2_000) -> DataFrame:
     """`mapInArrow` with the package at hand in the workers. `fn` takes and gives iterators of record batches; it gets at
-    most `rows` rows at a time, so that what it builds for them stays small."""
-    ship_package(df.sparkSession)
+    most `rows` rows at a time, so that what it builds for them stays small, of batches of about BATCH_BYTES. Workers drop what
+    they have kept for other modules than `fn`'s."""
+    spark, owner = df.sparkSession, fn.__module__
+    ship_package(spark)
+    if spark.conf.get(BATCH_BYTES_KEY, None) is None:
+        spark.conf.set(BATCH_BYTES_KEY, str(BATCH_BYTES))
 
     def run(batches):
+        drop_kept(owner)
         try:
             yield from fn(b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
         finally:
@@ -71,6 +79,24 @@ def map_arrow(df: DataFrame, fn, schema, rows: int = 2_000) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+_kept: dict[str, dict] = {}
+
+
+def kept(module: str) -> dict:
+    """What a worker keeps for `module`'s tasks from one to the next. Workers are used again by later stages, so it goes when a
+    task of another module starts."""
+    return _kept.setdefault(module, {})
+
+
+def drop_kept(owner: str) -> None:
+    """Drops what is kept for modules other than `owner`."""
+    others = [x for module, x in _kept.items() if module != owner and x]
+    for x in others:
+        x.clear()
+    if others:
+        release_memory()
+
+
 def release_memory() -> None:
     """Gives what a task has freed back to the system: workers are used again, and their allocators would keep it."""
     pa.default_memory_pool().release_unused()

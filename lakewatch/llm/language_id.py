@@ -34,6 +34,8 @@ SAMPLE = 20_000
 MIN_SHARE = 2e-5
 #: Share of an n-gram, by its greatest in a language, that sets a language's second bit.
 STRONG = 0.1
+#: N-grams whose numbers a task sums before it gives them.
+COUNTED = 1 << 18
 #: Slots of the filter and slots of an n-gram.
 SLOTS, HASHES = 1 << 20, 2
 UNKNOWN = "und"
@@ -73,20 +75,36 @@ def _has_letter(raw: bytes) -> bool:
     return any(c.isalpha() for c in raw.decode("utf-8", "replace"))
 
 
-def gram_counts(labelled: DataFrame) -> DataFrame:
-    """(lang, gram, n) over whole texts; tasks sum their own first."""
+def gram_counts(labelled: DataFrame, counted: int = COUNTED) -> DataFrame:
+    """(lang, gram, n) over whole texts; tasks sum their own first, `counted` rows at a time."""
+
+    def summed(some):
+        keys, n = map(np.concatenate, zip(*some))
+        keys, own = np.unique(keys, return_inverse=True)
+        return keys, np.bincount(own, n, len(keys)).astype(np.int64)
+
+    def rows(names, keys, n):
+        langs = pa.array(list(names), pa.string()).take(pa.array((keys >> np.uint64(32)).astype(np.int64)))
+        return pa.record_batch([langs, pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
     def run(batches):
+        names, some, held = {}, [], 0
         for batch in batches:
-            langs = np.array(batch.column(0).to_pylist(), object)
+            langs = np.array([names.setdefault(x, len(names)) for x in batch.column(0).to_pylist()], np.uint64)
             data, offsets = buffers(batch.column(1))
-            for i, j in chunks(offsets, 2 << 20):
+            for i, j in chunks(offsets):
                 at = offsets[i : j + 1]
                 grams, upto = _ngrams(data[at[0] : at[-1]], at - at[0])
-                names, own = np.unique(langs[i:j].astype(str), return_inverse=True)
-                own = np.repeat(own, np.diff(upto))
-                keys, n = np.unique(own.astype(np.uint64) << np.uint64(32) | grams.astype(np.uint64), return_counts=True)
-                yield pa.record_batch([pa.array(names[(keys >> np.uint64(32)).astype(np.int64)].tolist(), pa.string()), pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
+                some.append(np.unique(np.repeat(langs[i:j] << np.uint64(32), np.diff(upto)) | grams, return_counts=True))
+                held += len(some[-1][0])
+                if held >= counted:
+                    some = [summed(some)]
+                    held = len(some[0][0])
+                    if 2 * held >= counted:
+                        yield rows(names, *some[0])
+                        some, held = [], 0
+        if held:
+            yield rows(names, *summed(some))
 
     return map_arrow(labelled.select("lang", utf8().alias("text")), run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 

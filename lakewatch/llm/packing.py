@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakewatch.llm.common import map_arrow, materialize, texts, utf8
+from lakewatch.llm.common import kept, map_arrow, materialize, texts, utf8
 
 CAPACITY = 1024
 #: Ids of a sequence that a class may leave empty.
@@ -43,7 +43,7 @@ CACHED = 250_000
 _WHITE = "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _BESIDE = ("  ", *(" " + c for c in _WHITE), *(c + " " for c in _WHITE))
 
-_tokenizers: dict[str, Tokens] = {}
+_tokenizers: dict[str, Tokens] = kept(__name__)
 
 
 def tokenizer_path() -> str:

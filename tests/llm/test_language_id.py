@@ -65,3 +65,18 @@ def test_predictions_equal_plain_sets(spark):
     got = {r.doc_id: r.lang_pred for r in language_id.identify(docs).collect()}
     differ = [r.doc_id for r in rows if got[r.doc_id] != plain(r.text)]
     assert len(differ) <= 0.01 * len(rows)  # single false positives may break a near tie
+
+
+def test_gram_counts_are_summed_in_small_parts(spark):
+    """Texts of several chunks, in parts of few n-grams and all at once: the counts are those of a dictionary."""
+    from collections import Counter
+
+    words = ["aa", "Bee", "c1d", "zürich", "long", "tale", "x", "über"]
+    rows = [(k % 3 and f"l{k % 3}" or "l", " ".join(words[(k * i + i // 7) % 8] for i in range(400 + 40000 * (k == 5)))) for k in range(60)] + [("l", None), ("l", "ab")]
+    want = Counter()
+    for lang, text in rows:
+        folded = bytes(c if 97 <= c <= 122 or c > 127 else c + 32 if 65 <= c <= 90 else 32 for c in (text or "").encode())
+        want.update((lang, int.from_bytes(folded[i : i + 4], "little")) for i in range(len(folded) - 3) if b"  " not in folded[i : i + 4])
+    docs = spark.createDataFrame(rows, "lang string, text string").repartition(2)
+    for counted in (10, 1000, language_id.COUNTED):
+        assert {(r.lang, r.gram): r.n for r in language_id.gram_counts(docs, counted).collect()} == dict(want)
