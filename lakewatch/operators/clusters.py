@@ -14,7 +14,9 @@ from lakewatch.session import shared_dir, ship_package
 
 FUZZY = 0.85
 #: Titles of a piece at least; two pieces are compared as one group.
-PIECE = 2048
+PIECE = 4096
+#: Tasks that the groups are dealt to at most.
+MOST_TASKS = 1024
 
 
 def cluster_key(title: str = "titulo", url: str = "url", uf: str | None = None) -> Column:
@@ -34,9 +36,9 @@ def duplicate_flags(items: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def _near(batches, least: float):
-    """(a, b) of each group of rows (u, v, part, item, fresh, norm), of equal u and v and in order of part: alike titles of which
-    one at least is fresh, one of part 0 and one of part 1, or two of part 0 if the group is a piece by itself (u = v). A group is two pieces: what is held is
-    bounded."""
+    """(a, b) of each group of rows (u, v, part, item, fresh, norm), of equal u and v and in order of part: links that join all alike
+    titles of which one at least is fresh, one of part 0 and one of part 1, or two of part 0 if the group is a piece by itself (u = v).
+    A group is two pieces: what is held is bounded."""
 
     def pairs(rows):
         u, v, part, item, fresh, norm = rows
@@ -49,7 +51,7 @@ def _near(batches, least: float):
             same = u[0] == v[0] and len(m) == len(k) and m is sides[0][1]
             x = Strings([norm[left][n] for n in k])
             y = x if same else Strings([norm[right][n] for n in m])
-            i, j = alike(x, y, least, item[left][k], item[right][m], same=same)
+            i, j = alike(x, y, least, item[left][k], item[right][m], same=same, links=True)
             found.append(np.stack([item[left][k][i], item[right][m][j]]))
         a, b = np.concatenate(found, axis=1)
         return pa.record_batch([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
@@ -68,22 +70,22 @@ def _near(batches, least: float):
 
 
 def similar_pairs(items: DataFrame, least: float = FUZZY, piece: int | None = None) -> DataFrame:
-    """(a, b) of items (item, titulo), a < b: links with the components of all pairs whose titles' ratio, of the smaller item's
-    to the other's, reaches `least`.
+    """(a, b) of items (item, titulo), a < b: pairs whose titles' ratio, of the smaller item's to the other's, reaches `least`; as many
+    of them as have the components of all.
 
     Equal normalised titles are linked to their smallest item, which alone is compared. Titles are cut by length into
     pieces of about `piece` (PIECE, and more as the titles grow); a title goes to every group of two pieces in which a length lets
-    the ratio be reached, and a group is a task's work. In it, the
-    characters that both titles have, then their longest common subsequence, rule out all but a few pairs in whole arrays;
-    SequenceMatcher's blocks, found in whole arrays too, decide. No index on substrings does better here: a ratio of 0.85 allows 24 edits in 80 characters, so only
-    substrings of 3 are sure to survive, and most pairs of titles share one at a near place. Titles that are null or blank once
+    the ratio be reached, and a group is one task's work. In it, the characters that both titles have, then their longest common
+    subsequence, rule out all but a few pairs in whole arrays; SequenceMatcher's blocks, found in whole arrays too, decide on those
+    that the group's links don't join yet. No index on substrings does better here: a ratio of 0.85 allows 24 edits in 80 characters,
+    so only substrings of 3 are sure to survive, and most pairs of titles share one at a near place. Titles that are null or blank once
     normalised have no links. If `items` has a column `fresh`, only pairs with a fresh title are looked for: the others are known."""
     known = F.col("fresh") if "fresh" in items.columns else F.lit(True)
     t = items.select("item", known.alias("fresh"), compare_form(F.col("titulo")).alias("norm")).where("norm <> ''")
     rep = t.groupBy("norm").agg(F.min("item").alias("rep"), F.bool_and("fresh").alias("fresh")).checkpoint()
     same = t.join(rep.select("norm", "rep"), "norm").where("item <> rep").select(F.col("rep").alias("a"), F.col("item").alias("b"))
     sizes = rep.groupBy(F.length("norm").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy("size").collect()  # a row for each length of a title
-    piece = piece or min(max(sum(r.n for r in sizes) // 48, PIECE), 16 * PIECE)
+    piece = piece or min(max(sum(r.n for r in sizes) // 32, PIECE), 8 * PIECE)
     of, last, at = {}, -1, piece
     for r in sizes:  # pieces of whole lengths; a length with many titles has several pieces, dealt by a hash
         own = max(1, -(-r.n // piece))
@@ -100,13 +102,15 @@ def similar_pairs(items: DataFrame, least: float = FUZZY, piece: int | None = No
     dealt = rep.select(F.col("rep").cast("long").alias("item"), "fresh", "norm", own.alias("own")).withColumn("other", F.explode(partners))
     group = dealt.select(F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), (F.col("own") > F.col("other")).cast("int").alias("part"), "item", "fresh", "norm")
     ship_package(items.sparkSession)
-    streams = group.repartition("u", "v").sortWithinPartitions("u", "v", "part")
+    tasks = min((last + 1) * (last + 2) // 2, MOST_TASKS)  # named, as partitions would be joined by their bytes, which don't tell the work
+    streams = group.repartition(tasks, "u", "v").sortWithinPartitions("u", "v", "part")
     return streams.mapInArrow(lambda batches: _near(batches, least), "a long, b long").unionByName(same)
 
 
 def components(edges: DataFrame, nodes: DataFrame, most_rounds: int = 30) -> DataFrame:
     """(node, root): smallest node reachable, by rounds of minimum labels with pointer jumping, each checkpointed."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    ways = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))  # a union would compute the edges twice
+    both = edges.select(F.inline(ways)).distinct().checkpoint()
     label = nodes.select("node", F.col("node").alias("root")).checkpoint()
     for _ in range(most_rounds):
         near = both.join(label, both.a == label.node).groupBy("b").agg(F.min("root").alias("m"))
@@ -124,7 +128,7 @@ def assign_clusters(items: DataFrame, least: float = FUZZY) -> DataFrame:
     """Items (doc_id, titulo, url, content_hash) with cluster_id: equal content, equal key or alike titles, transitively;
     the id is a digest of the earliest member's content and key."""
     shared_dir(items.sparkSession)
-    i = items.withColumn("cluster_key", cluster_key())
+    i = items.select("doc_id", "titulo", "content_hash", cluster_key().alias("cluster_key")).checkpoint()  # read five times
     first = lambda c: i.groupBy(c).agg(F.min("doc_id").alias("a")).join(i.select("doc_id", c), c).where("doc_id <> a").select("a", F.col("doc_id").alias("b"))
     edges = first("content_hash").unionByName(first("cluster_key")).unionByName(similar_pairs(i.select(F.col("doc_id").alias("item"), "titulo"), least))
     roots = components(edges, i.select(F.col("doc_id").alias("node")))

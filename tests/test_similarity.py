@@ -73,3 +73,80 @@ def test_two_batches_give_the_clusters_of_one(spark):
     change = {x.root: x.new_root for x in moved.collect()}
     two = {x.doc_id: change.get(x.root, x.root) for x in held.collect()} | {x.doc_id: x.root for x in added.collect()}
     assert two == one and change
+
+
+def _syllables(r, n):
+    words = [" ".join("".join(r.choice(["th", "on", "er", "ing", "ea", "sh", "ti", "ble"]) for _ in range(r.randint(1, 4))) for _ in range(14))[: r.randint(40, 90)] for _ in range(n)]
+    for k in range(2 * n):
+        w = list(words[r.randrange(len(words))])
+        for _ in range(r.choice([1, 4, 8])):
+            w[r.randrange(len(w))] = r.choice("thone ")
+        words.append("".join(w)[r.choice([0, 0, 5]) :])
+    return words
+
+
+def test_links_join_what_all_pairs_join():
+    """Fails where every pair of a group of alike titles is looked at to the end: links are as few as join them."""
+    from lakewatch.functions.similarity import Links
+
+    words = _syllables(random.Random(11), 40)
+    n, every = len(words), np.arange(len(words))
+    want = Links(n)
+    pairs = [(i, j) for i in range(n) for j in range(i + 1, n) if difflib.SequenceMatcher(None, words[i], words[j]).ratio() >= 0.85]
+    want.add(*np.array(pairs).T)
+    x = Strings(words)
+    assert sorted(zip(*alike(x, x, 0.85, every, every, same=True))) == pairs
+    links = list(zip(*alike(x, x, 0.85, every, every, same=True, links=True)))
+    got = Links(n)
+    got.add(*np.array(links).T)
+    assert got.root.tolist() == want.root.tolist() and set(links) <= set(pairs)
+    assert len(links) == n - len(set(want.root.tolist())) < len(pairs)
+    left, right, own = Strings(words[:70]), Strings(words[70:]), Links(n)
+    own.add(*np.array([p for p in pairs if p[0] < 70 <= p[1]]).T)
+    i, j = alike(left, right, 0.85, every[:70], every[70:], links=True)
+    got = Links(n)
+    got.add(np.array(i), 70 + np.array(j))
+    assert got.root.tolist() == own.root.tolist()
+
+
+def test_links_are_computed_once(spark):
+    """Fails where both directions of the links are a union: it computed all pairs of titles twice."""
+    from lakewatch.operators import clusters
+    from lakewatch.session import shared_dir
+
+    shared_dir(spark)
+    rows = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (7, 9)], "a long, b long").mapInArrow(seen, "a long, b long")
+    found = clusters.components(edges, spark.createDataFrame([(k,) for k in range(1, 10)], "node long"))
+    assert {x.node: x.root for x in found.collect()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 6, 7: 7, 8: 8, 9: 7}
+    assert rows.value == 3
+
+
+def test_pieces_give_the_links_of_all_pairs(spark):
+    from lakewatch.operators import clusters
+    from lakewatch.session import shared_dir
+
+    shared_dir(spark)
+    words = _syllables(random.Random(12), 50)
+    docs = spark.createDataFrame(list(enumerate(words)), "item long, titulo string")
+    norm = {d: " ".join(w.split()) for d, w in enumerate(words)}
+    want, got = [{d: d for d in norm} for _ in range(2)]
+
+    def join(root, a, b):
+        low, high = sorted((root[a], root[b]))
+        for d in root:
+            root[d] = low if root[d] == high else root[d]
+
+    for i in norm:
+        for j in range(i + 1, len(words)):
+            if difflib.SequenceMatcher(None, norm[i], norm[j]).ratio() >= 0.85:
+                join(want, i, j)
+    for x in clusters.similar_pairs(docs, piece=20).collect():
+        join(got, x.a, x.b)
+    assert got == want and len(set(got.values())) < len(words) - 30
