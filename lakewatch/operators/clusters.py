@@ -46,11 +46,11 @@ def _near(batches, least: float):
         left, right = slice(0, first), slice(0, first) if u[0] == v[0] else slice(first, len(item))
         sides = [(np.flatnonzero(fresh[left]), np.flatnonzero(fresh[right])), (np.flatnonzero(~fresh[left]), np.flatnonzero(~fresh[right]))]
         todo = [(sides[0][0], sides[0][1]), (sides[0][0], sides[1][1])] + ([(sides[1][0], sides[0][1])] if u[0] != v[0] else [])
-        found = [np.zeros((2, 0), np.int64)]
+        titles, others, found = norm[left], norm[right], [np.zeros((2, 0), np.int64)]
         for k, m in todo:  # fresh with fresh, and fresh with others
             same = u[0] == v[0] and len(m) == len(k) and m is sides[0][1]
-            x = Strings([norm[left][n] for n in k])
-            y = x if same else Strings([norm[right][n] for n in m])
+            x = Strings([titles[n] for n in k])
+            y = x if same else Strings([others[n] for n in m])
             i, j = alike(x, y, least, item[left][k], item[right][m], same=same, links=True)
             found.append(np.stack([item[left][k][i], item[right][m][j]]))
         a, b = np.concatenate(found, axis=1)
